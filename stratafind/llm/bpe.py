@@ -9,8 +9,18 @@ from __future__ import annotations
 
 import os
 
+import numpy as np
+
 #: Words kept by a worker's memo; it starts anew when full. Bounds a worker's memory, not the result.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 600_000
+
+_CLOSING = b".,!?;:"
+
+
+def _is_letters(word: bytes) -> bool:
+    """Letters of the Latin blocks alone, on which all Unicode versions agree."""
+    return word.isalpha() if word.isascii() else (s := word.decode()).isalpha() and max(s) < "\u0250"
+
 
 _encoders: dict[str, "MemoEncoder"] = {}
 
@@ -31,6 +41,7 @@ class MemoEncoder:
         self.tokenizer.no_padding()
         self.memo: dict[bytes, bytes] = {}
         self.names: list[bytes] | None = None
+        self.closing = None
 
     def encode(self, data: bytes) -> bytes:
         """Ids of a UTF-8 text as little-endian unsigned 32-bit integers."""
@@ -45,16 +56,54 @@ class MemoEncoder:
             return out
 
     def _learn(self, words: list[bytes]) -> None:
-        import numpy as np
-
-        new = [w for w in dict.fromkeys(words) if w not in self.memo]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
+        """Encode the words not met before.
+
+        A word of letters, in small letters but for closing punctuation, is the ids of its letters and those of its
+        punctuation; words of letters alone are single pre-tokens and go to the library as one text, whose ids fall apart
+        after each token that closes a pre-token. Everything else goes word by word.
+        """
+        parts: list[tuple[bytes, bytes, bytes]] = []
+        letters: dict[bytes, None] = {}
+        rest: dict[bytes, None] = {}
+        for w in dict.fromkeys(words):
+            if w in self.memo:
+                continue
+            base = w.lower().rstrip(_CLOSING)
+            tail = w[len(base) :]
+            if b"<|" in w or not _is_letters(base):
+                rest[w] = None
+                continue
+            parts.append((w, base, tail))
+            if base not in self.memo:
+                letters[base] = None
+            if tail and tail not in self.memo:
+                rest[tail] = None
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)):
             self.memo[w] = np.array(e.ids, "<u4").tobytes()
+        if letters:
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(letters).decode()], add_special_tokens=False)[0].ids, "<u4")
+            ends = 4 * (np.flatnonzero(self._closing()[ids]) + 1)
+            data = ids.tobytes()
+            if len(ends) == len(letters) and ends[-1] == len(data):
+                at = 0
+                for w, end in zip(letters, ends.tolist()):
+                    self.memo[w] = data[at:end]
+                    at = end
+            else:  # some letter is none to the library
+                for w, e in zip(letters, self.tokenizer.encode_batch_fast([w.decode() for w in letters], add_special_tokens=False)):
+                    self.memo[w] = np.array(e.ids, "<u4").tobytes()
+        for w, base, tail in parts:
+            self.memo[w] = self.memo[base] + self.memo[tail] if tail else self.memo[base]
+
+    def _closing(self):
+        """By id: whether the token closes a pre-token."""
+        if self.closing is None:
+            size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+            self.closing = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        return self.closing
 
     def decode(self, ids: bytes) -> bytes:
         """The library's decode for a file without a decoder: token strings joined by single spaces, special ones kept."""
-        import numpy as np
-
         if self.names is None:
             size = self.tokenizer.get_vocab_size(with_added_tokens=True)
             self.names = [(self.tokenizer.id_to_token(i) or "").encode() for i in range(size)]
