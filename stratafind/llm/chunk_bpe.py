@@ -18,7 +18,7 @@ import re
 from pyspark.sql import DataFrame
 
 from .bpe import default_path, encoder
-from .common import require
+from .common import require, sliced
 
 #: A cut on average every so many bytes (a power of two).
 MEAN_CHUNK = 512
@@ -112,7 +112,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, ids: bool = True,
         import pyarrow as pa
 
         enc = chunk_encoder(path)
-        for b in batches:
+        for b in sliced(batches):
             made, back = [], []
             for data in b.column(1).cast(pa.binary()).to_pylist():
                 made.append(enc.encode(data or b""))

@@ -42,3 +42,14 @@ def groups_for(rows: int, size: int) -> int:
 def require(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns: extra ones, whatever their names, never reach an operator's plan."""
     return df.select(*[df[n] for n in names])
+
+
+#: Rows a worker turns into Python objects at once; bounds its memory beside the Arrow batch.
+SLICE_ROWS = 512
+
+
+def sliced(batches, rows: int = SLICE_ROWS):
+    """The Arrow batches in zero-copy slices."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)

@@ -20,7 +20,7 @@ import re
 
 from pyspark.sql import DataFrame
 
-from .common import require
+from .common import require, sliced
 
 KEY = b"stratafind-pseudonyms"
 KINDS = ("email", "iban", "card", "ssn", "ip", "phone", "date")
@@ -194,7 +194,7 @@ def pseudonymise_documents(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in sliced(batches):
             rows = [pseudonymise(t, key) if t is not None else (None, []) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [

@@ -18,7 +18,7 @@ import math
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import require
+from .common import require, sliced
 
 #: Documents of each grade that the chain is fitted on: the bound of what reaches the driver.
 SAMPLE_DOCS = 600
@@ -188,7 +188,7 @@ def judge(docs: DataFrame, model) -> DataFrame:
 
         types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.float64())
         names = [c.split()[0] for c in VERDICT.split(", ")]
-        for b in batches:
+        for b in sliced(batches):
             cols = list(zip(*[judge_text(t, model) for t in b.column(1).to_pylist()])) or [[]] * 8
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *[pa.array(c, t) for c, t in zip(cols, types)]], names=names)
 
