@@ -18,7 +18,7 @@ import re
 from pyspark.sql import DataFrame
 
 from .bpe import default_path, encoder
-from .common import require, sliced
+from .common import sliced, to_python
 
 #: A cut on average every so many bytes (a power of two).
 MEAN_CHUNK = 512
@@ -131,4 +131,4 @@ def encode_documents(docs: DataFrame, path: str | None = None, ids: bool = True,
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * ids + ", decoded binary" * text
-    return require(docs, "doc_id", "text").mapInArrow(run, schema)
+    return to_python(docs, "doc_id", "text").mapInArrow(run, schema)

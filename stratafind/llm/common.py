@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import tempfile
 import uuid
@@ -44,12 +45,29 @@ def require(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[df[n] for n in names])
 
 
-#: Rows a worker turns into Python objects at once; bounds its memory beside the Arrow batch.
-SLICE_ROWS = 512
+#: Rows of texts in an Arrow batch, and of those, rows a worker turns into Python objects at once: both bound memory.
+BATCH_ROWS, SLICE_ROWS = 1000, 500
+
+
+def to_python(df: DataFrame, *names: str) -> DataFrame:
+    """require() for rows with whole texts that go to Python: smaller Arrow batches than the default suit them."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, BATCH_ROWS)
+    return require(df, *(names or df.columns))
 
 
 def sliced(batches, rows: int = SLICE_ROWS):
-    """The Arrow batches in zero-copy slices."""
-    for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+    """The Arrow batches in zero-copy slices; after the last, memory that is free goes back to the system."""
+    import pyarrow as pa
+
+    try:
+        for b in batches:
+            for at in range(0, b.num_rows, rows):
+                yield b.slice(at, rows)
+    finally:
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # not glibc
+            pass

@@ -20,7 +20,7 @@ import re
 
 from pyspark.sql import DataFrame
 
-from .common import require, sliced
+from .common import sliced, to_python
 
 KEY = b"stratafind-pseudonyms"
 KINDS = ("email", "iban", "card", "ssn", "ip", "phone", "date")
@@ -206,4 +206,4 @@ def pseudonymise_documents(docs: DataFrame, key: bytes = KEY) -> DataFrame:
                 names=["doc_id", "n_values", "spans", "text"],
             )
 
-    return require(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_values long, spans string, text string")
+    return to_python(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_values long, spans string, text string")

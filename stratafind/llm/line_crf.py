@@ -18,7 +18,7 @@ import math
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import require, sliced
+from .common import require, sliced, to_python
 
 #: Documents of each grade that the chain is fitted on: the bound of what reaches the driver.
 SAMPLE_DOCS = 600
@@ -192,7 +192,7 @@ def judge(docs: DataFrame, model) -> DataFrame:
             cols = list(zip(*[judge_text(t, model) for t in b.column(1).to_pylist()])) or [[]] * 8
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *[pa.array(c, t) for c, t in zip(cols, types)]], names=names)
 
-    return require(docs, "doc_id", "text").mapInArrow(run, VERDICT)
+    return to_python(docs, "doc_id", "text").mapInArrow(run, VERDICT)
 
 
 def keep_documents(docs: DataFrame, model) -> DataFrame:
@@ -202,4 +202,4 @@ def keep_documents(docs: DataFrame, model) -> DataFrame:
     def stays(text: pd.Series) -> pd.Series:
         return pd.Series([bool(judge_text(t, model)[6]) for t in text], dtype=bool)
 
-    return docs.where(stays(docs["text"]))
+    return to_python(docs).where(stays(F.col("text")))

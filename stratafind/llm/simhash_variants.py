@@ -17,7 +17,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut_lineage, require, sliced
+from .common import cut_lineage, sliced, to_python
 from .components import components
 
 SHINGLE = 4
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             fps = np.array([fingerprint(t or b"", shingle) for t in b.column(1).cast(pa.binary()).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fps.view(np.int64), pa.int64())], names=["doc_id", "fp"])
 
-    return require(docs, "doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return to_python(docs, "doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
 def _masks():

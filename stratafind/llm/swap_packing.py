@@ -17,7 +17,7 @@ import zlib
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import default_path, encoder
-from .common import cut_lineage, groups_for, require, sliced
+from .common import cut_lineage, groups_for, sliced, to_python
 
 CAPACITY = 4096
 END_ID = 1
@@ -51,7 +51,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    return require(docs, "doc_id", "text").mapInArrow(cut, PIECES)
+    return to_python(docs, "doc_id", "text").mapInArrow(cut, PIECES)
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
