@@ -1,4 +1,24 @@
 """All queries of the engine's own operators, with the SQL they must agree with."""
 
+from __future__ import annotations
+
 QUERIES: dict = {}
 ORACLE: dict = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register fn(t, spark) under a name; t(table) loads a table of the data set."""
+
+    def add(fn):
+        def run(spark, sf_dir):
+            return fn(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"), spark)
+
+        QUERIES[name] = run
+        if sql:
+            ORACLE[name] = sql
+        return fn
+
+    return add
+
+
+from . import catalog  # noqa: E402,F401
