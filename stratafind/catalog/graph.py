@@ -142,9 +142,12 @@ def summaries(t):
     return made.select("community_id", F.size("names").alias("entity_count"), F.array_join(F.slice("names", 1, 10), ", ").alias("key_entities"))
 
 
-text_of = F.concat(F.lit("Community of "), F.col("entity_count").cast("string"), F.lit(" entities: "), F.substring("key_entities", 1, 200))
-query("com_summary", f"SELECT community_id, entity_count, key_entities, 'Community of ' || entity_count || ' entities: ' || substr(key_entities, 1, 200) AS summary FROM {SUMMARY}")(lambda t, _: summaries(t).withColumn("summary", text_of))
-query("com_docs", f"SELECT 'community_' || community_id AS doc_id, 'Community of ' || entity_count || ' entities: ' || substr(key_entities, 1, 200) AS text FROM {SUMMARY}")(lambda t, _: summaries(t).select(F.concat(F.lit("community_"), F.col("community_id").cast("string")).alias("doc_id"), text_of.alias("text")))
+def summary_text():
+    return F.concat(F.lit("Community of "), F.col("entity_count").cast("string"), F.lit(" entities: "), F.substring("key_entities", 1, 200))
+
+
+query("com_summary", f"SELECT community_id, entity_count, key_entities, 'Community of ' || entity_count || ' entities: ' || substr(key_entities, 1, 200) AS summary FROM {SUMMARY}")(lambda t, _: summaries(t).withColumn("summary", summary_text()))
+query("com_docs", f"SELECT 'community_' || community_id AS doc_id, 'Community of ' || entity_count || ' entities: ' || substr(key_entities, 1, 200) AS text FROM {SUMMARY}")(lambda t, _: summaries(t).select(F.concat(F.lit("community_"), F.col("community_id").cast("string")).alias("doc_id"), summary_text().alias("text")))
 query("g_all_summaries", f"SELECT community_id, entity_count, row_number() OVER (ORDER BY entity_count DESC, community_id)::INT AS ord FROM {SUMMARY}")(lambda t, _: summaries(t).select("community_id", "entity_count", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("entity_count").desc(), "community_id")).alias("ord")))
 query("g_upsert_community", f"SELECT community_id, CASE WHEN community_id < 2 THEN entity_count ELSE 0 END AS entity_count FROM {SUMMARY}")(
     lambda t, _: G.upsert(summaries(t).select("community_id", F.lit(0).alias("entity_count")), summaries(t).where("community_id < 2").select("community_id", "entity_count"), "community_id")
