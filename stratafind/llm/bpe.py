@@ -12,7 +12,7 @@ import os
 import numpy as np
 
 #: Words kept by a worker's memo; it starts anew when full. Bounds a worker's memory, not the result.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 900_000
 
 _CLOSING = b".,!?;:"
 
