@@ -14,10 +14,12 @@ repeated rows give repeated results; an empty table gives no rows; other columns
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut_lineage, sliced, to_python
+from .common import cut_lineage, sliced, to_python, written
 from .components import components
 
 SHINGLE = 4
@@ -31,21 +33,26 @@ RUN = 8192
 SMALL_RUN = 16
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> list[int]:
     import xxhash
 
     h = xxhash.xxh64_intdigest
     words = text.lower().split()
     n = len(words)
     if not n:
-        return 0
+        return []
     joined = b" ".join(words)
     if n <= shingle:
-        hashes = [h(joined, SEED)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        hashes = [h(joined[a:b], SEED) for a, b in zip(starts[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist())]
+        return [h(joined, SEED)]
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    return [h(joined[a:b], SEED) for a, b in zip(starts[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist())]
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    hashes = shingle_hashes(text, shingle)
+    if not hashes:
+        return 0
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65_536):
         part = np.array(hashes[at : at + 65_536], dtype="<u8")
@@ -92,7 +99,7 @@ def _accepted(x, y, variant, distance):
     return ok
 
 
-def _forest(f, g, variant, distance):
+def _forest(f, g, variant, accept):
     """A spanning forest of the accepted pairs among f (g is None), or between f and g, as two arrays."""
     rest = np.arange(len(f) + (0 if g is None else len(g)))
     both = f if g is None else np.concatenate([f, g])
@@ -104,7 +111,7 @@ def _forest(f, g, variant, distance):
             i, rest = int(rest[0]), rest[1:]
         if not len(rest):
             break
-        hit = _accepted(both[i], both[rest], variant, distance)
+        hit = accept(both[i], both[rest], variant)
         if g is not None:
             hit &= (rest < len(f)) != (i < len(f))
         if hit.any():
@@ -120,7 +127,6 @@ def _forest(f, g, variant, distance):
 def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """a, b: links that connect all fingerprints within `distance`, of distinct(fp)."""
     masks = np.array([m for _, _, m in _masks()], dtype=np.uint64)
-    rows = "a long, b long, variant int, key long, block int, members binary"
 
     def index(batches):
         import pyarrow as pa
@@ -133,6 +139,17 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
                 variant = np.tile(np.arange(64, dtype=np.int32), len(part))
                 yield pa.RecordBatch.from_arrays([pa.array(variant), pa.array(key.view(np.int64)), pa.array(np.repeat(part, 64).view(np.int64))], names=["variant", "key", "fp"])
 
+    indexed = distinct.select("fp").mapInArrow(index, "variant int, key long, fp long")
+    return meet(indexed, lambda x, y, variant: _accepted(x, y, variant, distance))
+
+
+def meet(indexed: DataFrame, accept) -> DataFrame:
+    """a, b: accepted pairs of fingerprints that share a variant and key: all of a small run, a spanning forest of others.
+
+    accept(x, y, variant): which pairs of two arrays of uint64 link.
+    """
+    rows = "a long, b long, variant int, key long, block int, members binary"
+
     def batch_of(a, b, blocks=()):
         import pyarrow as pa
 
@@ -174,7 +191,7 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
                 at = at[(v[at] == v[at + shift]) & (k[at] == k[at + shift])]
                 if not len(at):
                     break
-                ok = at[_accepted(f[at], f[at + shift], v[at], distance)]
+                ok = at[accept(f[at], f[at + shift], v[at])]
                 a_out.append(f[ok])
                 b_out.append(f[ok + shift])
             big = np.flatnonzero(sizes > SMALL_RUN)
@@ -183,7 +200,7 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
             for r in big:
                 members, start = f[starts[r] : starts[r] + sizes[r]], (cut if r == 0 else 0)
                 for c, i in enumerate(range(0, len(members), RUN)):
-                    x, y = _forest(members[i : i + RUN], None, int(v[starts[r]]), distance)
+                    x, y = _forest(members[i : i + RUN], None, int(v[starts[r]]), accept)
                     a_out.append(x)
                     b_out.append(y)
                     if start or len(members) > RUN:
@@ -192,7 +209,7 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
                 cut = 0
             held = (v[end:], k[end:], f[end:])
             while len(held[2]) >= 2 * RUN:  # of a run without end, full blocks leave at once
-                x, y = _forest(held[2][:RUN], None, int(held[0][0]), distance)
+                x, y = _forest(held[2][:RUN], None, int(held[0][0]), accept)
                 a_out.append(x)
                 b_out.append(y)
                 blocks.append((int(held[0][0]), int(held[1][0]), cut, held[2][:RUN].tobytes()))
@@ -206,10 +223,9 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
         for b in batches:
             for v, f, g in zip(*[b.column(i).to_pylist() for i in range(3)]):
-                x, y = _forest(np.frombuffer(f, np.uint64), np.frombuffer(g, np.uint64), v, distance)
+                x, y = _forest(np.frombuffer(f, np.uint64), np.frombuffer(g, np.uint64), v, accept)
                 yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64), pa.int64()), pa.array(y.view(np.int64), pa.int64())], names=["a", "b"])
 
-    indexed = distinct.select("fp").mapInArrow(index, "variant int, key long, fp long")
     met = cut_lineage(indexed.repartition("variant", "key").sortWithinPartitions("variant", "key").mapInArrow(verify, rows))
     blocks = met.where("members IS NOT NULL").select("variant", "key", "block", "members")
     other = blocks.select("variant", "key", F.col("block").alias("block2"), F.col("members").alias("members2"))
@@ -227,12 +243,112 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     marked = cut_lineage(fingerprints(docs, shingle))
     # distinct fingerprints: copies meet here, pre-aggregated, and are compared once
     nodes = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = components(links(nodes, distance)).withColumnRenamed("node", "fp")
+    return _named(marked, nodes, links(nodes, distance))
+
+
+def _named(marked: DataFrame, nodes: DataFrame, linked: DataFrame) -> DataFrame:
+    """marked(doc_id, fp) with the least document of each component of the links among nodes(fp, least)."""
+    found = components(linked).withColumnRenamed("node", "fp")
     rooted = nodes.join(found, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+#: Of pairs at the least similarity, the share that meet under some key.
+MEET = 0.99
+#: 64-bit words of a wide fingerprint at least; its first word names the document, the others are indexed.
+WIDE_WORDS = 32
+#: Pairs that meet and differ in more bits of the first word are not looked at further (2.4 deviations above the mean at 0.8).
+FIRST_WORD = 16
+
+
+def bit_difference(similarity: float) -> float:
+    """Expected share of bits in which the fingerprints of sets of like size and this Jaccard similarity differ."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def plan_segments(rows: int, similarity: float) -> tuple[int, int, int]:
+    """Bits of a segment, segments, words: keys stay about as many as rows / 4, segments reach MEET at any count."""
+    bits, p = max(20, math.ceil(math.log2(max(2, rows))) - 2), bit_difference(similarity)
+    # equal, one bit apart, or two bits apart and both odd
+    q = (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1) + 0.5 * math.comb(bits, 2) * p * p * (1 - p) ** (bits - 2)
+    count = math.ceil(math.log(1 - MEET) / math.log(1 - q))
+    return bits, count, max(WIDE_WORDS, 1 + math.ceil(bits * count / 64))
+
+
+def wide_fingerprint(text: bytes, shingle: int, words: int) -> np.ndarray:
+    """`words` 64-bit SimHash words of the text's set of shingles."""
+    h = np.unique(np.array(shingle_hashes(text, shingle), dtype="<u8"))
+    counts, mix = np.zeros(64 * words, np.int64), np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(h), 255):  # that many ones still fit a byte
+        x = h[at : at + 255, None] + mix
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        counts += np.unpackbits(x.astype("<u8").view(np.uint8).reshape(len(x), -1), axis=1, bitorder="little").sum(0, dtype=np.uint8)
+    return np.packbits(2 * counts > len(h), bitorder="little").view("<u8")
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, fp, component_id: documents linked by a Jaccard similarity of their shingle sets of `similarity` or more.
+
+    64 bits tell such pairs badly from others, so fingerprints are wide and cut into as many segments as let MEET of the
+    pairs at the least similarity agree up to one bit in one of them. Of two values one bit apart one has an odd number of
+    ones: every value is indexed as it is, odd ones under their one-bit variants too, which halves the index. Pairs that meet
+    are held against each other on the whole width; the limit lies one deviation (of a binomial share) above the expected
+    difference, so pairs within about 0.03 (two deviations) of `similarity` can fall either way. Runs of over SMALL_RUN texts give a spanning
+    forest of their pairs by the first word. Texts whose first words are equal count as one. Null, empty and blank texts share
+    the fingerprint zero; null ids count last; repeated rows give repeated results; an empty table gives no rows.
+    """
+    bits, count, words = plan_segments(docs.count(), similarity)
+    p = bit_difference(similarity)
+    limit = int(64 * words * p + math.sqrt(64 * words * p * (1 - p)))
+
+    def prints(batches):
+        import pyarrow as pa
+
+        for b in sliced(batches):
+            wide = [wide_fingerprint(t or b"", shingle, words) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            fps = np.array([w[0] for w in wide], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fps), pa.array([w.tobytes() for w in wide], pa.binary())], names=["doc_id", "fp", "wide"])
+
+    def index(batches):
+        import pyarrow as pa
+
+        flips = np.uint64(1) << np.arange(bits, dtype=np.uint64)
+        used = -(-bits * count // 8)
+        for b in sliced(batches):
+            fp = b.column(0).to_numpy(zero_copy_only=False)
+            if not len(fp):
+                continue
+            wide = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(len(fp), -1)[:, 8 : 8 + used]
+            cut = np.unpackbits(wide, axis=1, bitorder="little")[:, : bits * count].reshape(len(fp), count, bits)
+            value = (cut * flips).sum(2, dtype=np.uint64)
+            row, seg = (np.broadcast_to(x, value.shape).ravel() for x in (np.arange(len(fp))[:, None], np.arange(count, dtype=np.int32)))
+            value = value.ravel()
+            odd = np.flatnonzero(np.bitwise_count(value) & 1)
+            key = np.concatenate([value, (value[odd, None] ^ flips).ravel()]).view(np.int64)
+            names = np.concatenate([fp[row], np.repeat(fp[row[odd]], bits)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([seg, np.repeat(seg[odd], bits)])), pa.array(key), pa.array(names)], names=["variant", "key", "fp"])
+
+    def close(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            if b.num_rows:
+                x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), "<u8").reshape(b.num_rows, -1) for i in (2, 3))
+                ok = pa.array(np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= limit)
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
+
+    marked = written(to_python(docs, "doc_id", "text").mapInArrow(prints, "doc_id long, fp long, wide binary"))
+    nodes = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("wide").alias("wide")))
+    met = meet(nodes.select("fp", "wide").mapInArrow(index, "variant int, key long, fp long"), lambda x, y, _: np.bitwise_count(x ^ y) <= FIRST_WORD)
+    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+    side = lambda n, w: nodes.select(F.col("fp").alias(n), F.col("wide").alias(w))
+    linked = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(close, "a long, b long")
+    return _named(marked, nodes, linked)
+
+
 def hexadecimal(fp):
     """The column fp as 16 lower-case hexadecimal digits."""
     return F.lpad(F.lower(F.hex(fp)), 16, "0")

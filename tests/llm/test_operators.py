@@ -518,6 +518,53 @@ def test_simhash_links_hot_groups(spark, monkeypatch, run):
     assert sorted(map(sorted, have.values())) == sorted(map(sorted, want.values()))
 
 
+def brute_similarities(rows, n=5):
+    """Jaccard similarity of n-word shingle sets, by pair of ids, of the pairs that share any."""
+    sets = {}
+    for d, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[d] = {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))}
+    held = defaultdict(list)
+    for d, s in sets.items():
+        for x in s:
+            held[x].append(d)
+    pairs = {p for ds in held.values() for p in itertools.combinations(sorted(ds), 2)}
+    return {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in pairs}
+
+
+def test_near_copies(spark, odd, empty):
+    """Groups whose copies change more and more words: all alike meet, the others stay apart."""
+    r, rows = random.Random(8), []
+    for size, edits in ((2, 1), (2, 2), (3, 3), (40, 1), (300, 1), (2, 12), (3, 30)):
+        for _ in range(6 if size < 40 else 1):
+            base = rng_words(r, 150)
+            for _ in range(size):
+                words = list(base)
+                for i in r.sample(range(150), edits):
+                    words[i] = f"new{r.randrange(10**6)}"
+                rows.append((len(rows), " ".join(words)))
+    rows += [(len(rows) + i, t) for i, t in enumerate([rows[0][1], rows[5][1].upper(), "", " ", "one two", "one two"])]
+    found = {x.doc_id: x.component_id for x in simhash_variants.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    alike = brute_similarities(rows)
+    sure = [p for p, j in alike.items() if j >= 0.85]
+    assert len(sure) > 1000 and sum(found[a] != found[b] for a, b in sure) <= 0.01 * len(sure)
+    near = {d for p, j in alike.items() if j >= 0.74 for d in p}
+    assert all(found[d] == d for d, _ in rows if d not in near)
+    assert all(d >= c for d, c in found.items()) and all(found[c] == c for c in found.values())
+    got = Counter((x.doc_id, x.component_id) for x in simhash_variants.near_copies(odd).collect())
+    assert got == Counter((i, {2: 1, 3: 1, 8: 7}.get(i, i)) if t != "no id here" and i is not None else (None, None if t else 1) for i, t in ((x.doc_id, x.text) for x in odd.collect()))
+    assert simhash_variants.near_copies(empty).collect() == []
+
+
+def test_segments_reach_their_share():
+    for rows in (1, 10**6, 10**9):
+        bits, count, words = simhash_variants.plan_segments(rows, 0.8)
+        r = np.random.default_rng(rows)
+        value, flip = r.random((4000, count, bits)) < 0.5, r.random((4000, count, bits)) < simhash_variants.bit_difference(0.8)
+        apart, odd = flip.sum(2), value.sum(2) % 2
+        assert ((apart <= 1) | ((apart == 2) & (odd == 1))).any(1).mean() > 0.98 and 64 * (words - 1) >= bits * count
+
+
 # ---- 9
 
 
