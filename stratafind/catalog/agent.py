@@ -41,6 +41,19 @@ query("llm_doc_summary", "SELECT doc_id, array_to_string(list_slice(regexp_extra
 query("llm_category", "SELECT doc_id, 'general' AS category FROM documents")(lambda t, _: t("documents").select("doc_id", F.lit("general").alias("category")))
 query("llm_guardrails", "SELECT DISTINCT source AS category, 'Entity' AS entity_types, 'RELATED_TO' AS relationship_types, 1 AS version FROM documents")(lambda t, _: t("documents").select(F.col("source").alias("category")).distinct().select("category", F.lit("Entity").alias("entity_types"), F.lit("RELATED_TO").alias("relationship_types"), F.lit(1).alias("version")))
 query("llm_optimize_gr", "SELECT DISTINCT source AS category, 2 AS version FROM documents")(lambda t, _: t("documents").select(F.col("source").alias("category"), F.lit(2).alias("version")).distinct())
+PROPOSED = "CASE turn % 3 WHEN 0 THEN '\"' || text || '\" ' WHEN 1 THEN ' abc ' END"
+query("llm_rewrite", f"SELECT conv_id, turn, CASE WHEN length(p) >= 5 THEN p ELSE text END AS rewritten FROM (SELECT *, trim(trim({PROPOSED}), '\"''') AS p FROM conversations)")(
+    lambda t, _: t("conversations").select("conv_id", "turn", A.rewrite(F.col("text"), F.when(F.col("turn") % 3 == 0, F.concat(F.lit('"'), "text", F.lit('" '))).when(F.col("turn") % 3 == 1, F.lit(" abc "))).alias("rewritten"))
+)
+query("llm_refine_plan", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN props ELSE 'kept' END AS plan FROM events")(
+    lambda t, _: t("events").select("event_id", A.refined(F.lit("kept"), F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise(F.lit("no plan"))).alias("plan"))
+)
+query("llm_synthesis", "SELECT topic, string_agg('[' || upper(source) || '] ' || lang || chr(10) || text, chr(10) || '---' || chr(10) ORDER BY doc_id) AS context FROM (SELECT *, source AS topic, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) WHERE r <= 15 GROUP BY topic")(
+    lambda t, _: A.synthesis_context(t("documents").select(F.col("source").alias("topic"), F.col("doc_id").alias("ord"), "source", F.col("lang").alias("title"), F.col("text").alias("snippet")))
+)
+query("kg_context_prefix", "SELECT item_id, CASE WHEN item_id % 2 = 0 THEN text || chr(10) || 'Known entities: a, b' || chr(10) || 'Extract the triplets now' ELSE text || chr(10) || 'Extract the triplets now' END AS prefix FROM benchmark")(
+    lambda t, _: t("benchmark").select("item_id", A.with_context(F.concat("text", F.lit("\nExtract the triplets now")), F.when(F.col("item_id") % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array().cast("array<string>"))).alias("prefix"))
+)
 query("llm_research_plan")(lambda t, s: s.createDataFrame([(m, k, b, q) for m in ("deep", "wiki", "local", "arxiv") for k, (b, q) in enumerate(A.research_plan("graphs", m))], "mode string, ord int, backend string, query string"))
 query("kg_prompt", "SELECT source AS category, 'Category: ' || source || chr(10) || 'Objects: ' || array_to_string(list_sort(list(DISTINCT lang)), ', ') || chr(10) || 'Relations: RELATED_TO' || chr(10) || 'Conventions: none' || chr(10) || 'Known entities: a, b' || chr(10) || 'Extract the triplets now' AS prompt FROM documents GROUP BY source")(
     lambda t, _: A.knowledge_prompt(t("documents").groupBy(F.col("source").alias("category")).agg(F.array_sort(F.collect_set("lang")).alias("objects")).withColumn("relations", F.array(F.lit("RELATED_TO"))).withColumn("conventions", F.lit("none"))).withColumn("prompt", A.with_context(F.col("prompt"), F.array(F.lit("a"), F.lit("b"))))

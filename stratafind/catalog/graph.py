@@ -39,8 +39,8 @@ query("lim_profiles", f"SELECT '[' || CASE hop WHEN 1 THEN 'Direct' ELSE 'Relate
     lambda t, _: G.expand(nodes(t), edges(t), seeds(t), 2, None).orderBy("hop", "name", "rel_types", "id").limit(30)
     .select(F.concat(F.lit("["), F.when(F.col("hop") == 1, F.lit("Direct")).otherwise(F.lit("Related")), F.lit("] "), "name", F.lit(" ("), "rel_types", F.lit(")")).alias("line"))
 )
-query("ret_graph", f"SELECT n.id, e.rel_type, e.dst FROM (SELECT 'c' || vec_id AS id FROM embeddings WHERE vec_id < 50) n JOIN {EDGES} e ON e.src = n.id")(
-    lambda t, _: t("embeddings").where("vec_id < 50").select(F.concat(F.lit("c"), F.col("vec_id").cast("string")).alias("id")).join(edges(t).withColumnRenamed("src", "id"), "id").select("id", "rel_type", "dst")
+query("ret_graph", f"SELECT n.id, e.rel_type, e.dst FROM (SELECT 'c' || vec_id AS id FROM embeddings) n JOIN {EDGES} e ON e.src = n.id")(
+    lambda t, _: t("embeddings").select(F.concat(F.lit("c"), F.col("vec_id").cast("string")).alias("id")).join(edges(t).withColumnRenamed("src", "id"), "id").select("id", "rel_type", "dst")
 )
 query("ret_suggest", f"SELECT 'Tell me about ' || name AS suggestion FROM (SELECT name, row_number() OVER (ORDER BY degree DESC, name, id) AS r FROM {DEGREE} JOIN {NODES} USING (id)) WHERE r <= 4")(
     lambda t, _: G.degrees(edges(t)).join(G.named(nodes(t)), "id").orderBy(F.col("degree").desc(), "name", "id").limit(4).select(F.concat(F.lit("Tell me about "), "name").alias("suggestion"))

@@ -1,12 +1,15 @@
 """Queries of indexes, ranking, fusion and context."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..common import shared_folder
 from ..functions import text as X
 from ..operators import chunking, retrieval as R
 from ..registry import query
 
-VQ = "(SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id < 40)"
+VQ = "(SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0)"
 VECTOR = f"""(SELECT query_id, id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1)::INT AS rank FROM
     (SELECT query_id, vec_id AS id, round(list_dot_product(embedding::DOUBLE[], q::DOUBLE[]) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q::DOUBLE[], q::DOUBLE[]))), 9) AS score FROM embeddings, {VQ}))"""
 TOK = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')"
@@ -23,7 +26,8 @@ FUSED = f"""(SELECT query_id, id, score, row_number() OVER (PARTITION BY query_i
 
 
 def vector_queries(t):
-    return t("embeddings").where("vec_id < 40").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    """The stated query set: every vector whose id is divisible by 100, against all vectors."""
+    return t("embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
 
 
 def text_queries(t):
@@ -53,24 +57,24 @@ query("ret_hybrid", f"SELECT query_id, id, score, fused_rank FROM {FUSED} WHERE
 query("ret_summary", "SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 2")(lambda t, _: t("documents").select("doc_id", "text").orderBy("doc_id").limit(2))
 COMMUNITY = "(SELECT label AS community_id, list_transform(range(1, 65), lambda i: 0) AS z, count(*) AS entity_count FROM embeddings GROUP BY label)"
 query("ret_community", f"""SELECT query_id, id, score, rank FROM (SELECT query_id, id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id DESC) - 1)::INT AS rank FROM
-    (SELECT query_id, vec_id AS id, round(list_dot_product(embedding::DOUBLE[], q::DOUBLE[]) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q::DOUBLE[], q::DOUBLE[]))), 9) AS score FROM embeddings, {VQ} WHERE vec_id % 10 = 0)) WHERE rank < 3""")(
-    lambda t, _: R.ranked(R.vector_search(R.vector_index(t("embeddings").where("vec_id % 10 = 0")), vector_queries(t), 1 << 30).drop("rank"), "query_id", F.col("score").desc(), F.col("id").desc(), top=3).select("query_id", "id", "score", "rank")
+    (SELECT query_id, vec_id AS id, round(list_dot_product(embedding::DOUBLE[], q::DOUBLE[]) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q::DOUBLE[], q::DOUBLE[]))), 9) AS score FROM embeddings, {VQ})) WHERE rank < 3""")(
+    lambda t, _: R.ranked(R.vector_search(R.vector_index(t("embeddings")), vector_queries(t), 1 << 30).drop("rank"), "query_id", F.col("score").desc(), F.col("id").desc(), top=3).select("query_id", "id", "score", "rank")
 )
 query("ret_community_fallback", "SELECT label, count(*) AS entity_count FROM embeddings GROUP BY label ORDER BY entity_count DESC, label LIMIT 3")(lambda t, _: t("embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("entity_count")).orderBy(F.col("entity_count").desc(), "label").limit(3))
 query("sim_entity_rank", f"SELECT query_id, id, rank FROM {VECTOR} WHERE rank < 20")(lambda t, _: R.vector_search(R.vector_index(t("embeddings")), vector_queries(t), 20).select("query_id", "id", "rank"))
 TOPK = "(SELECT a.vec_id AS src, b.vec_id AS dst, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 9) AS score FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id)"
 
 
-def similar_edges(t, least, new=None):
-    """src, dst, score: the three most similar others of each (new) vector, over `least`."""
+def similar_edges(t, least):
+    """src, dst, score: the three most similar others of each vector, over `least`."""
     rows = t("embeddings")
-    asked = (rows.where(new) if new else rows).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    asked = rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     found = R.vector_search(R.vector_index(rows), asked, 4).where("query_id <> id")
     return R.ranked(found.drop("rank"), "query_id", F.col("score").desc(), "id", top=3).where(F.col("score") > least).select(F.col("query_id").alias("src"), F.col("id").alias("dst"), "score")
 
 
 query("sim_topk_edges", f"SELECT src, dst, score FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS r FROM {TOPK}) WHERE r <= 3 AND score > 0.3")(lambda t, _: similar_edges(t, 0.3))
-query("g_similar_to", f"SELECT src, dst, score FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS r FROM {TOPK}) WHERE r <= 3 AND score > 0.5 AND src % 2 = 0")(lambda t, _: similar_edges(t, 0.5, "vec_id % 2 = 0"))
+query("g_similar_to", f"SELECT src, dst, score FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS r FROM {TOPK}) WHERE r <= 3 AND score > 0.5")(lambda t, _: similar_edges(t, 0.5))
 query("ret_sources", "SELECT 'T' || (doc_id % 50) AS title, source AS category, min(doc_id) AS ord FROM documents GROUP BY 1, 2")(
     lambda t, _: R.sources(t("documents").select(F.col("doc_id").alias("ord"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("T"), (F.col("doc_id") % 50).cast("string"))).alias("title"), F.lit(None).cast("string").alias("file_name"), F.concat(F.lit("a/T"), (F.col("doc_id") % 50).cast("string"), F.lit(".txt")).alias("file_path"), F.col("source").alias("category"))).select("title", "category", "ord")
 )
@@ -100,3 +104,11 @@ query("ret_dispatch", f"SELECT query_id, id, list_ord FROM {CANDIDATES} WHERE qu
     lambda t, _: candidates(t).where("query_id % 2 = 0 OR list_ord = 1").select("query_id", "id", "list_ord")
 )
 query("g_embed_backfill")(lambda t, _: chunking._each(t("documents").where("doc_id % 2 = 0"), lambda i, x: [(i, float(chunking.embed(x or "")[0]))], ["doc_id", "text"], "doc_id long, first double"))
+
+
+@query("snk_bm25", f"SELECT query_id, id, score, rank FROM {BM25} WHERE rank < 10")
+def snk_bm25(t, spark):
+    """The sparse index kept as tables, loaded again and searched: the same hits as from the index in memory."""
+    path = f"{shared_folder(spark)}/bm25-{uuid.uuid4().hex}"
+    R.save_bm25(t("documents"), path)
+    return R.bm25_search(*R.load_bm25(spark, path), text_queries(t), 10).select("query_id", "id", "score", "rank")

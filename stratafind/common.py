@@ -4,17 +4,22 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Rows up to which a small side is broadcast.
 BROADCAST_ROWS = 10_000
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder of spark.checkpoint.dir (one of our own only where that is unset)."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; one of our own only where that is unset."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

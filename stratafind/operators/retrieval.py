@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..common import against_all, checked_broadcast
 from ..functions import text as X
@@ -40,6 +40,17 @@ def bm25_stats(docs: DataFrame) -> DataFrame:
     return docs.select(F.size(X.tokens(F.col("text"))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
 
 
+def save_bm25(docs: DataFrame, path: str) -> None:
+    """Persist the index: postings laid out by term, so that a search reads few row groups, and the corpus figures."""
+    bm25_index(docs).repartition("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
+    bm25_stats(docs).write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def load_bm25(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """postings, stats of a kept index."""
+    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats")
+
+
 def bm25_search(postings: DataFrame, stats: DataFrame, queries: DataFrame, top: int = 10) -> DataFrame:
     """query_id, id, score, rank for queries(query_id, text). Only the query terms' postings are read on."""
     terms = queries.select("query_id", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))

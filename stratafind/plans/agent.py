@@ -61,6 +61,27 @@ def corrective_rounds(graded: DataFrame, limit: int = 2) -> DataFrame:
     return graded.select("query_id", F.when(F.col("first"), F.lit(1)).otherwise(F.lit(limit)).alias("grades"), F.when(F.col("first"), F.lit(0)).otherwise(F.lit(1)).alias("rewrites"), (F.col("first") | F.col("second")).alias("relevant"))
 
 
+def rewrite(query: Column, proposed: Column) -> Column:
+    """A proposed new wording without its quotes; the query itself where that is missing or shorter than five characters."""
+    bare = F.regexp_replace(strip(proposed), "^[\"']+|[\"']+$", "")
+    return F.when(F.length(bare) >= 5, bare).otherwise(query)
+
+
+def refined(current: Column, proposed: Column) -> Column:
+    """A refined plan if it reads as a JSON object; else the plan as it was."""
+    return F.when(F.regexp_like(proposed, F.lit(r"^\s*\{")) & F.get_json_object(proposed, "$").isNotNull(), proposed).otherwise(current)
+
+
+def synthesis_context(results: DataFrame, top: int = 15) -> DataFrame:
+    """topic, context of results(topic, ord, source, title, snippet): the first `top` results, as a report's input."""
+    from pyspark.sql import Window
+
+    first = results.withColumn("r", F.row_number().over(Window.partitionBy("topic").orderBy("ord"))).where(F.col("r") <= top)
+    item = F.concat(F.lit("["), F.upper(F.coalesce("source", F.lit("web"))), F.lit("] "), F.coalesce("title", F.lit("No Title")), F.lit("\n"), F.coalesce("snippet", F.lit("")))
+    kept = first.groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("r", item.alias("item")))).alias("items"))
+    return kept.select("topic", F.array_join(F.transform("items", lambda x: x["item"]), "\n---\n").alias("context"))
+
+
 def research_plan(topic: str, mode: str) -> list[tuple[str, str]]:
     """(backend, query) of a topic where no model plans. The queries' wording."""
     if mode == "deep":
