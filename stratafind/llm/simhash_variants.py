@@ -255,11 +255,15 @@ def _named(marked: DataFrame, nodes: DataFrame, linked: DataFrame) -> DataFrame:
 
 
 #: Of pairs at the least similarity, the share that meet under some key.
-MEET = 0.99
-#: 64-bit words of a wide fingerprint at least; its first word names the document, the others are indexed.
+MEET = 0.998
+#: 64-bit words of a wide fingerprint at least; its first word is compared in the runs, the others are indexed.
 WIDE_WORDS = 32
-#: Pairs that meet and differ in more bits of the first word are not looked at further (2.4 deviations above the mean at 0.8).
-FIRST_WORD = 16
+#: Pairs that meet and differ in more bits of the first word are not looked at further (3.4 deviations above the mean at 0.8).
+FIRST_WORD = 19
+#: Deviations above the expected difference of wide fingerprints up to which pairs are verified on their shingles.
+ROOM = 4
+#: Sets of up to this many shingles differ in up to FEW_BITS of the bits at 0.8 (ties of their counts), by enumeration.
+FEW, FEW_BITS = 24, 0.19
 
 
 def bit_difference(similarity: float) -> float:
@@ -276,9 +280,21 @@ def plan_segments(rows: int, similarity: float) -> tuple[int, int, int]:
     return bits, count, max(WIDE_WORDS, 1 + math.ceil(bits * count / 64))
 
 
-def wide_fingerprint(text: bytes, shingle: int, words: int) -> np.ndarray:
-    """`words` 64-bit SimHash words of the text's set of shingles."""
-    h = np.unique(np.array(shingle_hashes(text, shingle), dtype="<u8"))
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted."""
+    return np.unique(np.array(shingle_hashes(text, shingle), dtype="<u8"))
+
+
+def set_name(h: np.ndarray) -> int:
+    """The 64 bits that name a set of shingle hashes, as a signed long; zero for the empty one."""
+    import xxhash
+
+    name = xxhash.xxh64_intdigest(h.tobytes(), SEED) if len(h) else 0
+    return name - (1 << 64) if name >> 63 else name
+
+
+def wide_fingerprint(h: np.ndarray, words: int) -> np.ndarray:
+    """`words` 64-bit SimHash words of a set of shingle hashes."""
     counts, mix = np.zeros(64 * words, np.int64), np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for at in range(0, len(h), 255):  # that many ones still fit a byte
         x = h[at : at + 255, None] + mix
@@ -289,28 +305,204 @@ def wide_fingerprint(text: bytes, shingle: int, words: int) -> np.ndarray:
     return np.packbits(2 * counts > len(h), bitorder="little").view("<u8")
 
 
+def _clouds(f, first=None):
+    """Components (places) of the texts whose first words f differ by at most FIRST_WORD bits, with a spanning forest.
+
+    Yields places and forest (two arrays of places); first: only pairs across this place count.
+    """
+    rest = np.arange(len(f))
+    while len(rest):
+        todo, rest = [int(rest[0])], rest[1:]
+        cloud, left, right = [*todo], [], []
+        while todo and len(rest):
+            i = todo.pop()
+            hit = np.bitwise_count(f[i] ^ f[rest]) <= FIRST_WORD
+            if first is not None:
+                hit &= (rest < first) != (i < first)
+            if hit.any():
+                met = rest[hit]
+                left.append(np.full(len(met), i))
+                right.append(met)
+                todo += met.tolist()
+                cloud += met.tolist()
+                rest = rest[~hit]
+        if left:
+            yield np.array(cloud), np.concatenate(left), np.concatenate(right)
+
+
+def _candidates(indexed: DataFrame) -> DataFrame:
+    """From indexed(key, name, word): a, b (names of pairs to verify), or f, g (binary: names of a large cloud's two sides).
+
+    Of runs of up to SMALL_RUN texts, and of clouds of that size in larger runs, every pair within FIRST_WORD comes. Of larger
+    clouds a spanning forest comes, and the cloud itself, whose other pairs `_within` finds once the forest has been verified.
+    """
+    rows = "a long, b long, key long, block int, f binary, g binary"
+
+    def batch_of(pairs, more):
+        import pyarrow as pa
+
+        a, b = (np.concatenate([np.zeros(0, np.int64), *[p[i] for p in pairs]]) for i in (0, 1))
+        n, m = len(a), len(more)
+        k, c, f, g = zip(*more) if more else ((), (), (), ())
+        none = [None]
+        columns = (none * n + list(k), pa.int64()), (none * n + list(c), pa.int32()), (none * n + list(f), pa.binary()), (none * n + list(g), pa.binary())
+        wide = [pa.array(x.tolist() + none * m, pa.int64()) for x in (a, b)]
+        return pa.RecordBatch.from_arrays([*wide, *[pa.array(*x) for x in columns]], names=["a", "b", "key", "block", "f", "g"])
+
+    def of_block(name, word, pairs, more, first=None):
+        for cloud, left, right in _clouds(word, first):
+            if len(cloud) <= SMALL_RUN:
+                x, y = (cloud[i] for i in np.triu_indices(len(cloud), 1))
+                ok = np.bitwise_count(word[x] ^ word[y]) <= FIRST_WORD
+                if first is not None:
+                    ok &= (x < first) != (y < first)
+                pairs.append((name[x[ok]], name[y[ok]]))
+            else:
+                pairs.append((name[left], name[right]))
+                cloud = np.sort(cloud)
+                f, g = (cloud, cloud) if first is None else (cloud[cloud < first], cloud[cloud >= first])
+                more.append((None, None, name[f].tobytes(), name[g].tobytes()))
+
+    def verify(batches):
+        """Runs of equal keys come sorted; the last run of a batch waits for the next, full blocks of it leave at once."""
+        k, n, w, cut = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), 0
+        for b in _then_end(batches):
+            if b is not None:
+                now = [b.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+                k, n, w = np.concatenate([k, now[0]]), np.concatenate([n, now[1]]), np.concatenate([w, now[2].view(np.uint64)])
+            change = np.flatnonzero(k[1:] != k[:-1]) + 1
+            end = len(k) if b is None else int(change[-1]) if len(change) else 0
+            starts = np.concatenate([[0], change[change < end]]).astype(int) if end else np.zeros(0, int)
+            sizes = np.diff(np.append(starts, end)) if end else starts
+            pairs, more = [], []
+            large = sizes > SMALL_RUN
+            if cut and end:
+                large[0] = True
+            at = np.flatnonzero(np.repeat(~large, sizes))
+            for shift in range(1, SMALL_RUN):
+                at = at[at + shift < end]
+                at = at[k[at] == k[at + shift]]
+                if not len(at):
+                    break
+                ok = at[np.bitwise_count(w[at] ^ w[at + shift]) <= FIRST_WORD]
+                pairs.append((n[ok], n[ok + shift]))
+            for r in np.flatnonzero(large):
+                lo, hi, block = starts[r], starts[r] + sizes[r], cut if r == 0 else 0
+                for i in range(lo, hi, RUN):
+                    j = min(i + RUN, hi)
+                    of_block(n[i:j], w[i:j], pairs, more)
+                    if block or hi - lo > RUN:
+                        more.append((int(k[lo]), block, n[i:j].tobytes(), w[i:j].tobytes()))
+                    block += 1
+            if end:
+                cut = 0
+            k, n, w = k[end:], n[end:], w[end:]
+            while len(k) >= 2 * RUN:
+                of_block(n[:RUN], w[:RUN], pairs, more)
+                more.append((int(k[0]), cut, n[:RUN].tobytes(), w[:RUN].tobytes()))
+                k, n, w, cut = k[RUN:], n[RUN:], w[RUN:], cut + 1
+            if more or any(len(p[0]) for p in pairs):
+                yield batch_of(pairs, more)
+
+    def across(batches):
+        for b in batches:
+            for r in range(b.num_rows):
+                f, g, x, y = (np.frombuffer(b.column(i)[r].as_py(), np.int64) for i in range(4))
+                pairs, more = [], []
+                of_block(np.concatenate([f, g]), np.concatenate([x, y]).view(np.uint64), pairs, more, len(f))
+                if more or any(len(p[0]) for p in pairs):
+                    yield batch_of(pairs, more)
+
+    met = cut_lineage(indexed.repartition("key").sortWithinPartitions("key").mapInArrow(verify, rows))
+    blocks = met.where("key IS NOT NULL").select("key", "block", "f", "g")
+    other = blocks.toDF("key", "block2", "f2", "g2")
+    pairs = blocks.join(other, "key").where("block < block2").select("f", "f2", "g", "g2")
+    return met.where("key IS NULL").unionByName(pairs.mapInArrow(across, rows)).select("a", "b", "f", "g")
+
+
+def _within(clouds: DataFrame, rooted: DataFrame, close) -> DataFrame:
+    """a, b: pairs of clouds(f, g) within the wide limit whose texts are in different components of rooted(name, root, n, wide).
+
+    What the forests have linked needs no other link, so a group of near copies under one root asks for nothing here.
+    """
+
+    def members(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for i in range(b.num_rows):
+                sides = [np.frombuffer(b.column(s)[i].as_py(), np.int64) for s in (1, 2)]
+                size = [len(s) for s in sides]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(sum(size), b.column(0)[i].as_py())), pa.array(np.repeat(np.arange(2, dtype=np.int32), size)), pa.array(np.concatenate(sides))],
+                    names=["cloud", "side", "name"],
+                )
+
+    def pairs_of(name, side, root, n, wide):
+        f, g = (np.flatnonzero(side == s) for s in (0, 1))
+        for i in f:
+            at = g[(name[g] > name[i]) & (root[g] != root[i])] if len(f) == len(g) and (name[f] == name[g]).all() else g[root[g] != root[i]]
+            ok = at[close(np.bitwise_count(wide[i] ^ wide[at]).sum(1, dtype=np.int64), np.minimum(n[i], n[at]), np.maximum(n[i], n[at]))]
+            if len(ok):
+                yield np.full(len(ok), name[i]), name[ok]
+
+    def run(batches):
+        import pyarrow as pa
+
+        held, now = [], None
+        for b in _then_end(batches):
+            columns = None if b is None else [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            cloud = np.zeros(0, np.int64) if b is None else columns[0]
+            ends = np.append(np.flatnonzero(cloud[1:] != cloud[:-1]) + 1, len(cloud))
+            done = [held] if b is None and held else []
+            at = 0
+            for end in ends if len(cloud) else ():
+                if now is not None and cloud[at] != now and held:
+                    done.append(held)
+                    held = []
+                now = cloud[at]
+                wide = np.frombuffer(b"".join(b.column(5).slice(at, end - at).to_pylist()), "<u8").reshape(end - at, -1)
+                held = held + [[*[c[at:end] for c in columns[1:]], wide]]
+                at = end
+            for parts in done:
+                side, name, root, n, wide = (np.concatenate([p[i] for p in parts]) for i in range(5))
+                order = np.lexsort((name, side))
+                for x, y in pairs_of(name[order], side[order], root[order], n[order], wide[order]):
+                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+
+    named = cut_lineage(clouds.distinct().withColumn("cloud", F.monotonically_increasing_id()))
+    each = cut_lineage(named.select("cloud", "f", "g").mapInArrow(members, "cloud long, side int, name long").join(rooted.select("name", "root"), "name"))
+    mixed = each.groupBy("cloud").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("cloud")
+    told = each.join(mixed, "cloud").join(rooted.select("name", "n", "wide"), "name").select("cloud", "side", "name", "root", "n", "wide")
+    return told.repartition("cloud").sortWithinPartitions("cloud").mapInArrow(run, "a long, b long")
+
+
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, fp, component_id: documents linked by a Jaccard similarity of their shingle sets of `similarity` or more.
 
     64 bits tell such pairs badly from others, so fingerprints are wide and cut into as many segments as let MEET of the
     pairs at the least similarity agree up to one bit in one of them. Of two values one bit apart one has an odd number of
     ones: every value is indexed as it is, odd ones under their one-bit variants too, which halves the index. Pairs that meet
-    are held against each other on the whole width; the limit lies one deviation (of a binomial share) above the expected
-    difference, so pairs within about 0.03 (two deviations) of `similarity` can fall either way. Runs of over SMALL_RUN texts give a spanning
-    forest of their pairs by the first word. Texts whose first words are equal count as one. Null, empty and blank texts share
-    the fingerprint zero; null ids count last; repeated rows give repeated results; an empty table gives no rows.
+    are held against each other on the whole width, with ROOM; that only spares work: each pair left is verified on the two
+    sets of shingle hashes, so no pair below `similarity` links. Large clouds of alike texts are linked by a verified forest first,
+    then by all pairs between what the forest left apart. fp names the set of shingles (64-bit hash); texts of one set count as
+    one. Null, empty and blank texts share the name zero; null ids count last; repeated rows give repeated results; an
+    empty table gives no rows.
     """
     bits, count, words = plan_segments(docs.count(), similarity)
-    p = bit_difference(similarity)
-    limit = int(64 * words * p + math.sqrt(64 * words * p * (1 - p)))
+    limit, loose = (int(64 * words * p + ROOM * math.sqrt(64 * words * p * (1 - p))) for p in (bit_difference(similarity), max(FEW_BITS, bit_difference(similarity))))
+
+    def close(apart, less, more):
+        """Whether pairs may be alike, by their wide fingerprints and sizes of sets."""
+        return (apart <= np.where(less <= FEW, loose, limit)) & (less >= similarity * more - 1e-9)
 
     def prints(batches):
         import pyarrow as pa
 
         for b in sliced(batches):
-            wide = [wide_fingerprint(t or b"", shingle, words) for t in b.column(1).cast(pa.binary()).to_pylist()]
-            fps = np.array([w[0] for w in wide], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fps), pa.array([w.tobytes() for w in wide], pa.binary())], names=["doc_id", "fp", "wide"])
+            sets = [shingle_set(t or b"", shingle) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            wide = pa.array([wide_fingerprint(h, words).tobytes() for h in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([set_name(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int32()), wide], names=["doc_id", "fp", "n", "wide"])
 
     def index(batches):
         import pyarrow as pa
@@ -321,32 +513,84 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
             fp = b.column(0).to_numpy(zero_copy_only=False)
             if not len(fp):
                 continue
-            wide = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(len(fp), -1)[:, 8 : 8 + used]
-            cut = np.unpackbits(wide, axis=1, bitorder="little")[:, : bits * count].reshape(len(fp), count, bits)
+            whole = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(len(fp), -1)
+            first = np.ascontiguousarray(whole[:, :8]).view(np.int64)[:, 0]
+            cut = np.unpackbits(whole[:, 8 : 8 + used], axis=1, bitorder="little")[:, : bits * count].reshape(len(fp), count, bits)
             value = (cut * flips).sum(2, dtype=np.uint64)
-            row, seg = (np.broadcast_to(x, value.shape).ravel() for x in (np.arange(len(fp))[:, None], np.arange(count, dtype=np.int32)))
+            row, seg = (np.broadcast_to(x, value.shape).ravel() for x in (np.arange(len(fp))[:, None], np.arange(count, dtype=np.uint64) << np.uint64(bits)))
             value = value.ravel()
             odd = np.flatnonzero(np.bitwise_count(value) & 1)
-            key = np.concatenate([value, (value[odd, None] ^ flips).ravel()]).view(np.int64)
-            names = np.concatenate([fp[row], np.repeat(fp[row[odd]], bits)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([seg, np.repeat(seg[odd], bits)])), pa.array(key), pa.array(names)], names=["variant", "key", "fp"])
+            key = np.concatenate([value | seg, ((value[odd, None] ^ flips) | seg[odd, None]).ravel()]).view(np.int64)
+            row = np.concatenate([row, np.repeat(row[odd], bits)])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[row]), pa.array(first[row])], names=["key", "name", "word"])
 
-    def close(batches):
+    def near(batches):
         import pyarrow as pa
 
         for b in batches:
             if b.num_rows:
                 x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), "<u8").reshape(b.num_rows, -1) for i in (2, 3))
-                ok = pa.array(np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= limit)
+                n, m = (b.column(i).to_numpy(zero_copy_only=False) for i in (4, 5))
+                ok = pa.array(close(np.bitwise_count(x ^ y).sum(1, dtype=np.int64), np.minimum(n, m), np.maximum(n, m)))
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
 
-    marked = written(to_python(docs, "doc_id", "text").mapInArrow(prints, "doc_id long, fp long, wide binary"))
-    nodes = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("wide").alias("wide")))
-    met = meet(nodes.select("fp", "wide").mapInArrow(index, "variant int, key long, fp long"), lambda x, y, _: np.bitwise_count(x ^ y) <= FIRST_WORD)
-    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-    side = lambda n, w: nodes.select(F.col("fp").alias(n), F.col("wide").alias(w))
-    linked = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(close, "a long, b long")
-    return _named(marked, nodes, linked)
+    marked = written(to_python(docs, "doc_id", "text").mapInArrow(prints, "doc_id long, fp long, n int, wide binary"))
+    nodes = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min("wide").alias("wide")))
+    met = cut_lineage(_candidates(nodes.select("fp", "wide").mapInArrow(index, "key long, name long, word long")))
+    pairs = met.where("a IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+    side = lambda i, w, n: nodes.select(F.col("fp").alias(i), F.col("wide").alias(w), F.col("n").alias(n))
+    told = pairs.join(side("a", "x", "n"), "a").join(side("b", "y", "m"), "b").select("a", "b", "x", "y", "n", "m")
+    linked = _verified(cut_lineage(told.mapInArrow(near, "a long, b long")), docs, shingle, similarity)
+    clouds = met.where("f IS NOT NULL").select("f", "g")
+    if clouds.head(1):
+        found = components(linked).withColumnRenamed("node", "fp")
+        rooted = cut_lineage(nodes.join(found, "fp", "left").select(F.col("fp").alias("name"), F.coalesce("root", "fp").alias("root"), "n", "wide"))
+        more = _within(clouds, rooted, close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        linked = linked.unionByName(_verified(cut_lineage(more), docs, shingle, similarity))
+    return _named(marked.select("doc_id", "fp"), nodes.select("fp", "least"), linked)
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of pairs(a, b) of set names whose sets of shingle hashes have this Jaccard similarity.
+
+    The texts are read again; only sets whose name is marked in a bitmap of the pairs' names are shuffled.
+    """
+    asked = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct())
+    size = 1 << max(15, (8 * asked.count()).bit_length())
+    place = F.pmod("name", F.lit(size))
+    marks = asked.groupBy(F.floor(place / F.lit(8)).alias("byte")).agg(F.bit_or(F.expr(f"shiftleft(1, cast(pmod(name, {size}) % 8 as int))")).alias("bits"))
+    bitmap = np.zeros(size // 8, np.uint8)
+    got = marks.toArrow()
+    bitmap[got.column(0).to_numpy()] = got.column(1).to_numpy()
+
+    def sets(batches):
+        import pyarrow as pa
+
+        for b in sliced(batches):
+            made = []
+            for t in b.column(0).cast(pa.binary()).to_pylist():
+                h = shingle_set(t or b"", shingle)
+                name = set_name(h)
+                if bitmap[name % size >> 3] >> (name % size & 7) & 1:
+                    made.append((name, h.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.binary())], names=["name", "grams"])
+
+    def alike(batches):
+        import pyarrow as pa
+
+        for b in sliced(batches):
+            ok = []
+            for x, y in zip(b.column(2), b.column(3)):
+                x, y = (np.frombuffer(v.as_buffer(), "<u8") for v in (x, y))
+                both = len(x) + len(y) - len(np.union1d(x, y))
+                ok.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            ok = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
+
+    held = written(to_python(docs, "text").mapInArrow(sets, "name long, grams binary").join(asked, "name", "left_semi").dropDuplicates(["name"]))
+    side = lambda i, g: held.select(F.col("name").alias(i), F.col("grams").alias(g))
+    told = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
+    return cut_lineage(told.mapInArrow(alike, "a long, b long"))
 
 
 def hexadecimal(fp):
