@@ -42,3 +42,19 @@ def test_near_copies_in_large_runs_of_loosely_alike_texts(spark, monkeypatch, ru
     want = brute_groups(rows)
     assert len(set(want.values())) == 160
     assert found(spark, rows) == want
+
+
+def test_near_copies_are_exact_at_the_limit(spark):
+    """Pairs at 0.76 to 0.84, short and long: those of 0.8 link, no other."""
+    r, rows = random.Random(6), []
+    for n in (8, 12, 24, 60, 150, 400):
+        for _ in range(60):
+            base = [f"w{r.randrange(10**6)}" for _ in range(n + 4)]
+            cut = max(1, round(n * r.uniform(0.08, 0.14)))
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(base[:-cut] + [f"v{r.randrange(10**6)}" for _ in range(cut)]))]
+    alike = brute_similarities(rows)
+    assert sum(0.78 <= j < 0.8 for j in alike.values()) > 10 and sum(0.8 <= j < 0.82 for j in alike.values()) > 10
+    got = found(spark, rows)
+    linked = {(2 * i, 2 * i + 1) for i in range(len(rows) // 2) if got[2 * i] == got[2 * i + 1]}
+    over = {p for p, j in alike.items() if j >= 0.8}
+    assert linked <= over and len(over - linked) <= 0.01 * len(over)
