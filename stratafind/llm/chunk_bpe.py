@@ -2,9 +2,13 @@
 
 A rolling hash over the last 16 bytes cuts a text where the hash hits a fixed pattern, so equal passages give equal chunks
 wherever they stand. A worker encodes a chunk once and keeps it in a bounded store; a later document with that chunk takes
-its ids from there. A chunk's ids are trusted only between its first and its last white space. At a join, the rest of both
-sides is encoded anew, the seam growing over chunks without white space until both its ends lie on white space; there the
-ids agree exactly with those of the whole text, since nothing in the tokenizer looks across white space.
+its ids from there. A chunk's ids are trusted only between its first and its last white space. Each join is repaired by
+encoding the words around it anew with the library: the words cut by the join, and one whole word of each side whose ids are
+known. If the new ids begin and end with the known ones, both sides agree and the middle is taken; else twice as many words
+of both sides are taken, until they agree or a side has no more, and then the text is encoded whole.
+
+Chunks are shared by the documents that a worker meets. Sharing them among workers would shuffle the texts themselves, which
+takes longer than encoding them (see the README for figures).
 
 Defined results: null text is the empty text (no ids, empty decoding); a text without white space is one seam; repeated rows
 give repeated results; an empty table gives no rows; other columns are ignored.
@@ -48,50 +52,72 @@ def cuts(data: bytes, mean: int = MEAN_CHUNK) -> list[int]:
 class ChunkEncoder:
     def __init__(self, path: str):
         self.words = encoder(path)
-        self.store: dict[bytes, tuple[bytes, bytes, bytes] | None] = {}
+        self.store: dict[bytes, tuple[bytes, list[bytes], bytes, bytes] | None] = {}
         self.held = 0
         self.reused = 0
         self.fresh = 0
+        self.widened = 0
 
-    def chunk(self, chunk: bytes) -> tuple[bytes, bytes, bytes] | None:
-        """Head up to the first white space, ids between, tail after the last; None without white space."""
+    def chunk(self, chunk: bytes) -> tuple[bytes, list[bytes], bytes, bytes] | None:
+        """Head up to the first white space, whole words, their ids, tail after the last one; None without white space."""
         if chunk in self.store:
             self.reused += 1
             return self.store[chunk]
         self.fresh += 1
         first = _SPACE.search(chunk)
-        if first is None:
-            entry, ids = None, b""
-        else:
+        entry, size = None, 0
+        if first is not None:
             last = max(chunk.rfind(c) for c in b" \t\n\r\x0b\x0c")
-            ids = self.words.encode(chunk[first.start() : last + 1])
-            entry = (chunk[: first.start()], ids, chunk[last + 1 :])
+            middle = chunk[first.start() : last + 1]
+            entry = (chunk[: first.start()], middle.split(), self.words.encode(middle), chunk[last + 1 :])
+            size = len(entry[2]) + 2 * len(middle)
         if self.held > STORE_BYTES:
             self.store.clear()
             self.held = 0
         self.store[chunk] = entry
-        self.held += 2 * len(chunk) + len(ids) + 300
+        self.held += 2 * len(chunk) + size + 300
         return entry
 
+    def joined(self, left: list[bytes], seam: bytes, right: list[bytes]) -> bytes | None:
+        """Ids of what a join has cut, from an encoding that agrees with the words on both sides; None if none does."""
+        n = 1
+        while True:
+            before, after = left[-n:], right[:n]
+            known = [self.words.encode(b" ".join(w)) for w in (before, after)]
+            made = self.words.library(b" ".join([*before, seam, *after]))
+            if len(made) >= len(known[0]) + len(known[1]) and made.startswith(known[0]) and made.endswith(known[1]):
+                return made[len(known[0]) : len(made) - len(known[1])]
+            self.widened += 1
+            if n >= max(len(left), len(right)):
+                return None
+            n *= 2
+
     def encode(self, data: bytes) -> bytes:
+        if not self.words.by_words:
+            return self.words.library(data)
         out: list[bytes] = []
-        seam, at = b"", 0
+        left, seam, at = [], [], 0
         for cut in [*cuts(data), len(data)]:
             if cut == at:
                 continue
             entry = self.chunk(data[at:cut])
             if entry is None:
-                seam += data[at:cut]
+                seam.append(data[at:cut])
             else:
-                head, ids, tail = entry
-                seam += head
-                if seam:
-                    out.append(self.words.encode(seam))
-                out.append(ids)
-                seam = tail
+                head, words, ids, tail = entry
+                between = b"".join([*seam, head])
+                # white space on both sides of the join leaves nothing cut
+                repaired = self.joined(left, between, words) if between else b""
+                if repaired is None:
+                    return self.words.library(data)
+                out += [repaired, ids]
+                left, seam = words or left[-1:], [tail]
             at = cut
-        if seam:
-            out.append(self.words.encode(seam))
+        if rest := b"".join(seam):
+            repaired = self.joined(left, rest, [])
+            if repaired is None:
+                return self.words.library(data)
+            out.append(repaired)
         return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:
