@@ -17,9 +17,11 @@ def components(edges: DataFrame) -> DataFrame:
     state = _state(e)
     while True:
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
-        large = both.join(least, "x").where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
-        lower = large.groupBy("u").agg(F.min("v").alias("m"))
+        # written first: both sides of the joins then come straight from a shuffle, and a hot node's side is split
+        least = cut_lineage(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m")))
+        large = both.join(least, "x").where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v"))
+        large = cut_lineage(large.distinct())
+        lower = cut_lineage(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut_lineage(small.unionByName(lower.select("u", F.col("m").alias("v"))).distinct())
         if (now := _state(e)) == state:

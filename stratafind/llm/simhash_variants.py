@@ -14,10 +14,12 @@ repeated rows give repeated results; an empty table gives no rows; other columns
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import cut_lineage, sliced, to_python, written
 from .components import components
@@ -228,11 +230,22 @@ def meet(indexed: DataFrame, accept) -> DataFrame:
 
     met = cut_lineage(indexed.repartition("variant", "key").sortWithinPartitions("variant", "key").mapInArrow(verify, rows))
     blocks = met.where("members IS NOT NULL").select("variant", "key", "block", "members")
-    other = blocks.select("variant", "key", F.col("block").alias("block2"), F.col("members").alias("members2"))
-    pairs = blocks.join(other, ["variant", "key"]).where("block < block2").select("variant", "members", "members2")
+    pairs = block_pairs(blocks, ["variant", "key"], ["members"]).select("variant", "members", "members2")
     return met.where("members IS NULL").select("a", "b").unionByName(pairs.mapInArrow(across, "a long, b long"))
 
 
+def block_pairs(blocks: DataFrame, keys: list[str], held: list[str]) -> DataFrame:
+    """Each two blocks of a key, with what they hold (the second's columns end in 2): a row of its own place for each pair.
+
+    The pairs are listed on their numbers alone; what the blocks hold joins them by block, and the pairs are dealt one by one.
+    """
+    numbers = blocks.select(*keys, "block")
+    listed = numbers.join(numbers.withColumnRenamed("block", "block2"), keys).where("block < block2")
+    second = blocks.select(*keys, F.col("block").alias("block2"), *[F.col(c).alias(c + "2") for c in held])
+    both = listed.join(blocks, [*keys, "block"]).join(second, [*keys, "block2"])
+    return both.repartition(*keys, "block", "block2")
+
+
 def _then_end(batches):
     yield from batches
     yield None
@@ -243,27 +256,36 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     marked = cut_lineage(fingerprints(docs, shingle))
     # distinct fingerprints: copies meet here, pre-aggregated, and are compared once
     nodes = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    return _named(marked, nodes, links(nodes, distance))
+    return _named(marked, nodes, components(links(nodes, distance)).withColumnRenamed("node", "fp"))
 
 
-def _named(marked: DataFrame, nodes: DataFrame, linked: DataFrame) -> DataFrame:
-    """marked(doc_id, fp) with the least document of each component of the links among nodes(fp, least)."""
-    found = components(linked).withColumnRenamed("node", "fp")
-    rooted = nodes.join(found, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+def _named(marked: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """marked(doc_id, fp) with the least document of each component; found(fp, root) has the fingerprints that have links.
+
+    Roots are joined after their minimum was written, so that both sides come straight from a shuffle and a common root or a
+    common fingerprint is split by the adaptive rule.
+    """
+    rooted = cut_lineage(nodes.join(found, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    least = cut_lineage(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
+    named = cut_lineage(rooted.join(least, "root").select("fp", "component_id"))
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 #: Of pairs at the least similarity, the share that meet under some key.
 MEET = 0.998
-#: 64-bit words of a wide fingerprint at least; its first word is compared in the runs, the others are indexed.
+#: 64-bit words of a wide fingerprint at least; all but the first are cut into segments.
 WIDE_WORDS = 32
-#: Pairs that meet and differ in more bits of the first word are not looked at further (3.4 deviations above the mean at 0.8).
-FIRST_WORD = 19
-#: Deviations above the expected difference of wide fingerprints up to which pairs are verified on their shingles.
-ROOM = 4
+#: Bits of a segment that are varied, one at a time: those decided by the fewest shingles.
+VARIED = 4
 #: Sets of up to this many shingles differ in up to FEW_BITS of the bits at 0.8 (ties of their counts), by enumeration.
 FEW, FEW_BITS = 24, 0.19
+#: Words that go with an index entry; pairs that meet and differ there by 4 deviations above FEW_BITS are chance.
+NARROW_WORDS = 2
+NARROW = int(64 * NARROW_WORDS * FEW_BITS + 4 * math.sqrt(64 * NARROW_WORDS * FEW_BITS * (1 - FEW_BITS)))
+#: Deviations above the expected difference of wide fingerprints up to which pairs are verified on their shingles.
+ROOM = 4
+#: Pairs that each group puts forward in the first round, its nearest ones; four times as many in each further round.
+NEAREST = 2
 
 
 def bit_difference(similarity: float) -> float:
@@ -271,12 +293,24 @@ def bit_difference(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
+@functools.cache
+def segment_share(bits: int, similarity: float, shingles: int = 60, trials: int = 4000) -> float:
+    """Share of pairs of sets of `shingles` at this similarity that share a key of a segment, from drawn bit counts."""
+    r, both = np.random.default_rng(bits), round(2 * similarity * shingles / (1 + similarity))
+    common = 2 * r.binomial(both, 0.5, (trials, bits)) - both
+    a, b = (common + 2 * r.binomial(shingles - both, 0.5, (trials, bits)) - (shingles - both) for _ in "ab")
+    keys = []
+    for c in (a, b):
+        value = ((c > 0) << np.arange(bits)).sum(1)
+        least = np.argsort(np.abs(c), axis=1, kind="stable")[:, :VARIED]
+        keys.append(np.concatenate([value[:, None], value[:, None] ^ 1 << least], 1))
+    return float((keys[0][:, :, None] == keys[1][:, None, :]).any((1, 2)).mean())
+
+
 def plan_segments(rows: int, similarity: float) -> tuple[int, int, int]:
     """Bits of a segment, segments, words: keys stay about as many as rows / 4, segments reach MEET at any count."""
-    bits, p = max(20, math.ceil(math.log2(max(2, rows))) - 2), bit_difference(similarity)
-    # equal, one bit apart, or two bits apart and both odd
-    q = (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1) + 0.5 * math.comb(bits, 2) * p * p * (1 - p) ** (bits - 2)
-    count = math.ceil(math.log(1 - MEET) / math.log(1 - q))
+    bits = max(20, math.ceil(math.log2(max(2, rows))) - 2)
+    count = math.ceil(math.log(1 - MEET) / math.log(1 - segment_share(bits, similarity)))
     return bits, count, max(WIDE_WORDS, 1 + math.ceil(bits * count / 64))
 
 
@@ -293,8 +327,8 @@ def set_name(h: np.ndarray) -> int:
     return name - (1 << 64) if name >> 63 else name
 
 
-def wide_fingerprint(h: np.ndarray, words: int) -> np.ndarray:
-    """`words` 64-bit SimHash words of a set of shingle hashes."""
+def bit_counts(h: np.ndarray, words: int) -> np.ndarray:
+    """Of a set of shingle hashes, how many have each of 64 * words bits, mixed from the hash."""
     counts, mix = np.zeros(64 * words, np.int64), np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for at in range(0, len(h), 255):  # that many ones still fit a byte
         x = h[at : at + 255, None] + mix
@@ -302,39 +336,43 @@ def wide_fingerprint(h: np.ndarray, words: int) -> np.ndarray:
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         x ^= x >> np.uint64(31)
         counts += np.unpackbits(x.astype("<u8").view(np.uint8).reshape(len(x), -1), axis=1, bitorder="little").sum(0, dtype=np.uint8)
-    return np.packbits(2 * counts > len(h), bitorder="little").view("<u8")
+    return counts
 
 
-def _clouds(f, first=None):
-    """Components (places) of the texts whose first words f differ by at most FIRST_WORD bits, with a spanning forest.
+def wide_fingerprint(h: np.ndarray, words: int, bits: int, count: int) -> tuple[bytes, bytes]:
+    """`words` 64-bit SimHash words of a set of shingle hashes, and the VARIED least certain bits of each of `count` segments."""
+    counts = bit_counts(h, words)
+    margin = np.abs(2 * counts[64 : 64 + bits * count] - len(h)).reshape(count, bits)
+    least = np.argsort(margin, axis=1, kind="stable")[:, :VARIED].astype(np.uint8)
+    return np.packbits(2 * counts > len(h), bitorder="little").tobytes(), least.tobytes()
 
-    Yields places and forest (two arrays of places); first: only pairs across this place count.
-    """
-    rest = np.arange(len(f))
+
+def _clouds(words, first=None):
+    """Components (places) of two texts or more whose narrow words differ by at most NARROW bits; first: only pairs across
+    this place count."""
+    rest = np.arange(len(words))
     while len(rest):
         todo, rest = [int(rest[0])], rest[1:]
-        cloud, left, right = [*todo], [], []
+        cloud = [*todo]
         while todo and len(rest):
             i = todo.pop()
-            hit = np.bitwise_count(f[i] ^ f[rest]) <= FIRST_WORD
+            hit = np.bitwise_count(words[i] ^ words[rest]).sum(1, dtype=np.int64) <= NARROW
             if first is not None:
                 hit &= (rest < first) != (i < first)
             if hit.any():
-                met = rest[hit]
-                left.append(np.full(len(met), i))
-                right.append(met)
-                todo += met.tolist()
-                cloud += met.tolist()
+                met = rest[hit].tolist()
+                todo += met
+                cloud += met
                 rest = rest[~hit]
-        if left:
-            yield np.array(cloud), np.concatenate(left), np.concatenate(right)
+        if len(cloud) > 1:
+            yield np.sort(np.array(cloud))
 
 
 def _candidates(indexed: DataFrame) -> DataFrame:
-    """From indexed(key, name, word): a, b (names of pairs to verify), or f, g (binary: names of a large cloud's two sides).
+    """From indexed(key, name, w0, w1): a, b (names of pairs to look at), or f, g (binary: names of a large cloud's one or two sides).
 
-    Of runs of up to SMALL_RUN texts, and of clouds of that size in larger runs, every pair within FIRST_WORD comes. Of larger
-    clouds a spanning forest comes, and the cloud itself, whose other pairs `_within` finds once the forest has been verified.
+    Of runs of up to SMALL_RUN texts, and of clouds of that size in larger runs, every pair within NARROW comes; larger clouds
+    come as they are. Runs of more than RUN texts are cut into blocks, which meet each other as tasks of their own.
     """
     rows = "a long, b long, key long, block int, f binary, g binary"
 
@@ -349,27 +387,26 @@ def _candidates(indexed: DataFrame) -> DataFrame:
         wide = [pa.array(x.tolist() + none * m, pa.int64()) for x in (a, b)]
         return pa.RecordBatch.from_arrays([*wide, *[pa.array(*x) for x in columns]], names=["a", "b", "key", "block", "f", "g"])
 
-    def of_block(name, word, pairs, more, first=None):
-        for cloud, left, right in _clouds(word, first):
+    def of_block(name, words, pairs, more, first=None):
+        for cloud in _clouds(words, first):
             if len(cloud) <= SMALL_RUN:
                 x, y = (cloud[i] for i in np.triu_indices(len(cloud), 1))
-                ok = np.bitwise_count(word[x] ^ word[y]) <= FIRST_WORD
+                ok = np.bitwise_count(words[x] ^ words[y]).sum(1, dtype=np.int64) <= NARROW
                 if first is not None:
                     ok &= (x < first) != (y < first)
                 pairs.append((name[x[ok]], name[y[ok]]))
+            elif first is None:
+                more.append((None, None, name[cloud].tobytes(), None))
             else:
-                pairs.append((name[left], name[right]))
-                cloud = np.sort(cloud)
-                f, g = (cloud, cloud) if first is None else (cloud[cloud < first], cloud[cloud >= first])
-                more.append((None, None, name[f].tobytes(), name[g].tobytes()))
+                more.append((None, None, name[cloud[cloud < first]].tobytes(), name[cloud[cloud >= first]].tobytes()))
 
     def verify(batches):
         """Runs of equal keys come sorted; the last run of a batch waits for the next, full blocks of it leave at once."""
-        k, n, w, cut = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), 0
+        k, n, w, cut = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, NARROW_WORDS), np.uint64), 0
         for b in _then_end(batches):
             if b is not None:
-                now = [b.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-                k, n, w = np.concatenate([k, now[0]]), np.concatenate([n, now[1]]), np.concatenate([w, now[2].view(np.uint64)])
+                now = [b.column(i).to_numpy(zero_copy_only=False) for i in range(2 + NARROW_WORDS)]
+                k, n, w = np.concatenate([k, now[0]]), np.concatenate([n, now[1]]), np.concatenate([w, np.stack(now[2:], 1).view(np.uint64)])
             change = np.flatnonzero(k[1:] != k[:-1]) + 1
             end = len(k) if b is None else int(change[-1]) if len(change) else 0
             starts = np.concatenate([[0], change[change < end]]).astype(int) if end else np.zeros(0, int)
@@ -384,7 +421,7 @@ def _candidates(indexed: DataFrame) -> DataFrame:
                 at = at[k[at] == k[at + shift]]
                 if not len(at):
                     break
-                ok = at[np.bitwise_count(w[at] ^ w[at + shift]) <= FIRST_WORD]
+                ok = at[np.bitwise_count(w[at] ^ w[at + shift]).sum(1, dtype=np.int64) <= NARROW]
                 pairs.append((n[ok], n[ok + shift]))
             for r in np.flatnonzero(large):
                 lo, hi, block = starts[r], starts[r] + sizes[r], cut if r == 0 else 0
@@ -409,85 +446,101 @@ def _candidates(indexed: DataFrame) -> DataFrame:
             for r in range(b.num_rows):
                 f, g, x, y = (np.frombuffer(b.column(i)[r].as_py(), np.int64) for i in range(4))
                 pairs, more = [], []
-                of_block(np.concatenate([f, g]), np.concatenate([x, y]).view(np.uint64), pairs, more, len(f))
+                of_block(np.concatenate([f, g]), np.concatenate([x, y]).view(np.uint64).reshape(-1, NARROW_WORDS), pairs, more, len(f))
                 if more or any(len(p[0]) for p in pairs):
                     yield batch_of(pairs, more)
 
     met = cut_lineage(indexed.repartition("key").sortWithinPartitions("key").mapInArrow(verify, rows))
     blocks = met.where("key IS NOT NULL").select("key", "block", "f", "g")
-    other = blocks.toDF("key", "block2", "f2", "g2")
-    pairs = blocks.join(other, "key").where("block < block2").select("f", "f2", "g", "g2")
+    pairs = block_pairs(blocks, ["key"], ["f", "g"]).select("f", "f2", "g", "g2")
     return met.where("key IS NULL").unionByName(pairs.mapInArrow(across, rows)).select("a", "b", "f", "g")
 
 
-def _within(clouds: DataFrame, rooted: DataFrame, close) -> DataFrame:
-    """a, b: pairs of clouds(f, g) within the wide limit whose texts are in different components of rooted(name, root, n, wide).
-
-    What the forests have linked needs no other link, so a group of near copies under one root asks for nothing here.
-    """
+def _members(clouds: DataFrame) -> DataFrame:
+    """cloud, side, name of clouds(f, g)."""
 
-    def members(batches):
+    def run(batches):
         import pyarrow as pa
 
         for b in batches:
             for i in range(b.num_rows):
-                sides = [np.frombuffer(b.column(s)[i].as_py(), np.int64) for s in (1, 2)]
+                sides = [np.frombuffer(b.column(s)[i].as_py() or b"", np.int64) for s in (1, 2)]
                 size = [len(s) for s in sides]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(sum(size), b.column(0)[i].as_py())), pa.array(np.repeat(np.arange(2, dtype=np.int32), size)), pa.array(np.concatenate(sides))],
                     names=["cloud", "side", "name"],
                 )
 
-    def pairs_of(name, side, root, n, wide):
-        f, g = (np.flatnonzero(side == s) for s in (0, 1))
-        for i in f:
-            at = g[(name[g] > name[i]) & (root[g] != root[i])] if len(f) == len(g) and (name[f] == name[g]).all() else g[root[g] != root[i]]
-            ok = at[close(np.bitwise_count(wide[i] ^ wide[at]).sum(1, dtype=np.int64), np.minimum(n[i], n[at]), np.maximum(n[i], n[at]))]
-            if len(ok):
-                yield np.full(len(ok), name[i]), name[ok]
+    named = cut_lineage(clouds.distinct().withColumn("cloud", F.monotonically_increasing_id()))
+    return cut_lineage(named.select("cloud", "f", "g").mapInArrow(run, "cloud long, side int, name long"))
+
+
+def _put_forward(members: DataFrame, rooted: DataFrame, close, top: int) -> DataFrame:
+    """a, b, apart, ra, rb: in each cloud, for each group (root), its `top` nearest texts of other groups within the wide limit."""
+
+    def pairs_of(side, name, root, n, wide):
+        two = side.any()
+        f, g = np.flatnonzero(side == 0), np.flatnonzero(side == 1) if two else np.arange(len(side))
+        kept = []
+        for ones, others in ((f, g), (g, f))[: 1 + two]:
+            for i in ones:
+                at = others[root[others] != root[i]]
+                apart = np.bitwise_count(wide[i] ^ wide[at]).sum(1, dtype=np.int64)
+                ok = np.flatnonzero(close(apart, np.minimum(n[i], n[at]), np.maximum(n[i], n[at])))
+                ok = ok[np.lexsort((name[at[ok]], apart[ok]))][:top]
+                kept.append(np.stack([np.full(len(ok), i), at[ok], apart[ok]], 1))
+        e = np.concatenate(kept) if kept else np.zeros((0, 3), np.int64)
+        e = np.unique(np.column_stack([e[:, :2].min(1), e[:, :2].max(1), e[:, 2]]), axis=0)
+        # of each group the nearest ones, whichever end is its own
+        ends, number = np.concatenate([root[e[:, 0]], root[e[:, 1]]]), np.tile(np.arange(len(e)), 2)
+        order = np.lexsort((number, e[number, 2], ends))
+        ends, number = ends[order], number[order]
+        first = np.searchsorted(ends, ends, "left")
+        e = e[np.unique(number[np.arange(len(ends)) - first < top])]
+        return name[e[:, 0]], name[e[:, 1]], e[:, 2], root[e[:, 0]], root[e[:, 1]]
 
     def run(batches):
         import pyarrow as pa
 
+        def answer(parts):
+            side, name, root, n, wide = (np.concatenate([p[i] for p in parts]) for i in range(5))
+            order = np.lexsort((name, side))
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pairs_of(side[order], name[order], root[order], n[order], wide[order])], names=["a", "b", "apart", "ra", "rb"])
+
         held, now = [], None
-        for b in _then_end(batches):
-            columns = None if b is None else [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-            cloud = np.zeros(0, np.int64) if b is None else columns[0]
-            ends = np.append(np.flatnonzero(cloud[1:] != cloud[:-1]) + 1, len(cloud))
-            done = [held] if b is None and held else []
-            at = 0
-            for end in ends if len(cloud) else ():
-                if now is not None and cloud[at] != now and held:
-                    done.append(held)
+        for b in batches:
+            columns = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            cloud, at = columns[0], 0
+            for end in np.append(np.flatnonzero(cloud[1:] != cloud[:-1]) + 1, len(cloud)) if len(cloud) else ():
+                if held and cloud[at] != now:
+                    yield answer(held)
                     held = []
                 now = cloud[at]
                 wide = np.frombuffer(b"".join(b.column(5).slice(at, end - at).to_pylist()), "<u8").reshape(end - at, -1)
-                held = held + [[*[c[at:end] for c in columns[1:]], wide]]
+                held.append([*[c[at:end] for c in columns[1:]], wide])
                 at = end
-            for parts in done:
-                side, name, root, n, wide = (np.concatenate([p[i] for p in parts]) for i in range(5))
-                order = np.lexsort((name, side))
-                for x, y in pairs_of(name[order], side[order], root[order], n[order], wide[order]):
-                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+        if held:
+            yield answer(held)
 
-    named = cut_lineage(clouds.distinct().withColumn("cloud", F.monotonically_increasing_id()))
-    each = cut_lineage(named.select("cloud", "f", "g").mapInArrow(members, "cloud long, side int, name long").join(rooted.select("name", "root"), "name"))
+    each = cut_lineage(members.join(rooted, "name"))
     mixed = each.groupBy("cloud").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("cloud")
-    told = each.join(mixed, "cloud").join(rooted.select("name", "n", "wide"), "name").select("cloud", "side", "name", "root", "n", "wide")
-    return told.repartition("cloud").sortWithinPartitions("cloud").mapInArrow(run, "a long, b long")
+    told = each.join(mixed, "cloud").select("cloud", "side", "name", "root", "n", "wide")
+    return told.repartition("cloud").sortWithinPartitions("cloud").mapInArrow(run, "a long, b long, apart long, ra long, rb long")
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, fp, component_id: documents linked by a Jaccard similarity of their shingle sets of `similarity` or more.
 
     64 bits tell such pairs badly from others, so fingerprints are wide and cut into as many segments as let MEET of the
-    pairs at the least similarity agree up to one bit in one of them. Of two values one bit apart one has an odd number of
-    ones: every value is indexed as it is, odd ones under their one-bit variants too, which halves the index. Pairs that meet
-    are held against each other on the whole width, with ROOM; that only spares work: each pair left is verified on the two
-    sets of shingle hashes, so no pair below `similarity` links. Large clouds of alike texts are linked by a verified forest first,
-    then by all pairs between what the forest left apart. fp names the set of shingles (64-bit hash); texts of one set count as
-    one. Null, empty and blank texts share the name zero; null ids count last; repeated rows give repeated results; an
-    empty table gives no rows.
+    pairs at the least similarity share a key: a segment's value, or a variant with one of its least certain bits changed.
+    Pairs that meet are held against each other on the whole width, with ROOM; that only spares work: each link is verified on
+    the two sets of shingle hashes, so no pair below `similarity` links.
+    Groups grow in rounds: each puts its nearest pairs with other groups forward, those are verified, and the groups they join
+    become one; four times as many in each round. So a group of n copies asks for a few times n verifications and not for its
+    pairs. From the third round on all pairs of small clouds are verified; of clouds of more than SMALL_RUN texts the rounds go
+    on until one of them links nothing.
+    fp names the set of shingles (64-bit hash); texts of one set count as one. Null, empty and blank texts share the name zero;
+    null ids count last; repeated rows give repeated results; an empty table gives no rows.
     """
     bits, count, words = plan_segments(docs.count(), similarity)
     limit, loose = (int(64 * words * p + ROOM * math.sqrt(64 * words * p * (1 - p))) for p in (bit_difference(similarity), max(FEW_BITS, bit_difference(similarity))))
@@ -501,8 +554,11 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
 
         for b in sliced(batches):
             sets = [shingle_set(t or b"", shingle) for t in b.column(1).cast(pa.binary()).to_pylist()]
-            wide = pa.array([wide_fingerprint(h, words).tobytes() for h in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([set_name(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int32()), wide], names=["doc_id", "fp", "n", "wide"])
+            made = [wide_fingerprint(h, words, bits, count) for h in sets]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).cast(pa.int64()), pa.array([set_name(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int32()), *[pa.array([m[i] for m in made], pa.binary()) for i in (0, 1)]],
+                names=["doc_id", "fp", "n", "wide", "least_sure"],
+            )
 
     def index(batches):
         import pyarrow as pa
@@ -514,15 +570,13 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
             if not len(fp):
                 continue
             whole = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(len(fp), -1)
-            first = np.ascontiguousarray(whole[:, :8]).view(np.int64)[:, 0]
+            least = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(len(fp), count, VARIED)
+            narrow = np.ascontiguousarray(whole[:, : 8 * NARROW_WORDS]).view(np.int64)
             cut = np.unpackbits(whole[:, 8 : 8 + used], axis=1, bitorder="little")[:, : bits * count].reshape(len(fp), count, bits)
-            value = (cut * flips).sum(2, dtype=np.uint64)
-            row, seg = (np.broadcast_to(x, value.shape).ravel() for x in (np.arange(len(fp))[:, None], np.arange(count, dtype=np.uint64) << np.uint64(bits)))
-            value = value.ravel()
-            odd = np.flatnonzero(np.bitwise_count(value) & 1)
-            key = np.concatenate([value | seg, ((value[odd, None] ^ flips) | seg[odd, None]).ravel()]).view(np.int64)
-            row = np.concatenate([row, np.repeat(row[odd], bits)])
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[row]), pa.array(first[row])], names=["key", "name", "word"])
+            value = (cut * flips).sum(2, dtype=np.uint64) | np.arange(count, dtype=np.uint64) << np.uint64(bits)
+            key = np.concatenate([value[:, :, None], value[:, :, None] ^ flips[least]], 2).view(np.int64).reshape(len(fp), -1)
+            row = np.repeat(np.arange(len(fp)), key.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(fp[row]), *[pa.array(narrow[row, i]) for i in range(NARROW_WORDS)]], names=["key", "name", *(f"w{i}" for i in range(NARROW_WORDS))])
 
     def near(batches):
         import pyarrow as pa
@@ -531,49 +585,84 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
             if b.num_rows:
                 x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), "<u8").reshape(b.num_rows, -1) for i in (2, 3))
                 n, m = (b.column(i).to_numpy(zero_copy_only=False) for i in (4, 5))
-                ok = pa.array(close(np.bitwise_count(x ^ y).sum(1, dtype=np.int64), np.minimum(n, m), np.maximum(n, m)))
-                yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
-
-    marked = written(to_python(docs, "doc_id", "text").mapInArrow(prints, "doc_id long, fp long, n int, wide binary"))
-    nodes = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min("wide").alias("wide")))
-    met = cut_lineage(_candidates(nodes.select("fp", "wide").mapInArrow(index, "key long, name long, word long")))
+                apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+                ok = pa.array(close(apart, np.minimum(n, m), np.maximum(n, m)))
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok), pa.array(apart).filter(ok)], names=["a", "b", "apart"])
+
+    marked = written(to_python(docs, "doc_id", "text").mapInArrow(prints, "doc_id long, fp long, n int, wide binary, least_sure binary"))
+    nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min("wide").alias("wide"), F.min("least_sure").alias("least_sure")))
+    indexed = nodes.select("fp", "wide", "least_sure").mapInArrow(index, "key long, name long, " + ", ".join(f"w{i} long" for i in range(NARROW_WORDS)))
+    met = cut_lineage(_candidates(indexed))
     pairs = met.where("a IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
     side = lambda i, w, n: nodes.select(F.col("fp").alias(i), F.col("wide").alias(w), F.col("n").alias(n))
     told = pairs.join(side("a", "x", "n"), "a").join(side("b", "y", "m"), "b").select("a", "b", "x", "y", "n", "m")
-    linked = _verified(cut_lineage(told.mapInArrow(near, "a long, b long")), docs, shingle, similarity)
+    pairs = cut_lineage(told.mapInArrow(near, "a long, b long, apart long"))
     clouds = met.where("f IS NOT NULL").select("f", "g")
-    if clouds.head(1):
-        found = components(linked).withColumnRenamed("node", "fp")
-        rooted = cut_lineage(nodes.join(found, "fp", "left").select(F.col("fp").alias("name"), F.coalesce("root", "fp").alias("root"), "n", "wide"))
-        more = _within(clouds, rooted, close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        linked = linked.unionByName(_verified(cut_lineage(more), docs, shingle, similarity))
-    return _named(marked.select("doc_id", "fp"), nodes.select("fp", "least"), linked)
+    members = _members(clouds) if clouds.head(1) else None
+    return _named(marked.select("doc_id", "fp"), nodes.select("fp", "least"), _grown(pairs, members, nodes, docs, shingle, similarity, close))
+
+
+def _grown(pairs: DataFrame, members: DataFrame | None, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float, close) -> DataFrame:
+    """fp, root of the texts that have a verified link, from pairs(a, b, apart) and the clouds' members, round by round."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("name"))
+    if members is not None:
+        asked = asked.unionByName(members.select("name"))
+    asked = cut_lineage(asked.distinct().join(nodes.select(F.col("fp").alias("name"), "least", "n", "wide"), "name"))
+    held = _sets(docs, asked.select("name", "least"), shingle)
+    roots, tested = cut_lineage(asked.select("name", F.col("name").alias("root"))), None
+    for turn in itertools.count():
+        top, whole = NEAREST * 4**turn, turn >= 2
+        of = lambda name, root: roots.select(F.col("name").alias(name), F.col("root").alias(root))
+        open_ = pairs.join(of("a", "ra"), "a").join(of("b", "rb"), "b").where("ra <> rb").select("a", "b", "apart", "ra", "rb")
+        from_clouds = None
+        if members is not None:
+            given = roots.join(asked.select("name", "n", "wide"), "name")
+            from_clouds = _put_forward(members, given, close, top)
+            from_clouds = from_clouds.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "apart", F.when(F.col("a") < F.col("b"), F.col("ra")).otherwise(F.col("rb")).alias("ra"), F.when(F.col("a") < F.col("b"), F.col("rb")).otherwise(F.col("ra")).alias("rb")).distinct()
+        new = open_ if from_clouds is None or whole else open_.unionByName(from_clouds).distinct()
+        if whole:
+            ranked = None if from_clouds is None else from_clouds
+        else:
+            ranked, new = new, None
+        if tested is not None:
+            ranked, new = (None if x is None else x.join(tested, ["a", "b"], "left_anti") for x in (ranked, new))
+        if ranked is not None:
+            ends = ranked.select(F.explode(F.array(F.struct(F.col("ra").alias("root"), "apart", "a", "b"), F.struct(F.col("rb").alias("root"), "apart", "a", "b"))).alias("e")).select("e.*")
+            best = ends.withColumn("place", F.row_number().over(Window.partitionBy("root").orderBy("apart", "a", "b"))).where(F.col("place") <= top).select("a", "b")
+            new = best if new is None else best.unionByName(new.select("a", "b"))
+        new = cut_lineage(new.select("a", "b").distinct())
+        if not new.head(1):
+            break
+        linked = _verified(new, held, similarity)
+        if linked.head(1):
+            joined = linked.join(of("a", "ra"), "a").join(of("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+            merged = cut_lineage(components(joined).select(F.col("node").alias("root"), F.col("root").alias("now")))
+            roots = cut_lineage(roots.join(merged, "root", "left").select("name", F.coalesce("now", "root").alias("root")))
+        elif whole:
+            break
+        tested = new if tested is None else cut_lineage(tested.unionByName(new))
+    return roots.select(F.col("name").alias("fp"), "root")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those of pairs(a, b) of set names whose sets of shingle hashes have this Jaccard similarity.
+def _sets(docs: DataFrame, asked: DataFrame, shingle: int) -> DataFrame:
+    """name, grams (binary: the sorted shingle hashes) of asked(name, least), from the texts of their least documents."""
 
-    The texts are read again; only sets whose name is marked in a bitmap of the pairs' names are shuffled.
-    """
-    asked = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct())
-    size = 1 << max(15, (8 * asked.count()).bit_length())
-    place = F.pmod("name", F.lit(size))
-    marks = asked.groupBy(F.floor(place / F.lit(8)).alias("byte")).agg(F.bit_or(F.expr(f"shiftleft(1, cast(pmod(name, {size}) % 8 as int))")).alias("bits"))
-    bitmap = np.zeros(size // 8, np.uint8)
-    got = marks.toArrow()
-    bitmap[got.column(0).to_numpy()] = got.column(1).to_numpy()
-
-    def sets(batches):
+    def run(batches):
         import pyarrow as pa
 
         for b in sliced(batches):
-            made = []
-            for t in b.column(0).cast(pa.binary()).to_pylist():
-                h = shingle_set(t or b"", shingle)
-                name = set_name(h)
-                if bitmap[name % size >> 3] >> (name % size & 7) & 1:
-                    made.append((name, h.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.binary())], names=["name", "grams"])
+            sets = [shingle_set(t or b"", shingle) for t in b.column(0).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([set_name(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], names=["name", "grams"])
+
+    texts = to_python(docs, "doc_id", "text")
+    ids = asked.select("least").distinct()
+    wanted = texts.join(ids, texts["doc_id"].eqNullSafe(ids["least"]), "left_semi").select("text")
+    made = wanted.mapInArrow(run, "name long, grams binary").join(asked.select("name"), "name", "left_semi")
+    return written(made.dropDuplicates(["name"]))
+
+
+def _verified(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """Those of pairs(a, b) of set names whose sets of shingle hashes have this Jaccard similarity."""
 
     def alike(batches):
         import pyarrow as pa
@@ -587,7 +676,6 @@ def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float
             ok = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
 
-    held = written(to_python(docs, "text").mapInArrow(sets, "name long, grams binary").join(asked, "name", "left_semi").dropDuplicates(["name"]))
     side = lambda i, g: held.select(F.col("name").alias(i), F.col("grams").alias(g))
     told = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
     return cut_lineage(told.mapInArrow(alike, "a long, b long"))
