@@ -110,21 +110,31 @@ def brute_base(text):
     return sorted(spans)
 
 
+def brute_hot(w):
+    """Whether a window of 20 characters is random for its class."""
+    digits, lower, upper = (sum(c in s for c in w) for s in ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+    others = 20 - digits - lower - upper
+    h = -sum(n / 20 * np.log2(n / 20) for n in Counter(w).values()) + 1e-9
+    return (
+        (bool(re.fullmatch("[0-9a-f]+|[0-9A-F]+", w)) and digits and digits < 20 and h >= 3.0)
+        or (digits and lower and upper and h >= 3.6)
+        or (not others and digits >= 2 and (lower >= 2 and not upper or upper >= 2 and not lower) and h >= 3.6)
+    )
+
+
 def brute_added(text, base):
+    """What base spans leave of the text, searched for runs with hot windows."""
+    rest = list(text)
+    for start, _, _, end in base:
+        rest[start:end] = " " * (end - start)
     out = []
-    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", "".join(rest)):
         s = m[0]
-        hexa = bool(re.fullmatch("[0-9a-f]+|[0-9A-F]+", s))
-        fits = re.search("[0-9]", s) and (re.search("[a-fA-F]", s) if hexa else re.search("[a-z]", s) and re.search("[A-Z]", s))
-        if not fits or any(re.search(p, s) for p in secret_entropy.ALLOW) or any(b[0] < m.end() and m.start() < b[3] for b in base):
+        if any(re.search(p, s) for p in secret_entropy.ALLOW):
             continue
-        hot = []
-        for i in range(len(s) - 19):
-            c = Counter(s[i : i + 20])
-            h = -sum(n / 20 * np.log2(n / 20) for n in c.values())
-            if h >= (3.0 if hexa else 3.6) - 1e-9:
-                hot.append(i)
+        hot = [i for i in range(len(s) - 19) if brute_hot(s[i : i + 20])]
         if hot:
+            hexa = bool(re.fullmatch("[0-9a-f]+|[0-9A-F]+", s))
             out.append((m.start() + hot[0], 3 if hexa else 4, "entropy_hex" if hexa else "entropy_token", m.start() + hot[-1] + 20))
     return out
 
