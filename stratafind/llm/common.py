@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import math
 import tempfile
@@ -15,10 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The shared folder the cluster names in spark.checkpoint.dir. Only a local master, as in tests, gets one of our own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint"))
     return sc.getCheckpointDir()
 
 
@@ -28,13 +32,35 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_written: list[str] = []
+
+
 def written(df: DataFrame) -> DataFrame:
     """Like cut_lineage, but as a compressed Parquet table: for wide or long intermediates."""
     path = f"{checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a table from the shared folder, whatever file system it is on."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def released(spark: SparkSession):
+    """Tables that operators write inside are removed at the end; what was built on them must have been stored by then."""
+    mark = len(_written)
+    try:
+        yield
+    finally:
+        for path in _written[mark:]:
+            delete(spark, path)
+        del _written[mark:]
+
+
 def groups_for(rows: int, size: int) -> int:
     """Groups of at most about `size` rows."""
     return max(1, math.ceil(rows / size))

@@ -9,13 +9,19 @@ until the next bound is below the k-th best score: then nothing left can enter,
 Candidates are dealt into groups of bounded size, queries into blocks; each group holds its pivot table and meets every
 block, and the k best of the groups are merged by a ranking window with a limit per group. Nothing is collected.
 
-Defined results: vectors that are null, or hold a null or a non-finite component, take no part, nor do rows without id; rows
-equal in id and vector are one row; a row is no candidate for a query of its own id; vectors of different lengths do not
-meet; ties go to the smaller vec_id; an empty table gives no rows; other columns are ignored.
+Scores are whole numbers and exact at any size: vectors with components so large that a double no longer holds their products
+are evaluated in Python's integers, whatever their bounds. A score beyond a long is reported as the nearest long, but ranked
+by its exact value.
+
+Defined results: vectors that are null, or hold a null or a non-finite component, take no part, nor do rows without id; a
+repeated row is a candidate, and asks, as often as it occurs; rows of a query's own id are no candidates for it; vectors of
+different lengths do not meet; ties go to the smaller vec_id; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -26,27 +32,43 @@ QUERY_STEP = 20
 SCALE = 64
 PIVOTS = 24
 #: Candidates of a group, and queries compared with it at once: bound a task's memory.
-GROUP_ROWS = 16_384
+GROUP_ROWS = 32_768
 BLOCK_QUERIES = 64
 #: Candidates evaluated in the first step; each further step doubles.
 FIRST_STEP = 256
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """vec_id, v (array of long) of the rows that take part."""
-    x = lambda c: F.floor(c.cast("double") * F.lit(float(scale)))
-    limit = F.lit(float(1 << 52) / scale)
-    whole = F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < limit))
-    return require(vectors, "vec_id", "embedding").where("vec_id IS NOT NULL AND embedding IS NOT NULL").where(whole).select("vec_id", F.transform("embedding", x).alias("v")).distinct()
+    """vec_id, v (array of double: floor(scale * x) / scale, exact for a power of two) of the rows that take part."""
+    # from 2**52 on a double is a whole number already
+    part = lambda c: F.when(F.abs(c) < F.lit(float(1 << 52) / scale), F.floor(c * F.lit(float(scale))).cast("double") / F.lit(float(scale))).otherwise(c)
+    whole = F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < F.lit(float("inf"))))
+    return require(vectors, "vec_id", "embedding").where("vec_id IS NOT NULL AND embedding IS NOT NULL").where(whole).select("vec_id", F.transform("embedding", lambda c: part(c.cast("double"))).alias("v"))
+
+
+def whole_numbers(vectors: np.ndarray, scale: int) -> np.ndarray:
+    """scale * v, as doubles where these are exact, else as Python's integers."""
+    if not vectors.size or np.abs(vectors).max() < 2.0**52 / scale:
+        return vectors * scale
+    return np.array([[int(x * scale) if abs(x) < 2.0**52 / scale else int(x) * scale for x in v] for v in vectors.tolist()], dtype=object).reshape(vectors.shape)
+
+
+def ordered_bytes(n: int) -> bytes:
+    """Bytes that compare as the numbers do."""
+    size = (abs(n).bit_length() + 7) // 8
+    body = size.to_bytes(4, "big") + abs(n).to_bytes(size, "big")
+    return b"\1" + body if n >= 0 else b"\0" + bytes(255 - b for b in body)
 
 
 class PivotTable:
     """Candidates of one length, with their distances to pivots chosen far from each other."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, pivots: int = PIVOTS):
-        self.ids, self.exact = ids, vectors
-        self.big = bool(len(vectors)) and bool(np.abs(vectors).max(initial=0) >= 1 << 20)  # products then exceed a double's whole numbers
-        v = vectors.astype(np.float64)
+        # components below this have inner products that a double holds exactly
+        self.limit = (2.0**53 / max(1, vectors.shape[1])) ** 0.5
+        huge = self._huge(vectors)
+        self.huge = [(i, [int(x) for x in v]) for i, v in zip(ids[huge].tolist(), vectors[huge])]
+        self.ids, v = ids[~huge], vectors[~huge].astype(np.float64)
         norms = np.einsum("ij,ij->i", v, v)
         self.most = float(norms.max(initial=0.0))
         self.v = np.column_stack([v, np.sqrt(np.maximum(self.most - norms, 0.0))])
@@ -59,9 +81,12 @@ class PivotTable:
             at = int(np.argmax(near))
         self.pivots = np.array(self.pivots).reshape(-1, self.v.shape[1])
         self.table = np.stack([self._distances(self.v, p) for p in self.pivots]) if len(self.pivots) else np.zeros((0, len(v)))
-        self.flat = vectors.astype(np.float64)
+        self.flat = v
         self.evaluated = 0
 
+    def _huge(self, vectors: np.ndarray) -> np.ndarray:
+        return np.array([max(map(abs, v), default=0) >= self.limit for v in vectors.tolist()], bool) if vectors.dtype == object else (np.abs(vectors) >= self.limit).any(1)
+
     @staticmethod
     def _distances(v, p):
         d = v - p
@@ -71,7 +96,7 @@ class PivotTable:
         """Upper bounds of the inner products, by query and candidate; slack covers rounding."""
         q = np.column_stack([queries.astype(np.float64), np.zeros(len(queries))])
         norms = np.einsum("ij,ij->i", q, q)
-        to_pivot = np.stack([self._distances(q, p) for p in self.pivots], 1)
+        to_pivot = np.stack([self._distances(q, p) for p in self.pivots], 1) if len(self.pivots) else np.zeros((len(q), 0))
         low = np.zeros((len(q), len(self.ids)))
         gap = np.empty_like(low)
         for k in range(len(self.pivots)):
@@ -83,69 +108,87 @@ class PivotTable:
 
     def _scores(self, query, at):
         self.evaluated += len(at)
-        if self.big:
-            return np.array([sum(int(a) * int(b) for a, b in zip(query, self.exact[i])) for i in at], dtype=object)
-        return self.flat[at] @ query.astype(np.float64)
+        return self.flat[at] @ query
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, top: int = TOP):
         """query id, candidate id, score of the `top` best for each query."""
-        out = []
-        for qid, q, bound in zip(query_ids.tolist(), queries, self.bounds(queries)):
-            order = np.argsort(-bound, kind="stable")
-            ids, scores, done, step = np.zeros(0, np.int64), np.zeros(0), 0, FIRST_STEP
-            while done < len(order) and (len(scores) < top or bound[order[done]] >= scores[-1]):
-                at = order[done : done + step]
-                done, step = done + step, 2 * step
-                at = at[self.ids[at] != qid]
-                ids, scores = np.concatenate([ids, self.ids[at]]), np.concatenate([scores, self._scores(q, at)])
-                best = np.lexsort((ids, -scores))[:top]
-                ids, scores = ids[best], scores[best]
-            out += [(qid, i, int(s)) for i, s in zip(ids.tolist(), scores.tolist())]
+        out, huge = [], self._huge(queries)
+        held = np.where(huge[:, None], 0, queries).astype(np.float64)
+        for qid, q, exact, large, bound in zip(query_ids.tolist(), held, queries, huge.tolist(), self.bounds(held)):
+            exactly = lambda v: sum(a * int(b) for a, b in zip(v, exact))
+            best = [(-exactly(v), i) for i, v in self.huge if i != qid]
+            if large:  # bounds in doubles say nothing here
+                best += [(-exactly([int(x) for x in v]), i) for i, v in zip(self.ids.tolist(), self.flat.tolist()) if i != qid]
+            else:
+                best += [(-int(s), i) for i, s in zip(*self._nearest(qid, q, bound, top))]
+            out += [(qid, i, -s) for s, i in sorted(best)[:top]]
         return out
 
+    def _nearest(self, qid, q, bound, top):
+        order = np.argsort(-bound, kind="stable")
+        ids, scores, done, step = np.zeros(0, np.int64), np.zeros(0), 0, FIRST_STEP
+        while done < len(order) and (len(scores) < top or bound[order[done]] >= scores[-1]):
+            at = order[done : done + step]
+            done, step = done + step, 2 * step
+            at = at[self.ids[at] != qid]
+            ids, scores = np.concatenate([ids, self.ids[at]]), np.concatenate([scores, self._scores(q, at)])
+            best = np.lexsort((ids, -scores))[:top]
+            ids, scores = ids[best], scores[best]
+        return ids.tolist(), scores.tolist()
+
 
 def top_k(vectors: DataFrame, top: int = TOP, query_step: int = QUERY_STEP, scale: int = SCALE, pivots: int = PIVOTS) -> DataFrame:
     """query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     v = quantised(vectors, scale).withColumn("dim", F.size("v"))
     groups = max(groups_for(require(vectors, "vec_id").count(), GROUP_ROWS), 2 * spark.sparkContext.defaultParallelism)
-    held = v.withColumn("grp", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")).withColumn("query", F.lit(False))
-    # every query visits every group: the stated query set against all rows, in blocks
-    asked = v.where(F.pmod("vec_id", F.lit(query_step)) == 0).withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("query", F.lit(True))
-    dealt = held.unionByName(asked.select(*held.columns)).repartition(groups, "grp").sortWithinPartitions("grp", "dim", "query", "vec_id")
+    held = v.withColumn("grp", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")).withColumn("times", F.lit(0).cast("long"))
+    # every query visits every group: the stated query set against all rows, in blocks; equal rows ask once, and are answered each
+    asked = v.where(F.pmod("vec_id", F.lit(query_step)) == 0).groupBy("vec_id", "v", "dim").agg(F.count(F.lit(1)).alias("times"))
+    asked = asked.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    dealt = held.unionByName(asked.select(*held.columns)).repartition(groups, "grp").sortWithinPartitions("grp", "dim", F.col("times") > 0, "vec_id")
 
     def search(batches):
         """A group's candidates come before its queries, group after group."""
         import pyarrow as pa
 
         def answer(table, waiting):
-            found = table.search(np.array([i for i, _ in waiting], np.int64), np.array([x for _, x in waiting], np.int64).reshape(len(waiting), -1), top) if table is not None else []
-            cols = list(zip(*found)) or [[]] * 3
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
+            rows = []
+            if table is not None:
+                numbers = whole_numbers(np.array([x for _, x, _ in waiting]).reshape(len(waiting), -1), scale)
+                # by place, so that different vectors under one id are answered each
+                for (vec, x, times), one in zip(waiting, numbers):
+                    of = int(np.frombuffer(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "<i8")[0])
+                    for _, i, s in table.search(np.array([vec]), one[None], top):
+                        near = max(-(2**63), min(2**63 - 1, s))
+                        rows.append((vec, of, times, i, near, ordered_bytes(s) if near != s or s == -(2**63) else None))
+            cols = list(zip(*rows)) or [[]] * 6
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 5 else pa.binary()) for k, c in enumerate(cols)], names=["query_id", "of", "times", "vec_id", "score", "exact"])
 
         now, ids, rows, table, waiting = None, [], [], None, []
         for b in batches:
             values, offsets = b.column(3).flatten().to_numpy(zero_copy_only=False), b.column(3).offsets.to_numpy()
             offsets = offsets - offsets[0]
-            for n, (grp, dim, query, vec) in enumerate(zip(*[b.column(i).to_pylist() for i in range(3)], b.column(4).to_pylist())):
+            for n, (grp, dim, times, vec) in enumerate(zip(*[b.column(i).to_pylist() for i in range(3)], b.column(4).to_pylist())):
                 x = values[offsets[n] : offsets[n + 1]].copy()
                 if (grp, dim) != now:
                     if waiting:
                         yield answer(table, waiting)
                     now, ids, rows, table, waiting = (grp, dim), [], [], None, []
-                if not query:
+                if not times:
                     ids.append(vec)
                     rows.append(x)
                     continue
                 if table is None and ids:
-                    table = PivotTable(np.array(ids, np.int64), np.array(rows, np.int64).reshape(len(rows), -1), pivots)
-                waiting.append((vec, x))
+                    table = PivotTable(np.array(ids, np.int64), whole_numbers(np.array(rows).reshape(len(rows), -1), scale), pivots)
+                waiting.append((vec, x, times))
                 if len(waiting) == BLOCK_QUERIES:
                     yield answer(table, waiting)
                     waiting = []
         if waiting:
             yield answer(table, waiting)
 
-    found = dealt.select("grp", "dim", "query", "v", "vec_id").mapInArrow(search, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+    found = dealt.select("grp", "dim", "times", "v", "vec_id").mapInArrow(search, "query_id long, of long, times long, vec_id long, score long, exact binary")
+    best = Window.partitionBy("query_id", "of").orderBy(F.col("score").desc(), F.col("exact").desc_nulls_last(), "vec_id")
+    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    return ranked.select("query_id", "rank", "vec_id", "score", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))).alias("_")).drop("_")

@@ -2,10 +2,12 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -579,15 +581,13 @@ def test_segments_reach_their_share():
 
 
 def brute_top(rows, top=20):
-    ok = {}
-    for i, e in rows:
-        if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e):
-            ok[i, tuple(int(np.floor(64 * float(x))) for x in e)] = 1
+    """Exact integers; every row is a candidate, and a query, as often as it occurs."""
+    ok = [(i, [math.floor(64 * Fraction(x)) for x in e]) for i, e in rows if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e)]
     out = []
     for q, a in ok:
         if q % 20 == 0:
             best = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in ok if i != q and len(b) == len(a))[:top]
-            out += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+            out += [(q, n, i, max(-(2**63), min(2**63 - 1, -s))) for n, (s, i) in enumerate(best, 1)]
     return sorted(out)
 
 
@@ -605,6 +605,15 @@ def test_topk_odd(spark):
     assert pivot_topk.top_k(df.limit(0)).collect() == []
 
 
+def test_topk_large_components(spark):
+    """Finite components of any size, repeated rows, and two vectors under one id."""
+    r = random.Random(8)
+    rows = [(20, [1.0, 2.0]), (1, [1e14, 0.0]), (2, [-1e14, 3.5]), (3, [1e300, -1e300]), (4, [1e300, -1.0000000001e300]), (40, [1e308, 1e308]), (60, [2.0**46, -(2.0**45)]), (5, [0.1, 0.2]), (5, [0.1, 0.2]), (80, [0.3, 0.4]), (80, [0.3, 0.4]), (80, [-0.3, 0.4]), (6, [-0.0, 5e-324])]
+    rows += [(100 + i, [r.choice((1e3, 1e9, 1e17, 1e200)) * r.uniform(-1, 1) for _ in "xy"]) for i in range(90)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    assert sorted(map(tuple, pivot_topk.top_k(df).collect())) == brute_top(rows)
+
+
 def test_pivots_stop_early():
     r = np.random.default_rng(1)
     v = np.concatenate([r.integers(-3, 4, (3000, 8)) + c for c in r.integers(-300, 300, (20, 8))])
