@@ -2,11 +2,15 @@
 
 Rules judge a part of the urls outright. Two smoothed variable-order Markov models, one of the allowed and one of the
 blocked urls among these, judge the rest: a url's score is the difference of its log-likelihoods per character, and the
-threshold is calibrated on a held-out tenth of the ruled urls. Character n-grams of all ruled urls are counted by Spark
-into a fixed number of hashed cells; those cells, whose number bounds what is broadcast, are all that the scoring needs.
+threshold is calibrated on a held-out tenth of the ruled urls, the models being counted on the other nine.
 
 A character's probability blends orders 0 to 6, each order giving the next lower one the weight of its distinct followers
-against its count (Witten-Bell); an unseen context thus falls back to a shorter one.
+against its count (Witten-Bell); an unseen context thus falls back to a shorter one. Counts are exact and stay in a table
+that grows with the ruled urls. From them each seen n-gram gets the difference of its two log-probabilities, and each seen
+context the difference that falling back from it adds; both come from one join of n-grams with their own suffixes. Urls are
+taken apart into the longest n-grams at their characters; the distinct ones are looked up, through their suffixes, by a join,
+and their differences are joined to the characters and summed by url. Nothing is gathered on the driver or broadcast but the
+histogram of the threshold.
 
 Defined results: a null url, or one without `://`, has empty host and path, no rule, and the verdict of an empty text (score
 0 against the threshold); ties with the threshold are allowed; among rules of one length the first listed wins; without
@@ -16,15 +20,15 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import require
+from .common import cut_lineage, require, written
 
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
+#: Characters of the longest n-gram.
 ORDERS = 7
-#: Cells by order: 2 classes * ORDERS * CELLS bounds the table of counts.
-CELLS = 1 << 15
+#: One over the number of characters that order 0 falls back to.
+UNIFORM = 1 / 256
 HOLD_OUT = 10
 _START = "\u0002"
 
@@ -51,84 +55,73 @@ def _text(url: Column) -> Column:
     return F.concat(F.lit(_START * (ORDERS - 1)), F.lower(F.regexp_replace(F.coalesce(url, F.lit("")), r"^[^:/?#]*://", "")))
 
 
+def _ended(t: str, i: Column, k) -> Column:
+    """The k characters of t up to place i."""
+    k = F.lit(k) if isinstance(k, int) else k
+    return F.substr(F.col(t), i - k + F.lit(1), k)
+
+
 def count_grams(ruled: DataFrame) -> DataFrame:
-    """verdict, size, cell, kind (0: of grams, 1: of their contexts, 2: distinct followers of contexts), n."""
-    grams = F.flatten(F.transform(F.sequence(F.lit(ORDERS), F.length("t")), lambda i: F.transform(F.sequence(F.lit(1), F.lit(ORDERS)), lambda k: F.substr(F.col("t"), i - k + F.lit(1), k))))
-    counted = (
-        ruled.select("ruled", _text(F.col("url")).alias("t")).where(F.length("t") >= ORDERS)
-        .select("ruled", F.explode(grams).alias("gram")).groupBy("ruled", "gram").agg(F.count(F.lit(1)).alias("n"))
-    )
-    size = F.length("gram")
-    context = F.substr(F.col("gram"), F.lit(1), size - F.lit(1))
-    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(CELLS))
-    entry = lambda kind, c, n: F.struct(F.lit(kind).alias("kind"), cell(c).alias("cell"), n.alias("n"))
-    entries = F.array(entry(0, F.col("gram"), F.col("n")), entry(1, context, F.col("n")), entry(2, context, F.lit(1).cast("long")))
-    return counted.select("ruled", size.alias("size"), F.explode(entries).alias("e")).groupBy("ruled", "size", "e.kind", "e.cell").agg(F.sum("e.n").alias("n"))
-
-
-class Ratio:
-    """Counts in arrays [class, size, kind, cell]; scores urls."""
-
-    def __init__(self, counts: np.ndarray):
-        self.counts = counts
-
-    def scores(self, flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """flat: by character ORDERS cells of grams and ORDERS of contexts, url after url; lengths: cells of each url."""
-        a = flat.reshape(-1, 2, ORDERS)
-        chars = lengths // (2 * ORDERS)
-        logs = []
-        for c in (0, 1):
-            p = np.full(len(a), 1 / 256)
-            for k in range(ORDERS):
-                n, total, kinds = self.counts[c, k, 0, a[:, 0, k]], self.counts[c, k, 1, a[:, 1, k]], self.counts[c, k, 2, a[:, 1, k]]
-                p = np.where(total > 0, (n + kinds * p) / np.maximum(total + kinds, 1), p)
-            logs.append(np.concatenate([[0.0], np.cumsum(np.log(np.maximum(p, 1e-12)))]))
-        ends = np.cumsum(chars)
-        of = [x[ends] - x[ends - chars] for x in logs]
-        return np.where(chars > 0, (of[0] - of[1]) / np.maximum(chars, 1), 0.0)
-
-
-def _cells(url: Column) -> Column:
-    """For each character the cells of its grams and of their contexts, flat."""
-    t = _text(url)
-    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(CELLS)).cast("int")
-    sizes = F.sequence(F.lit(1), F.lit(ORDERS))
-
-    def at(i: Column) -> Column:
-        return F.concat(
-            F.transform(sizes, lambda k: cell(F.substr(t, i - k + F.lit(1), k))),
-            F.transform(sizes, lambda k: cell(F.substr(t, i - k + F.lit(1), k - F.lit(1)))),
-        )
-
-    return F.when(F.length(t) >= ORDERS, F.flatten(F.transform(F.sequence(F.lit(ORDERS), F.length(t)), at))).otherwise(F.array().cast("array<int>"))
+    """gram, n0, n1: how often each n-gram of up to ORDERS characters stands in allowed and in blocked urls."""
+    grams = F.flatten(F.transform(F.sequence(F.lit(ORDERS), F.length("t")), lambda i: F.transform(F.sequence(F.lit(1), F.lit(ORDERS)), lambda k: _ended("t", i, k))))
+    read = ruled.select("ruled", _text(F.col("url")).alias("t")).where(F.length("t") >= ORDERS)
+    # common n-grams are added up before they are shuffled
+    return read.select("ruled", F.explode(grams).alias("gram")).groupBy("gram").agg(F.count_if(F.col("ruled") == "allow").alias("n0"), F.count_if(F.col("ruled") == "block").alias("n1"))
 
 
-def scorer(counted: DataFrame):
-    """A function that adds `score` to a frame with `url`, from count_grams' result, and each model's number of characters.
+def _shorter(gram: str) -> Column:
+    """The n-gram's suffixes, itself first, with their lengths."""
+    n = F.length(gram)
+    return F.transform(F.sequence(n, F.lit(1), F.lit(-1)), lambda k: F.struct(k.alias("k"), F.substr(F.col(gram), n - k + F.lit(1), k).alias("tail")))
 
-    At most 2 * ORDERS * 3 * CELLS counts reach the driver.
-    """
-    counts = np.zeros((2, ORDERS, 3, CELLS), dtype=np.float64)
-    got = counted.toPandas()
-    counts[(got["ruled"] == "block").astype(int), got["size"] - 1, got["kind"], got["cell"]] = got["n"]
-    shared = counted.sparkSession.sparkContext.broadcast(counts)
 
-    def score(urls: DataFrame) -> DataFrame:
-        kept = [c for c in urls.columns if c != "url"]
+def fitted(counted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """gram, gain: difference of the two models' log-probabilities of its last character; context, back: what unseen followers add."""
+    context = F.expr("substring(gram, 1, length(gram) - 1)")
+    stats = [F.sum("n0").alias("t0"), F.sum("n1").alias("t1"), F.count_if(F.col("n0") > 0).alias("f0"), F.count_if(F.col("n1") > 0).alias("f1")]
+    contexts = cut_lineage(counted.groupBy(context.alias("context")).agg(*stats))
+    lost = lambda c: F.when(F.col(f"t{c}") > 0, F.log(F.col(f"f{c}") / (F.col(f"t{c}") + F.col(f"f{c}")))).otherwise(F.lit(0.0))
+    back = contexts.select("context", (lost(0) - lost(1)).alias("back"))
+    held = written(counted.withColumn("context", context).join(contexts, "context").drop("context"))
+    # every suffix of a seen n-gram is seen, at the same places
+    parts = held.select("gram", F.explode(_shorter("gram")).alias("s")).select("gram", "s.k", "s.tail").join(held.withColumnRenamed("gram", "tail"), "tail")
+    orders = parts.groupBy("gram").agg(F.array_sort(F.collect_list(F.struct("k", "n0", "t0", "f0", "n1", "t1", "f1"))).alias("o"))  # ORDERS at most
 
-        def run(batches):
-            import pyarrow as pa
+    def blended(c: int) -> Column:
+        step = lambda p, x: F.when(x[f"t{c}"] > 0, (x[f"n{c}"] + x[f"f{c}"] * p) / (x[f"t{c}"] + x[f"f{c}"])).otherwise(p)
+        return F.aggregate("o", F.lit(UNIFORM), step)
 
-            for b in batches:
-                cells = b.column(len(kept))
-                at = cells.offsets.to_numpy().astype(np.int64)
-                made = Ratio(shared.value).scores(cells.flatten().to_numpy(zero_copy_only=False), np.diff(at))
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(made, pa.float64())], names=[*kept, "score"])
+    return written(orders.select("gram", (F.log(blended(0)) - F.log(blended(1))).alias("gain"))), cut_lineage(back)
 
-        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in urls.schema if f.name != "url") + ", score double"
-        return urls.select(*kept, _cells(F.col("url")).alias("cells")).mapInArrow(run, schema)
 
-    return score, counts[0, 0, 1].sum(), counts[1, 0, 1].sum()
+def scorer(counted: DataFrame):
+    """A function that adds `score` to a frame with `url`, from count_grams' result, and each model's number of characters."""
+    counted = written(counted)
+    chars = counted.where(F.length("gram") == 1).agg(F.sum("n0"), F.sum("n1")).first()
+    gains, backs = fitted(counted)
+
+    def of_grams(grams: DataFrame) -> DataFrame:
+        """gram, gain of distinct n-grams of ORDERS characters: that of the longest seen suffix, and what led down to it."""
+        parts = grams.select("gram", F.explode(_shorter("gram")).alias("s")).select("gram", "s.k", "s.tail").withColumn("context", F.expr("substring(tail, 1, length(tail) - 1)"))
+        known = parts.join(gains.withColumnRenamed("gram", "tail"), "tail", "left").join(backs, "context", "left")
+        listed = known.groupBy("gram").agg(F.sort_array(F.collect_list(F.struct("k", "gain", "back")), asc=False).alias("o"))
+        zero = F.struct(F.lit(0.0).alias("sum"), F.lit(False).alias("done"))
+        step = lambda a, x: F.when(a["done"], a).otherwise(F.struct((a["sum"] + F.coalesce(x["gain"], x["back"], F.lit(0.0))).alias("sum"), x["gain"].isNotNull().alias("done")))
+        return listed.select("gram", F.aggregate("o", zero, step)["sum"].alias("gain"))
+
+    def score(urls: DataFrame) -> DataFrame:
+        each = cut_lineage(urls.select("url").where("url IS NOT NULL").distinct().withColumn("number", F.monotonically_increasing_id()))
+        read = each.select("number", _text(F.col("url")).alias("t")).where(F.length("t") >= ORDERS)
+        at = F.transform(F.sequence(F.lit(ORDERS), F.length("t")), lambda i: _ended("t", i, ORDERS))
+        places = read.select("number", F.explode(at).alias("gram"))
+        # distinct n-grams are looked up once; a common one's side of the join back is split, both sides coming from a shuffle
+        known = cut_lineage(of_grams(places.select("gram").distinct()))
+        sums = places.join(known, "gram").groupBy("number").agg((F.sum("gain") / F.count(F.lit(1))).alias("score"))
+        scored = cut_lineage(each.join(sums, "number", "left").select(F.col("url").alias("_url"), F.coalesce("score", F.lit(0.0)).alias("score")))
+        kept = [c for c in urls.columns if c != "url"]
+        return urls.join(scored, F.col("url") == F.col("_url"), "left").select(*kept, F.coalesce("score", F.lit(0.0)).alias("score"))
+
+    return score, chars[0] or 0, chars[1] or 0
 
 
 def threshold(scored: DataFrame) -> float:

@@ -274,7 +274,7 @@ def test_url_scores(spark):
                         p = (n[v][k][g] + f * p) / (tot + f)
                 x += np.log(p)
             sums[v] = x
-        assert abs((sums["allow"] - sums["block"]) / (len(t) - k_max + 1) - s) < 0.05  # cells may collide
+        assert abs((sums["allow"] - sums["block"]) / (len(t) - k_max + 1) - s) < 1e-9
 
 
 def test_url_held_out(spark):
