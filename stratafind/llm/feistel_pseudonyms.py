@@ -4,7 +4,11 @@ Values of fixed formats are found, validated (check digits, calendar, ranges) an
 same format: the digits that carry information are read as a number below the format's size, permuted by a keyed Feistel
 network on that range (walking the cycle until the result is in range), and written back with separators, prefix and check
 digits renewed. The permutation depends on the key and the kind alone, so equal values stay equal in every document, and
-different ones stay different.
+different ones stay different; a day gets the same new day in whatever order it is written. Of an email address the local part
+is replaced, its domain stays.
+
+The key comes from the session's spark.stratafind.pseudonym.key or as a parameter; KEY stands in for it in tests and is known
+to every reader of this file.
 
 Defined results: null text stays null with no values; texts are read whole; overlapping candidates go to the earlier start,
 then to the earlier kind in KINDS; text that fails validation is left alone; repeated rows give repeated results; an empty
@@ -149,11 +153,11 @@ def _date(s: str, key: bytes) -> str | None:
     if not 1900 <= y <= 2099 or not 1 <= m <= 12 or not 1 <= d <= calendar.monthrange(y, m)[1]:
         return None
     first, last = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
-    # a date that reads both ways must stay so, and one that reads one way only, too
-    same = lambda x: order == "ymd" or (x.day <= 12) == (d <= 12)
+    # a date that reads both ways must stay so, and one that reads one way only, too; in all orders, so that a day stays linked
+    same = lambda x: (x.day <= 12) == (d <= 12)
     v = datetime.date(y, m, d).toordinal() - first
     while True:
-        v = permute(v, last - first + 1, f"date{order if order == 'ymd' else ''}", key)
+        v = permute(v, last - first + 1, "date", key)
         x = datetime.date.fromordinal(first + v)
         if same(x):
             break
@@ -188,8 +192,10 @@ def pseudonymise(text: str, key: bytes = KEY) -> tuple[str, list[tuple[str, int,
     return ("".join([*out, text[at:]]) if spans else text), spans
 
 
-def pseudonymise_documents(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def pseudonymise_documents(docs: DataFrame, key: bytes | None = None) -> DataFrame:
     """doc_id, n_values, spans (kind:start:end of the old text, comma-joined), text (rewritten)."""
+    named = docs.sparkSession.conf.get("spark.stratafind.pseudonym.key", None)
+    key = key or (hashlib.blake2b(named.encode()).digest() if named else KEY)
 
     def run(batches):
         import pyarrow as pa

@@ -3,12 +3,13 @@
 Each line of a text is content or boilerplate. A two-state chain scores lines by shape features and by the step from the
 line before; Viterbi decoding picks the best labelling of the whole text, and a document stays if at least CONTENT_SHARE of
 its words stand in content lines. Weights are fitted here, by gradient ascent on the chain's conditional likelihood, from
-a bounded sample of labelled documents: lines of well-graded documents are content, unless they repeat an earlier line;
-lines of badly graded ones are boilerplate.
+the whole texts of a bounded sample of labelled documents: lines of well-graded documents are content, unless they repeat an
+earlier line; lines of badly graded ones are boilerplate.
 
 Defined results: null text has no words, fails the base rule and is not kept; texts are read whole; lines without words take
 no part in the chain; ties of the decoding go to content; without usable labels PRIOR weights are used; repeated rows give
-repeated results; an empty table gives no rows; other columns are ignored. A document with several labels takes the least.
+repeated results; an empty table gives no rows; other columns are ignored. A document with several labels takes the least. Of
+several texts under a sampled id the smallest is fitted.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from .common import require, sliced, to_python
 
 #: Documents of each grade that the chain is fitted on: the bound of what reaches the driver.
 SAMPLE_DOCS = 600
-#: Lines and bytes of a sampled document that the fitting uses; decoding uses whole texts.
-SAMPLE_LINES, SAMPLE_BYTES = 40, 20_000
+#: Lines of a stretch: the sampled texts, which are used whole, are fitted stretch by stretch.
+STRETCH = 64
 CONTENT_SHARE = 0.5
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -100,21 +101,27 @@ def viterbi(scores: list[float], step) -> list[int]:
     return out[::-1]
 
 
+def stretches(chains):
+    """Chains cut into pieces of STRETCH lines, with the weight of a line: one over its chain's lines."""
+    return [(f[at : at + STRETCH], y[at : at + STRETCH], 1 / len(y)) for f, y in chains for at in range(0, len(y), STRETCH)]
+
+
 def fit(chains: list[tuple[list[tuple[float, ...]], list[int]]], rounds: int = 120, rate: float = 0.15, ridge: float = 1e-3):
-    """Weights (emission, step) by gradient ascent on the conditional log-likelihood, all chains at once."""
+    """Weights (emission, step) by gradient ascent on the conditional log-likelihood, all stretches of the chains at once."""
     import numpy as np
 
     if not chains or len({y for _, ys in chains for y in ys}) < 2:
         return PRIOR
-    size, length, k = len(chains), max(len(y) for _, y in chains), len(FEATURES)
+    cut = stretches(chains)
+    size, length, k = len(cut), max(len(y) for _, y, _ in cut), len(FEATURES)
     x, y, on = np.zeros((size, length, k)), np.zeros((size, length), int), np.zeros((size, length), bool)
-    for i, (f, labels) in enumerate(chains):
+    for i, (f, labels, _) in enumerate(cut):
         x[i, : len(labels)], y[i, : len(labels)], on[i, : len(labels)] = f, labels, True
     w, t = np.array(PRIOR[0]), np.array(PRIOR[1])
     moments = [np.zeros(k), np.zeros(k), np.zeros((2, 2)), np.zeros((2, 2))]
     pairs = on[:, 1:] & on[:, :-1]
     # each chain and both labels weigh alike, so that the more common grade does not set the bias
-    weigh = on / on.sum(1, keepdims=True)
+    weigh = on * np.array([w for _, _, w in cut])[:, None]
     weigh = np.where(y == 1, weigh / max(1e-9, (weigh * (y == 1)).sum()), weigh / max(1e-9, (weigh * (y == 0)).sum())) * on
     for r in range(1, rounds + 1):
         e = np.stack([np.zeros((size, length)), x @ w], -1)
@@ -150,11 +157,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS):
     grade = {r["doc_id"]: r["quality"] for r in chosen}
     if not grade:
         return PRIOR
-    rows = require(docs, "doc_id", "text").where(F.col("doc_id").isin(list(grade))).select("doc_id", F.substring("text", 1, SAMPLE_BYTES).alias("text")).collect()
+    # one text for each chosen id, whatever the rows under it
+    rows = require(docs, "doc_id", "text").where(F.col("doc_id").isin(list(grade))).groupBy("doc_id").agg(F.min("text").alias("text")).collect()
     chains = []
-    for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"] or "")):
+    for r in sorted(rows, key=lambda r: r["doc_id"]):
         f, _, _ = lines_of((r["text"] or "").encode())
-        f = f[:SAMPLE_LINES]
         if f:
             good = int(grade[r["doc_id"]] >= 1)
             chains.append((f, [good and int(not x[FEATURES.index("repeats")]) for x in f]))
