@@ -1,9 +1,8 @@
 """Queries of planning, grading, extraction and incremental ingestion."""
 
-import tempfile
-
 from pyspark.sql import functions as F
 
+from ..common import shared_folder
 from ..operators import chunking
 from ..plans import agent as A
 from ..registry import query
@@ -25,10 +24,6 @@ query("ret_generic_skip", f"SELECT count(*) AS n FROM {ASKED} WHERE {GENERIC}")(
 query("llm_route", f"SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'HYBRID' WHEN turn % 3 = 1 AND {any_of(A.GLOBAL_ROUTER, 'lower(q)')} THEN 'GLOBAL' WHEN turn % 3 = 1 THEN 'LOCAL' ELSE 'GENERIC' END AS query_type FROM {ASKED}")(
     lambda t, _: asked(t).select("conv_id", "turn", A.route(F.col("q"), F.when(F.col("turn") % 3 == 1, "LOCAL").when(F.col("turn") % 3 == 2, "GENERIC")).alias("query_type"))
 )
-query("llm_decompose", "SELECT item_id, text AS sub_query FROM benchmark")(lambda t, _: t("benchmark").select("item_id", F.explode(F.array("text")).alias("sub_query")))
-query("llm_coref_q", "SELECT item_id, text AS resolved FROM benchmark")(lambda t, _: t("benchmark").select("item_id", F.col("text").alias("resolved")))
-query("llm_hyde", "SELECT item_id, text AS expanded FROM benchmark")(lambda t, _: t("benchmark").select("item_id", F.col("text").alias("expanded")))
-query("llm_temporal", f"SELECT doc_id, {any_of(A.TEMPORAL, 'lower(text)')} AS gated FROM documents")(lambda t, _: t("documents").select("doc_id", A.temporal(F.col("text")).alias("gated")))
 query("llm_title", "SELECT conv_id, turn, substr(text, 1, 40) || CASE WHEN length(text) > 40 THEN '...' ELSE '' END AS title FROM conversations")(lambda t, _: t("conversations").select("conv_id", "turn", A.conversation_title(F.col("text")).alias("title")))
 query("llm_grade_ret", "SELECT doc_id, CASE WHEN toxic = 1 THEN false WHEN doc_id % 2 = 0 THEN true ELSE quality = 1 END AS relevant FROM labels")(
     lambda t, _: t("labels").select("doc_id", A.grade(F.when(F.col("toxic") == 1, F.lit(0)).otherwise(F.lit(9)), F.when(F.col("doc_id") % 2 == 1, F.col("quality") == 1)).alias("relevant"))
@@ -38,9 +33,6 @@ query("crag_loop", "SELECT doc_id AS query_id, CASE WHEN quality = 1 THEN 1 ELSE
     lambda t, _: A.corrective_rounds(t("labels").select(F.col("doc_id").alias("query_id"), (F.col("quality") == 1).alias("first"), (F.col("toxic") == 1).alias("second")))
 )
 query("llm_doc_summary", "SELECT doc_id, array_to_string(list_slice(regexp_extract_all(substr(text, 1, 2000), '[^.!?]+[.!?]'), 1, 2), '') AS summary FROM documents")(lambda t, _: t("documents").select("doc_id", A.lead(F.col("text")).alias("summary")))
-query("llm_category", "SELECT doc_id, 'general' AS category FROM documents")(lambda t, _: t("documents").select("doc_id", F.lit("general").alias("category")))
-query("llm_guardrails", "SELECT DISTINCT source AS category, 'Entity' AS entity_types, 'RELATED_TO' AS relationship_types, 1 AS version FROM documents")(lambda t, _: t("documents").select(F.col("source").alias("category")).distinct().select("category", F.lit("Entity").alias("entity_types"), F.lit("RELATED_TO").alias("relationship_types"), F.lit(1).alias("version")))
-query("llm_optimize_gr", "SELECT DISTINCT source AS category, 2 AS version FROM documents")(lambda t, _: t("documents").select(F.col("source").alias("category"), F.lit(2).alias("version")).distinct())
 PROPOSED = "CASE turn % 3 WHEN 0 THEN '\"' || text || '\" ' WHEN 1 THEN ' abc ' END"
 query("llm_rewrite", f"SELECT conv_id, turn, CASE WHEN length(p) >= 5 THEN p ELSE text END AS rewritten FROM (SELECT *, trim(trim({PROPOSED}), '\"''') AS p FROM conversations)")(
     lambda t, _: t("conversations").select("conv_id", "turn", A.rewrite(F.col("text"), F.when(F.col("turn") % 3 == 0, F.concat(F.lit('"'), "text", F.lit('" '))).when(F.col("turn") % 3 == 1, F.lit(" abc "))).alias("rewritten"))
@@ -54,7 +46,6 @@ query("llm_synthesis", "SELECT topic, string_agg('[' || upper(source) || '] ' ||
 query("kg_context_prefix", "SELECT item_id, CASE WHEN item_id % 2 = 0 THEN text || chr(10) || 'Known entities: a, b' || chr(10) || 'Extract the triplets now' ELSE text || chr(10) || 'Extract the triplets now' END AS prefix FROM benchmark")(
     lambda t, _: t("benchmark").select("item_id", A.with_context(F.concat("text", F.lit("\nExtract the triplets now")), F.when(F.col("item_id") % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array().cast("array<string>"))).alias("prefix"))
 )
-query("llm_research_plan")(lambda t, s: s.createDataFrame([(m, k, b, q) for m in ("deep", "wiki", "local", "arxiv") for k, (b, q) in enumerate(A.research_plan("graphs", m))], "mode string, ord int, backend string, query string"))
 query("kg_prompt", "SELECT source AS category, 'Category: ' || source || chr(10) || 'Objects: ' || array_to_string(list_sort(list(DISTINCT lang)), ', ') || chr(10) || 'Relations: RELATED_TO' || chr(10) || 'Conventions: none' || chr(10) || 'Known entities: a, b' || chr(10) || 'Extract the triplets now' AS prompt FROM documents GROUP BY source")(
     lambda t, _: A.knowledge_prompt(t("documents").groupBy(F.col("source").alias("category")).agg(F.array_sort(F.collect_set("lang")).alias("objects")).withColumn("relations", F.array(F.lit("RELATED_TO"))).withColumn("conventions", F.lit("none"))).withColumn("prompt", A.with_context(F.col("prompt"), F.array(F.lit("a"), F.lit("b"))))
 )
@@ -69,7 +60,6 @@ def triplets(t):
 
 query("kg_build", "SELECT lower(replace(name, ' ', '_')) AS id, min_by(type, ord) AS type FROM (SELECT 'Part ' || l_partkey AS name, l_returnflag AS type, l_orderkey * 10 + l_linenumber AS ord FROM lineitem UNION ALL SELECT 'Mode ' || l_linestatus, 'Mode', l_orderkey * 10 + l_linenumber FROM lineitem) GROUP BY 1")(lambda t, _: A.build_knowledge(triplets(t))[0])
 query("kg_edges", "SELECT DISTINCT 'part_' || l_partkey AS src, 'SHIPPED_BY' AS relation, lower('mode_' || replace(l_linestatus, ' ', '_')) AS dst FROM lineitem")(lambda t, _: A.build_knowledge(triplets(t))[1])
-query("llm_verify", "SELECT l_orderkey AS chunk, count(*) AS n, count(*) > 3 AS verify FROM lineitem GROUP BY 1")(lambda t, _: triplets(t).groupBy("chunk").agg(F.count(F.lit(1)).alias("n")).withColumn("verify", F.col("n") > 3))
 query("llm_implicit", "SELECT src, rel_type, dst FROM (SELECT conv_id || '-' || turn AS src, 'SOURCE' AS rel_type, conv_id::VARCHAR AS dst FROM conversations UNION ALL SELECT conv_id || '-' || turn, 'NEXT', lead(conv_id || '-' || turn) OVER (PARTITION BY conv_id ORDER BY turn) FROM conversations UNION ALL SELECT conv_id || '-' || turn, 'PREVIOUS', lag(conv_id || '-' || turn) OVER (PARTITION BY conv_id ORDER BY turn) FROM conversations) WHERE dst IS NOT NULL")(
     lambda t, _: A.implicit_edges(t("conversations").select(F.concat("conv_id", F.lit("-"), "turn").alias("chunk_id"), F.col("conv_id").alias("doc_id"), F.col("turn").alias("ord")))
 )
@@ -83,7 +73,7 @@ def inc_stream(t, spark):
     log = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet" if "/events.parquet/" not in events.inputFiles()[0] else "*.parquet").parquet(path)
     name = f"stream_{id(log)}"
     run = log.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")).writeStream.outputMode("complete").format("memory").queryName(name)
-    run.option("checkpointLocation", (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()) + f"/{name}").trigger(availableNow=True).start().awaitTermination()
+    run.option("checkpointLocation", shared_folder(spark) + f"/{name}").trigger(availableNow=True).start().awaitTermination()
     return spark.table(name)
 
 

@@ -159,7 +159,6 @@ query("g_counts", f"SELECT (SELECT count(*) FROM {NODES}) AS n_nodes, (SELECT co
     lambda t, _: nodes(t).agg(F.count(F.lit(1)).alias("n_nodes")).crossJoin(F.broadcast(edges(t).agg(F.count(F.lit(1)).alias("n_edges")))).crossJoin(F.broadcast(members(t).agg(F.countDistinct("community_id").alias("n_communities"))))
 )
 query("adm_stats", f"SELECT label, count(*) AS n FROM {NODES} GROUP BY label")(lambda t, _: nodes(t).groupBy(F.get("labels", 0).alias("label")).agg(F.count(F.lit(1)).alias("n")))
-query("g_delete_all", "SELECT r_name AS name FROM region WHERE false")(lambda t, _: nodes(t).where("false").select("name"))
 query("g_sanitize", "SELECT src, dst FROM (SELECT 'p' || l_partkey AS src, CASE WHEN l_linenumber > 1 THEN 's' || l_suppkey END AS dst FROM lineitem) WHERE dst IS NOT NULL")(
     lambda t, _: G.sanitized(t("lineitem").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("src"), F.when(F.col("l_linenumber") > 1, F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))).alias("dst")))
 )

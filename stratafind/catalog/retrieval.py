@@ -54,7 +54,6 @@ query("ret_bm25", f"SELECT query_id, id, score, rank FROM {BM25} WHERE rank < 10
 query("ret_rrf", f"SELECT query_id, id, score, fused_rank FROM {FUSED}")(lambda t, _: R.fuse(candidates(t)).select("query_id", "id", "score", "fused_rank"))
 query("ret_top5", f"SELECT query_id, id, fused_rank FROM {FUSED} WHERE fused_rank <= 5")(lambda t, _: R.fuse(candidates(t)).where("fused_rank <= 5").select("query_id", "id", "fused_rank"))
 query("ret_hybrid", f"SELECT query_id, id, score, fused_rank FROM {FUSED} WHERE fused_rank <= 5")(lambda t, _: R.hybrid(t("documents"), t("embeddings"), text_queries(t), vector_queries(t)).select("query_id", "id", "score", "fused_rank"))
-query("ret_summary", "SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 2")(lambda t, _: t("documents").select("doc_id", "text").orderBy("doc_id").limit(2))
 COMMUNITY = "(SELECT label AS community_id, list_transform(range(1, 65), lambda i: 0) AS z, count(*) AS entity_count FROM embeddings GROUP BY label)"
 query("ret_community", f"""SELECT query_id, id, score, rank FROM (SELECT query_id, id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id DESC) - 1)::INT AS rank FROM
     (SELECT query_id, vec_id AS id, round(list_dot_product(embedding::DOUBLE[], q::DOUBLE[]) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q::DOUBLE[], q::DOUBLE[]))), 9) AS score FROM embeddings, {VQ})) WHERE rank < 3""")(

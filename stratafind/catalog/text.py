@@ -31,7 +31,6 @@ REPEATED = r"""(SELECT string_agg(line, chr(10) ORDER BY i) FROM (
         SELECT i, line, regexp_replace(line, '^\s+|\s+$', '', 'g') AS s FROM (SELECT unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i)))
     WHERE NOT (n >= 4 AND length(s) > 5))"""
 cleaning("cln_control", X.no_control, R.format("text", r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", ""))
-cleaning("cln_mojibake", lambda c: c, "text")  # no repair library at hand: identity, as in its absence elsewhere
 cleaning("cln_dehyphen", X.dehyphenated, R.format("text", r"([\p{L}\p{N}_]+)-\s*\n\s*([\p{L}\p{N}_]+)", r"\1\2"))
 cleaning("cln_spaced", X.unspaced, None)
 cleaning("cln_punct", X.plain_marks, "replace(replace(replace(replace(replace(replace(replace(text, '“', '\"'), '”', '\"'), '‘', ''''), '’', ''''), '…', '...'), '–', '-'), '—', '--')")
@@ -43,8 +42,6 @@ query("cln_repeated", f"SELECT doc_id, {REPEATED} AS text FROM (SELECT doc_id, {
 cleaning("cln_ws", X.tidy_space, STRIP.format(R.format(R.format("text", r"(?m)[ \t\r\f\v]+$", ""), r"\n{3,}", r"\n\n").replace(r"'\n\n'", "chr(10) || chr(10)")))
 query("cln_pipeline")(lambda t, _: clean.cleaned(decorated(t("documents"))))
 query("cln_coref")(lambda t, s: chunking.resolve_pronouns(t("documents")).select("doc_id", "text"))
-query("cln_coref_llm", "SELECT doc_id, text FROM documents")(lambda t, s: t("documents").select("doc_id", "text"))
-query("cln_batch", "SELECT doc_id, length(text) AS n FROM documents")(lambda t, s: chunking.in_batches(t("documents")).select("doc_id", F.length("text").cast("long").alias("n")))
 
 
 @query("agg_line_counts", r"SELECT doc_id, s AS line, count(*) AS n FROM (SELECT doc_id, regexp_replace(unnest(string_split(text, chr(10))), '^\s+|\s+$', '', 'g') AS s FROM documents) WHERE length(s) > 5 GROUP BY ALL HAVING count(*) >= 4")
@@ -111,7 +108,6 @@ query("chk_agentic", r"""SELECT doc_id, CASE WHEN length(text) <= 1000 THEN leng
 query("src_html")(lambda t, _: html.sections(t("pages")).select("page_id", "pos", "level", "section_title", "html_title", "text"))
 query("src_html_title", "SELECT page_id, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title FROM pages")(lambda t, _: t("pages").select("page_id", F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1).alias("title")))
 query("src_scrape")(lambda t, _: html.main_text(t("pages")).select("page_id", "file_name", "text"))
-query("src_detect_sections", r"SELECT doc_id, '' AS sections FROM documents WHERE NOT regexp_matches(text, '(?m)^(#{1,3}\s+.+|[A-Z][A-Z\s]{3,59}[A-Z])$')")(lambda t, _: t("documents").select("doc_id", F.array_join(X.headings(F.col("text")), "|").alias("sections")).where("sections = ''"))
 query("src_table_md", "SELECT '| ' || string_agg(n_name, ' | ' ORDER BY n_nationkey) || ' |' || chr(10) || '| ' || string_agg('---', ' | ') || ' |' || chr(10) || '| ' || string_agg('r' || n_regionkey, ' | ' ORDER BY n_nationkey) || ' |' AS md FROM nation")(
     lambda t, _: t("nation").groupBy().agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name", "n_regionkey"))).alias("r"))
     .select(files.table_markdown(F.array(F.transform("r", lambda x: x["n_name"]), F.transform("r", lambda x: F.concat(F.lit("r"), x["n_regionkey"].cast("string"))))).alias("md"))
@@ -135,7 +131,6 @@ query("src_scan_ingest", f"SELECT path FROM {LISTED} WHERE regexp_matches(lower(
         listed(t).where("doc_id % 7 = 0").select("path", F.sha2("path", 256).alias("sha256")),
     ).select("path")
 )
-query("src_text", "SELECT doc_id, text, 'text' AS source_type FROM documents")(lambda t, _: t("documents").select("doc_id", "text", F.lit("text").alias("source_type")))
 
 # ---- research results: pages stand for found links, some twice, some without a link
 

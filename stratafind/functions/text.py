@@ -66,6 +66,19 @@ def tidy_space(c: Column) -> Column:
     return strip(F.regexp_replace(c, r"\n{3,}", "\n\n"))
 
 
+#: UTF-8 of the upper half of Latin-1 that was read as Latin-1: lead characters and, for each, what was there and what was meant.
+TWICE = tuple((lead, tuple((lead + chr(b), chr(b + more)) for b in range(first, 0xC0))) for lead, first, more in (("\u00c2", 0xA1, 0), ("\u00c3", 0x80, 0x40)))
+
+
+def unmangled(c: Column) -> Column:
+    """Letters that were encoded twice are put right; texts without the lead characters are not touched."""
+    fixed = c
+    for _, chars in TWICE:
+        for broken, meant in chars:
+            fixed = F.replace(fixed, F.lit(broken), F.lit(meant))
+    return F.when(c.rlike("[\u00c2\u00c3][\u0080-\u00bf]"), fixed).otherwise(c)
+
+
 def category(path: Column, root: str = "./data") -> Column:
     """First folder under root, lower case, spaces as underscores; general for files right under it."""
     parts = F.split(F.regexp_replace(path, f"^{root.replace('.', '[.]')}/?", ""), "/")

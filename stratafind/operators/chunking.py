@@ -8,6 +8,8 @@ import re
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.text import CONTROL
+
 BIG, BIG_OVERLAP, SMALL, SMALL_OVERLAP = 512, 64, 256, 32
 KEEP, RESPLIT = 1.1, 1.5
 DIMENSIONS = 64
@@ -185,6 +187,16 @@ def resolve_pronouns(docs: DataFrame) -> DataFrame:
     return _each(docs, lambda i, t: [(i, replace_pronouns(t or ""))], ["doc_id", "text"], "doc_id long, text string")
 
 
-def in_batches(docs: DataFrame) -> DataFrame:
-    """An iterator of Arrow batches through Python: the streaming form of cleaning, one bounded batch at a time."""
-    return docs.select("doc_id", "text").mapInArrow(lambda batches: batches, "doc_id long, text string")
+def in_batches(docs: DataFrame, size: int = 32) -> DataFrame:
+    """Cleaning of control characters as an iterator: `size` texts at a time pass through Python, so memory stays bounded."""
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for b in batches:
+            for at in range(0, b.num_rows, size):
+                part = b.slice(at, size)
+                yield pa.RecordBatch.from_arrays([part.column(0), pc.replace_substring_regex(part.column(1), CONTROL, "")], names=["doc_id", "text"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text string")

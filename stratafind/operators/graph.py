@@ -220,3 +220,11 @@ def canonical(clusters: DataFrame, scores: DataFrame) -> DataFrame:
     """cluster, id of the node to keep: 10 * degree + props, then the shorter name, then the smaller id."""
     order = Window.partitionBy("cluster").orderBy(F.col("score").desc(), F.length("name"), "id")
     return clusters.join(scores, "id").withColumn("r", F.row_number().over(order)).where("r = 1").select("cluster", "id")
+
+
+def refined(nodes: DataFrame, edges: DataFrame, mention: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """nodes, edges and MENTIONS(chunk, entity) after one refinement: properties folded, types as labels, mentions of an edge type."""
+    folded, left = fold_properties(nodes, edges)
+    labelled = folded.withColumn("labels", F.array_union(F.array(F.lit("__Entity__")), F.array(F.col("props")["kind"])))
+    mentions = left.where(F.col("rel_type") == mention).select(F.least("src", "dst").alias("chunk"), F.greatest("src", "dst").alias("entity"), F.lit("MENTIONS").alias("rel_type")).distinct()
+    return labelled, left, mentions
