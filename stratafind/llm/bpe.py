@@ -95,6 +95,11 @@ class MemoEncoder:
         self.memo = _Memo(self._learn)
         self.names: list[bytes] | None = None
 
+    def clear(self) -> None:
+        """Forget all words."""
+        self.memo.clear()
+        self.letters.clear()
+
     def library(self, data: bytes) -> bytes:
         """The library's ids of a whole text."""
         return np.array(self.tokenizer.encode(data.decode(), add_special_tokens=False).ids, "<u4").tobytes()
@@ -133,7 +138,7 @@ class MemoEncoder:
 
 
 def encoder(path: str) -> MemoEncoder:
-    """This worker's encoder; workers are reused, so the memo outlives a task."""
+    """This worker's encoder; operators clear it after each task, as workers live on."""
     if path not in _encoders:
         _encoders[path] = MemoEncoder(path)
     return _encoders[path]

@@ -1,13 +1,13 @@
 """BPE encoding with content-defined chunk reuse, and decoding (operator 6).
 
 A rolling hash over the last 16 bytes cuts a text where the hash hits a fixed pattern, so equal passages give equal chunks
-wherever they stand. A worker encodes a chunk once and keeps it in a bounded store; a later document with that chunk takes
+wherever they stand. A task encodes a chunk once and keeps it in a bounded store; a later document with that chunk takes
 its ids from there. A chunk's ids are trusted only between its first and its last white space. Each join is repaired by
 encoding the words around it anew with the library: the words cut by the join, and one whole word of each side whose ids are
 known. If the new ids begin and end with the known ones, both sides agree and the middle is taken; else twice as many words
 of both sides are taken, until they agree or a side has no more, and then the text is encoded whole.
 
-Chunks are shared by the documents that a worker meets. Sharing them among workers would shuffle the texts themselves, which
+Chunks are shared by the documents of a task. Sharing them among tasks would shuffle the texts themselves, which
 takes longer than encoding them (see the README for figures).
 
 Defined results: null text is the empty text (no ids, empty decoding); a text without white space is one seam; repeated rows
@@ -22,11 +22,11 @@ import re
 from pyspark.sql import DataFrame
 
 from .bpe import default_path, encoder
-from .common import sliced, to_python
+from .common import SLICE_ROWS, sliced, to_python
 
 #: A cut on average every so many bytes (a power of two).
 MEAN_CHUNK = 512
-#: Bytes of chunks and ids a worker keeps; the store starts anew when full.
+#: Bytes of chunks and ids a task keeps; the store starts anew when full.
 STORE_BYTES = 48_000_000
 
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -123,6 +123,12 @@ class ChunkEncoder:
     def decode(self, ids: bytes) -> bytes:
         return self.words.decode(ids)
 
+    def clear(self) -> None:
+        """Forget all chunks and words."""
+        self.store.clear()
+        self.held = 0
+        self.words.clear()
+
 
 def chunk_encoder(path: str) -> ChunkEncoder:
     if path not in _stores:
@@ -138,7 +144,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, ids: bool = True,
         import pyarrow as pa
 
         enc = chunk_encoder(path)
-        for b in sliced(batches):
+        for b in sliced(batches, SLICE_ROWS, enc):
             made, back = [], []
             for data in b.column(1).cast(pa.binary()).to_pylist():
                 made.append(enc.encode(data or b""))

@@ -83,17 +83,24 @@ def to_python(df: DataFrame, *names: str) -> DataFrame:
     return require(df, *(names or df.columns))
 
 
-def sliced(batches, rows: int = SLICE_ROWS):
-    """The Arrow batches in zero-copy slices; after the last, memory that is free goes back to the system."""
+def give_back() -> None:
+    """Memory of a worker that is free goes back to the system."""
     import pyarrow as pa
 
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
+
+
+def sliced(batches, rows: int = SLICE_ROWS, *held):
+    """The Arrow batches in zero-copy slices; after the last, what was `held` for the task is emptied and memory given back."""
     try:
         for b in batches:
             for at in range(0, b.num_rows, rows):
                 yield b.slice(at, rows)
     finally:
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except AttributeError:  # not glibc
-            pass
+        for cache in held:
+            cache.clear()
+        give_back()

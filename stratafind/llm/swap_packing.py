@@ -17,7 +17,7 @@ import zlib
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import default_path, encoder
-from .common import cut_lineage, groups_for, sliced, to_python
+from .common import SLICE_ROWS, cut_lineage, groups_for, sliced, to_python
 
 CAPACITY = 4096
 END_ID = 1
@@ -38,7 +38,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
         import pyarrow as pa
 
         enc = encoder(path)
-        for b in sliced(batches):
+        for b in sliced(batches, SLICE_ROWS, enc):
             rows = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
                 ids = enc.encode(text or b"") + end
