@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 from ..common import shared_folder
 from ..functions import text as X
 from ..operators import chunking, retrieval as R
+from ..plans import agent as A
 from ..registry import query
+from .agent import GENERIC as A_GENERIC, any_of
+
+A_GLOBAL = any_of(A.GLOBAL, "lower(q)")
 
 VQ = "(SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0)"
 VECTOR = f"""(SELECT query_id, id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1)::INT AS rank FROM
@@ -54,11 +58,21 @@ query("ret_bm25", f"SELECT query_id, id, score, rank FROM {BM25} WHERE rank < 10
 query("ret_rrf", f"SELECT query_id, id, score, fused_rank FROM {FUSED}")(lambda t, _: R.fuse(candidates(t)).select("query_id", "id", "score", "fused_rank"))
 query("ret_top5", f"SELECT query_id, id, fused_rank FROM {FUSED} WHERE fused_rank <= 5")(lambda t, _: R.fuse(candidates(t)).where("fused_rank <= 5").select("query_id", "id", "fused_rank"))
 query("ret_hybrid", f"SELECT query_id, id, score, fused_rank FROM {FUSED} WHERE fused_rank <= 5")(lambda t, _: R.hybrid(t("documents"), t("embeddings"), text_queries(t), vector_queries(t)).select("query_id", "id", "score", "fused_rank"))
-COMMUNITY = "(SELECT label AS community_id, list_transform(range(1, 65), lambda i: 0) AS z, count(*) AS entity_count FROM embeddings GROUP BY label)"
-query("ret_community", f"""SELECT query_id, id, score, rank FROM (SELECT query_id, id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id DESC) - 1)::INT AS rank FROM
-    (SELECT query_id, vec_id AS id, round(list_dot_product(embedding::DOUBLE[], q::DOUBLE[]) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q::DOUBLE[], q::DOUBLE[]))), 9) AS score FROM embeddings, {VQ})) WHERE rank < 3""")(
-    lambda t, _: R.ranked(R.vector_search(R.vector_index(t("embeddings")), vector_queries(t), 1 << 30).drop("rank"), "query_id", F.col("score").desc(), F.col("id").desc(), top=3).select("query_id", "id", "score", "rank")
-)
+MEANS = "(SELECT label AS id, list(m ORDER BY i) AS embedding, max(n) AS n FROM (SELECT label, i, round(avg(x), 6) AS m, count(*) AS n FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i) GROUP BY label)"
+RANKED = f"""(SELECT query_id, id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id DESC) - 1)::INT AS rank FROM
+    (SELECT query_id, id, round(list_dot_product(embedding, q::DOUBLE[]) / (sqrt(list_dot_product(embedding, embedding)) * sqrt(list_dot_product(q::DOUBLE[], q::DOUBLE[]))), 6) AS score FROM {MEANS}, {VQ}))"""
+
+
+@query("ret_community", f"SELECT query_id, id, score, rank FROM {RANKED} WHERE rank < 3")
+def ret_community(t, _):
+    """A community is a label, its summary's vector the mean of its members; ties go to the later one."""
+    each = t("embeddings").select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("m"))
+    means = each.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda z: z["m"]).alias("embedding"))
+    index = R.vector_index(means.select(F.col("label").alias("vec_id"), "embedding"))
+    scored = R.scored(index, vector_queries(t)).withColumn("score", F.round("score", 6))
+    return R.ranked(scored, "query_id", F.col("score").desc(), F.col("id").desc(), top=3).select("query_id", "id", "score", "rank")
+
+
 query("ret_community_fallback", "SELECT label, count(*) AS entity_count FROM embeddings GROUP BY label ORDER BY entity_count DESC, label LIMIT 3")(lambda t, _: t("embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("entity_count")).orderBy(F.col("entity_count").desc(), "label").limit(3))
 query("sim_entity_rank", f"SELECT query_id, id, rank FROM {VECTOR} WHERE rank < 20")(lambda t, _: R.vector_search(R.vector_index(t("embeddings")), vector_queries(t), 20).select("query_id", "id", "rank"))
 TOPK = "(SELECT a.vec_id AS src, b.vec_id AS dst, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 9) AS score FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id)"
@@ -67,9 +81,8 @@ TOPK = "(SELECT a.vec_id AS src, b.vec_id AS dst, round(list_dot_product(a.embed
 def similar_edges(t, least):
     """src, dst, score: the three most similar others of each vector, over `least`."""
     rows = t("embeddings")
-    asked = rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    found = R.vector_search(R.vector_index(rows), asked, 4).where("query_id <> id")
-    return R.ranked(found.drop("rank"), "query_id", F.col("score").desc(), "id", top=3).where(F.col("score") > least).select(F.col("query_id").alias("src"), F.col("id").alias("dst"), "score")
+    found = R.nearest(rows, rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 3)
+    return found.where(F.col("score") > least).select(F.col("query_id").alias("src"), F.col("id").alias("dst"), "score")
 
 
 query("sim_topk_edges", f"SELECT src, dst, score FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS r FROM {TOPK}) WHERE r <= 3 AND score > 0.3")(lambda t, _: similar_edges(t, 0.3))
@@ -99,10 +112,19 @@ query("ret_seeds", "SELECT DISTINCT name FROM (SELECT c_name AS name FROM custom
 query("ret_web", f"SELECT query_id, ord, id FROM (SELECT query_id, fused_rank + 1000 AS ord, id FROM {FUSED} WHERE fused_rank <= 5 UNION ALL SELECT item_id, 0, -1 FROM benchmark)")(
     lambda t, _: R.fuse(candidates(t)).where("fused_rank <= 5").select("query_id", (F.col("fused_rank") + 1000).alias("ord"), "id").unionByName(text_queries(t).select("query_id", F.lit(0).alias("ord"), F.lit(-1).cast("long").alias("id")))
 )
-query("ret_dispatch", f"SELECT query_id, id, list_ord FROM {CANDIDATES} WHERE query_id % 2 = 0 OR list_ord = 1")(
-    lambda t, _: candidates(t).where("query_id % 2 = 0 OR list_ord = 1").select("query_id", "id", "list_ord")
-)
-query("g_embed_backfill")(lambda t, _: chunking._each(t("documents").where("doc_id % 2 = 0"), lambda i, x: [(i, float(chunking.embed(x or "")[0]))], ["doc_id", "text"], "doc_id long, first double"))
+@query("ret_dispatch", f"SELECT c.query_id, id, list_ord FROM {CANDIDATES} c JOIN (SELECT item_id, CASE WHEN {A_GENERIC} THEN 'community_search,summary_search' WHEN {A_GLOBAL} THEN 'summary_search,community_search,vector_search' ELSE 'vector_search,graph_search' END AS tools FROM (SELECT item_id, text AS q FROM benchmark)) p ON p.item_id = c.query_id WHERE contains(tools, 'vector_search')")
+def ret_dispatch(t, _):
+    """Each query's plan names its tools; only these run for it."""
+    planned = text_queries(t).select("query_id", A.plan(F.col("text"))["tools"].alias("tools"))
+    return R.dispatched(planned, {"vector_search": candidates(t)}).select("query_id", "id", "list_ord")
+
+
+@query("g_embed_backfill", "SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN 64 ELSE len(embedding) END::INT AS dim, vec_id % 2 = 0 AS filled FROM embeddings")
+def g_embed_backfill(t, _):
+    """Vectors that are missing (those of even ids are taken away) are embedded anew; the others stay."""
+    held = t("embeddings").select("vec_id", F.concat(F.lit("vector "), F.col("vec_id").cast("string")).alias("text"), F.when(F.col("vec_id") % 2 == 1, F.col("embedding")).alias("embedding"))
+    filled = chunking.backfilled(held.withColumn("missing", F.col("embedding").isNull()))
+    return filled.select("vec_id", F.size("embedding").alias("dim"), F.col("missing").alias("filled"))
 
 
 @query("snk_bm25", f"SELECT query_id, id, score, rank FROM {BM25} WHERE rank < 10")

@@ -6,6 +6,7 @@ import hashlib
 import re
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import CONTROL
@@ -200,3 +201,13 @@ def in_batches(docs: DataFrame, size: int = 32) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pc.replace_substring_regex(part.column(1), CONTROL, "")], names=["doc_id", "text"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text string")
+
+
+def backfilled(nodes: DataFrame) -> DataFrame:
+    """nodes(text, embedding, ...) where a null embedding becomes that of the text, zeros for no text; others pass unchanged."""
+    @F.pandas_udf("array<float>")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else embed(x).astype("float32").tolist() for x in texts])
+
+    wanted = F.when(F.col("embedding").isNull(), F.coalesce("text", F.lit("")))
+    return nodes.withColumn("embedding", F.coalesce("embedding", of(wanted)))

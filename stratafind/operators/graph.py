@@ -52,17 +52,26 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 
 def expand(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, hops: int = 1, limit: int | None = 20) -> DataFrame:
-    """seed, id, name, hop, rel_types, valid_from: paths of 1 to `hops` edges from seeds(name), no edge twice, either direction."""
-    start = named(nodes).join(checked_broadcast(seeds.select("name").distinct()), "name", "left_semi").select(F.col("id").alias("seed"))
-    step = both_ways(edges)
-    at = start.select("seed", F.col("seed").alias("src"), F.array().cast("array<string>").alias("path"), F.array().cast("array<string>").alias("rel_types"), F.lit(None).cast("string").alias("valid_from"))
+    """seed, id, name, hop, rel_types, valid_from: paths of 1 to `hops` edges from seeds(name), no edge twice, either direction.
+
+    Both directions of the edges are written once and read at every hop. Paths with the same seed, end, edges' kinds and first
+    date differ only in edges they may not use again; these are kept as long as hops remain, and paths are told apart no more
+    than that at the last one.
+    """
+    start = cut_lineage(named(nodes).join(checked_broadcast(seeds.select("name").distinct()), "name", "left_semi").select(F.col("id").alias("seed")))
+    step = cut_lineage(both_ways(edges)) if hops > 1 else both_ways(edges)
+    at = start.select("seed", F.col("seed").alias("src"), F.array().cast("array<string>").alias("path"), F.lit("").alias("rel_types"), F.lit(None).cast("string").alias("valid_from"))
     found = []
     for hop in range(1, hops + 1):
-        next_ = at.withColumnRenamed("valid_from", "vf").join(step, "src").where(~F.array_contains("path", F.col("edge_id")))
+        frontier = checked_broadcast(at.withColumnRenamed("valid_from", "vf"))
+        next_ = step.join(frontier, "src").where(~F.array_contains("path", F.col("edge_id")))
         first = F.col("valid_from") if hop == 1 else F.col("vf")
-        at = next_.select("seed", F.col("dst").alias("src"), F.array_append("path", F.col("edge_id")).alias("path"), F.array_append("rel_types", F.col("rel_type")).alias("rel_types"), first.alias("valid_from"))
-        found.append(at.select("seed", F.col("src").alias("id"), F.lit(hop).alias("hop"), F.array_join("rel_types", ">").alias("rel_types"), "valid_from"))
-    reached = reduce(DataFrame.unionByName, found).distinct().join(start.select(F.col("seed").alias("id")), "id", "left_anti")
+        kinds = F.col("rel_type") if hop == 1 else F.concat("rel_types", F.lit(">"), "rel_type")
+        at = next_.select("seed", F.col("dst").alias("src"), F.array_append("path", F.col("edge_id")).alias("path"), kinds.alias("rel_types"), first.alias("valid_from"))
+        if hop < hops:
+            at = cut_lineage(at)
+        found.append(at.select("seed", F.col("src").alias("id"), F.lit(hop).alias("hop"), "rel_types", "valid_from").distinct())
+    reached = reduce(DataFrame.unionByName, found).join(checked_broadcast(start.select(F.col("seed").alias("id"))), "id", "left_anti")
     out = reached.join(named(nodes).select("id", "name"), "id")
     return out if limit is None else out.orderBy("hop", "name", "seed", "rel_types", "valid_from").limit(limit)
 
@@ -139,35 +148,112 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key), key, "left_anti").unionByName(new)
 
 
-def louvain(edges: DataFrame, rounds: int = 6, levels: int = 2) -> DataFrame:
-    """node, community (its smallest node) from edges(a, b): local moves by grouped joins, then the same on communities.
+#: Weighted edges, both ways, up to which one task finds the communities node by node.
+LOCAL_EDGES = 1_000_000
 
-    Half of the nodes may move in a round (by a hash), so that neighbours do not swap for ever; whatever the size of a
-    component, no task holds more than partial sums of it.
+
+def settled(weights: dict, least_gain: float = 1e-9) -> dict:
+    """Community of each node of weights {x: {y: w}}, both ways: nodes in order move to the neighbouring community with the
+    largest gain until none moves, then communities become nodes, until nothing is gained."""
+    of = {x: x for x in weights}
+    while True:
+        degree = {x: sum(near.values()) for x, near in weights.items()}
+        double_m, own = sum(degree.values()) or 1.0, {x: x for x in weights}
+        total, moved, changed = dict(degree), True, False
+        while moved:
+            moved = False
+            for x in sorted(weights):
+                inside: dict = {}
+                for y, w in weights[x].items():
+                    if y != x:
+                        inside[own[y]] = inside.get(own[y], 0.0) + w
+                total[own[x]] -= degree[x]
+                gain = lambda c: inside.get(c, 0.0) - degree[x] * total[c] / double_m  # noqa: B023, E731
+                best = max(inside, key=lambda c: (gain(c), c), default=own[x])
+                if gain(best) > gain(own[x]) + least_gain:
+                    own[x], moved, changed = best, True, True
+                total[own[x]] += degree[x]
+        if not changed:
+            return of
+        of = {n: own[c] for n, c in of.items()}
+        merged: dict = {}
+        for x, near in weights.items():
+            into = merged.setdefault(own[x], {})
+            for y, w in near.items():
+                into[own[y]] = into.get(own[y], 0.0) + w
+        weights = merged
+
+
+def louvain(edges: DataFrame, least_gain: float = 1e-3, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """node, community (its smallest node) from edges(a, b), by Louvain's moves.
+
+    Up to `local_edges` weighted edges (counted first) go to one task, which moves node by node. Larger graphs are settled by
+    grouped joins, half of the nodes moving in a round (by a hash), so that neighbours do not swap for ever; there no task
+    holds more than partial sums, a level's rounds go on until modularity no longer rises by `least_gain`, the best state is
+    kept, and levels go on until one gains nothing.
     """
     both = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(edges.select(F.col("b").alias("x"), F.col("a").alias("y")))
     w = cut_lineage(both.groupBy("x", "y").agg(F.count(F.lit(1)).cast("double").alias("w")))
-    of = w.select(F.col("x").alias("node")).distinct().withColumn("top", F.col("node"))
+    if w.count() <= local_edges:
+
+        def of_all(pdf):
+            import pandas as pd
+
+            weights: dict = {}
+            for x, y, k in zip(pdf["x"].tolist(), pdf["y"].tolist(), pdf["w"].tolist()):
+                weights.setdefault(x, {})[y] = k
+            found, least = settled(weights), {}
+            for n, c in found.items():
+                least[c] = min(n, least.get(c, n))
+            return pd.DataFrame([(n, least[c]) for n, c in found.items()], columns=["node", "community"])
+
+        kind = w.schema["x"].dataType.simpleString()
+        return w.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(of_all, f"node {kind}, community {kind}")
+    of = cut_lineage(w.select(F.col("x").alias("node")).distinct().withColumn("top", F.col("node")))
     double_m = w.agg(F.sum("w")).first()[0] or 1.0
-    for _ in range(levels):
+    reached = None
+    while True:
         state = cut_lineage(w.groupBy("x").agg(F.sum("w").alias("k")).withColumn("c", F.col("x")))
-        for r in range(rounds):
-            total = state.groupBy("c").agg(F.sum("k").alias("tot"))
-            near = w.where("x <> y").join(state.select(F.col("x").alias("y"), "c"), "y").groupBy("x", "c").agg(F.sum("w").alias("in"))
-            options = near.unionByName(state.select("x", "c", F.lit(0.0).alias("in"))).groupBy("x", "c").agg(F.sum("in").alias("in"))
-            own = state.select("x", "k", F.col("c").alias("own"))
-            rest = F.col("tot") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(F.lit(0.0))
-            gain = F.round(F.col("in") - F.col("k") * rest / double_m, 9)
-            best = options.join(own, "x").join(total, "c").groupBy("x", "k", "own").agg(F.max_by("c", F.struct(gain.alias("g"), (F.col("c") == F.col("own")).alias("stay"), F.col("c").alias("name"))).alias("to"))
-            may = F.pmod(F.xxhash64("x", F.lit(r)), F.lit(2)) == 0
-            state = cut_lineage(best.select("x", "k", F.when(may, F.col("to")).otherwise(F.col("own")).alias("c")))
-        of = cut_lineage(of.join(state.select(F.col("x").alias("top"), "c"), "top").select("node", F.col("c").alias("top")))
-        c = state.select("x", "c")
+        best, score, idle, r = state, modularity(w, state, double_m), 0, 0
+        if reached is None:
+            reached = score
+        while idle < 1:
+            state = _moved(w, state, double_m, r)
+            now = modularity(w, state, double_m)
+            idle = 0 if now > score + least_gain else idle + 1
+            best, score = (state, now) if now > score else (best, score)
+            r += 1
+        if score <= reached + least_gain:
+            break
+        reached = score
+        of = cut_lineage(of.join(best.select(F.col("x").alias("top"), "c"), "top").select("node", F.col("c").alias("top")))
+        c = best.select("x", "c")
         w = cut_lineage(w.join(c, "x").join(c.select(F.col("x").alias("y"), F.col("c").alias("d")), "y").groupBy(F.col("c").alias("x"), F.col("d").alias("y")).agg(F.sum("w").alias("w")))
     name = of.groupBy("top").agg(F.min("node").alias("community"))
     return of.join(name, "top").select("node", "community")
 
 
+def modularity(w: DataFrame, state: DataFrame, double_m: float) -> float:
+    """Of the communities c of state(x, k, c) in the weights w(x, y, w), both ways."""
+    c = state.select("x", "c")
+    inside = w.join(c, "x").join(c.select(F.col("x").alias("y"), F.col("c").alias("d")), "y").where("c = d").agg(F.sum("w")).first()[0] or 0.0
+    expected = state.groupBy("c").agg(F.sum("k").alias("t")).agg(F.sum((F.col("t") / double_m) ** 2)).first()[0] or 0.0
+    return inside / double_m - expected
+
+
+def _moved(w: DataFrame, state: DataFrame, double_m: float, turn: int) -> DataFrame:
+    """state(x, k, c) after the nodes whose turn it is have joined the neighbouring community with the largest gain."""
+    total = state.groupBy("c").agg(F.sum("k").alias("tot"))
+    near = w.where("x <> y").join(state.select(F.col("x").alias("y"), "c"), "y").groupBy("x", "c").agg(F.sum("w").alias("in"))
+    options = near.unionByName(state.select("x", "c", F.lit(0.0).alias("in"))).groupBy("x", "c").agg(F.sum("in").alias("in"))
+    own = state.select("x", "k", F.col("c").alias("own"))
+    rest = F.col("tot") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(F.lit(0.0))
+    gain = F.round(F.col("in") - F.col("k") * rest / double_m, 9)
+    best = options.join(own, "x").join(total, "c").groupBy("x", "k", "own").agg(F.max_by("c", F.struct(gain.alias("g"), (F.col("c") == F.col("own")).alias("stay"), F.col("c").alias("name"))).alias("to"))
+    may = F.pmod(F.xxhash64("x", F.lit(turn)), F.lit(2)) == 0
+    return cut_lineage(best.select("x", "k", F.when(may, F.col("to")).otherwise(F.col("own")).alias("c")))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (smallest node): each round takes the least label around, then jumps to that label's own."""
     e = both_ways(edges.select(F.lit("").alias("edge_id"), F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("").alias("rel_type"), F.lit("").alias("valid_from"))).select("src", "dst")

@@ -21,12 +21,77 @@ def vector_index(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").alias("id"), "embedding", F.sqrt(X.dot(F.col("embedding"), F.col("embedding"))).alias("norm"))
 
 
-def vector_search(index: DataFrame, queries: DataFrame, top: int = 5) -> DataFrame:
-    """query_id, id, score, rank for queries(query_id, q)."""
+def scored(index: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, id, score (cosine) of every query of queries(query_id, q) with every row."""
     asked = queries.select("query_id", "q", F.sqrt(X.dot(F.col("q"), F.col("q"))).alias("qn"))
     n = F.col("norm") * F.col("qn")
     both = against_all(asked, index).withColumn("score", F.when(n == 0, F.lit(0.0)).otherwise(X.dot(F.col("embedding"), F.col("q")) / n))
-    return ranked(both.select("query_id", "id", F.round("score", 9).alias("score")), "query_id", F.col("score").desc(), "id", top=top)
+    return both.select("query_id", "id", "score")
+
+
+def vector_search(index: DataFrame, queries: DataFrame, top: int = 5) -> DataFrame:
+    """query_id, id, score, rank for queries(query_id, q)."""
+    return ranked(scored(index, queries).withColumn("score", F.round("score", 9)), "query_id", F.col("score").desc(), "id", top=top)
+
+
+#: Rows of a block of vectors; two of them and their products are what a task holds.
+BLOCK = 2048
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, top: int) -> DataFrame:
+    """query_id, id, score, rank: the `top` most similar others of each query, by matrix products of blocks.
+
+    vectors(vec_id, embedding) and queries(query_id, q) are dealt into blocks; each pair of blocks is a task of its own that
+    leaves the best `top` of its queries, and those of all blocks are ranked. A row is no neighbour of a query of its id.
+    """
+    import numpy as np
+
+    blocks = max(1, -(-vectors.count() // BLOCK))
+    shape = "block int, ids binary, data binary, dim int"
+    deal = lambda df, i, v: df.select(F.col(i).cast("long").alias("i"), F.col(v).cast("array<double>").alias("v")).where("i IS NOT NULL AND v IS NOT NULL").withColumn("block", F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int"))
+
+    def packed(pdf):
+        import pandas as pd
+
+        out = []
+        for dim, part in pdf.groupby(pdf["v"].map(len)):
+            m = np.array(part["v"].tolist(), dtype=float).reshape(len(part), -1)
+            n = np.linalg.norm(m, axis=1, keepdims=True)
+            m = np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+            out.append((int(pdf["block"].iloc[0]), part["i"].to_numpy(np.int64).tobytes(), m.tobytes(), int(dim)))
+        return pd.DataFrame(out, columns=["block", "ids", "data", "dim"])
+
+    rows, asked = (deal(df, i, v).groupBy("block").applyInPandas(packed, shape) for df, i, v in ((vectors, "vec_id", "embedding"), (queries, "query_id", "q")))
+
+    def best(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for qi, qd, dim, ri, rd in zip(*[b.column(k).to_pylist() for k in range(5)]):
+                q, r = np.frombuffer(qi, np.int64), np.frombuffer(ri, np.int64)
+                s = np.round(np.frombuffer(qd).reshape(len(q), dim) @ np.frombuffer(rd).reshape(len(r), dim).T, 9)
+                s[q[:, None] == r[None, :]] = -np.inf
+                # ids rise within equal scores
+                by_id = np.argsort(r, kind="stable")
+                order = by_id[np.argsort(-s[:, by_id], axis=1, kind="stable")[:, :top]]
+                score = np.take_along_axis(s, order, 1)
+                ok = np.isfinite(score)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, order.shape[1])[ok.ravel()]), pa.array(r[order][ok]), pa.array(score[ok])], names=["query_id", "id", "score"])
+
+    both = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"), F.col("block").alias("mine"), F.col("ids").alias("qi"), F.col("data").alias("qd"), "dim")
+    met = both.join(rows.select(F.col("block").alias("other"), F.col("ids").alias("ri"), F.col("data").alias("rd"), "dim"), ["other", "dim"])
+    dealt = met.repartition("mine", "other").select("qi", "qd", "dim", "ri", "rd")
+    return ranked(dealt.mapInArrow(best, "query_id long, id long, score double"), "query_id", F.col("score").desc(), "id", top=top)
+
+
+def dispatched(planned: DataFrame, tools: dict[str, DataFrame]) -> DataFrame:
+    """Of the tools' results (by name, with query_id) those of the queries whose plan(query_id, tools) names the tool."""
+    out = None
+    for name, found in tools.items():
+        named = planned.where(F.array_contains(F.split("tools", ","), F.lit(name))).select("query_id")
+        part = found.join(named, "query_id", "left_semi")
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
 
 
 def bm25_index(docs: DataFrame) -> DataFrame:
@@ -36,7 +101,7 @@ def bm25_index(docs: DataFrame) -> DataFrame:
 
 
 def bm25_stats(docs: DataFrame) -> DataFrame:
-    """n and mean length of the corpus: one row."""
+    """n and mean length of the corpus: one row; only the count of tokens is taken from the texts."""
     return docs.select(F.size(X.tokens(F.col("text"))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
 
 
