@@ -285,7 +285,7 @@ NARROW = int(64 * NARROW_WORDS * FEW_BITS + 4 * math.sqrt(64 * NARROW_WORDS * FE
 #: Deviations above the expected difference of wide fingerprints up to which pairs are verified on their shingles.
 ROOM = 4
 #: Pairs that each group puts forward in the first round, its nearest ones; four times as many in each further round.
-NEAREST = 2
+NEAREST = 1
 
 
 def bit_difference(similarity: float) -> float:
@@ -522,9 +522,10 @@ def _put_forward(members: DataFrame, rooted: DataFrame, close, top: int) -> Data
         if held:
             yield answer(held)
 
-    each = cut_lineage(members.join(rooted, "name"))
+    # the fingerprints join last: clouds of one group alone need none
+    each = cut_lineage(members.join(rooted.select("name", "root"), "name"))
     mixed = each.groupBy("cloud").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("cloud")
-    told = each.join(mixed, "cloud").select("cloud", "side", "name", "root", "n", "wide")
+    told = each.join(mixed, "cloud").join(rooted.select("name", "n", "wide"), "name").select("cloud", "side", "name", "root", "n", "wide")
     return told.repartition("cloud").sortWithinPartitions("cloud").mapInArrow(run, "a long, b long, apart long, ra long, rb long")
 
 
@@ -627,8 +628,8 @@ def _grown(pairs: DataFrame, members: DataFrame | None, nodes: DataFrame, docs:
         if tested is not None:
             ranked, new = (None if x is None else x.join(tested, ["a", "b"], "left_anti") for x in (ranked, new))
         if ranked is not None:
-            ends = ranked.select(F.explode(F.array(F.struct(F.col("ra").alias("root"), "apart", "a", "b"), F.struct(F.col("rb").alias("root"), "apart", "a", "b"))).alias("e")).select("e.*")
-            best = ends.withColumn("place", F.row_number().over(Window.partitionBy("root").orderBy("apart", "a", "b"))).where(F.col("place") <= top).select("a", "b")
+            place = lambda root: F.row_number().over(Window.partitionBy(root).orderBy("apart", "a", "b"))
+            best = ranked.withColumn("pa", place("ra")).withColumn("pb", place("rb")).where((F.col("pa") <= top) | (F.col("pb") <= top)).select("a", "b")
             new = best if new is None else best.unionByName(new.select("a", "b"))
         new = cut_lineage(new.select("a", "b").distinct())
         if not new.head(1):
