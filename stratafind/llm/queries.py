@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chunk_bpe, collinear, feistel_pseudonyms, jump_sharding, line_crf, pivot_topk, secret_entropy, simhash_variants, swap_packing, url_markov
+from . import chunk_bpe, collinear, elkan_codes, feistel_pseudonyms, fuse_dedup, jump_sharding, line_crf, pivot_topk, secret_entropy, simhash_variants, spelling_automata, swap_packing, url_markov
+from .oracles import LLOYD, SPELLING
 from .common import table
 
 
@@ -50,7 +51,19 @@ def op10_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jump_sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_swap_packing, op2_secret_entropy, op3_feistel_pseudonyms, op4_url_markov, op5_line_crf, op6_chunk_bpe, op7_collinear_passages, op8_simhash_variants, op9_pivot_topk, op10_jump_shards)}
+def op11_elkan_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return elkan_codes.coded(table(spark, sf_dir, "embeddings"))
+
+
+def op12_fuse_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuse_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_automata.variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_swap_packing, op2_secret_entropy, op3_feistel_pseudonyms, op4_url_markov, op5_line_crf, op6_chunk_bpe, op7_collinear_passages, op8_simhash_variants, op9_pivot_topk, op10_jump_shards, op11_elkan_codes, op12_fuse_dedup, op13_spelling_automata)}
 
 ORACLE = {
     "op9_pivot_topk": """
@@ -59,4 +72,10 @@ ORACLE = {
         ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored)
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
     """,
+    "op11_elkan_codes": LLOYD,
+    "op12_fuse_dedup": """
+        SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+        FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+    """,
+    "op13_spelling_automata": SPELLING,
 }
