@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..common import delete, exists
 from . import retrieval
+from .buckets import BUCKETS, BucketTable
 
 
 class VectorIndex:
@@ -78,41 +79,29 @@ class SummaryIndex:
 
 
 class GraphStore:
-    """Nodes and edges under a folder; upserts replace by id, edges without an end are dropped, nodes without id get one."""
+    """Nodes and edges as bucketed tables under a folder; upserts replace by id in the buckets they touch, edges without an end
+    are dropped, nodes without id get one."""
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
         self.spark, self.path = spark, path
-
-    def _kept(self, name: str) -> DataFrame | None:
-        return self.spark.read.parquet(f"{self.path}/{name}/v{v}") if (v := self._version(name)) else None
-
-    def _version(self, name: str) -> int:
-        v = 0
-        while exists(self.spark, f"{self.path}/{name}/v{v + 1}"):
-            v += 1
-        return v
-
-    def _upsert(self, name: str, new: DataFrame, key: str) -> None:
-        old, v = self._kept(name), self._version(name)
-        if old is not None:
-            new = old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
-        new.write.mode("overwrite").parquet(f"{self.path}/{name}/v{v + 1}")
+        self._nodes = BucketTable(spark, f"{path}/nodes", "id", buckets)
+        self._edges = BucketTable(spark, f"{path}/edges", "edge_id", buckets)
 
     def upsert_nodes(self, nodes: DataFrame) -> None:
         """nodes(id, name, type): a null id becomes one made of the name and type, the same in a repeated run."""
         made = F.sha2(F.concat_ws("|", F.lit("node"), "name", "type"), 256)
-        self._upsert("nodes", nodes.withColumn("id", F.coalesce("id", made)).dropDuplicates(["id"]), "id")
+        self._nodes.merge(nodes.withColumn("id", F.coalesce("id", made)))
 
     def upsert_edges(self, edges: DataFrame) -> None:
         """edges(src, relation, dst)."""
         kept = edges.where("src IS NOT NULL AND dst IS NOT NULL").withColumn("edge_id", F.concat_ws("|", "src", "relation", "dst"))
-        self._upsert("edges", kept.dropDuplicates(["edge_id"]), "edge_id")
+        self._edges.merge(kept)
 
     def nodes(self) -> DataFrame:
-        return self._kept("nodes")
+        return self._nodes.read()
 
     def edges(self) -> DataFrame:
-        return self._kept("edges")
+        return self._edges.read()
 
 
 def clear(spark: SparkSession, path: str) -> bool:

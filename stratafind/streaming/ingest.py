@@ -1,10 +1,11 @@
-"""Incremental ingestion: a file stream for new paths, hashes for edited ones, idempotent merges into Parquet tables."""
+"""Incremental ingestion: a file stream for new paths, hashes for edited ones, idempotent merges into bucketed tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import clean, files
+from ..operators.buckets import BucketTable
 
 
 def prepared(raw: DataFrame) -> DataFrame:
@@ -12,33 +13,22 @@ def prepared(raw: DataFrame) -> DataFrame:
     return clean.cleaned(files.load_text(raw).join(raw.select("path", "sha256"), "path"))
 
 
-def merge(spark: SparkSession, new: DataFrame, table: str, key: str = "path") -> None:
-    """New rows replace old ones of their key; a replayed batch changes nothing. The next version is written beside the last."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(table)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    versions = sorted(int(s.getPath().getName()[1:]) for s in fs.listStatus(root)) if fs.exists(root) else []
-    if versions:
-        old = spark.read.parquet(f"{table}/v{versions[-1]}")
-        new = old.join(new.select(key), key, "left_anti").unionByName(new)
-    new.write.parquet(f"{table}/v{(versions or [0])[-1] + 1}")
-    for v in versions[:-1]:
-        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{table}/v{v}"), True)
+def merge(spark: SparkSession, new: DataFrame, table: str, key: str = "path", token: tuple[str, int] | None = None) -> None:
+    """New rows replace old ones of their key, in the buckets of those keys alone; a replayed batch changes nothing."""
+    kept = BucketTable(spark, table, key)
+    kept.merge(new, token=token)
+    kept.vacuum(keep=2)
 
 
-def current(spark: SparkSession, table: str) -> DataFrame:
-    root = spark._jvm.org.apache.hadoop.fs.Path(table)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    return spark.read.parquet(f"{table}/v{max(int(s.getPath().getName()[1:]) for s in fs.listStatus(root))}")
+def current(spark: SparkSession, table: str, key: str = "path") -> DataFrame | None:
+    return BucketTable(spark, table, key).read()
 
 
 def ingest_changes(spark: SparkSession, root: str, table: str) -> int:
     """The batch form: files whose hash is not on record, edits included. Returns how many were taken."""
     found = files.scan(spark, root)
-    try:
-        found = files.dirty(found, current(spark, table))
-    except Exception as e:  # no table yet
-        if "does not exist" not in str(e) and "PATH_NOT_FOUND" not in str(e) and "FileNotFound" not in str(e):
-            raise
+    if (known := current(spark, table)) is not None:
+        found = files.dirty(found, known)
     new = prepared(found)
     n = new.count()
     if n:
@@ -53,7 +43,7 @@ def stream_new(spark: SparkSession, root: str, table: str, state: str, per_batch
         .option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_batch).load(root)
     )
 
-    def take(batch: DataFrame, _: int) -> None:
-        merge(spark, prepared(batch.select("path", "content", F.sha2("content", 256).alias("sha256"))), table)
+    def take(batch: DataFrame, number: int) -> None:
+        merge(spark, prepared(batch.select("path", "content", F.sha2("content", 256).alias("sha256"))), table, token=(state, number))
 
     return source.writeStream.foreachBatch(take).option("checkpointLocation", state).trigger(availableNow=True).start()
