@@ -1 +1 @@
-from . import agent, graph, providers, retrieval, sources, text  # noqa: F401
+from . import agent, graph, ingestion, providers, retrieval, sources, text  # noqa: F401
