@@ -36,15 +36,20 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 HEX_BITS, TOKEN_BITS, SINGLE_BITS = 3.0, 3.6, 3.6
 #: A window of digits and letters of one case has this many of each at least.
 SINGLE_LEAST = 2
-#: Candidates that look random but are no secrets: plain numbers, UUIDs, digests named as such, paths, place holders.
+#: Candidates that look random but are no secrets: plain numbers, UUIDs, digests named as such.
 ALLOW = (
     r"^[0-9_=+/-]+$",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^(?i:md5|sha1|sha256|sha384|sha512)[-_=]",
-    r"^/?(?:[A-Za-z]+[0-9]{0,2}/){2,}[A-Za-z0-9_-]*$",
-    r"^(?i:(?:example|placeholder|changeme|dummy|sample|your|my|insert|here|key|token|secret|api|test|x{4,}|[0-9_+/=-])+)$",
-    r"^(?i:(?:0?123456789|abcdefghij(?:klmnopqrstuvwxyz)?|[_+/=-])+)$",
 )
+#: And those that consist of these alone: place holders, runs of the alphabet. No item begins another, so that each is found by
+#: going on from the last one; a repeated alternation would be matched by recursion, as deep as the text is long.
+ALLOW_MADE_OF = (
+    r"\G(?i:example|placeholder|changeme|dummy|sample|your|my|insert|here|key|token|secret|api|test|x{4,}|[0-9_+/=-])",
+    r"\G(?i:0?123456789|abcdefghij(?:klmnopqrstuvwxyz)?|[_+/=-])",
+)
+#: A path has two folders or more, and then a name.
+FOLDER, FOLDERS, NAME = r"\G[A-Za-z]+[0-9]{0,2}/", r"^/?[^/]+/[^/]+/", r"^[A-Za-z0-9_-]*$"
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_token")
 
 SPAN = "struct<start:int,ord:int,kind:string,end:int,text:string>"
@@ -204,15 +209,22 @@ def _hot_windows(s: Column) -> Column:
     return _let(slid, lambda end: F.struct(end["first"].alias("first"), end["last"].alias("last")))
 
 
+def allowed(s: Column) -> Column:
+    """Whether a candidate is on the allow list."""
+    found = s.rlike(FOLDERS) & F.regexp_replace(F.regexp_replace(s, "^/", ""), FOLDER, "").rlike(NAME)
+    for p in ALLOW:
+        found = found | s.rlike(p)
+    for p in ALLOW_MADE_OF:
+        found = found | (F.regexp_replace(s, p, "") == "")
+    return found
+
+
 def _entropy(text: Column) -> Column:
     """Added spans of a text from which the base spans are blanked out."""
 
     def random(r: Column) -> Column:
         s = r["text"]
-        allowed = F.lit(False)
-        for p in ALLOW:
-            allowed = allowed | s.rlike(p)
-        return s.rlike("[0-9]") & s.rlike("[A-Za-z]") & ~allowed
+        return s.rlike("[0-9]") & s.rlike("[A-Za-z]") & ~allowed(s)
 
     def span(r: Column) -> Column:
         def named(w: Column) -> Column:

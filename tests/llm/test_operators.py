@@ -18,6 +18,11 @@ from stratafind.llm.bpe import default_path
 from stratafind.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
+#: The secret scan's allow list as patterns for a whole candidate.
+ALLOWED = (
+    r"[0-9_=+/-]+", r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", r"(?i:md5|sha1|sha256|sha384|sha512)[-_=].*", r"/?(?:[A-Za-z]+[0-9]{0,2}/){2,}[A-Za-z0-9_-]*",
+    r"(?i:(?:example|placeholder|changeme|dummy|sample|your|my|insert|here|key|token|secret|api|test|x{4,}|[0-9_+/=-])+)", r"(?i:(?:0?123456789|abcdefghij(?:klmnopqrstuvwxyz)?|[_+/=-])+)",
+)
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp string, n long, shard string"
 
 
@@ -132,7 +137,7 @@ def brute_added(text, base):
     out = []
     for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", "".join(rest)):
         s = m[0]
-        if any(re.search(p, s) for p in secret_entropy.ALLOW):
+        if any(re.fullmatch(p, s) for p in ALLOWED):
             continue
         hot = [i for i in range(len(s) - 19) if brute_hot(s[i : i + 20])]
         if hot:

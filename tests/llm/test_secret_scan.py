@@ -1,11 +1,14 @@
 """The secret scan on long runs and many matches, on all classes of keys, and in the pipeline."""
 
 import random
+import re
 import time
 
 import corpus_pipeline
+import pytest
+from pyspark.sql import functions as F
 from stratafind.llm import secret_entropy
-from test_operators import brute_added, brute_base, check_secrets
+from test_operators import ALLOWED, brute_added, brute_base, check_secrets
 
 TOKEN = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
 
@@ -81,3 +84,22 @@ def test_pipeline_stage(spark):
     want = [(i, m := masked(t), 7 if m == t else len(m), "a", "b", "c") for i, t in rows]
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     assert corpus_pipeline.secrets(spark, df.limit(0), "").collect() == []
+
+
+def test_allow_list_as_one_pattern_each(spark):
+    """The allow list against Python's engine, whose repeated groups do not recurse, on short and odd candidates."""
+    r = random.Random(8)
+    bits = ["example", "KEY", "my", "xxx", "xxxx", "1", "_", "-", "/", "a/", "ab12/", "ab123/", "//", "z", "0123456789", "abcdefghij", "abcdefghijklmnopqrstuvwxyz", "k", "sha1", "md5-", "deadbeef", "=", "test1_"]
+    rows = sorted({"".join(r.choice(bits) for _ in range(r.randint(1, 6))) for _ in range(3000)})
+    got = {x["s"]: x["ok"] for x in spark.createDataFrame([(x,) for x in rows], "s string").select("s", secret_entropy.allowed(F.col("s")).alias("ok")).collect()}
+    assert got == {s: any(re.fullmatch(p, s) for p in ALLOWED) for s in rows}
+    assert 100 < sum(got.values()) < len(rows)
+
+
+@pytest.mark.parametrize("bit", ["test1_", "abc1/", "1.", "a", "/ab1/", "xxxx1", "0123456789", "abcdefghij_", "AKIA1", "token=", "a1b2"])
+def test_long_allow_listed_tokens(spark, bit):
+    """A million characters of each form: no recursion, and time in proportion."""
+    text = "x " + bit * (1_000_000 // len(bit))
+    frame = spark.createDataFrame([(1, text), (2, "password = hunter2hunter2")], "doc_id long, text string")
+    got = {x["doc_id"]: x["n_assign"] for x in secret_entropy.scan_documents(frame).collect()}
+    assert got[2] == 1 and got.keys() == {1, 2}
