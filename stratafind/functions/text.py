@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Patterns that decide what is removed.
+# Patterns that decide what is removed. Blanks are taken possessively and a line that follows blank ones is not
+# tried again, so that long runs of blanks, numbers or letters cost time in proportion; no group is repeated by recursion.
+_START = r"(?md)^(?:\G|(?<!\n[\-\s]{0,8}\n))"
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
-PAGE_NUMBERS = (r"(?md)^[\-\s]*[Pp]age\s+\d+\s*(of\s+\d+)?[\-\s]*$", r"(?md)^\s*\d+\s*\|\s*[Pp]\s*a\s*g\s*e\s*$", r"(?md)^\s*-\s*\d+\s*-\s*$")
-LEGAL = r"(?i)(confidential|proprietary|all rights reserved|copyright\s+©?\s*\d{4})[^\n]*"
+PAGE_NUMBERS = (_START + r"[\-\s]*+[Pp]age\s++\d+\s*(of\s++\d+)?[\-\s]*$", _START + r"\s*+\d+\s*+\|\s*+[Pp]\s*+a\s*+g\s*+e\s*$", _START + r"\s*+-\s*+\d+\s*+-\s*$")
+LEGAL = r"(?i)(confidential|proprietary|all rights reserved|copyright\s++©?\s*+\d{4})[^\n]*"
 DRAFT = r"(?i)\b(draft|do not distribute|internal use only)\b[^\n]*"
-EMPTY_NUMBERS = r"(?md)^\s*(\d+\.)+\s*$"
+EMPTY_NUMBERS = _START + r"\s*+(?:\d++\.)++\s*$"
 REPEATED_LINES, REPEATED_LENGTH = 4, 5
 MARKS = (("“", '"'), ("”", '"'), ("‘", "'"), ("’", "'"), ("…", "..."), ("–", "-"), ("—", "--"))
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(c, r"(?U)^\s+|(?<!\s)\s+$", "")
 
 
 def no_control(c: Column) -> Column:
@@ -23,7 +25,8 @@ def no_control(c: Column) -> Column:
 
 
 def dehyphenated(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)(\w+)-\s*\n\s*(\w+)", "$1$2")
+    """A word that a hyphen parts at a line's end is put together; the second half belongs to no further such word."""
+    return F.regexp_replace(c, r"(?U)(?!\G)(?<=\w)-[\s&&[^\n]]*+\n\s*+(\w+)", "$1")
 
 
 def unspaced(c: Column) -> Column:
@@ -62,7 +65,7 @@ def no_empty_numbers(c: Column) -> Column:
 
 
 def tidy_space(c: Column) -> Column:
-    c = F.regexp_replace(c, r"(?U)[\s&&[^\n]]+(?=\n|\z)", "")
+    c = F.regexp_replace(c, r"(?U)(?<![\s&&[^\n]])[\s&&[^\n]]+(?=\n|\z)", "")
     return strip(F.regexp_replace(c, r"\n{3,}", "\n\n"))
 
 
