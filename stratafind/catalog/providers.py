@@ -105,15 +105,6 @@ query("snk_graph", f"SELECT DISTINCT lower(subject) AS src, relation, lower(obje
 query("snk_graph_nodes", f"SELECT DISTINCT lower(unnest([subject, object])) AS id FROM {VERIFIED}")(lambda t, s: stored(t, s).nodes().select("id"))
 
 
-@query("snk_vector", "SELECT query_id, id, score, rank FROM {V} WHERE rank < 5".replace("{V}", __import__("stratafind.catalog.retrieval", fromlist=["VECTOR"]).VECTOR))
-def snk_vector(t, spark):
-    from .retrieval import vector_queries
-
-    path = f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}"
-    stores.VectorIndex.build(t("embeddings")).write(path)
-    return stores.VectorIndex.read(spark, path).query(vector_queries(t)).select("query_id", "id", "score", "rank")
-
-
 SUMMARIES = "(SELECT doc_id AS id, doc_id AS insert_ord, array_to_string(list_slice(regexp_extract_all(substr(text, 1, 2000), '[^.!?]+[.!?]'), 1, 2), '') AS text FROM documents)"
 summaries = lambda t: t("documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("insert_ord"), A.lead(F.col("text")).alias("text"))
 query("ret_summary_index", f"SELECT id, insert_ord, text FROM {SUMMARIES}")(lambda t, _: stores.SummaryIndex.build(summaries(t)).table)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..common import shared_folder
 from ..functions import text as X
 from ..operators import chunking, retrieval as R
+from ..operators.ivf import InvertedFile
 from ..plans import agent as A
 from ..registry import query
 from .agent import GENERIC as A_GENERIC, any_of
@@ -51,7 +52,17 @@ def candidates(t):
 query("sim_cosine", "SELECT a.vec_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 9) AS cos FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")(
     lambda t, _: t("embeddings").join(t("embeddings").select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other")), "vec_id").select("vec_id", F.round(X.cosine(F.col("embedding"), F.col("other")), 9).alias("cos"))
 )
-query("ret_vector_index", "SELECT vec_id AS id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 9) AS norm FROM embeddings")(lambda t, _: R.vector_index(t("embeddings")).select("id", F.round("norm", 9).alias("norm")))
+
+
+def kept_vectors(t, spark):
+    """The vectors as an inverted file: built from those of odd ids, the others appended, read again from its folder."""
+    path, v = f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}", t("embeddings")
+    InvertedFile.build(v.where("vec_id % 2 = 1"), path).append(v.where("NOT (vec_id % 2 <=> 1)"))
+    return InvertedFile(spark, path)
+
+
+query("ret_vector_index", "SELECT vec_id AS id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 9) AS norm FROM embeddings")(lambda t, s: kept_vectors(t, s).vectors().select("id", F.round("norm", 9).alias("norm")))
+query("snk_vector", f"SELECT query_id, id, score, rank FROM {VECTOR} WHERE rank < 5")(lambda t, s: kept_vectors(t, s).query(vector_queries(t)))
 query("ret_vector", f"SELECT query_id, id, score, rank FROM {VECTOR} WHERE rank < 5")(lambda t, _: R.vector_search(R.vector_index(t("embeddings")), vector_queries(t)).select("query_id", "id", "score", "rank"))
 query("ret_bm25_index", f"SELECT term, id, dl, tf FROM {POST}")(lambda t, _: R.bm25_index(t("documents")).select("term", "id", "dl", "tf"))
 query("ret_bm25", f"SELECT query_id, id, score, rank FROM {BM25} WHERE rank < 10")(lambda t, _: bm25(t).select("query_id", "id", "score", "rank"))

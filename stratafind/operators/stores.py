@@ -1,4 +1,4 @@
-"""Kept indexes: vectors, summaries and the graph as tables in a folder; clearing and checking them."""
+"""Kept indexes: postings, summaries and the graph as tables in a folder; clearing and checking them. Vectors: ivf.py."""
 
 from __future__ import annotations
 
@@ -9,27 +9,6 @@ from . import retrieval
 from .buckets import BUCKETS, BucketTable
 
 
-class VectorIndex:
-    """Dense vectors under a folder: build, write, read, query."""
-
-    def __init__(self, table: DataFrame):
-        self.table = table
-
-    @classmethod
-    def build(cls, vectors: DataFrame) -> VectorIndex:
-        return cls(retrieval.vector_index(vectors))
-
-    @classmethod
-    def read(cls, spark: SparkSession, path: str) -> VectorIndex:
-        return cls(spark.read.parquet(f"{path}/vectors"))
-
-    def write(self, path: str) -> None:
-        self.table.write.mode("overwrite").parquet(f"{path}/vectors")
-
-    def query(self, queries: DataFrame, top: int = 5) -> DataFrame:
-        return retrieval.vector_search(self.table, queries, top)
-
-
 class SparseIndex:
     """BM25 postings and corpus figures under a folder."""
 
