@@ -3,7 +3,7 @@
 from pyspark.sql import Window, functions as F
 
 from ..functions import text as X
-from ..operators import graph as G
+from ..operators import graph as G, resolve as E
 from ..registry import query
 
 NODES = """(SELECT 'r' || r_regionkey AS id, r_name AS name, 'Region' AS label, r_regionkey::VARCHAR AS v FROM region UNION ALL SELECT 'n' || n_nationkey, n_name, 'Nation', n_regionkey::VARCHAR FROM nation
@@ -73,9 +73,9 @@ query("er_exact", "SELECT replace(lower(p_name), ' ', '_') AS key, count(*) AS n
 query("er_canonical", f"SELECT cluster, id FROM (SELECT v AS cluster, id, row_number() OVER (PARTITION BY v ORDER BY 10 * coalesce(degree, 0) + 2 DESC, length(name), id) AS r FROM {NODES} LEFT JOIN {DEGREE} USING (id) WHERE label = 'Customer') WHERE r = 1")(
     lambda t, _: G.canonical(nodes(t).where("id LIKE 'c%'").select(F.col("props")["v"].alias("cluster"), "id"), nodes(t).join(G.degrees(edges(t)), "id", "left").select("id", "name", (10 * F.coalesce("degree", F.lit(0)) + F.size("props")).alias("score")))
 )
-query("er_semantic")(lambda t, _: G.star_clusters(t("embeddings").select(F.col("label").alias("block"), F.col("vec_id").alias("id"), F.lit("").alias("name"), "embedding"), 0.35))
-query("er_lexical")(lambda t, _: G.star_clusters(t("part").select(F.col("p_brand").alias("block"), F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.array(F.lit(1.0)).alias("embedding")), 0.85, "lexical"))
-query("er_reltypes")(lambda t, s: G.star_clusters(supplied(t).select("rel_type").distinct().select(F.lit(0).alias("block"), F.col("rel_type").alias("id"), F.replace("rel_type", F.lit("_"), F.lit(" ")).alias("name"), F.array(F.lit(1.0)).alias("embedding")), 0.85, "lexical"))
+query("er_semantic")(lambda t, _: E.star_clusters(t("embeddings").select(F.col("label").alias("block"), F.col("vec_id").alias("id"), F.lit("").alias("name"), "embedding"), 0.35))
+query("er_lexical")(lambda t, _: E.star_clusters(t("part").select(F.col("p_brand").alias("block"), F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.array(F.lit(1.0)).alias("embedding")), 0.85, "lexical"))
+query("er_reltypes")(lambda t, s: E.star_clusters(supplied(t).select("rel_type").distinct().select(F.lit(0).alias("block"), F.col("rel_type").alias("id"), F.replace("rel_type", F.lit("_"), F.lit(" ")).alias("name"), F.array(F.lit(1.0)).alias("embedding")), 0.85, "lexical"))
 
 
 @query("er_cleanup")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -42,6 +43,32 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Rounds:
+    """A frame that a loop makes anew each round, kept as a table of the shared folder; the one before is removed.
+
+    A checkpoint would hand on what Spark has inferred of its rows, and that grows with every round.
+    """
+
+    def __init__(self, df: DataFrame):
+        self.path, self.df = None, df
+        self.put(df)
+
+    def put(self, df: DataFrame) -> DataFrame:
+        spark, before = df.sparkSession, self.path
+        self.path = f"{shared_folder(spark)}/round-{uuid.uuid4().hex}"
+        df.write.parquet(self.path)
+        self.df = spark.read.schema(df.schema).parquet(self.path)
+        if before:
+            delete(spark, before)
+        return self.df
+
+    def last(self) -> DataFrame:
+        """The frame with its table removed: checkpointed."""
+        df = cut_lineage(self.df)
+        delete(df.sparkSession, self.path)
+        return df
+
+
 def against_all(queries: DataFrame, rows: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Every query with every row. A checked small query set is broadcast; a larger one is dealt into blocks of `limit`
     queries, and the rows visit each block through an equality join."""

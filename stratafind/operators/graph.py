@@ -268,40 +268,6 @@ def components(edges: DataFrame) -> DataFrame:
             return label.withColumnRenamed("l", "component")
 
 
-def star_clusters(blocks: DataFrame, threshold: float, alike: str = "cosine") -> DataFrame:
-    """seed, id: greedy stars inside each block of blocks(block, id, name, embedding), in id order.
-
-    The first node not yet taken is a seed and takes later ones at least `threshold` like it; not transitive. A block is the
-    unit of work, as the rule depends on the order of its nodes.
-    """
-
-    def of(pdf):
-        import difflib
-
-        import numpy as np
-        import pandas as pd
-
-        pdf = pdf.sort_values("id").reset_index(drop=True)
-        names = [str(x).lower().strip() for x in pdf["name"]]
-        free, rows = np.ones(len(pdf), bool), []
-        if alike == "cosine":
-            v = np.array(pdf["embedding"].tolist(), dtype=float)
-            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-10)
-        for i in range(len(pdf)):
-            if not free[i]:
-                continue
-            free[i] = False
-            rest = np.flatnonzero(free)
-            near = v[rest] @ v[i] >= threshold if alike == "cosine" else np.array([difflib.SequenceMatcher(None, names[i], names[j]).ratio() >= threshold for j in rest], bool)
-            met = rest[near] if len(rest) else rest
-            free[met] = False
-            rows += [(pdf["id"][i], pdf["id"][j]) for j in met]
-        return pd.DataFrame(rows, columns=["seed", "id"])
-
-    kind = blocks.schema["id"].dataType.simpleString()
-    return blocks.groupBy("block").applyInPandas(of, f"seed {kind}, id {kind}")
-
-
 def canonical(clusters: DataFrame, scores: DataFrame) -> DataFrame:
     """cluster, id of the node to keep: 10 * degree + props, then the shorter name, then the smaller id."""
     order = Window.partitionBy("cluster").orderBy(F.col("score").desc(), F.length("name"), "id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stratafind.common import against_all
 from stratafind.functions import text as X
-from stratafind.operators import chunking, clean, files, graph, retrieval
+from stratafind.operators import chunking, clean, files, graph, resolve, retrieval
 from stratafind.sources import html
 from stratafind.streaming import ingest
 
@@ -94,7 +94,7 @@ def test_components_and_communities(spark):
 def test_star_clusters_are_not_transitive(spark):
     v = [(0, 1, "", [1.0, 0.0]), (0, 2, "", [0.9, 0.436]), (0, 3, "", [0.62, 0.785])]
     df = spark.createDataFrame(v, "block int, id int, name string, embedding array<double>")
-    assert {(r["seed"], r["id"]) for r in graph.star_clusters(df, 0.85).collect()} == {(1, 2)}
+    assert {(r["seed"], r["id"]) for r in resolve.star_clusters(df, 0.85).collect()} == {(1, 2)}
 
 
 def test_merging_keeps_endpoints(spark):
