@@ -53,4 +53,4 @@ def ingest_trigger(spark: SparkSession, root: str, table: str) -> int:
 
 
 def ingest_status(spark: SparkSession, table: str) -> DataFrame:
-    return ingest.current(spark, table).select("path", "sha256", F.lit("done").alias("status"))
+    return ingest.current(spark, table).select("path", "sha256", "status", "error")

@@ -32,7 +32,7 @@ query("llm_grade_ans", "SELECT doc_id, CASE WHEN toxic = 1 THEN false ELSE quali
 query("crag_loop", "SELECT doc_id AS query_id, CASE WHEN quality = 1 THEN 1 ELSE 2 END AS grades, CASE WHEN quality = 1 THEN 0 ELSE 1 END AS rewrites, quality = 1 OR toxic = 1 AS relevant FROM labels")(
     lambda t, _: A.corrective_rounds(t("labels").select(F.col("doc_id").alias("query_id"), (F.col("quality") == 1).alias("first"), (F.col("toxic") == 1).alias("second")))
 )
-query("llm_doc_summary", "SELECT doc_id, array_to_string(list_slice(regexp_extract_all(substr(text, 1, 2000), '[^.!?]+[.!?]'), 1, 2), '') AS summary FROM documents")(lambda t, _: t("documents").select("doc_id", A.lead(F.col("text")).alias("summary")))
+query("llm_doc_summary", "SELECT doc_id, array_to_string(list_slice(regexp_extract_all(text, '[^.!?]+[.!?]'), 1, 2), '') AS summary FROM documents")(lambda t, _: t("documents").select("doc_id", A.lead(F.col("text")).alias("summary")))
 PROPOSED = "CASE turn % 3 WHEN 0 THEN '\"' || text || '\" ' WHEN 1 THEN ' abc ' END"
 query("llm_rewrite", f"SELECT conv_id, turn, CASE WHEN length(p) >= 5 THEN p ELSE text END AS rewritten FROM (SELECT *, trim(trim({PROPOSED}), '\"''') AS p FROM conversations)")(
     lambda t, _: t("conversations").select("conv_id", "turn", A.rewrite(F.col("text"), F.when(F.col("turn") % 3 == 0, F.concat(F.lit('"'), "text", F.lit('" '))).when(F.col("turn") % 3 == 1, F.lit(" abc "))).alias("rewritten"))

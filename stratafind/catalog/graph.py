@@ -39,9 +39,6 @@ query("lim_profiles", f"SELECT '[' || CASE hop WHEN 1 THEN 'Direct' ELSE 'Relate
     lambda t, _: G.expand(nodes(t), edges(t), seeds(t), 2, None).orderBy("hop", "name", "rel_types", "id").limit(30)
     .select(F.concat(F.lit("["), F.when(F.col("hop") == 1, F.lit("Direct")).otherwise(F.lit("Related")), F.lit("] "), "name", F.lit(" ("), "rel_types", F.lit(")")).alias("line"))
 )
-query("ret_graph", f"SELECT n.id, e.rel_type, e.dst FROM (SELECT 'c' || vec_id AS id FROM embeddings) n JOIN {EDGES} e ON e.src = n.id")(
-    lambda t, _: t("embeddings").select(F.concat(F.lit("c"), F.col("vec_id").cast("string")).alias("id")).join(edges(t).withColumnRenamed("src", "id"), "id").select("id", "rel_type", "dst")
-)
 query("ret_suggest", f"SELECT 'Tell me about ' || name AS suggestion FROM (SELECT name, row_number() OVER (ORDER BY degree DESC, name, id) AS r FROM {DEGREE} JOIN {NODES} USING (id)) WHERE r <= 4")(
     lambda t, _: G.degrees(edges(t)).join(G.named(nodes(t)), "id").orderBy(F.col("degree").desc(), "name", "id").limit(4).select(F.concat(F.lit("Tell me about "), "name").alias("suggestion"))
 )
@@ -78,14 +75,15 @@ query("er_lexical")(lambda t, _: E.star_clusters(t("part").select(F.col("p_brand
 query("er_reltypes")(lambda t, s: E.star_clusters(supplied(t).select("rel_type").distinct().select(F.lit(0).alias("block"), F.col("rel_type").alias("id"), F.replace("rel_type", F.lit("_"), F.lit(" ")).alias("name"), F.array(F.lit(1.0)).alias("embedding")), 0.85, "lexical"))
 
 
-@query("er_cleanup")
-def er_cleanup(t, _):
-    """Exact buckets, canonical choice, merged edges: node and edge counts after one pass."""
-    parts = part_nodes(t).withColumn("cluster", X.exact_key(F.col("name")))
-    scores = part_nodes(t).join(G.degrees(supplied(t).withColumn("valid_from", F.lit(""))), "id", "left").select("id", "name", (10 * F.coalesce("degree", F.lit(0)) + F.size("props")).alias("score"))
-    keep = G.canonical(parts.select("cluster", "id"), scores)
-    moved = parts.join(keep.withColumnRenamed("id", "canon"), "cluster").where("id <> canon").select(F.col("id").alias("dup"), "canon")
-    return G.move_edges(supplied(t), moved).groupBy("rel_type").agg(F.count(F.lit(1)).alias("n_edges"))
+def cleaned(t):
+    """Parts and their suppliers' edges after a whole clean-up; the vectors of some parts are those of their number."""
+    parts = part_nodes(t).withColumn("labels", F.array(F.lit("__Entity__"), F.col("props")["v"]))
+    vectors = t("embeddings").select(F.concat(F.lit("p"), F.col("vec_id").cast("string")).alias("id"), "embedding")
+    return G.cleanup(parts, supplied(t), lambda held: held.select("id").join(vectors, "id", "left_semi").join(vectors, "id"), 0.85)
+
+
+query("er_cleanup")(lambda t, _: merged(cleaned(t)[1]))
+query("er_cleanup_nodes")(lambda t, _: cleaned(t)[0].select("id", "name", F.array_join("labels", ",").alias("labels"), F.col("props")["v"].alias("v")))
 
 
 query("g_mentions", f"SELECT DISTINCT least(src, dst) AS chunk, greatest(src, dst) AS entity, 'MENTIONS' AS rel_type FROM {EDGES} WHERE rel_type = 'CONTAINS'")(

@@ -13,7 +13,7 @@ from ..registry import query
 from ..sources import web
 from ..streaming import ingest
 from .graph import DEGREE, EDGES, NODES, BOTH, edges, nodes
-from .retrieval import BM25, bm25, text_queries
+from .retrieval import BM25, TOPK, bm25, text_queries
 from .text import decorated, paths, results, FILES, RESULTS, SQL_TEXT
 
 MODEL = P.Rules()
@@ -105,7 +105,7 @@ query("snk_graph", f"SELECT DISTINCT lower(subject) AS src, relation, lower(obje
 query("snk_graph_nodes", f"SELECT DISTINCT lower(unnest([subject, object])) AS id FROM {VERIFIED}")(lambda t, s: stored(t, s).nodes().select("id"))
 
 
-SUMMARIES = "(SELECT doc_id AS id, doc_id AS insert_ord, array_to_string(list_slice(regexp_extract_all(substr(text, 1, 2000), '[^.!?]+[.!?]'), 1, 2), '') AS text FROM documents)"
+SUMMARIES = "(SELECT doc_id AS id, doc_id AS insert_ord, array_to_string(list_slice(regexp_extract_all(text, '[^.!?]+[.!?]'), 1, 2), '') AS text FROM documents)"
 summaries = lambda t: t("documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("insert_ord"), A.lead(F.col("text")).alias("text"))
 query("ret_summary_index", f"SELECT id, insert_ord, text FROM {SUMMARIES}")(lambda t, _: stores.SummaryIndex.build(summaries(t)).table)
 query("ret_summary", f"SELECT item_id AS query_id, rank, id, s.text FROM benchmark, (SELECT (row_number() OVER (ORDER BY insert_ord) - 1)::INT AS rank, id, text FROM {SUMMARIES} ORDER BY insert_ord LIMIT 2) s")(
@@ -150,7 +150,7 @@ query("snk_sse", "SELECT event_id, 'data: {\"type\":\"status\",\"event\":\"' ||
 # ---- answers
 
 TOP = f"(SELECT query_id, rank, d.text FROM {BM25} b JOIN documents d ON d.doc_id = b.id WHERE rank < 3)"
-LEAD = "'Based on the context:' || array_to_string(list_slice(regexp_extract_all(substr(text, 1, 2000), '[^.!?]+[.!?]'), 1, 2), '')"
+LEAD = "'Based on the context:' || array_to_string(list_slice(regexp_extract_all(text, '[^.!?]+[.!?]'), 1, 2), '')"
 
 
 def top_texts(t, n=3):
@@ -216,7 +216,7 @@ query("llm_research_qa", f"SELECT source AS topic, 'About ' || source || ': ' ||
     lambda t, _: first10(t).groupBy(F.col("source").alias("topic")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", F.substring("text", 1, 40).alias("h")))), lambda x: x["h"]), " | ").alias("h"))
     .select("topic", F.concat(F.lit("About "), "topic", F.lit(": "), "h").alias("answer"))
 )
-query("llm_research_analyze", "SELECT doc_id, 'Key point: ' || array_to_string(list_slice(regexp_extract_all(substr(text, 1, 2000), '[^.!?]+[.!?]'), 1, 1), '') AS analysis FROM documents")(
+query("llm_research_analyze", "SELECT doc_id, 'Key point: ' || array_to_string(list_slice(regexp_extract_all(text, '[^.!?]+[.!?]'), 1, 1), '') AS analysis FROM documents")(
     lambda t, _: t("documents").select("doc_id", F.concat(F.lit("Key point: "), A.lead(F.col("text"), 1)).alias("analysis"))
 )
 
@@ -263,58 +263,21 @@ query("src_download", "SELECT page_id, regexp_replace(url, '[^\\p{L}\\p{N}_\\s.-
 
 # ---- the graph's refinement, in one chain
 
-REFINED = f"(SELECT count(*) AS n FROM {NODES})"
+SIMILAR = f"SELECT src::VARCHAR, 'SIMILAR_TO', dst::VARCHAR FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS r FROM {TOPK}) WHERE r <= 3 AND score > 0.3"
 
 
-@query("g_refine", f"""SELECT 'labelled' AS step, (SELECT count(*) FROM {NODES}) AS n UNION ALL SELECT 'mentions', (SELECT count(*) FROM (SELECT DISTINCT least(src, dst), greatest(src, dst) FROM {EDGES} WHERE rel_type = 'CONTAINS'))
-    UNION ALL SELECT 'properties', (SELECT count(*) FROM customer) UNION ALL SELECT 'edges', (SELECT count(*) FROM {EDGES})""")
-def g_refine(t, _):
-    """HAS_PROPERTY targets fold into properties, types become labels, chunks get MENTIONS: how many rows each step has."""
+def refined(t):
+    """Customers hold their market segment as a HAS_PROPERTY node before; orders' CONTAINS edges name the chunks that mention parts."""
     c = nodes(t).where("id LIKE 'c%'")
     made = c.select(F.concat(F.lit("x"), "id").alias("id"), F.concat(F.lit("Market Segment: "), F.col("props")["v"]).alias("name"), "labels", "props")
     held = c.select(F.concat(F.lit("h"), "id").alias("edge_id"), F.col("id").alias("src"), F.concat(F.lit("x"), "id").alias("dst"), F.lit("HAS_PROPERTY").alias("rel_type"), F.lit(None).cast("string").alias("valid_from"))
-    refined, left, mentions = G.refined(nodes(t).unionByName(made), edges(t).unionByName(held), "CONTAINS")
-    count = lambda df, step: df.agg(F.lit(step).alias("step"), F.count(F.lit(1)).alias("n"))
-    return count(refined.where(F.array_contains("labels", F.lit("__Entity__"))), "labelled").unionByName(count(mentions, "mentions")).unionByName(count(refined.where(F.try_element_at("props", F.lit("market_segment")).isNotNull()), "properties")).unionByName(count(left, "edges"))
+    return G.refined(nodes(t).unionByName(made), edges(t).unionByName(held), "CONTAINS", t("embeddings"))
 
 
-# ---- ingestion
-
-PROCESSED = f"SELECT path, sha AS sha256, 'done' AS status FROM {FILES}"
-
-
-def as_files(t):
-    d = paths(t("documents"))
-    return d.select("path", F.encode("text", "UTF-8").alias("content"), F.sha2("text", 256).alias("sha256"))
-
-
-@query("inc_process_file", PROCESSED)
-def inc_process_file(t, spark):
-    """Load, clean, categorise and merge by path and hash; a repeated run changes nothing."""
-    path = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
-    for _ in range(2):
-        ingest.merge(spark, ingest.prepared(as_files(t)), path)
-    return ingest.current(spark, path).select("path", "sha256", F.lit("done").alias("status"))
-
-
-def streamed(t, spark, rounds, per_batch):
-    """The documents as a stream of files, taken in batches and merged; later rounds find nothing new."""
-    docs = t("documents")
-    name, first = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}", docs.inputFiles()[0]
-    source = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", per_batch).option("pathGlobFilter", "documents.parquet" if "/documents.parquet/" not in first else "*.parquet").parquet(first.rsplit("/", 1)[0])
-    counts = []
-
-    def take(batch, _):
-        counts.append(batch.count())
-        ingest.merge(spark, ingest.prepared(as_files(lambda _n: batch)), f"{name}/table")
-
-    for _ in range(rounds):
-        source.writeStream.foreachBatch(take).option("checkpointLocation", f"{name}/state").trigger(availableNow=True).start().awaitTermination()
-    return ingest.current(spark, f"{name}/table"), counts
-
-
-query("inc_scan_loop", PROCESSED)(lambda t, s: streamed(t, s, 2, 1000)[0].select("path", "sha256", F.lit("done").alias("status")))
-query("inc_worker_pool", PROCESSED)(lambda t, s: streamed(t, s, 1, 2)[0].repartition(2).select("path", "sha256", F.lit("done").alias("status")))
+query("g_refine", f"SELECT src, rel_type, dst FROM {EDGES} UNION ALL SELECT DISTINCT least(src, dst), 'MENTIONS', greatest(src, dst) FROM {EDGES} WHERE rel_type = 'CONTAINS' UNION ALL {SIMILAR}")(lambda t, _: refined(t)[1])
+query("g_refine_nodes", f"SELECT id, name, '__Entity__,' || label AS labels, CASE WHEN label = 'Customer' THEN v END AS segment FROM {NODES}")(
+    lambda t, _: refined(t)[0].select("id", "name", F.array_join("labels", ",").alias("labels"), F.try_element_at("props", F.lit("market_segment")).alias("segment"))
+)
 
 
 @query("cln_stream", "SELECT doc_id, regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g') AS text FROM (SELECT doc_id, " + SQL_TEXT + " AS text FROM documents)")

@@ -2,15 +2,16 @@
 
 import uuid
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
-from ..common import shared_folder
+from ..common import checked_broadcast, shared_folder
 from ..functions import text as X
-from ..operators import chunking, retrieval as R
+from ..operators import chunking, graph as G, retrieval as R
 from ..operators.ivf import InvertedFile
 from ..plans import agent as A
 from ..registry import query
 from .agent import GENERIC as A_GENERIC, any_of
+from .graph import EDGES, edges
 
 A_GLOBAL = any_of(A.GLOBAL, "lower(q)")
 
@@ -74,16 +75,18 @@ RANKED = f"""(SELECT query_id, id, score, (row_number() OVER (PARTITION BY query
     (SELECT query_id, id, round(list_dot_product(embedding, q::DOUBLE[]) / (sqrt(list_dot_product(embedding, embedding)) * sqrt(list_dot_product(q::DOUBLE[], q::DOUBLE[]))), 6) AS score FROM {MEANS}, {VQ}))"""
 
 
-@query("ret_community", f"SELECT query_id, id, score, rank FROM {RANKED} WHERE rank < 3")
-def ret_community(t, _):
+def communities(t, asked):
     """A community is a label, its summary's vector the mean of its members; ties go to the later one."""
     each = t("embeddings").select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("m"))
     means = each.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda z: z["m"]).alias("embedding"))
     index = R.vector_index(means.select(F.col("label").alias("vec_id"), "embedding"))
-    scored = R.scored(index, vector_queries(t)).withColumn("score", F.round("score", 6))
+    scored = R.scored(index, asked).withColumn("score", F.round("score", 6))
     return R.ranked(scored, "query_id", F.col("score").desc(), F.col("id").desc(), top=3).select("query_id", "id", "score", "rank")
 
 
+query("ret_community", f"SELECT query_id, id, score, rank FROM {RANKED} WHERE rank < 3")(lambda t, _: communities(t, vector_queries(t)))
+
+
 query("ret_community_fallback", "SELECT label, count(*) AS entity_count FROM embeddings GROUP BY label ORDER BY entity_count DESC, label LIMIT 3")(lambda t, _: t("embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("entity_count")).orderBy(F.col("entity_count").desc(), "label").limit(3))
 query("sim_entity_rank", f"SELECT query_id, id, rank FROM {VECTOR} WHERE rank < 20")(lambda t, _: R.vector_search(R.vector_index(t("embeddings")), vector_queries(t), 20).select("query_id", "id", "rank"))
 TOPK = "(SELECT a.vec_id AS src, b.vec_id AS dst, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 9) AS score FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id)"
@@ -123,12 +126,6 @@ query("ret_seeds", "SELECT DISTINCT name FROM (SELECT c_name AS name FROM custom
 query("ret_web", f"SELECT query_id, ord, id FROM (SELECT query_id, fused_rank + 1000 AS ord, id FROM {FUSED} WHERE fused_rank <= 5 UNION ALL SELECT item_id, 0, -1 FROM benchmark)")(
     lambda t, _: R.fuse(candidates(t)).where("fused_rank <= 5").select("query_id", (F.col("fused_rank") + 1000).alias("ord"), "id").unionByName(text_queries(t).select("query_id", F.lit(0).alias("ord"), F.lit(-1).cast("long").alias("id")))
 )
-@query("ret_dispatch", f"SELECT c.query_id, id, list_ord FROM {CANDIDATES} c JOIN (SELECT item_id, CASE WHEN {A_GENERIC} THEN 'community_search,summary_search' WHEN {A_GLOBAL} THEN 'summary_search,community_search,vector_search' ELSE 'vector_search,graph_search' END AS tools FROM (SELECT item_id, text AS q FROM benchmark)) p ON p.item_id = c.query_id WHERE contains(tools, 'vector_search')")
-def ret_dispatch(t, _):
-    """Each query's plan names its tools; only these run for it."""
-    planned = text_queries(t).select("query_id", A.plan(F.col("text"))["tools"].alias("tools"))
-    return R.dispatched(planned, {"vector_search": candidates(t)}).select("query_id", "id", "list_ord")
-
 
 @query("g_embed_backfill", "SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN 64 ELSE len(embedding) END::INT AS dim, vec_id % 2 = 0 AS filled FROM embeddings")
 def g_embed_backfill(t, _):
@@ -144,3 +141,56 @@ def snk_bm25(t, spark):
     path = f"{shared_folder(spark)}/bm25-{uuid.uuid4().hex}"
     R.save_bm25(t("documents"), path)
     return R.bm25_search(*R.load_bm25(spark, path), text_queries(t), 10).select("query_id", "id", "score", "rank")
+
+
+# ---- graph retrieval: similar entities, their edges, the chunks that mention them
+
+FIRST = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY edge_id) AS r FROM {EDGES}) WHERE r <= 10)"
+
+
+def graph_evidence(t, asked):
+    """An entity is a customer, its vector that of its number, the chunk that mentions it the document of that number."""
+    hits = R.vector_search(R.vector_index(t("embeddings")), asked).select("query_id", "rank", F.concat(F.lit("c"), F.col("id").cast("string")).alias("id"))
+    mentions = t("documents").select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("id"), F.col("doc_id").alias("chunk"))
+    return G.evidence(hits, edges(t), mentions, t("documents").select(F.col("doc_id").alias("chunk"), "text"))
+
+
+def evidence_sql(vectors):
+    return f"(SELECT query_id, rank, v.id, e.rel_type, e.dst, d.doc_id AS chunk, d.text FROM (SELECT query_id, rank, 'c' || id AS id FROM {vectors} WHERE rank < 5) v JOIN {FIRST} e ON e.src = v.id LEFT JOIN documents d ON 'c' || d.doc_id = v.id)"
+
+
+query("ret_graph", f"SELECT query_id, rank, id, rel_type, dst, chunk, text FROM {evidence_sql(VECTOR)}")(lambda t, _: graph_evidence(t, vector_queries(t)))
+
+# ---- the tools by name; a question's vector is that of its number
+
+ITEMS = VECTOR.replace("WHERE vec_id % 100 = 0", "WHERE vec_id IN (SELECT item_id FROM benchmark)")
+ITEMS_RANKED = RANKED.replace("WHERE vec_id % 100 = 0", "WHERE vec_id IN (SELECT item_id FROM benchmark)")
+TOOLS = f"(SELECT item_id AS query_id, CASE WHEN {A_GENERIC} THEN 'community_search,summary_search' WHEN {A_GLOBAL} THEN 'summary_search,community_search,vector_search' ELSE 'vector_search,graph_search' END AS tools FROM (SELECT item_id, text AS q FROM benchmark))"
+
+
+def tools(t):
+    """name -> builder of query_id, rank, id for queries(query_id, text)."""
+    vectors = lambda asked: t("embeddings").join(checked_broadcast(asked.select(F.col("query_id").alias("vec_id"))), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    named = lambda df: df.select("query_id", "rank", F.col("id").cast("string").alias("id"))
+    first = t("documents").orderBy("doc_id").limit(2).select((F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("doc_id")) - 1).alias("rank"), F.col("doc_id").alias("id"))
+    pages = t("pages").select(F.col("page_id").alias("doc_id"), F.col("url").alias("text"))
+    return {
+        "vector_search": lambda asked: named(R.vector_search(R.vector_index(t("embeddings")), vectors(asked))),
+        "keyword_search": lambda asked: named(R.bm25_search(R.bm25_index(t("documents")), R.bm25_stats(t("documents")), asked, 5)),
+        "graph_search": lambda asked: graph_evidence(t, vectors(asked)).select("query_id", "rank", F.concat_ws(" ", "id", "rel_type", "dst").alias("id")),
+        "summary_search": lambda asked: named(asked.select("query_id").crossJoin(F.broadcast(first))),  # two rows
+        "community_search": lambda asked: named(communities(t, vectors(asked))),
+        "web_search": lambda asked: named(R.bm25_search(R.bm25_index(pages), R.bm25_stats(pages), asked, 5)),
+    }
+
+
+@query("ret_dispatch", f"""SELECT c.query_id, tool, rank, c.id FROM (SELECT query_id, 'vector_search' AS tool, 'vector_search' AS plan, rank, id::VARCHAR AS id FROM {ITEMS} WHERE rank < 5
+    UNION ALL SELECT query_id, 'keyword_search', 'vector_search', rank, id::VARCHAR FROM {BM25} WHERE rank < 5 UNION ALL SELECT query_id, 'graph_search', 'graph_search', rank, concat_ws(' ', id, rel_type, dst) FROM {evidence_sql(ITEMS)}
+    UNION ALL SELECT item_id, 'summary_search', 'summary_search', r, id::VARCHAR FROM benchmark, (SELECT (row_number() OVER (ORDER BY doc_id) - 1)::INT AS r, doc_id AS id FROM documents ORDER BY doc_id LIMIT 2)
+    UNION ALL SELECT query_id, 'community_search', 'community_search', rank, id::VARCHAR FROM {ITEMS_RANKED} WHERE rank < 3) c JOIN {TOOLS} p ON p.query_id = c.query_id AND contains(tools, plan)""")
+def ret_dispatch(t, _):
+    """Each question's plan names its tools; only these run for it, and each has rows of its own."""
+    planned = text_queries(t).withColumn("tools", A.plan(F.col("text"))["tools"])
+    # words are searched wherever vectors are
+    planned = planned.withColumn("tools", F.when(F.contains("tools", F.lit("vector_search")), F.concat("tools", F.lit(",keyword_search"))).otherwise(F.col("tools")))
+    return R.run_tools(planned, tools(t))[0]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..common import checked_broadcast, cut_lineage
 from ..functions import text as X
+from . import resolve, retrieval
 
 # Labels and edge types the system itself writes.
 SYSTEM_LABELS = ("__Community__", "Category", "CommunitySummary")
@@ -274,9 +275,54 @@ def canonical(clusters: DataFrame, scores: DataFrame) -> DataFrame:
     return clusters.join(scores, "id").withColumn("r", F.row_number().over(order)).where("r = 1").select("cluster", "id")
 
 
-def refined(nodes: DataFrame, edges: DataFrame, mention: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """nodes, edges and MENTIONS(chunk, entity) after one refinement: properties folded, types as labels, mentions of an edge type."""
+def merged_into(nodes: DataFrame, edges: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """nodes, edges after each group(cluster, id) became its canonical node: props laid over its own, edges moved and merged."""
+    ends = edges.select(F.col("src").alias("id"), "edge_id").unionByName(edges.where("src <> dst").select(F.col("dst").alias("id"), "edge_id"))
+    degree = ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+    scores = nodes.join(degree, "id", "left").select("id", "name", (10 * F.coalesce("degree", F.lit(0)) + F.size("props")).alias("score"))
+    keep = canonical(groups, scores)
+    remap = cut_lineage(groups.join(keep.select("cluster", F.col("id").alias("canon")), "cluster").where("id <> canon").select(F.col("id").alias("dup"), "canon"))
+    kept = merge_props(nodes, remap).join(nodes.select("id", "labels"), "id")
+    return cut_lineage(kept.select("id", "name", "labels", "props")), cut_lineage(move_edges(edges, remap))
+
+
+def cleanup(nodes: DataFrame, edges: DataFrame, embed, threshold: float = 0.85, rel_threshold: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """nodes(id, name, labels, props), edges(edge_id, src, dst, rel_type, props) after a whole clean-up, in its order.
+
+    Equal names become one node; the nodes that remain get their vectors from embed(nodes) -> id, embedding; kinds of edges with
+    names alike become the shortest of them; nodes alike by label become one; parallel edges become one.
+    """
+    names = named(nodes).select("id", X.exact_key(F.col("name")).alias("cluster"))
+    nodes, edges = merged_into(nodes, edges, names)
+    kinds = edges.select("rel_type").distinct().select(F.lit(0).alias("block"), F.col("rel_type").alias("id"), F.replace("rel_type", F.lit("_"), F.lit(" ")).alias("name"), F.array(F.lit(1.0)).alias("embedding"))
+    stars = cut_lineage(resolve.star_clusters(kinds, rel_threshold or threshold, "lexical"))
+    members = stars.select("seed", "id").unionByName(stars.select("seed", F.col("seed").alias("id")).distinct())
+    # the shortest of a cluster; of equally short ones the first
+    to = members.groupBy("seed").agg(F.min_by("id", F.struct(F.length("id"), (F.col("id") != F.col("seed")).alias("later"), "id")).alias("kind")).join(members, "seed").select(F.col("id").alias("rel_type"), "kind")
+    edges = edges.join(to, "rel_type", "left").withColumn("rel_type", F.coalesce("kind", "rel_type")).drop("kind")
+    held = named(nodes).join(embed(nodes), "id", "left").select("id", "name", "labels", "embedding")
+    found = cut_lineage(resolve.clusters(held, threshold))
+    groups = found.select(F.col("seed").alias("cluster"), "id").unionByName(found.select(F.col("seed").alias("cluster"), F.col("seed").alias("id")).distinct())
+    return merged_into(nodes, edges, groups)
+
+
+def refined(nodes: DataFrame, edges: DataFrame, mention: str, chunks: DataFrame, top: int = 3, least: float = 0.3) -> tuple[DataFrame, DataFrame]:
+    """nodes, edges(src, rel_type, dst) after a whole refinement: properties folded, types as labels, MENTIONS of the chunks that
+    an edge type names, SIMILAR_TO between chunks(vec_id, embedding)."""
     folded, left = fold_properties(nodes, edges)
     labelled = folded.withColumn("labels", F.array_union(F.array(F.lit("__Entity__")), F.array(F.col("props")["kind"])))
-    mentions = left.where(F.col("rel_type") == mention).select(F.least("src", "dst").alias("chunk"), F.greatest("src", "dst").alias("entity"), F.lit("MENTIONS").alias("rel_type")).distinct()
-    return labelled, left, mentions
+    mentions = left.where(F.col("rel_type") == mention).select(F.least("src", "dst").alias("src"), F.lit("MENTIONS").alias("rel_type"), F.greatest("src", "dst").alias("dst")).distinct()
+    near = retrieval.nearest(chunks, chunks.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), top).where(F.col("score") > least)
+    similar = near.select(F.col("query_id").cast("string").alias("src"), F.lit("SIMILAR_TO").alias("rel_type"), F.col("id").cast("string").alias("dst"))
+    return labelled, left.select("src", "rel_type", "dst").unionByName(mentions).unionByName(similar)
+
+
+def evidence(found: DataFrame, edges: DataFrame, mentions: DataFrame, chunks: DataFrame, per_entity: int = 10) -> DataFrame:
+    """query_id, rank, id, rel_type, dst, chunk, text: of found(query_id, rank, id) the entities' first edges, and the text of the
+    chunk that mentions each, where there is one. mentions(id, chunk), chunks(chunk, text)."""
+    ids = checked_broadcast(found.select("id").distinct())
+    first = Window.partitionBy("id").orderBy("edge_id")
+    held = edges.withColumnRenamed("src", "id").join(ids, "id", "left_semi").withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= per_entity).drop("_r")
+    told = mentions.join(ids, "id", "left_semi").groupBy("id").agg(F.min("chunk").alias("chunk"))
+    texts = chunks.join(checked_broadcast(told.select("chunk").distinct()), "chunk", "left_semi").select("chunk", "text")
+    return found.join(held, "id").join(told, "id", "left").join(texts, "chunk", "left").select("query_id", "rank", "id", "rel_type", "dst", "chunk", "text")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..common import against_all, checked_broadcast
+from ..common import against_all, checked_broadcast, cut_lineage
 from ..functions import text as X
 
 K1, B = 1.5, 0.75
@@ -84,14 +84,24 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int) -> DataFrame:
     return ranked(dealt.mapInArrow(best, "query_id long, id long, score double"), "query_id", F.col("score").desc(), "id", top=top)
 
 
-def dispatched(planned: DataFrame, tools: dict[str, DataFrame]) -> DataFrame:
-    """Of the tools' results (by name, with query_id) those of the queries whose plan(query_id, tools) names the tool."""
-    out = None
-    for name, found in tools.items():
-        named = planned.where(F.array_contains(F.split("tools", ","), F.lit(name))).select("query_id")
-        part = found.join(named, "query_id", "left_semi")
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out
+def run_tools(planned: DataFrame, tools: dict) -> tuple[DataFrame, dict[str, str]]:
+    """query_id, tool, rank, id of the tools that each query's plan names, and the errors of those that failed, by tool.
+
+    planned(query_id, text, tools); tools: name -> builder(queries(query_id, text)) -> query_id, rank, id. Each tool is run to
+    its end by itself, so that one that raises, while it is built or while it runs, drops out alone.
+    """
+    out, errors = None, {}
+    for name, build in tools.items():
+        asked = planned.where(F.array_contains(F.split("tools", ","), F.lit(name))).select("query_id", "text")
+        try:
+            found = cut_lineage(build(asked).select("query_id", F.lit(name).alias("tool"), "rank", "id"))
+        except Exception as e:  # whatever it is: the other tools answer
+            errors[name] = str(e)
+            continue
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = planned.where("false").select("query_id", F.lit("").alias("tool"), F.lit(0).alias("rank"), F.lit("").alias("id"))
+    return out, errors
 
 
 def bm25_index(docs: DataFrame) -> DataFrame:

@@ -43,9 +43,11 @@ def conversation_title(message: Column) -> Column:
     return F.concat(F.substring(message, 1, 40), F.when(F.length(message) > 40, F.lit("...")).otherwise(F.lit("")))
 
 
-def lead(text: Column, sentences: int = 2, chars: int = 2000) -> Column:
-    """Default summary: the first sentences."""
-    return F.array_join(F.slice(F.regexp_extract_all(F.substring(text, 1, chars), F.lit(r"[^.!?]+[.!?]"), F.lit(0)), 1, sentences), "")
+def lead(text: Column, sentences: int = 2) -> Column:
+    """Default summary: the first sentences of the whole text; no more of it is looked at than these take."""
+    part = r"[.!?]*+([^.!?]++[.!?])"
+    pattern = "^" + part + f"(?:{part})?" * (sentences - 1)
+    return F.concat(*[F.regexp_extract(text, pattern, k + 1) for k in range(sentences)])
 
 
 def grade(context_chars: Column, verdict: Column) -> Column:

@@ -10,6 +10,7 @@ from typing import Protocol
 
 from pyspark.sql import Column, functions as F
 
+from .plans.agent import lead
 from .functions.text import tokens
 
 #: Relations a chunk gives at most, and pairs of names of the schema-free extraction.
@@ -78,7 +79,7 @@ class Rules:
 
     def answer(self, query: Column, context: Column) -> Column:
         """Extractive: the context's first two sentences."""
-        return F.concat(F.lit("Based on the context:"), F.array_join(F.slice(F.regexp_extract_all(F.substring(context, 1, 2000), F.lit(SENTENCE), F.lit(0)), 1, 2), ""))
+        return F.concat(F.lit("Based on the context:"), lead(context))
 
     def rewritten(self, text: Column) -> Column:
         """Contractions written out."""

@@ -4,13 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions import text as X
 from ..operators import clean, files
 from ..operators.buckets import BucketTable
+from ..plans.agent import lead
 
 
-def prepared(raw: DataFrame) -> DataFrame:
-    """path, sha256, text (cleaned), title, category of files(path, content, sha256)."""
-    return clean.cleaned(files.load_text(raw).join(raw.select("path", "sha256"), "path"))
+def processed(raw: DataFrame) -> DataFrame:
+    """path, sha256, text, title, category, summary, status, error of files(path, content, sha256): each taken to its end.
+
+    A file without content, whose bytes are no UTF-8, or of which cleaning leaves nothing ends in ERROR with the reason, and the
+    others go on.
+    """
+    text = F.try_validate_utf8(F.col("content").cast("string"))
+    error = F.when(F.col("content").isNull(), "no content").when(text.isNull(), "not UTF-8")
+    read = raw.select("path", "sha256", F.coalesce(text, F.lit("")).alias("text"), X.title(F.col("path")).alias("title"), X.category(F.col("path")).alias("category"), error.alias("error"))
+    done = clean.cleaned(read).withColumn("error", F.coalesce("error", F.when(F.col("text") == "", F.lit("no text"))))
+    status = F.when(F.col("error").isNull(), F.lit("DONE")).otherwise(F.lit("ERROR"))
+    return done.select("path", "sha256", "text", "title", "category", lead(F.col("text")).alias("summary"), status.alias("status"), "error")
+
+
+def queued(found: DataFrame, known: DataFrame | None) -> DataFrame:
+    """Of files(path, content, sha256) those to take up: new ones, changed ones that are not DONE, and those that ended in ERROR."""
+    if known is None:
+        return found
+    held = known.select(F.col("path").alias("_path"), F.col("status").alias("_status"))
+    return found.join(held, F.col("path") == F.col("_path"), "left").where("_status IS NULL OR _status = 'ERROR'").drop("_path", "_status")
+
+
+def scan_once(spark: SparkSession, found: DataFrame, table: str, token: tuple[str, int] | None = None) -> None:
+    """One turn of the loop: what is to be taken up is processed and merged by path."""
+    merge(spark, processed(queued(found, current(spark, table))), table, token=token)
 
 
 def merge(spark: SparkSession, new: DataFrame, table: str, key: str = "path", token: tuple[str, int] | None = None) -> None:
@@ -28,8 +52,8 @@ def ingest_changes(spark: SparkSession, root: str, table: str) -> int:
     """The batch form: files whose hash is not on record, edits included. Returns how many were taken."""
     found = files.scan(spark, root)
     if (known := current(spark, table)) is not None:
-        found = files.dirty(found, known)
-    new = prepared(found)
+        found = files.dirty(found, known.where("status = 'DONE'"))  # what ended in ERROR is tried again
+    new = processed(found)
     n = new.count()
     if n:
         merge(spark, new, table)
@@ -44,6 +68,6 @@ def stream_new(spark: SparkSession, root: str, table: str, state: str, per_batch
     )
 
     def take(batch: DataFrame, number: int) -> None:
-        merge(spark, prepared(batch.select("path", "content", F.sha2("content", 256).alias("sha256"))), table, token=(state, number))
+        merge(spark, processed(batch.select("path", "content", F.sha2("content", 256).alias("sha256"))), table, token=(state, number))
 
     return source.writeStream.foreachBatch(take).option("checkpointLocation", state).trigger(availableNow=True).start()

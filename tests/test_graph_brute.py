@@ -6,9 +6,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stratafind import registry
-from stratafind.operators import graph as G
+from stratafind.operators import graph as G, retrieval as R
+from test_resolve import greedy
 
 SF = "/root/testdata/sf0.001"
 
@@ -105,18 +107,65 @@ def test_er_reltypes(spark):
     assert {tuple(x) for x in registry.QUERIES["er_reltypes"](spark, SF).collect()} == {("SUPPLIED BY", "SUPPLIED_BY")}
 
 
+def merged(nodes, edges, groups):
+    """nodes {id: [name, labels, v]} and edges [(edge_id, src, dst, kind, q)] after each group became its best node."""
+    degree = Counter(x for _, s, d, _, _ in edges for x in {s, d})
+    canon = {}
+    for ids in groups:
+        keep = min(ids, key=lambda i: (-10 * degree[i], len(nodes[i][0]), i))
+        canon |= {i: keep for i in ids if i != keep}
+    left = {i: list(n) for i, n in nodes.items() if i not in canon}
+    for i in sorted(canon):
+        left[canon[i]][2] = nodes[i][2]
+    joined = {}
+    for e, s, d, kind, q in sorted(edges):
+        to = (canon.get(s, s), canon.get(d, d), kind)
+        if (s in canon or d in canon) and to[0] == to[1]:
+            continue
+        joined[to] = (joined.get(to, (e,))[0], q)
+    return left, [(e, *to, q) for to, (e, q) in joined.items()]
+
+
 def test_er_cleanup(spark):
-    """One pass in plain Python: exact buckets, the node of most edges stays, its duplicates' edges move and merge."""
-    parts = {f"p{x['p_partkey']}": x["p_name"] for x in spark.read.parquet(f"{SF}/part.parquet").collect()}
+    """The whole clean-up in plain Python: equal names, kinds of edges, likeness by label, parallel edges."""
+    parts = {f"p{x['p_partkey']}": (x["p_name"], ["__Entity__", x["p_brand"]], x["p_brand"]) for x in spark.read.parquet(f"{SF}/part.parquet").collect()}
+    vectors = {f"p{x['vec_id']}": x["embedding"] for x in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
     lines = spark.read.parquet(f"{SF}/lineitem.parquet").collect()
-    edges = [(f"p{x['l_partkey']}", f"s{x['l_suppkey']}", "SUPPLIED_BY" if x["l_linenumber"] % 2 == 0 else "SUPPLIED BY") for x in lines]
-    degree, buckets = Counter(s for s, _, _ in edges), defaultdict(list)
-    for i, name in parts.items():
+    edges = [(f"e{x['l_orderkey'] * 10 + x['l_linenumber']:012d}", f"p{x['l_partkey']}", f"s{x['l_suppkey']}", "SUPPLIED_BY" if x["l_linenumber"] % 2 == 0 else "SUPPLIED BY", str(int(x["l_quantity"]))) for x in lines]
+    buckets = defaultdict(list)
+    for i, (name, _, _) in parts.items():
         buckets[name.strip().lower().replace(" ", "_")].append(i)
-    canon = {}
-    for ids in buckets.values():
-        keep = min(ids, key=lambda i: (-10 * degree[i], len(parts[i]), i))
-        canon |= {i: keep for i in ids}
-    merged = {(canon.get(s, s), d, k) for s, d, k in edges}
-    got = {x["rel_type"]: x["n_edges"] for x in registry.QUERIES["er_cleanup"](spark, SF).collect()}
-    assert got == Counter(k for _, _, k in merged)
+    nodes, edges = merged(parts, edges, buckets.values())
+    edges = [(e, s, d, "SUPPLIED BY", q) for e, s, d, _, q in edges]
+    found = defaultdict(list)
+    for _, seed, i in greedy([(i, n[0], n[1], vectors.get(i)) for i, n in nodes.items()], 0.85):
+        found[seed].append(i)
+    nodes, edges = merged(nodes, edges, [[seed, *ids] for seed, ids in found.items()])
+    assert {(x["src"], x["dst"], x["rel_type"], x["edge_id"], x["q"]) for x in registry.QUERIES["er_cleanup"](spark, SF).collect()} == {(s, d, k, e, q) for e, s, d, k, q in edges}
+    assert {tuple(x) for x in registry.QUERIES["er_cleanup_nodes"](spark, SF).select("id", "name", "labels", "v").collect()} == {(i, n[0], ",".join(n[1]), n[2]) for i, n in nodes.items()}
+
+
+def test_cleanup_in_order(spark):
+    """Kinds and names that meet only after the steps before them."""
+    nodes = [(i, n, [k], {"kind": k}) for i, n, k in [("a", "Acme Corp", "Org"), ("b", "acme corp ", "Org"), ("c", "Acme Corps", "Org"), ("d", "Bolt", "Part"), ("e", "Acme Corps", "Part")]]
+    edges = [("1", "a", "d", "MAKES", {"q": "1"}), ("2", "b", "d", "MAKE", {"q": "2"}), ("3", "c", "d", "MAKES", {"q": "3"}), ("4", "a", "c", "OWNS", {}), ("5", "d", "a", "MADE_BY", {})]
+    n = spark.createDataFrame(nodes, "id string, name string, labels array<string>, props map<string,string>")
+    e = spark.createDataFrame(edges, "edge_id string, src string, dst string, rel_type string, props map<string,string>")
+    none = lambda held: held.select("id", F.lit(None).cast("array<double>").alias("embedding"))
+    left, linked = G.cleanup(n, e, none, 0.85)
+    # equal names first (b into a, and e into c), then kinds, then a and c by name; the loop between these goes
+    assert {r["id"] for r in left.collect()} == {"a", "d"}
+    assert {(r["src"], r["dst"], r["rel_type"], r["edge_id"]) for r in linked.collect()} == {("a", "d", "MAKE", "1"), ("d", "a", "MADE_BY", "5")}
+
+
+def test_tools_fail_alone(spark):
+    planned = spark.createDataFrame([(1, "q", "good,late,early"), (2, "r", "good"), (3, "s", "early")], "query_id long, text string, tools string")
+    answer = lambda asked: asked.select("query_id", F.lit(0).alias("rank"), "text").withColumnRenamed("text", "id")
+
+    def early(asked):
+        raise ValueError("no index")
+
+    late = lambda asked: answer(asked).withColumn("id", F.raise_error(F.lit("down")).cast("string"))
+    rows, errors = R.run_tools(planned, {"early": early, "good": answer, "late": late, "unasked": answer})
+    assert {tuple(r) for r in rows.collect()} == {(1, "good", 0, "q"), (2, "good", 0, "r")} and errors.keys() == {"early", "late"}
+    assert R.run_tools(planned, {"early": early})[0].collect() == []

@@ -117,3 +117,18 @@ def test_ingestion(spark, tmp_path):
     assert "edited" not in {r["text"] for r in ingest.current(spark, table).collect()}  # a stream takes new paths alone
     assert ingest.ingest_changes(spark, at, table) == 1 and ingest.ingest_changes(spark, at, table) == 0
     assert {r["text"] for r in ingest.current(spark, table).collect()} == {"kept", "edited"}
+
+
+def test_files_end_in_error_with_a_reason_and_are_tried_again(spark, tmp_path):
+    table = str(tmp_path / "t")
+    rows = [("./data/a/x.txt", b"One. Two! Three?"), ("./data/a/bad.txt", b"\xff\xfe"), ("./data/b/none.txt", None), ("./data/blank.txt", b" \n")]
+    found = lambda rows: spark.createDataFrame(rows, "path string, content binary").withColumn("sha256", F.sha2("content", 256))
+    ingest.scan_once(spark, found(rows), table)
+    ended = {r["path"]: (r["category"], r["summary"], r["status"], r["error"]) for r in ingest.current(spark, table).collect()}
+    assert ended == {
+        "./data/a/x.txt": ("a", "One. Two!", "DONE", None), "./data/a/bad.txt": ("a", "", "ERROR", "not UTF-8"), "./data/b/none.txt": ("b", "", "ERROR", "no content"), "./data/blank.txt": ("general", "", "ERROR", "no text"),
+    }
+    assert {r["path"] for r in ingest.queued(found(rows), ingest.current(spark, table)).collect()} == {p for p, _ in rows[1:]}
+    ingest.scan_once(spark, found([("./data/a/x.txt", b"changed"), ("./data/a/bad.txt", b"good")]), table)
+    again = {r["path"]: (r["text"], r["status"]) for r in ingest.current(spark, table).collect()}
+    assert again["./data/a/x.txt"] == ("One. Two! Three?", "DONE") and again["./data/a/bad.txt"] == ("good", "DONE") and len(again) == 4
