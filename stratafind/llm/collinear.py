@@ -1,13 +1,15 @@
 """Substring de-duplication by collinear chaining (operator 7).
 
-Each document is read as lower-cased words. Seeds are hashes of its K-word windows: the smallest of every WINNOW neighbours,
-so that any two texts with WINNOW + K - 1 equal words in a row share one, and every hash below a limit (one in SPARSE)
-wherever it stands, which does not depend on the words around it and so serves passages with changed words. Seeds meet in
-two steps: inside a map task's block of documents, each occurrence of a seed is matched with the seed's first place in the
+Each document is read as lower-cased words. Seeds are hashes of its K-word windows below a limit (one in SPARSE), wherever
+they stand, which do not depend on the words around them and so serve passages with changed words; and of its windows of
+MIN_PART words the smallest of every WINNOW neighbours. A seed of MIN_PART words is a part that counts by itself, whichever
+document it is matched with, and any two texts with WINNOW + MIN_PART - 1 equal words in a row share one: so no equal passage
+is lost because its shorter windows first stood elsewhere, each in another place. Seeds meet in two steps: inside a map task's block of documents, each occurrence of a seed is matched with the seed's first place in the
 smallest document of the block; then only the occurrences in that document go to the seed's bucket and are matched with its
 first place in the smallest document of all. So links grow with the occurrences, a bucket receives a seed once for a block
 however common it is, and every occurrence outside the first document is matched with an earlier document.
-A seed carries four bits of each of the AROUND words on both sides; a match whose words differ there on both sides is chance.
+A short seed carries four bits of each of the AROUND words on both sides; a match whose words differ there on both sides is
+chance.
 
 Matches of two documents are ordered and chained: the score of a chain adds SEED for each match and takes GAP for each word
 skipped on either side; the best predecessor of a match is a prefix maximum in a Fenwick tree over places of the other
@@ -21,8 +23,9 @@ Defined results: rows without id or text, and texts of fewer words than a part n
 document; rows report the later document (larger id) and an earlier one where the passage stands; a passage repeated inside
 one document alone is not reported; ties of chain scores go to the earlier match; repeated rows change nothing; an empty
 table gives no rows; other columns are ignored. Places are word numbers from 0, ends exclusive. Passages whose runs of equal
-words are all shorter than WINNOW + K - 1 are found as soon as one of their equal windows is a seed: with every sixth word
-changed that leaves about one in ten passages of 60 words unfound, and one in five of 50.
+words are all shorter than WINNOW + MIN_PART - 1 are found as soon as one of their equal windows of K words is a seed: with
+every sixth word changed that leaves about one in fifty passages of 60 words unfound, and one in twenty-five of 50. How rows are
+dealt over tasks may decide which earlier document is named, not whether an equal passage is found.
 """
 
 from __future__ import annotations
@@ -37,11 +40,11 @@ from pyspark.sql import DataFrame, functions as F
 from .common import SLICE_ROWS, cut_lineage, give_back, sliced, to_python, written
 
 K = 5
-WINNOW = 16
-SPARSE = 5
+WINNOW = 24
+SPARSE = 3
 MIN_WORDS = 50
-#: An aligned part counts if it is this long and this alike; WINNOW + K - 1 equal words always share a seed.
-MIN_PART = WINNOW + K - 1
+#: An aligned part counts if it is this long (a multiple of K) and this alike.
+MIN_PART = 20
 MIN_ALIKE = 0.8
 SEED, GAP = 16.0, 0.2
 #: Words between two matches of a chain at most, on either side: bounds the alignment between them.
@@ -120,15 +123,24 @@ def seeds_of(texts: list[bytes], min_words: int = MIN_PART) -> tuple[np.ndarray,
     valid = np.zeros(len(h), bool)
     valid[(starts[of] + place)[whole]] = True
     h[~valid] = _LAST
-    chosen = h < _LIMIT
-    chosen[winnowed(h)] = True
-    at = np.flatnonzero(chosen & valid)
+    at = np.flatnonzero((h < _LIMIT) & valid)
     nibble, around = code & np.uint64(15), np.zeros(len(at), np.uint64)
     for j in range(AROUND):
         around |= nibble[at - 1 - j] << np.uint64(4 * j)
         around |= nibble[at + K + j] << np.uint64(4 * (AROUND + j))
+    # windows of MIN_PART words, of the hashes of the windows in them; nothing around them has to agree
+    long = np.full(max(0, len(h) - MIN_PART + K), _LAST)
+    inside = np.flatnonzero(valid[: len(long)] & valid[MIN_PART - K : MIN_PART - K + len(long)])
+    x = np.full(len(inside), 0x51AFD7ED558CCD25, np.uint64)
+    for k in range(0, MIN_PART, K):
+        x = (x ^ h[inside + k].view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+    long[inside] = x.view(np.int64)
+    least = winnowed(long)
+    least = least[long[least] != _LAST]
+    at, seeds, around = np.concatenate([at, least]), np.concatenate([h[at], long[least]]), np.concatenate([around, np.zeros(len(least), np.uint64)])
     text = np.searchsorted(starts, at, "right") - 1
-    return text, h[at], (at - starts[text]).astype(np.int32), around
+    return text, seeds, (at - starts[text]).astype(np.int32), around
 
 
 def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:

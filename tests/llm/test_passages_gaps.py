@@ -57,15 +57,15 @@ def test_changed_passages(spark):
     """Passages with every n-th word replaced (about 83, 87 and 90 % alike): most are found, almost all of the longer ones."""
     r, docs, want = random.Random(3), {}, defaultdict(list)
     for every in (6, 8, 10):
-        for size in (60, 80, 150):
-            for _ in range(30):
+        for size in (53, 60, 80, 150):
+            for _ in range(50):
                 p = plain(r, size)
                 docs[len(docs)] = plain(r, 25) + p + plain(r, 25)
                 docs[len(docs)] = plain(r, 25) + [f"x{r.randrange(10**7)}" if i % every == every - 1 else x for i, x in enumerate(p)] + plain(r, 25)
                 want[every, size].append(len(docs) - 1)
     cover = cover_of(collinear.passages(frame(spark, docs)).collect())
     share = {k: sum(len(cover[d]) >= 0.8 * k[1] for d in ds) / len(ds) for k, ds in want.items()}
-    assert all(v >= 0.7 for v in share.values()) and all(v >= 0.9 for (every, size), v in share.items() if every > 6 or size > 100), share
+    assert all(v >= 0.9 for v in share.values()), share
     assert set(cover) <= {d for ds in want.values() for d in ds}
 
 

@@ -3,6 +3,7 @@
 import random
 from collections import defaultdict
 
+import pytest
 from stratafind.llm import collinear
 from test_operators import texts  # noqa: F401  (a fixture)
 
@@ -39,3 +40,27 @@ def test_every_exact_repeat_without_exception(spark, texts):
             if first.setdefault(tuple(w[i : i + 50]), d) != d and not cover[d].issuperset(range(i + 2, i + 48)):
                 lost.append((d, i))
     assert not lost
+
+
+def shadowed(window):
+    """Document 1 holds every window of a passage, each in a context of its own; 2 and 3 hold the whole passage."""
+    r = random.Random(window)
+    passage = [f"p{i}" for i in range(100)]
+    fill = lambda n: [f"w{r.randrange(10**7)}" for _ in range(n)]
+    first = []
+    for i in range(100 - window + 1):
+        first += fill(9) + passage[i : i + window]
+    return {1: first + fill(9), 2: fill(30) + passage + fill(30), 3: fill(40) + passage + fill(20)}
+
+
+@pytest.mark.parametrize("window", [5, 8, 12, 19])
+@pytest.mark.parametrize("partitions", [1, 2, 3])
+def test_windows_that_stood_elsewhere_hide_no_passage(spark, window, partitions):
+    rows = [(i, " ".join(w)) for i, w in shadowed(window).items()]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(partitions, "doc_id")
+    cover = set()
+    for x in collinear.passages(df).collect():
+        assert (x["doc_id"], x["source_doc_id"]) in ((3, 2), (3, 1), (2, 1))
+        if x["doc_id"] == 3:
+            cover |= set(range(x["start_word"], x["end_word"]))
+    assert cover == set(range(40, 140))
