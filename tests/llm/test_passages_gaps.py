@@ -57,7 +57,7 @@ def test_changed_passages(spark):
     """Passages with every n-th word replaced (about 83, 87 and 90 % alike): most are found, almost all of the longer ones."""
     r, docs, want = random.Random(3), {}, defaultdict(list)
     for every in (6, 8, 10):
-        for size in (53, 60, 80, 150):
+        for size in (55, 60, 80, 150):
             for _ in range(50):
                 p = plain(r, size)
                 docs[len(docs)] = plain(r, 25) + p + plain(r, 25)
