@@ -1,10 +1,10 @@
 """Best-fit packing with swap-based local search (operator 1).
 
 Documents become pieces of at most `capacity` tokens (end token included). Pieces are dealt evenly into groups of a bounded
-number of pieces, each group is packed best-fit decreasing, and while a group holds more sequences than its lower bound
-the emptiest one gives its pieces away: by moves, one-for-one and two-for-one exchanges with underfull sequences, each of
-which raises the sum of squared fills, until it is empty or nothing improves. Sequences left well short of full are taken
-apart and packed again across groups, in ever fewer groups.
+number of pieces, each group is packed best-fit decreasing, and while a group holds more sequences than its lower bound any
+two underfull ones exchange pieces: by moves, one-for-one and two-for-one exchanges, each of which raises the sum of squared
+fills, so that the emptiest run empty. Where that ends above the bound it begins again from best fit in another order, STARTS
+times in all. Sequences left well short of full are taken apart and packed again across groups, in ever fewer groups.
 
 Defined results: null or empty text is one piece holding the end token alone; repeated rows are packed as often as they
 occur; ties go to the earlier piece of the group; an empty table gives no rows; other columns are ignored.
@@ -12,6 +12,7 @@ occur; ties go to the earlier piece of the group; an empty table gives no rows;
 
 from __future__ import annotations
 
+import random
 import zlib
 
 from pyspark.sql import DataFrame, functions as F
@@ -23,6 +24,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces of a packing group: bounds a task's memory and the search.
 GROUP_PIECES = 32_768
+#: Packings that the search begins from, and by how much sizes are varied for the order of further ones.
+STARTS, SHUFFLE = 4, 0.3
 #: Sequences below this share of the capacity are packed again across groups.
 SEALED_SHARE = 0.995
 
@@ -54,12 +57,13 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
     return to_python(docs, "doc_id", "text").mapInArrow(cut, PIECES)
 
 
-def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
-    """Best-fit decreasing: each item goes to the fullest bin that takes it. Bins hold item numbers."""
+def best_fit(lengths: list[int], capacity: int, order: list[float] | None = None) -> list[list[int]]:
+    """Best-fit decreasing: each item goes to the fullest bin that takes it. Bins hold item numbers. order: decreasing in this."""
     bins: list[list[int]] = []
     by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
     rooms = 0  # bit r: some bin has room r
-    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+    by = order or lengths
+    for i in sorted(range(len(lengths)), key=lambda i: (-by[i], i)):
         n = lengths[i]
         fits = rooms >> n
         if fits:
@@ -78,72 +82,124 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
-    """Empty the emptiest bin by moves and exchanges, again and again; stops at the lower bound or a local optimum.
-
-    Every step moves tokens from the emptiest bin into a fuller one, so the sum of squared fills rises strictly and the
-    search ends.
-    """
+def least_bins(lengths: list[int], capacity: int) -> int:
+    """A lower bound of the bins: for each k, pieces over capacity - k need one each, those over half another, and what of the
+    pieces from k on does not fit beside these needs more."""
     import numpy as np
 
-    size = np.asarray(lengths, dtype=np.int64)
-    least = -(-int(size.sum()) // capacity)
-    bins = [list(b) for b in bins]
-    fill = np.array([sum(lengths[i] for i in b) for b in bins], dtype=np.int64)
-    stuck = False
-    while len(bins) > least and not stuck:
-        t = int(np.argmin(fill))
-        owner = np.full(len(size), -1, dtype=np.int64)
-        for b, items in enumerate(bins):
-            if b != t and fill[b] < capacity:
-                owner[items] = b
-        free = np.where(owner >= 0, capacity - fill[owner], -1)
-        while bins[t] and not stuck:
-            stuck = True
-            for give in _offers(bins[t], lengths):
-                n = sum(lengths[i] for i in give)
-                room = np.where(np.arange(len(bins)) == t, -1, capacity - fill)
-                fits = np.flatnonzero(room >= n)
-                if len(fits):
-                    to, back = int(fits[np.argmin(room[fits])]), []
-                else:
-                    # give n tokens for one smaller piece of a bin that then still fits; prefer the largest gain
-                    ok = np.flatnonzero((free >= 0) & (size < n) & (size + free >= n))
-                    if not len(ok):
-                        continue
-                    j = int(ok[np.argmin(size[ok])])
-                    to, back = int(owner[j]), [j]
-                for i in give:
-                    bins[t].remove(i)
-                    bins[to].append(i)
-                    owner[i] = to
-                for j in back:
-                    bins[to].remove(j)
-                    bins[t].append(j)
-                    owner[j] = -1
-                gain = n - sum(lengths[j] for j in back)
-                fill[t] -= gain
-                fill[to] += gain
-                if fill[to] == capacity:
-                    owner[bins[to]] = -1
-                free = np.where(owner >= 0, capacity - fill[owner], -1)
-                stuck = False
-                break
-        if not bins[t]:
-            bins.pop(t)
-            fill = np.delete(fill, t)
-            stuck = False
-    return bins
+    s = np.sort(np.asarray(lengths, np.int64))
+    before, half = np.concatenate([[0], np.cumsum(s)]), int(np.searchsorted(s, capacity // 2, "right"))
+    k = np.unique(np.concatenate([[0], s[:half]]))
+    up_to = np.maximum(np.searchsorted(s, capacity - k, "right"), half)
+    room = (up_to - half) * capacity - (before[up_to] - before[half])
+    rest = before[half] - before[np.searchsorted(s[:half], k, "left")]
+    return int((len(s) - half + np.maximum(0, -(-(rest - room) // capacity))).max(initial=0))
 
 
-def _offers(items: list[int], lengths: list[int]):
-    """What the emptiest bin may give: each piece, largest first, then each pair."""
-    order = sorted(items, key=lambda i: (-lengths[i], i))
-    for i in order:
-        yield (i,)
-    for a in range(min(len(order), 64)):
-        for b in range(a + 1, min(len(order), 64)):
-            yield (order[a], order[b])
+class Exchanges:
+    """Bins of pieces, and the moves and exchanges between any two underfull ones that raise the sum of squared fills.
+
+    One that brings d more tokens into bin A from bin B raises it if A ends fuller than B was. For each bin, fullest first, the
+    exchange that fills it most is made, with whichever other bin, until none is left.
+    """
+
+    def __init__(self, bins: list[list[int]], lengths: list[int], capacity: int):
+        import numpy as np
+
+        self.size, self.capacity = np.asarray(lengths, np.int64), capacity
+        self.bins = [list(b) for b in bins]
+        self.fill = np.array([int(self.size[b].sum()) for b in self.bins], np.int64)
+        self.of = np.empty(len(self.size), np.int64)
+        for k, b in enumerate(self.bins):
+            self.of[b] = k
+        self._sort()
+
+    def _sort(self) -> None:
+        """Pieces of underfull bins by bin and size."""
+        import numpy as np
+
+        items = np.flatnonzero(self.fill[self.of] < self.capacity)
+        key = self.of[items] * (self.capacity + 1) + self.size[items]
+        order = np.argsort(key, kind="stable")
+        self.items, self.key = items[order], key[order]
+
+    def best_for(self, a: int) -> tuple[int, tuple, tuple]:
+        """Tokens that bin a gains at most, and pieces it takes from one other bin and gives back: one or two for none or one, or
+        one for two."""
+        import numpy as np
+
+        room, fill = int(self.capacity - self.fill[a]), int(self.fill[a])
+        items, size, of = self.items, self.size[self.items], self.of[self.items]
+        other, theirs, place = of != a, self.fill[of], np.arange(len(items))
+        best: tuple[int, tuple, tuple] = (0, (), ())
+
+        def try_(gain, ok, take, give) -> bool:
+            """Keep the largest gain; whether it fills the bin."""
+            nonlocal best
+            ok = ok & other & (gain > best[0]) & (gain <= room) & (fill + gain > theirs)
+            if ok.any():
+                k = int(np.argmax(np.where(ok, gain, -1)))
+                best = int(gain[k]), take(k), give(k)
+            return best[0] == room
+
+        own = sorted(self.bins[a], key=lambda i: (int(self.size[i]), i))
+        for back in [(), *((i,) for i in {int(self.size[i]): i for i in reversed(own)}.values())]:
+            given = int(self.size[list(back)].sum()) if back else 0
+            if try_(size - given, True, lambda k: (int(items[k]),), lambda k, back=back: back):
+                return best
+            # the largest second piece of the same bin that still fits
+            second = np.searchsorted(self.key, of * (self.capacity + 1) + np.minimum(room + given - size, self.capacity), "right") - 1
+            second = np.minimum(second, place - 1)
+            there = np.maximum(second, 0)
+            if try_(size + size[there] - given, (second >= 0) & (of[there] == of), lambda k, there=there: (int(items[k]), int(items[there[k]])), lambda k, back=back: back):
+                return best
+        if len(own) > 1:
+            x, y = np.triu_indices(len(own), 1)
+            sums, first = np.unique(self.size[own][x] + self.size[own][y], return_index=True)
+            pair = np.searchsorted(sums, size - room)  # the smallest that makes room enough
+            there = np.minimum(pair, len(sums) - 1)
+            try_(size - sums[there], pair < len(sums), lambda k: (int(items[k]),), lambda k: (own[x[first[there[k]]]], own[y[first[there[k]]]]))
+        return best
+
+    def exchange(self, a: int, gain: int, take: tuple, give: tuple) -> None:
+        b = int(self.of[take[0]])
+        for pieces_, source, to in ((take, b, a), (give, a, b)):
+            for i in pieces_:
+                self.bins[source].remove(i)
+                self.bins[to].append(i)
+                self.of[i] = to
+        self.fill[a] += gain
+        self.fill[b] -= gain
+        self._sort()
+
+    def improve(self, least: int) -> list[list[int]]:
+        """The bins that are left at a local optimum, or at the lower bound."""
+        moved = True
+        while moved:
+            moved = False
+            for a in (-self.fill).argsort(kind="stable").tolist():
+                while 0 < self.fill[a] < self.capacity:
+                    gain, take, give = self.best_for(a)
+                    if not gain:
+                        break
+                    self.exchange(a, gain, take, give)
+                    moved = True
+                    if (self.fill > 0).sum() <= least:
+                        return [b for b in self.bins if b]
+        return [b for b in self.bins if b]
+
+
+def local_search(bins: list[list[int]], lengths: list[int], capacity: int, starts: int = STARTS) -> list[list[int]]:
+    """The fewest bins that exchanges come to, from these and from best fit in further orders; done at the lower bound."""
+    least, r = least_bins(lengths, capacity), random.Random(len(lengths))
+    best = [b for b in bins if b]
+    for _ in range(starts):
+        if len(best) <= least:
+            break
+        now = Exchanges(bins, lengths, capacity).improve(least)
+        best = now if len(now) < len(best) else best
+        bins = best_fit(lengths, capacity, [n * (1 + SHUFFLE * r.random()) for n in lengths])
+    return best
 
 
 def pack(pieces_df: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
