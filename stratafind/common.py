@@ -43,6 +43,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, kept: list[str]) -> DataFrame:
+    """The frame as a table of the shared folder, noted in `kept` for whoever removes it."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    kept.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Rounds:
     """A frame that a loop makes anew each round, kept as a table of the shared folder; the one before is removed.
 

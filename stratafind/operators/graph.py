@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..common import checked_broadcast, cut_lineage
+from ..common import checked_broadcast, cut_lineage, delete, stored
 from ..functions import text as X
 from . import resolve, retrieval
 
@@ -149,89 +149,40 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key), key, "left_anti").unionByName(new)
 
 
-#: Weighted edges, both ways, up to which one task finds the communities node by node.
-LOCAL_EDGES = 1_000_000
+def louvain(edges: DataFrame, least_gain: float = 1e-3) -> DataFrame:
+    """node, community (its smallest node) from edges(a, b), by Louvain's moves, at every size by grouped joins.
 
-
-def settled(weights: dict, least_gain: float = 1e-9) -> dict:
-    """Community of each node of weights {x: {y: w}}, both ways: nodes in order move to the neighbouring community with the
-    largest gain until none moves, then communities become nodes, until nothing is gained."""
-    of = {x: x for x in weights}
-    while True:
-        degree = {x: sum(near.values()) for x, near in weights.items()}
-        double_m, own = sum(degree.values()) or 1.0, {x: x for x in weights}
-        total, moved, changed = dict(degree), True, False
-        while moved:
-            moved = False
-            for x in sorted(weights):
-                inside: dict = {}
-                for y, w in weights[x].items():
-                    if y != x:
-                        inside[own[y]] = inside.get(own[y], 0.0) + w
-                total[own[x]] -= degree[x]
-                gain = lambda c: inside.get(c, 0.0) - degree[x] * total[c] / double_m  # noqa: B023, E731
-                best = max(inside, key=lambda c: (gain(c), c), default=own[x])
-                if gain(best) > gain(own[x]) + least_gain:
-                    own[x], moved, changed = best, True, True
-                total[own[x]] += degree[x]
-        if not changed:
-            return of
-        of = {n: own[c] for n, c in of.items()}
-        merged: dict = {}
-        for x, near in weights.items():
-            into = merged.setdefault(own[x], {})
-            for y, w in near.items():
-                into[own[y]] = into.get(own[y], 0.0) + w
-        weights = merged
-
-
-def louvain(edges: DataFrame, least_gain: float = 1e-3, local_edges: int = LOCAL_EDGES) -> DataFrame:
-    """node, community (its smallest node) from edges(a, b), by Louvain's moves.
-
-    Up to `local_edges` weighted edges (counted first) go to one task, which moves node by node. Larger graphs are settled by
-    grouped joins, half of the nodes moving in a round (by a hash), so that neighbours do not swap for ever; there no task
-    holds more than partial sums, a level's rounds go on until modularity no longer rises by `least_gain`, the best state is
-    kept, and levels go on until one gains nothing.
+    In a round half of the nodes (by a hash) join the neighbouring community with the largest gain, so that neighbours do not
+    swap for ever; no task holds more than partial sums. A level's rounds go on until two in a row, one for each half, no
+    longer raise modularity by `least_gain`; the best state is kept, its communities become nodes, and levels go on until one gains
+    nothing. What Spark has inferred of a round's rows is not handed on, as it would grow with every round: states are tables.
     """
+    spark, kept = edges.sparkSession, []
     both = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(edges.select(F.col("b").alias("x"), F.col("a").alias("y")))
-    w = cut_lineage(both.groupBy("x", "y").agg(F.count(F.lit(1)).cast("double").alias("w")))
-    if w.count() <= local_edges:
-
-        def of_all(pdf):
-            import pandas as pd
-
-            weights: dict = {}
-            for x, y, k in zip(pdf["x"].tolist(), pdf["y"].tolist(), pdf["w"].tolist()):
-                weights.setdefault(x, {})[y] = k
-            found, least = settled(weights), {}
-            for n, c in found.items():
-                least[c] = min(n, least.get(c, n))
-            return pd.DataFrame([(n, least[c]) for n, c in found.items()], columns=["node", "community"])
-
-        kind = w.schema["x"].dataType.simpleString()
-        return w.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(of_all, f"node {kind}, community {kind}")
-    of = cut_lineage(w.select(F.col("x").alias("node")).distinct().withColumn("top", F.col("node")))
-    double_m = w.agg(F.sum("w")).first()[0] or 1.0
-    reached = None
+    w = stored(both.groupBy("x", "y").agg(F.count(F.lit(1)).cast("double").alias("w")), kept)
+    of = stored(w.select(F.col("x").alias("node")).distinct().withColumn("top", F.col("node")), kept)
+    double_m, reached = w.agg(F.sum("w")).first()[0] or 1.0, None
     while True:
-        state = cut_lineage(w.groupBy("x").agg(F.sum("w").alias("k")).withColumn("c", F.col("x")))
-        best, score, idle, r = state, modularity(w, state, double_m), 0, 0
-        if reached is None:
-            reached = score
-        while idle < 1:
-            state = _moved(w, state, double_m, r)
+        state = stored(w.groupBy("x").agg(F.sum("w").alias("k")).withColumn("c", F.col("x")), kept)
+        best, score, idle, turn = state, modularity(w, state, double_m), 0, 0
+        reached = score if reached is None else reached
+        while idle < 2:
+            state = stored(_moved(w, state, double_m, turn), kept)
             now = modularity(w, state, double_m)
             idle = 0 if now > score + least_gain else idle + 1
             best, score = (state, now) if now > score else (best, score)
-            r += 1
+            turn += 1
         if score <= reached + least_gain:
             break
         reached = score
-        of = cut_lineage(of.join(best.select(F.col("x").alias("top"), "c"), "top").select("node", F.col("c").alias("top")))
+        of = stored(of.join(best.select(F.col("x").alias("top"), "c"), "top").select("node", F.col("c").alias("top")), kept)
         c = best.select("x", "c")
-        w = cut_lineage(w.join(c, "x").join(c.select(F.col("x").alias("y"), F.col("c").alias("d")), "y").groupBy(F.col("c").alias("x"), F.col("d").alias("y")).agg(F.sum("w").alias("w")))
+        w = stored(w.join(c, "x").join(c.select(F.col("x").alias("y"), F.col("c").alias("d")), "y").groupBy(F.col("c").alias("x"), F.col("d").alias("y")).agg(F.sum("w").alias("w")), kept)
     name = of.groupBy("top").agg(F.min("node").alias("community"))
-    return of.join(name, "top").select("node", "community")
+    found = cut_lineage(of.join(name, "top").select("node", "community"))
+    for path in kept:
+        delete(spark, path)
+    return found
 
 
 def modularity(w: DataFrame, state: DataFrame, double_m: float) -> float:
@@ -251,8 +202,9 @@ def _moved(w: DataFrame, state: DataFrame, double_m: float, turn: int) -> DataFr
     rest = F.col("tot") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(F.lit(0.0))
     gain = F.round(F.col("in") - F.col("k") * rest / double_m, 9)
     best = options.join(own, "x").join(total, "c").groupBy("x", "k", "own").agg(F.max_by("c", F.struct(gain.alias("g"), (F.col("c") == F.col("own")).alias("stay"), F.col("c").alias("name"))).alias("to"))
-    may = F.pmod(F.xxhash64("x", F.lit(turn)), F.lit(2)) == 0
-    return cut_lineage(best.select("x", "k", F.when(may, F.col("to")).otherwise(F.col("own")).alias("c")))
+    # each half in turn, dealt anew after both
+    may = F.pmod(F.xxhash64("x", F.lit(turn // 2)) + turn, F.lit(2)) == 0
+    return best.select("x", "k", F.when(may, F.col("to")).otherwise(F.col("own")).alias("c"))
 
 
 def components(edges: DataFrame) -> DataFrame:

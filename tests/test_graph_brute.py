@@ -28,8 +28,7 @@ def modularity(edges, of):
     return inside / m - sum((t / (2 * m)) ** 2 for t in total.values())
 
 
-@pytest.mark.parametrize("local_edges", [G.LOCAL_EDGES, 0])
-def test_louvain_finds_planted_groups(spark, local_edges):
+def test_louvain_finds_planted_groups(spark):
     r, edges = random.Random(1), []
     for g in range(5):
         for i in range(12):
@@ -37,7 +36,7 @@ def test_louvain_finds_planted_groups(spark, local_edges):
     edges += [(f"g{r.randrange(5)}n{r.randrange(12):02d}", f"g{r.randrange(5)}n{r.randrange(12):02d}") for _ in range(8)]
     edges = [(a, b) for a, b in edges if a != b]
     df = spark.createDataFrame(edges, "a string, b string")
-    of = {x.node: x.community for x in G.louvain(df, local_edges=local_edges).collect()}
+    of = {x.node: x.community for x in G.louvain(df).collect()}
     assert set(of) == {n for e in edges for n in e} and all(of[c] == c for c in of.values())
     planted = {n: n[:2] for n in of}
     assert modularity(edges, of) >= modularity(edges, planted) - 0.02
