@@ -24,13 +24,14 @@ document; rows report the later document (larger id) and an earlier one where th
 one document alone is not reported; ties of chain scores go to the earlier match; repeated rows change nothing; an empty
 table gives no rows; other columns are ignored. Places are word numbers from 0, ends exclusive. Passages whose runs of equal
 words are all shorter than WINNOW + MIN_PART - 1 are found as soon as one of their equal windows of K words is a seed: with
-every sixth word changed that leaves about one in fifty passages of 60 words unfound, and one in twenty-five of 50. How rows are
+every sixth word changed that leaves about one in fifty passages of 60 words unfound, and one in forty of 55. How rows are
 dealt over tasks may decide which earlier document is named, not whether an equal passage is found.
 """
 
 from __future__ import annotations
 
 import re
+import struct
 from bisect import bisect_right
 
 import numpy as np
@@ -53,8 +54,8 @@ MAX_GAP = 40
 DROP, DROP_OUT = 64, 24
 #: Both sides of a chain are fetched with this margin, the earlier one in steps of STEP words (fewer different requests).
 MARGIN, STEP = 64, 64
-#: Words on each side of a seed of which it carries four bits each, and how many must agree on one side.
-AROUND, AGREE = 8, 5
+#: Words on each side of a seed of which it carries four bits each (AROUND bytes in all), and how many must agree on one side.
+AROUND, AGREE = 4, 3
 #: Seeds of a map task's block, and seeds of a bucket aimed at: bound the memory of a task, not the result.
 BLOCK_SEEDS, BUCKET_SEEDS = 250_000, 250_000
 #: Words whose hashes a worker keeps; the memo starts anew when full.
@@ -164,13 +165,34 @@ def met(h, doc, pos, around):
     return (doc[ok], doc[of[ok]], pos[ok], pos[of[ok]]), order[~later]
 
 
+_HEAD = struct.Struct("<qq??")
+
+
+def seeds_as_bytes(h: np.ndarray, doc: np.ndarray, pos: np.ndarray, around: np.ndarray) -> bytes:
+    """Seeds column by column, documents from the smallest on, in as few bytes as these and the places take."""
+    base = int(doc.min())
+    wide, far = int(doc.max()) - base >= 1 << 32, int(pos.max()) >= 1 << 16
+    from_base = doc.view(np.uint64) - np.uint64(base % (1 << 64))
+    return b"".join([_HEAD.pack(len(h), base, wide, far), h.tobytes(), around.astype(f"<u{AROUND}").tobytes(), from_base.astype("<u8" if wide else "<u4").tobytes(), pos.astype("<u4" if far else "<u2").tobytes()])
+
+
+def seeds_from_bytes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    n, base, wide, far = _HEAD.unpack_from(data)
+    at, out = _HEAD.size, []
+    for kind in ("<i8", f"<u{AROUND}", "<u8" if wide else "<u4", "<u4" if far else "<u2"):
+        out.append(np.frombuffer(data, kind, n, at))
+        at += n * out[-1].itemsize
+    h, around, doc, pos = out
+    return h, (doc.astype(np.uint64) + np.uint64(base % (1 << 64))).view(np.int64), pos.astype(np.int32), around.astype(np.uint64)
+
+
 def matches(docs: DataFrame, min_part: int = MIN_PART) -> DataFrame:
     """doc, first, pos, first_pos: occurrences of seeds, each with a place in an earlier document."""
     texts = to_python(docs, "doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = 1 << max(4 * partitions, int(chars / 6 / SPARSE / BUCKET_SEEDS)).bit_length()
-    seed, link = np.dtype([("h", "<i8"), ("doc", "<i8"), ("pos", "<i4"), ("around", "<u8")]), np.dtype([("doc", "<i8"), ("first", "<i8"), ("pos", "<i4"), ("first_pos", "<i4")])
+    link = np.dtype([("doc", "<i8"), ("first", "<i8"), ("pos", "<i4"), ("first_pos", "<i4")])
 
     def rows_of(parts, shape):
         out = np.empty(len(parts[0]), shape)
@@ -187,9 +209,9 @@ def matches(docs: DataFrame, min_part: int = MIN_PART) -> DataFrame:
             found, go = met(h, doc, pos, around)
             bucket = (h[go].view(np.uint64) >> np.uint64(20)) & np.uint64(buckets - 1)
             order = np.argsort(bucket, kind="stable")
-            data, bucket = rows_of([c[go][order] for c in (h, doc, pos, around)], seed), bucket[order]
+            (h, doc, pos, around), bucket = (c[go][order] for c in (h, doc, pos, around)), bucket[order]
             cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, int)
-            made = [data[a:b].tobytes() for a, b in zip(cuts, np.append(cuts[1:], len(data)))]
+            made = [seeds_as_bytes(h[a:b], doc[a:b], pos[a:b], around[a:b]) for a, b in zip(cuts, np.append(cuts[1:], len(h)))]
             linked = rows_of(found, link)
             chunks = [linked[a : a + 20_000] for a in range(0, len(linked), 20_000)]
             where = [*bucket[cuts].astype(np.int32).tolist(), *[int(c["doc"][0] * 31 + c["pos"][0]) % buckets for c in chunks]]
@@ -218,8 +240,7 @@ def matches(docs: DataFrame, min_part: int = MIN_PART) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c), t) for c, t in zip(found, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["doc", "first", "pos", "first_pos"])
 
         def answer(held):
-            data = np.frombuffer(b"".join(held), seed)
-            return batch_of(met(*(np.ascontiguousarray(data[n]) for n in seed.names))[0])
+            return batch_of(met(*map(np.concatenate, zip(*map(seeds_from_bytes, held))))[0])
 
         now, held = None, []
         for b in batches:
@@ -235,6 +256,7 @@ def matches(docs: DataFrame, min_part: int = MIN_PART) -> DataFrame:
                 held.append(seeds)
         if held:
             yield answer(held)
+        give_back()
 
     blocks = texts.mapInArrow(local, "bucket int, seeds binary, links binary")
     return blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(shared, "doc long, first long, pos int, first_pos int")

@@ -3,6 +3,7 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from stratafind.llm import collinear
 from test_operators import texts  # noqa: F401  (a fixture)
@@ -64,3 +65,12 @@ def test_windows_that_stood_elsewhere_hide_no_passage(spark, window, partitions)
         if x["doc_id"] == 3:
             cover |= set(range(x["start_word"], x["end_word"]))
     assert cover == set(range(40, 140))
+
+
+@pytest.mark.parametrize("docs,places", [((5, 9), 10), ((-(2**63), 2**63 - 1), 100), ((-7, 2**32 + 5), 70_000), ((3, 3), 65_536)])
+def test_seeds_as_bytes(docs, places):
+    r = np.random.default_rng(places)
+    h, around = r.integers(-(2**63), 2**63 - 1, 50), r.integers(0, 2 ** (8 * collinear.AROUND), 50, dtype=np.uint64)
+    doc, pos = np.resize(np.array(docs, np.int64), 50), r.integers(0, places + 1, 50).astype(np.int32)
+    again = collinear.seeds_from_bytes(collinear.seeds_as_bytes(h, doc, pos, around))
+    assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(again, (h, doc, pos, around)))
