@@ -1,5 +1,6 @@
 """Queries of what providers do: questions, extraction, answers, grading, research, kept stores and the ingestion loop."""
 
+import itertools
 import uuid
 
 from pyspark.sql import Window, functions as F
@@ -7,7 +8,7 @@ from pyspark.sql import Window, functions as F
 from .. import providers as P
 from ..common import delete, shared_folder
 from ..functions import text as X
-from ..operators import clean, files, graph as G, sets, stores
+from ..operators import clean, extractors as E, files, graph as G, sets, stores
 from ..plans import agent as A
 from ..registry import query
 from ..sources import web
@@ -65,6 +66,46 @@ query("llm_triplets", f"SELECT doc_id, ord, subject, relation, object FROM {TRIP
 query("llm_freeform", f"SELECT doc_id, unnest(range(1, len({GROUP(P.PAIR, 1)}) + 1))::INT AS ord, unnest({GROUP(P.PAIR, 1)}) AS subject, 'RELATED_TO' AS relation, unnest({GROUP(P.PAIR, 2)}) AS object FROM documents")(
     lambda t, _: triplets(t, MODEL.pairs).drop("text")
 )
+
+
+class TripletWorker:
+    """The rule for triplets as an object of a worker."""
+
+    def load(self):
+        import re
+
+        self.pattern = re.compile(P.TRIPLET)
+
+    def triplets(self, texts):
+        return [[(m[1], m[2].upper(), m[3]) for m in itertools.islice(self.pattern.finditer(x), P.TRIPLETS)] for x in texts]
+
+
+query("llm_triplets_workers", f"SELECT doc_id, ord, subject, relation, object FROM {TRIPLETS}")(
+    lambda t, _: E.in_workers(t("documents").select(F.col("doc_id").alias("chunk"), "text"), TripletWorker(), "rules")[0].where("error IS NULL").select(F.col("chunk").alias("doc_id"), "ord", "subject", "relation", "object")
+)
+TURN = "conv_id || '-' || turn"
+PATHS = {"schema": ("{t}", "upper({v})", "{o}", P.TRIPLET, P.TRIPLETS), "free_form": ("{t}", "'RELATED_TO'", "{v}", P.PAIR, P.PAIRS)}
+
+
+def paths_sql(name):
+    subject, relation, obj, pattern, most = PATHS[name]
+    part = {k: f"unnest(list_slice(regexp_extract_all(text, '{pattern}', {g}), 1, {most}))" for k, g in (("t", 1), ("v", 2), ("o", 3))}
+    number = f"unnest(range(1, len(list_slice(regexp_extract_all(text, '{pattern}'), 1, {most})) + 1))::INT"
+    return f"SELECT {TURN} AS chunk, '{name}' AS extractor, {number} AS ord, {subject.format(**part)} AS subject, {relation.format(**part)} AS relation, {obj.format(**part)} AS object FROM conversations"
+
+
+IMPLICIT = f"""SELECT chunk, 'implicit', (row_number() OVER (PARTITION BY chunk ORDER BY k))::INT, chunk, kind, dst FROM (
+    SELECT {TURN} AS chunk, 1 AS k, 'SOURCE' AS kind, conv_id::VARCHAR AS dst FROM conversations UNION ALL SELECT {TURN}, 2, 'NEXT', lead({TURN}) OVER (PARTITION BY conv_id ORDER BY turn) FROM conversations
+    UNION ALL SELECT {TURN}, 3, 'PREVIOUS', lag({TURN}) OVER (PARTITION BY conv_id ORDER BY turn) FROM conversations) WHERE dst IS NOT NULL"""
+
+
+@query("kg_extractors", f"{paths_sql('schema')} UNION ALL {paths_sql('free_form')} UNION ALL {IMPLICIT}")
+def kg_extractors(t, _):
+    """The whole list over the turns of conversations, each read once."""
+    turns = t("conversations").select(F.col("conv_id").cast("string").alias("doc"), F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("chunk"), F.col("turn").alias("ord"), "text")
+    return E.extracted(turns, E.listed(MODEL, True, True))
+
+
 query("llm_verify", f"SELECT doc_id, ord, subject, relation, object FROM {VERIFIED}")(
     lambda t, _: t("documents").select("doc_id", P.verified(F.transform(MODEL.triplets(F.col("text")), lambda x, i: x.withField("ord", i + F.lit(1))), MODEL).alias("v")).select("doc_id", F.explode("v").alias("e")).select("doc_id", "e.ord", "e.subject", "e.relation", "e.object")
 )
