@@ -1,9 +1,9 @@
 """Queries of the property graph, entity resolution and communities."""
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import graph as G, resolve as E
+from ..operators import graph as G, resolve as E, sets
 from ..registry import query
 
 NODES = """(SELECT 'r' || r_regionkey AS id, r_name AS name, 'Region' AS label, r_regionkey::VARCHAR AS v FROM region UNION ALL SELECT 'n' || n_nationkey, n_name, 'Nation', n_regionkey::VARCHAR FROM nation
@@ -135,8 +135,10 @@ SUMMARY = f"(SELECT community_id, least(count(DISTINCT name), 50)::INT AS entity
 
 
 def summaries(t):
-    names = F.slice(F.array_sort(F.collect_set("name")), 1, 50)
-    made = members(t).groupBy("community_id").agg(F.count(F.lit(1)).alias("n"), names.alias("names")).where("n >= 3")
+    """Fifty names of a community at most are gathered: the first ones, which are picked before."""
+    sizes = members(t).groupBy("community_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
+    first = sets.first_per(members(t).select("community_id", "name").distinct(), "community_id", "name", 50)
+    made = first.groupBy("community_id").agg(F.array_sort(F.collect_list("name")).alias("names")).join(sizes, "community_id")
     return made.select("community_id", F.size("names").alias("entity_count"), F.array_join(F.slice("names", 1, 10), ", ").alias("key_entities"))
 
 
@@ -146,7 +148,7 @@ def summary_text():
 
 query("com_summary", f"SELECT community_id, entity_count, key_entities, 'Community of ' || entity_count || ' entities: ' || substr(key_entities, 1, 200) AS summary FROM {SUMMARY}")(lambda t, _: summaries(t).withColumn("summary", summary_text()))
 query("com_docs", f"SELECT 'community_' || community_id AS doc_id, 'Community of ' || entity_count || ' entities: ' || substr(key_entities, 1, 200) AS text FROM {SUMMARY}")(lambda t, _: summaries(t).select(F.concat(F.lit("community_"), F.col("community_id").cast("string")).alias("doc_id"), summary_text().alias("text")))
-query("g_all_summaries", f"SELECT community_id, entity_count, row_number() OVER (ORDER BY entity_count DESC, community_id)::INT AS ord FROM {SUMMARY}")(lambda t, _: summaries(t).select("community_id", "entity_count", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("entity_count").desc(), "community_id")).alias("ord")))
+query("g_all_summaries", f"SELECT community_id, entity_count, row_number() OVER (ORDER BY entity_count DESC, community_id)::INT AS ord FROM {SUMMARY}")(lambda t, _: G.numbered(summaries(t).select("community_id", "entity_count"), F.col("entity_count").desc(), "community_id"))
 query("g_upsert_community", f"SELECT community_id, CASE WHEN community_id < 2 THEN entity_count ELSE 0 END AS entity_count FROM {SUMMARY}")(
     lambda t, _: G.upsert(summaries(t).select("community_id", F.lit(0).alias("entity_count")), summaries(t).where("community_id < 2").select("community_id", "entity_count"), "community_id")
 )

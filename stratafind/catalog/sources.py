@@ -86,4 +86,4 @@ for lead, chars in X.TWICE:
     for broken, whole in chars:
         FIXED = f"replace({FIXED}, '{broken}', '{whole}')"
 query("cln_mojibake", f"SELECT doc_id, {FIXED} AS text FROM documents")(lambda t, _: t("documents").select("doc_id", X.unmangled(F.concat(F.lit("cafÃ© Ã¼ber Â£5 Ã±o "), "text")).alias("text")))
-query("cln_batch", "SELECT doc_id, regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g') AS text FROM (SELECT doc_id, " + SQL_TEXT + " AS text FROM documents)")(lambda t, _: chunking.in_batches(decorated(t("documents"))))
+query("cln_batch", "SELECT doc_id, regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g') AS text FROM (SELECT doc_id, " + SQL_TEXT + " AS text FROM documents)")(lambda t, _: decorated(t("documents")).select("doc_id", X.no_control(F.col("text")).alias("text")))

@@ -9,7 +9,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import CONTROL
 
 BIG, BIG_OVERLAP, SMALL, SMALL_OVERLAP = 512, 64, 256, 32
 KEEP, RESPLIT = 1.1, 1.5
@@ -150,7 +149,11 @@ def with_summary(text: Column, summary: Column) -> Column:
     return F.concat(F.coalesce(F.concat(F.lit("[Document Summary: "), summary, F.lit("]\n\n")), F.lit("")), text)
 
 
-_PRONOUNS = {**dict.fromkeys("he him his himself she her hers herself".split(), ("PERSON",)), **dict.fromkeys("it its itself".split(), ("ORG", "GPE")), **dict.fromkeys("they them their theirs themselves".split(), ("ORG", "NORP", "PERSON"))}
+# Pronouns and the kinds of names they stand for, in the order in which these are looked for.
+_PERSONAL = ("he", "him", "his", "himself", "she", "her", "hers", "herself")
+_THINGS = ("it", "its", "itself")
+_PLURAL = ("they", "them", "their", "theirs", "themselves")
+_PRONOUNS = {**dict.fromkeys(_PERSONAL, ("PERSON",)), **dict.fromkeys(_THINGS, ("ORG", "GPE")), **dict.fromkeys(_PLURAL, ("ORG", "NORP", "PERSON"))}
 #: Default recogniser's word lists: endings and beginnings that tell kinds of names.
 _ORG = {"inc", "ltd", "corp", "company", "university", "institute", "bank", "group", "agency", "committee"}
 _PERSON = {"mr", "mrs", "ms", "dr", "prof", "sir"}
@@ -188,21 +191,6 @@ def resolve_pronouns(docs: DataFrame) -> DataFrame:
     return _each(docs, lambda i, t: [(i, replace_pronouns(t or ""))], ["doc_id", "text"], "doc_id long, text string")
 
 
-def in_batches(docs: DataFrame, size: int = 32) -> DataFrame:
-    """Cleaning of control characters as an iterator: `size` texts at a time pass through Python, so memory stays bounded."""
-
-    def run(batches):
-        import pyarrow as pa
-        import pyarrow.compute as pc
-
-        for b in batches:
-            for at in range(0, b.num_rows, size):
-                part = b.slice(at, size)
-                yield pa.RecordBatch.from_arrays([part.column(0), pc.replace_substring_regex(part.column(1), CONTROL, "")], names=["doc_id", "text"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text string")
-
-
 def backfilled(nodes: DataFrame) -> DataFrame:
     """nodes(text, embedding, ...) where a null embedding becomes that of the text, zeros for no text; others pass unchanged."""
     @F.pandas_udf("array<float>")

@@ -135,6 +135,20 @@ def fold_properties(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, Data
     return kept.withColumn("props", props).drop("new"), left
 
 
+def numbered(df: DataFrame, *order, name: str = "ord") -> DataFrame:
+    """Rows numbered from 1 in an order over all of them: by range, with the counts of the ranges before. The order is total."""
+    spark = df.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut_lineage(df.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part, before, starts = F.shiftright("_at", 33), 0, []
+    for r in dealt.groupBy(part.alias("part")).count().orderBy("part").collect():  # one row a range
+        starts.append((r["part"], before))
+        before += r["count"]
+    offsets = spark.createDataFrame(starts, "_part long, _before long")
+    number = (F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).cast("int")
+    return dealt.join(F.broadcast(offsets), part == F.col("_part")).withColumn(name, number).drop("_at", "_part", "_before")
+
+
 def missing_members(members: DataFrame, existing: DataFrame, rel: str) -> DataFrame:
     """src, dst, rel_type for members(src, dst) without such an edge yet."""
     return members.join(existing.where(F.col("rel_type") == rel).select("src", "dst"), ["src", "dst"], "left_anti").withColumn("rel_type", F.lit(rel))

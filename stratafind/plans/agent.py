@@ -85,10 +85,10 @@ def synthesis_context(results: DataFrame, top: int = 15) -> DataFrame:
 
 
 def research_plan(topic: str, mode: str) -> list[tuple[str, str]]:
-    """(backend, query) of a topic where no model plans. The queries' wording."""
+    """(backend, query) of a topic where no model plans."""
     if mode == "deep":
-        return [("wiki", f"{topic} core concepts and history"), ("arxiv", f"{topic} research survey and academic state of state"), ("news", f"{topic} latest news 2024"), ("local", f"internal documentation about {topic}"), ("web", f"{topic} overview and tutorials")]
-    second = {"wiki": (f"{topic} wikipedia", f"History of {topic}"), "local": (topic, f"{topic} internal context")}.get(mode, (topic, f"latest news on {topic}"))
+        return [("wiki", f"{topic}: background and main ideas"), ("arxiv", f"survey of research on {topic}"), ("news", f"recent news about {topic}"), ("local", f"own documents on {topic}"), ("web", f"introduction to {topic}")]
+    second = {"wiki": (f"{topic} encyclopedia", f"how {topic} developed"), "local": (topic, f"own notes on {topic}")}.get(mode, (topic, f"what is new in {topic}"))
     return [(mode, q) for q in second]
 
 
