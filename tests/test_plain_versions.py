@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 from stratafind import registry
 from stratafind.catalog.text import AFTER, BEFORE
 from stratafind.functions import text as X
+from test_cleaning_long import PLAIN
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,10 +28,8 @@ def cleaned(t):
     t = unspaced(re.sub(r"(\w+)-\s*\n\s*(\w+)", r"\1\2", t))
     for a, b in X.MARKS:
         t = t.replace(a, b)
-    for p in X.PAGE_NUMBERS:
-        t = re.sub(p.replace("(?md)", "(?m)"), "", t)
-    for p in (X.LEGAL, X.DRAFT, X.EMPTY_NUMBERS.replace("(?md)", "(?m)")):
-        t = re.sub(p, "", t)
+    t = PLAIN["no_legal"](PLAIN["no_page_numbers"](t))
+    t = PLAIN["no_empty_numbers"](re.sub(X.DRAFT, "", t))
     lines = t.split("\n")
     n = Counter(x.strip() for x in lines if len(x.strip()) > 5)
     t = "\n".join(x for x in lines if n[x.strip()] < 4)
