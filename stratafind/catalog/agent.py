@@ -53,7 +53,7 @@ query("kg_prompt", "SELECT source AS category, 'Category: ' || source || chr(10)
 
 def triplets(t):
     return t("lineitem").select(
-        F.col("l_orderkey").alias("chunk"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), F.concat(F.lit("Part "), F.col("l_partkey").cast("string")).alias("subject"), F.col("l_returnflag").alias("subject_type"),
+        F.struct("_metadata.file_path", "_metadata.row_index").alias("at"), F.col("l_orderkey").alias("chunk"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), F.concat(F.lit("Part "), F.col("l_partkey").cast("string")).alias("subject"), F.col("l_returnflag").alias("subject_type"),
         F.lit("SHIPPED_BY").alias("relation"), F.concat(F.lit("Mode "), F.col("l_linestatus")).alias("object"), F.lit("Mode").alias("object_type"),
     )
 

@@ -5,6 +5,8 @@ Providers may replace any of these; each takes and gives columns of the same nam
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import contains_any, strip
@@ -93,10 +95,12 @@ def research_plan(topic: str, mode: str) -> list[tuple[str, str]]:
 
 
 def build_knowledge(triplets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """nodes and edges of triplets(chunk, ord, subject, subject_type, relation, object, object_type): ids normalised, a node's first type wins."""
-    ends = triplets.select("ord", F.col("subject").alias("name"), F.col("subject_type").alias("type")).unionByName(triplets.select("ord", F.col("object").alias("name"), F.col("object_type").alias("type")))
+    """nodes and edges of triplets(chunk, ord, subject, subject_type, relation, object, object_type, at): ids normalised, a node's
+    first type wins. Where rows tell their place in the table (`at`), equal ord are taken in that order, subjects before objects."""
+    place = lambda end: F.struct("ord", *([F.lit(end).alias("end"), "at"] if "at" in triplets.columns else [])).alias("place")
+    ends = reduce(DataFrame.unionByName, [triplets.select(place(i), F.col(end).alias("name"), F.col(f"{end}_type").alias("type")) for i, end in enumerate(("subject", "object"))])
     key = lambda c: F.lower(F.replace(c, F.lit(" "), F.lit("_")))
-    nodes = ends.groupBy(key(F.col("name")).alias("id")).agg(F.min_by("type", F.struct("ord", "type")).alias("type"))
+    nodes = ends.groupBy(key(F.col("name")).alias("id")).agg(F.min_by("type", F.struct("place", "type")).alias("type"))
     edges = triplets.select(key(F.col("subject")).alias("src"), "relation", key(F.col("object")).alias("dst")).distinct()
     return nodes, edges
 
