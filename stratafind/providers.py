@@ -41,7 +41,7 @@ class Model(Protocol):
 class Rules:
     def sub_queries(self, query: Column) -> Column:
         """Up to three parts of a compound question, the question itself if it has none."""
-        parts = F.filter(F.transform(F.split(query, r" and |[;?]", -1), F.trim), lambda p: F.length(p) > 2)
+        parts = F.filter(F.transform(F.split(query, r" and |[;?]", -1), lambda p: F.trim(p)), lambda p: F.length(p) > 2)
         return F.when(F.size(parts) == 0, F.array(query)).otherwise(F.slice(parts, 1, 3))
 
     def resolved(self, query: Column, history: Column) -> Column:

@@ -24,5 +24,13 @@ def agree(spark, tmp_path):
     return run
 
 
+TEXTS = "SELECT * FROM (VALUES (1, '0997 first' || chr(10) || ' 1232 second 1 ' || chr(10) || '2 third 2', 'de', 's1', 30), (2, '0' || chr(10) || '  1 ', 'fr', 's2', 5)) d(doc_id, text, lang, source, n_chars)"
+
+
+@pytest.mark.parametrize("name", ["src_pdf", "src_docx"])
+def test_lines_keep_digits_that_equal_their_place(agree, name):
+    agree(name, "documents", TEXTS)
+
+
 def test_first_row_of_equal_order_gives_the_type(agree):
     agree("kg_build", "lineitem", "SELECT 1 AS l_orderkey, 1 AS l_linenumber, 7 + i % 3 AS l_partkey, CASE WHEN i < 3 THEN 'R' ELSE 'A' END AS l_returnflag, 'O' AS l_linestatus FROM range(9) r(i)")
