@@ -299,7 +299,7 @@ query("src_retry", "SELECT page_id, CASE page_id % 6 " + " ".join(f"WHEN {k} THE
     lambda t, _: t("pages").withColumn("c", P.retried((F.col("page_id") % 6).cast("int"))).select("page_id", "c.waited", "c.succeeded")
 )
 query("src_download", "SELECT page_id, regexp_replace(url, '[^\\p{L}\\p{N}_\\s.-]', '_', 'g') || '.html' AS file_name, CASE WHEN page_id % 4 = 0 THEN 'exists' ELSE 'downloaded' END AS status FROM pages")(
-    lambda t, _: web.downloads(t("pages").select("page_id", "url"), t("pages").where("page_id % 4 = 0").select(F.concat(X.safe_file_name(F.col("url")), F.lit(".html")).alias("file_name"))).select("page_id", "file_name", "status")
+    lambda t, _: web.downloads(t("pages").select("page_id", "url"), t("pages").where("page_id % 4 = 0").select("page_id"), "page_id").select("page_id", "file_name", "status")
 )
 
 # ---- the graph's refinement, in one chain

@@ -41,7 +41,10 @@ def definitions(terms: DataFrame, transport: DataFrame) -> DataFrame:
     return ranked.where(F.col("r") <= PER_TERM).select("term", "query", "ord", "link")
 
 
-def downloads(links: DataFrame, held: DataFrame) -> DataFrame:
-    """links(url, ...) with file_name (made safe) and status: exists for names that are held already, else downloaded."""
+def downloads(links: DataFrame, held: DataFrame, key: str = "file_name") -> DataFrame:
+    """links(url, ...) with file_name (made safe) and status: exists where held(key) has the link's key already, else downloaded.
+
+    By file name two links to one url are one file; by a key of their own each is fetched for itself.
+    """
     named = links.withColumn("file_name", F.concat(X.safe_file_name(F.col("url")), F.lit(".html")))
-    return named.join(held.select("file_name").distinct().withColumn("known", F.lit(True)), "file_name", "left").withColumn("status", F.when(F.col("known"), "exists").otherwise("downloaded")).drop("known")
+    return named.join(held.select(key).distinct().withColumn("known", F.lit(True)), key, "left").withColumn("status", F.when(F.col("known"), "exists").otherwise("downloaded")).drop("known")

@@ -32,5 +32,9 @@ def test_lines_keep_digits_that_equal_their_place(agree, name):
     agree(name, "documents", TEXTS)
 
 
+def test_page_whose_url_another_page_holds_is_downloaded(agree):
+    agree("src_download", "pages", "SELECT * FROM (VALUES (4, 'http://a/b'), (5, 'http://a/b'), (6, 'http://a/c'), (8, 'http://a/c')) p(page_id, url)")
+
+
 def test_first_row_of_equal_order_gives_the_type(agree):
     agree("kg_build", "lineitem", "SELECT 1 AS l_orderkey, 1 AS l_linenumber, 7 + i % 3 AS l_partkey, CASE WHEN i < 3 THEN 'R' ELSE 'A' END AS l_returnflag, 'O' AS l_linestatus FROM range(9) r(i)")
