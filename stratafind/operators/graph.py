@@ -14,6 +14,10 @@ from . import resolve, retrieval
 SYSTEM_LABELS = ("__Community__", "Category", "CommunitySummary")
 
 
+#: Ids of a frontier up to which they are broadcast, to keep the edges that touch them.
+NEAR = 1_000_000
+
+
 def from_star(t) -> tuple[DataFrame, DataFrame]:
     """A graph of the order schema's tables; line items give several edges of a kind between two nodes."""
     ids = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
@@ -55,17 +59,19 @@ def both_ways(edges: DataFrame) -> DataFrame:
 def expand(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, hops: int = 1, limit: int | None = 20) -> DataFrame:
     """seed, id, name, hop, rel_types, valid_from: paths of 1 to `hops` edges from seeds(name), no edge twice, either direction.
 
-    Both directions of the edges are written once and read at every hop. Paths with the same seed, end, edges' kinds and first
-    date differ only in edges they may not use again; these are kept as long as hops remain, and paths are told apart no more
-    than that at the last one.
+    A hop reads the edges and keeps those that touch the frontier before anything is shuffled, as long as the frontier's ids are
+    NEAR at most. Paths with the same seed, end, edges' kinds and first date differ only in edges they may not use again; these
+    are kept as long as hops remain, and paths are told apart no more than that at the last one.
     """
     start = cut_lineage(named(nodes).join(checked_broadcast(seeds.select("name").distinct()), "name", "left_semi").select(F.col("id").alias("seed")))
-    step = cut_lineage(both_ways(edges)) if hops > 1 else both_ways(edges)
+    step = both_ways(edges)
     at = start.select("seed", F.col("seed").alias("src"), F.array().cast("array<string>").alias("path"), F.lit("").alias("rel_types"), F.lit(None).cast("string").alias("valid_from"))
     found = []
     for hop in range(1, hops + 1):
+        ids = at.select("src").distinct()
+        touched = step.join(F.broadcast(ids), "src", "left_semi") if ids.limit(NEAR + 1).count() <= NEAR else step
         frontier = checked_broadcast(at.withColumnRenamed("valid_from", "vf"))
-        next_ = step.join(frontier, "src").where(~F.array_contains("path", F.col("edge_id")))
+        next_ = touched.join(frontier, "src").where(~F.array_contains("path", F.col("edge_id")))
         first = F.col("valid_from") if hop == 1 else F.col("vf")
         kinds = F.col("rel_type") if hop == 1 else F.concat("rel_types", F.lit(">"), "rel_type")
         at = next_.select("seed", F.col("dst").alias("src"), F.array_append("path", F.col("edge_id")).alias("path"), kinds.alias("rel_types"), first.alias("valid_from"))
