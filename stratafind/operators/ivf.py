@@ -155,7 +155,7 @@ class InvertedFile:
     def query(self, queries: DataFrame, top: int = 5) -> DataFrame:
         """query_id, id, score (cosine), rank for queries(query_id, q), as a scan gives them."""
         asked = queries.select("query_id", "q", F.lit(None).cast("double").alias("bound"))
-        best = lambda df: df.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")) - 1).where(F.col("rank") < top)
+        best = lambda df: df.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))).where(F.col("rank") <= top).withColumn("rank", F.col("rank") - 1)
         # visits are broadcast where the queries are few enough to be, times the lists that they can visit
         small = queries.limit(BROADCAST_ROWS + 1).count() * (len(self.centroids) + 1) <= 10 * BROADCAST_ROWS
         first = best(self._scored(self._visits(asked, True, top), small)).select("query_id", "id", "score")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..common import against_all, checked_broadcast, cut_lineage
 from ..functions import text as X
@@ -12,8 +12,9 @@ RRF_K = 60
 
 
 def ranked(scored: DataFrame, key: str, *order, top: int) -> DataFrame:
-    """rank from 0 within key; a total order is asked for. Spark prunes to `top` before the shuffle."""
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).where(F.col("rank") < top)
+    """rank from 0 within key; a total order is asked for. The bare row number is limited: only so Spark prunes before the shuffle."""
+    placed = scored.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("rank") <= top)
+    return placed.withColumn("rank", F.col("rank") - 1)
 
 
 def vector_index(vectors: DataFrame) -> DataFrame:
@@ -30,58 +31,134 @@ def scored(index: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def vector_search(index: DataFrame, queries: DataFrame, top: int = 5) -> DataFrame:
-    """query_id, id, score, rank for queries(query_id, q)."""
-    return ranked(scored(index, queries).withColumn("score", F.round("score", 9)), "query_id", F.col("score").desc(), "id", top=top)
+    """query_id, id, score, rank for queries(query_id, q).
 
+    Ids that are whole numbers and finite vectors of one length go by matrix products of blocks; rows and queries that are
+    otherwise are scored one by one.
+    """
+    kinds = {c: dict(df.dtypes)[c] for df, c in ((index, "id"), (queries, "query_id"))}
+    asked, dim = queries.select("query_id", "q"), queries.where(_finite("query_id", "q")).select(F.size("q")).head()
+    if dim is None or not set(kinds.values()) <= {"tinyint", "smallint", "int", "bigint"}:
+        found = scored(index, asked).withColumn("score", F.round("score", 9))
+    else:
+        even = lambda i, v: F.coalesce(_finite(i, v) & (F.size(v) == dim[0]), F.lit(False))
+        rows, plain = index.where(even("id", "embedding")), asked.where(even("query_id", "q"))
+        found = _of_blocks(rows.select("id", "embedding"), plain, top, True)
+        found = found.select(*[F.col(c).cast(kinds[c]).alias(c) for c in ("query_id", "id")], "score")
+        odd = index.where(~even("id", "embedding")), asked.where(~even("query_id", "q"))
+        for some, given in ((odd[0], asked), (rows, odd[1])):
+            if some.head() is not None and given.head() is not None:
+                found = found.unionByName(scored(some, given).withColumn("score", F.round("score", 9)))
+    return ranked(found, "query_id", F.col("score").desc(), "id", top=top)
+
+
+#: Rows of a block of vectors at most, and of a row block at least; SPREAD row blocks or more where the rows are enough. A task
+#: holds two blocks, and products of TILE vectors of each.
+BLOCK, LEAST_BLOCK, SPREAD, TILE = 32768, 1024, 24, (1024, 4096)
+
+
+def _finite(i: str, v: str) -> Column:
+    """Whether id and vector are there, and the vector has finite components alone."""
+    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.col(i).isNotNull() & F.col(v).isNotNull() & fine
+
+
+def _best(q, r, qi, ri, top: int, itself: bool):
+    """Places in q and r, and scores, of the `top` best of r(ids ri, rising) for each of q: higher scores, then smaller ids."""
+    import numpy as np
 
-#: Rows of a block of vectors; two of them and their products are what a task holds.
-BLOCK = 2048
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, top: int) -> DataFrame:
-    """query_id, id, score, rank: the `top` most similar others of each query, by matrix products of blocks.
-
-    vectors(vec_id, embedding) and queries(query_id, q) are dealt into blocks; each pair of blocks is a task of its own that
-    leaves the best `top` of its queries, and those of all blocks are ranked. A row is no neighbour of a query of its id.
+    out = []
+    for a in range(0, len(q), TILE[0]):
+        part, n = q[a : a + TILE[0]], min(TILE[0], len(q) - a)
+        row, at, score, floor = np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.full(n, -np.inf)
+        for b in range(0, len(r), TILE[1]):
+            s = part @ r[b : b + TILE[1]].T
+            if not itself:
+                ids = ri[b : b + TILE[1]]
+                lo, hi = np.searchsorted(ids, qi[a : a + n], "left"), np.searchsorted(ids, qi[a : a + n], "right")
+                for i in np.flatnonzero(hi > lo):
+                    s[i, lo[i] : hi[i]] = -np.inf
+            if s.shape[1] > top:  # what is below the tile's own best need not be looked at
+                least = np.partition(s, -top, axis=1)[:, -top] - 1e-9 if b == 0 else floor
+            else:
+                least = floor
+            # a later row has a larger id: an equal score does not replace, and the product is exact to far less than this
+            i, j = np.nonzero(s > np.maximum(least, floor + 4e-10)[:, None])
+            x = np.round(s[i, j], 9) + 0.0
+            row, at, score = np.concatenate([row, i]), np.concatenate([at, j + b]), np.concatenate([score, x])
+            order = np.lexsort((at, -score, row))
+            row, at, score = row[order], at[order], score[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row, "left")
+            row, at, score = row[place < top], at[place < top], score[place < top]
+            last = np.searchsorted(row, np.arange(n), "right") - 1
+            full = np.bincount(row, minlength=n) >= top
+            floor[full] = score[last[full]]
+        out.append((row + a, at, score))
+    return tuple(np.concatenate(x) if x else np.zeros(0, int) for x in (zip(*out) if out else ((), (), ())))
+
+
+def _of_blocks(vectors: DataFrame, queries: DataFrame, top: int, itself: bool) -> DataFrame:
+    """query_id, id, score: of the rows of vectors(id, embedding) in each block the `top` best for each of queries(query_id, q).
+
+    Both are dealt into blocks; each pair of blocks is a group of its own, whose two sides meet by the pair's numbers. Blocks
+    are large, as each is sent to every block of the other side; components stay floats where they are. itself: whether a row
+    counts for a query of its id. Ids are whole numbers, vectors finite.
     """
     import numpy as np
 
-    blocks = max(1, -(-vectors.count() // BLOCK))
-    shape = "block int, ids binary, data binary, dim int"
-    deal = lambda df, i, v: df.select(F.col(i).cast("long").alias("i"), F.col(v).cast("array<double>").alias("v")).where("i IS NOT NULL AND v IS NOT NULL").withColumn("block", F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int"))
+    n, m = vectors.count(), queries.count()
+    rows, asks = max(1, -(-n // BLOCK), min(SPREAD, -(-n // LEAST_BLOCK))), max(1, -(-m // BLOCK))
+    wide = lambda df, c: np.dtype("<f4") if dict(df.dtypes)[c] == "array<float>" else np.dtype("<f8")
+    kinds = wide(queries, "q"), wide(vectors, "embedding")
 
-    def packed(pdf):
-        import pandas as pd
+    def blocks(df, i, v, count, kind):
+        import pyarrow as pa
 
-        out = []
-        for dim, part in pdf.groupby(pdf["v"].map(len)):
-            m = np.array(part["v"].tolist(), dtype=float).reshape(len(part), -1)
-            n = np.linalg.norm(m, axis=1, keepdims=True)
-            m = np.divide(m, n, out=np.zeros_like(m), where=n > 0)
-            out.append((int(pdf["block"].iloc[0]), part["i"].to_numpy(np.int64).tobytes(), m.tobytes(), int(dim)))
-        return pd.DataFrame(out, columns=["block", "ids", "data", "dim"])
+        def packed(table):
+            ids = table.column("i").to_numpy()
+            order = np.argsort(ids, kind="stable")
+            held = table.column("v").combine_chunks()
+            data = held.values.slice(held.offsets[0].as_py()).to_numpy(zero_copy_only=False).astype(kind, copy=False)[: len(ids) * table.column("dim")[0].as_py()].reshape(len(ids), -1)
+            one = lambda x, t: pa.array([x], t)
+            return pa.Table.from_arrays([one(table.column("block")[0].as_py(), pa.int32()), one(table.column("dim")[0].as_py(), pa.int32()), one(ids[order].tobytes(), pa.binary()), one(data[order].tobytes(), pa.binary())], names=["block", "dim", "ids", "data"])
+
+        array = "array<float>" if kind.itemsize == 4 else "array<double>"
+        dealt = df.select(F.col(i).cast("long").alias("i"), F.col(v).cast(array).alias("v"), F.size(v).alias("dim"))
+        dealt = dealt.withColumn("block", F.pmod(F.xxhash64("i"), F.lit(count)).cast("int"))
+        return dealt.groupBy("block", "dim").applyInArrow(packed, "block int, dim int, ids binary, data binary")
+
+    def unit(ids, data, kind, dim):
+        x = np.frombuffer(data, kind).reshape(len(ids), dim).astype(float)
+        size = np.sqrt((x * x).sum(1, keepdims=True))
+        return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+
+    def best(left, right):
+        import pyarrow as pa
 
-    rows, asked = (deal(df, i, v).groupBy("block").applyInPandas(packed, shape) for df, i, v in ((vectors, "vec_id", "embedding"), (queries, "query_id", "q")))
+        got = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        if left.num_rows and right.num_rows:
+            (qi, qd, dim), (ri, rd, _) = ([t.column(c)[0].as_py() for c in ("ids", "data", "dim")] for t in (left, right))
+            qi, ri = np.frombuffer(qi, np.int64), np.frombuffer(ri, np.int64)
+            i, j, score = _best(unit(qi, qd, kinds[0], dim), unit(ri, rd, kinds[1], dim), qi, ri, top, itself)
+            got = [qi[i], ri[j], score]
+        return pa.Table.from_arrays([pa.array(x) for x in got], names=["query_id", "id", "score"])
 
-    def best(batches):
-        import pyarrow as pa
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    left = blocks(queries, "query_id", "q", asks, kinds[0]).withColumnRenamed("block", "mine").withColumn("other", every(rows))
+    right = blocks(vectors, "id", "embedding", rows, kinds[1]).withColumnRenamed("block", "other").withColumn("mine", every(asks))
+    pair = ["mine", "other", "dim"]
+    return left.groupBy(*pair).cogroup(right.groupBy(*pair)).applyInArrow(best, "query_id long, id long, score double")
 
-        for b in batches:
-            for qi, qd, dim, ri, rd in zip(*[b.column(k).to_pylist() for k in range(5)]):
-                q, r = np.frombuffer(qi, np.int64), np.frombuffer(ri, np.int64)
-                s = np.round(np.frombuffer(qd).reshape(len(q), dim) @ np.frombuffer(rd).reshape(len(r), dim).T, 9)
-                s[q[:, None] == r[None, :]] = -np.inf
-                # ids rise within equal scores
-                by_id = np.argsort(r, kind="stable")
-                order = by_id[np.argsort(-s[:, by_id], axis=1, kind="stable")[:, :top]]
-                score = np.take_along_axis(s, order, 1)
-                ok = np.isfinite(score)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, order.shape[1])[ok.ravel()]), pa.array(r[order][ok]), pa.array(score[ok])], names=["query_id", "id", "score"])
 
-    both = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"), F.col("block").alias("mine"), F.col("ids").alias("qi"), F.col("data").alias("qd"), "dim")
-    met = both.join(rows.select(F.col("block").alias("other"), F.col("ids").alias("ri"), F.col("data").alias("rd"), "dim"), ["other", "dim"])
-    dealt = met.repartition("mine", "other").select("qi", "qd", "dim", "ri", "rd")
-    return ranked(dealt.mapInArrow(best, "query_id long, id long, score double"), "query_id", F.col("score").desc(), "id", top=top)
+def nearest(vectors: DataFrame, queries: DataFrame, top: int) -> DataFrame:
+    """query_id, id, score, rank: the `top` most similar others of each query, by matrix products of blocks.
+
+    Of vectors(vec_id, embedding) and queries(query_id, q) those without id or with components that are null or not finite take
+    no part; vectors of other lengths are no neighbours. A row is no neighbour of a query of its id.
+    """
+    rows = vectors.select(F.col("vec_id").alias("id"), "embedding").where(_finite("id", "embedding"))
+    asked = queries.select("query_id", "q").where(_finite("query_id", "q"))
+    return ranked(_of_blocks(rows, asked, top, False), "query_id", F.col("score").desc(), "id", top=top)
 
 
 def run_tools(planned: DataFrame, tools: dict) -> tuple[DataFrame, dict[str, str]]:
@@ -107,7 +184,13 @@ def run_tools(planned: DataFrame, tools: dict) -> tuple[DataFrame, dict[str, str
 def bm25_index(docs: DataFrame) -> DataFrame:
     """Postings term, id, tf, dl; texts are tokenised once and shuffled as terms alone."""
     tokens = docs.select(F.col("doc_id").alias("id"), X.tokens(F.col("text")).alias("t")).withColumn("dl", F.size("t"))
-    return tokens.select("id", "dl", F.explode("t").alias("term")).groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    return _each(tokens).where("term IS NOT NULL").groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def _each(tokens: DataFrame) -> DataFrame:
+    """id, dl, term of tokens(id, dl, t); a text without any has a null. A plain explode would have Spark ask first whether there
+    are any, and so find them twice more."""
+    return tokens.select("id", "dl", F.explode_outer("t").alias("term"))
 
 
 def bm25_stats(docs: DataFrame) -> DataFrame:
@@ -128,12 +211,41 @@ def load_bm25(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def bm25_search(postings: DataFrame, stats: DataFrame, queries: DataFrame, top: int = 10) -> DataFrame:
     """query_id, id, score, rank for queries(query_id, text). Only the query terms' postings are read on."""
-    terms = queries.select("query_id", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
-    held = postings.join(checked_broadcast(terms.select("term").distinct()), "term", "left_semi")
-    df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    asked, numbers = _query_terms(queries)
+    held = postings.join(numbers, "term").select("number", "id", "dl", "tf").repartition(_parts(stats.first()["n"]), "id")
+    return _bm25_ranked(held, stats, asked, top)
+
+
+def bm25_of(docs: DataFrame, queries: DataFrame, top: int = 10) -> DataFrame:
+    """What bm25_search finds in the index of docs, without that index: other terms than the queries' go before any shuffle."""
+    asked, numbers = _query_terms(queries)
+    tokens = docs.select(F.col("doc_id").alias("id"), X.tokens(F.col("text")).alias("t")).withColumn("dl", F.size("t"))
+    held = _each(tokens).join(numbers, "term").select("number", "id", "dl").repartition(_parts(docs.count()), "id")
+    return _bm25_ranked(held.groupBy("number", "id", "dl").agg(F.count(F.lit(1)).alias("tf")), bm25_stats(docs), asked, top)
+
+
+def _query_terms(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """query_id, number of the queries' terms, and term, number: both for joins, broadcast where they are few."""
+    terms = cut_lineage(queries.select("query_id", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term")))
+    numbers = cut_lineage(terms.select("term").distinct().withColumn("number", F.monotonically_increasing_id()))
+    return checked_broadcast(terms.join(numbers, "term").select("query_id", "number"), TERMS), checked_broadcast(numbers, TERMS)
+
+
+#: Query terms, and pairs of query and term, up to which they are broadcast; documents whose scores a task sums.
+TERMS, DOCS_PER_TASK = 100_000, 8192
+
+
+def _parts(docs: int) -> int:
+    return max(8, -(-docs // DOCS_PER_TASK))
+
+
+def _bm25_ranked(held: DataFrame, stats: DataFrame, asked: DataFrame, top: int) -> DataFrame:
+    """query_id, id, score, rank from held(number, id, dl, tf), which lies by id: a document's scores are summed where it lies."""
+    df = held.groupBy("number").agg(F.count(F.lit(1)).alias("df"))
     weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    few = asked.select("number").distinct().limit(TERMS + 1).count() <= TERMS
     # stats is a single row
-    scored = held.join(df, "term").crossJoin(F.broadcast(stats)).withColumn("w", weight).join(terms, "term")
+    scored = held.join(F.broadcast(df) if few else df, "number").crossJoin(F.broadcast(stats)).withColumn("w", weight).join(asked, "number")
     return ranked(scored.groupBy("query_id", "id").agg(F.round(F.sum("w"), 6).alias("score")), "query_id", F.col("score").desc(), "id", top=top)
 
 
@@ -151,7 +263,7 @@ def fuse(candidates: DataFrame, k: int = RRF_K) -> DataFrame:
 def hybrid(docs: DataFrame, vectors: DataFrame, queries: DataFrame, query_vectors: DataFrame, top: int = 5) -> DataFrame:
     """Dense and sparse candidates, fused; the best `top` of each query."""
     dense = vector_search(vector_index(vectors), query_vectors, 10).select("query_id", F.lit(0).alias("list_ord"), "rank", "id")
-    sparse = bm25_search(bm25_index(docs), bm25_stats(docs), queries, 10).select("query_id", F.lit(1).alias("list_ord"), "rank", "id")
+    sparse = bm25_of(docs, queries, 10).select("query_id", F.lit(1).alias("list_ord"), "rank", "id")
     return fuse(dense.unionByName(sparse)).where(F.col("fused_rank") <= top)
 
 
