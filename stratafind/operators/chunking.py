@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 BIG, BIG_OVERLAP, SMALL, SMALL_OVERLAP = 512, 64, 256, 32
 KEEP, RESPLIT = 1.1, 1.5
 DIMENSIONS = 64
+BATCH_ROWS, SLICE_ROWS = 1000, 100
 
 _HEADING = re.compile(r"^(?:#{1,4}\s+.+|[A-Z][A-Z\s]{3,}$|\d+(?:\.\d+)*\.?\s+[A-Z].+)", re.M)
 _PAGE = re.compile(r"\[Page (\d+)\]")
@@ -33,15 +34,20 @@ def split_sections(text: str) -> list[tuple[str, str, int]]:
 
 
 def _each(df: DataFrame, fn, columns: list[str], schema: str) -> DataFrame:
-    """Rows of fn(*values) for each row's columns."""
+    """Rows of fn(*values) for each row's columns. Whole texts come in Arrow batches of BATCH_ROWS, and of those SLICE_ROWS at a
+    time are Python objects, so that a worker's memory does not follow its share of the table."""
 
     import pyarrow as pa
 
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, BATCH_ROWS)
+
     types = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
     fields = [(c.split()[0], types[c.split()[1]]) for c in schema.split(", ")]
 
     def run(batches):
-        for b in batches:
+        for b in (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, b.num_rows, SLICE_ROWS)):
             rows = [r for values in zip(*[c.to_pylist() for c in b.columns]) for r in fn(*values)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(list(zip(*rows)) or [[]] * len(fields), fields)], names=[n for n, _ in fields])
 
