@@ -15,7 +15,6 @@ repeated rows give repeated results; an empty table gives no rows; other columns
 from __future__ import annotations
 
 import functools
-import itertools
 import math
 
 import numpy as np
@@ -284,8 +283,10 @@ NARROW_WORDS = 2
 NARROW = int(64 * NARROW_WORDS * FEW_BITS + 4 * math.sqrt(64 * NARROW_WORDS * FEW_BITS * (1 - FEW_BITS)))
 #: Deviations above the expected difference of wide fingerprints up to which pairs are verified on their shingles.
 ROOM = 4
-#: Pairs that each group puts forward in the first round, its nearest ones; four times as many in each further round.
-NEAREST = 1
+#: Texts of a cloud up to which each of its pairs is named; of larger ones the texts are named as one family.
+PAIRED = 4
+#: Shingles that a task holds of a family, or of each of two blocks of one; RUN texts at most.
+BLOCK_SHINGLES = 1 << 21
 
 
 def bit_difference(similarity: float) -> float:
@@ -369,36 +370,37 @@ def _clouds(words, first=None):
 
 
 def _candidates(indexed: DataFrame) -> DataFrame:
-    """From indexed(key, name, w0, w1): a, b (names of pairs to look at), or f, g (binary: names of a large cloud's one or two sides).
+    """From indexed(key, name, w0, w1): a, b, sure (names of texts to be looked at together).
 
-    Of runs of up to SMALL_RUN texts, and of clouds of that size in larger runs, every pair within NARROW comes; larger clouds
-    come as they are. Runs of more than RUN texts are cut into blocks, which meet each other as tasks of their own.
+    Clouds of up to PAIRED texts give every pair within NARROW, which may still be told apart by wide fingerprints (sure is
+    false); larger ones give their least name with each other one, so rows stay as many as their texts. Runs of more than RUN
+    texts are cut into blocks, which meet each other as tasks of their own.
     """
-    rows = "a long, b long, key long, block int, f binary, g binary"
+    rows = "a long, b long, sure boolean, key long, block int, f binary, g binary"
 
     def batch_of(pairs, more):
         import pyarrow as pa
 
-        a, b = (np.concatenate([np.zeros(0, np.int64), *[p[i] for p in pairs]]) for i in (0, 1))
+        a, b, sure = (np.concatenate([np.zeros(0, t), *[p[i] for p in pairs]]) for i, t in enumerate((np.int64, np.int64, bool)))
         n, m = len(a), len(more)
         k, c, f, g = zip(*more) if more else ((), (), (), ())
         none = [None]
         columns = (none * n + list(k), pa.int64()), (none * n + list(c), pa.int32()), (none * n + list(f), pa.binary()), (none * n + list(g), pa.binary())
-        wide = [pa.array(x.tolist() + none * m, pa.int64()) for x in (a, b)]
-        return pa.RecordBatch.from_arrays([*wide, *[pa.array(*x) for x in columns]], names=["a", "b", "key", "block", "f", "g"])
+        told = [pa.array(x.tolist() + none * m, t) for x, t in ((a, pa.int64()), (b, pa.int64()), (sure, pa.bool_()))]
+        return pa.RecordBatch.from_arrays([*told, *[pa.array(*x) for x in columns]], names=["a", "b", "sure", "key", "block", "f", "g"])
 
-    def of_block(name, words, pairs, more, first=None):
+    def of_block(name, words, pairs, first=None):
         for cloud in _clouds(words, first):
-            if len(cloud) <= SMALL_RUN:
+            if len(cloud) <= PAIRED:
                 x, y = (cloud[i] for i in np.triu_indices(len(cloud), 1))
                 ok = np.bitwise_count(words[x] ^ words[y]).sum(1, dtype=np.int64) <= NARROW
                 if first is not None:
                     ok &= (x < first) != (y < first)
-                pairs.append((name[x[ok]], name[y[ok]]))
-            elif first is None:
-                more.append((None, None, name[cloud].tobytes(), None))
+                x, y = name[x[ok]], name[y[ok]]
+                pairs.append((np.minimum(x, y), np.maximum(x, y), np.zeros(len(x), bool)))
             else:
-                more.append((None, None, name[cloud[cloud < first]].tobytes(), name[cloud[cloud >= first]].tobytes()))
+                own = np.sort(name[cloud])
+                pairs.append((np.full(len(own) - 1, own[0]), own[1:], np.ones(len(own) - 1, bool)))
 
     def verify(batches):
         """Runs of equal keys come sorted; the last run of a batch waits for the next, full blocks of it leave at once."""
@@ -412,22 +414,23 @@ def _candidates(indexed: DataFrame) -> DataFrame:
             starts = np.concatenate([[0], change[change < end]]).astype(int) if end else np.zeros(0, int)
             sizes = np.diff(np.append(starts, end)) if end else starts
             pairs, more = [], []
-            large = sizes > SMALL_RUN
+            large = sizes > PAIRED
             if cut and end:
                 large[0] = True
             at = np.flatnonzero(np.repeat(~large, sizes))
-            for shift in range(1, SMALL_RUN):
+            for shift in range(1, PAIRED):
                 at = at[at + shift < end]
                 at = at[k[at] == k[at + shift]]
                 if not len(at):
                     break
                 ok = at[np.bitwise_count(w[at] ^ w[at + shift]).sum(1, dtype=np.int64) <= NARROW]
-                pairs.append((n[ok], n[ok + shift]))
+                x, y = n[ok], n[ok + shift]
+                pairs.append((np.minimum(x, y), np.maximum(x, y), np.zeros(len(ok), bool)))
             for r in np.flatnonzero(large):
                 lo, hi, block = starts[r], starts[r] + sizes[r], cut if r == 0 else 0
                 for i in range(lo, hi, RUN):
                     j = min(i + RUN, hi)
-                    of_block(n[i:j], w[i:j], pairs, more)
+                    of_block(n[i:j], w[i:j], pairs)
                     if block or hi - lo > RUN:
                         more.append((int(k[lo]), block, n[i:j].tobytes(), w[i:j].tobytes()))
                     block += 1
@@ -435,7 +438,7 @@ def _candidates(indexed: DataFrame) -> DataFrame:
                 cut = 0
             k, n, w = k[end:], n[end:], w[end:]
             while len(k) >= 2 * RUN:
-                of_block(n[:RUN], w[:RUN], pairs, more)
+                of_block(n[:RUN], w[:RUN], pairs)
                 more.append((int(k[0]), cut, n[:RUN].tobytes(), w[:RUN].tobytes()))
                 k, n, w, cut = k[RUN:], n[RUN:], w[RUN:], cut + 1
             if more or any(len(p[0]) for p in pairs):
@@ -445,88 +448,15 @@ def _candidates(indexed: DataFrame) -> DataFrame:
         for b in batches:
             for r in range(b.num_rows):
                 f, g, x, y = (np.frombuffer(b.column(i)[r].as_py(), np.int64) for i in range(4))
-                pairs, more = [], []
-                of_block(np.concatenate([f, g]), np.concatenate([x, y]).view(np.uint64).reshape(-1, NARROW_WORDS), pairs, more, len(f))
-                if more or any(len(p[0]) for p in pairs):
-                    yield batch_of(pairs, more)
+                pairs = []
+                of_block(np.concatenate([f, g]), np.concatenate([x, y]).view(np.uint64).reshape(-1, NARROW_WORDS), pairs, len(f))
+                if any(len(p[0]) for p in pairs):
+                    yield batch_of(pairs, [])
 
     met = cut_lineage(indexed.repartition("key").sortWithinPartitions("key").mapInArrow(verify, rows))
     blocks = met.where("key IS NOT NULL").select("key", "block", "f", "g")
     pairs = block_pairs(blocks, ["key"], ["f", "g"]).select("f", "f2", "g", "g2")
-    return met.where("key IS NULL").unionByName(pairs.mapInArrow(across, rows)).select("a", "b", "f", "g")
-
-
-def _members(clouds: DataFrame) -> DataFrame:
-    """cloud, side, name of clouds(f, g)."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            for i in range(b.num_rows):
-                sides = [np.frombuffer(b.column(s)[i].as_py() or b"", np.int64) for s in (1, 2)]
-                size = [len(s) for s in sides]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(sum(size), b.column(0)[i].as_py())), pa.array(np.repeat(np.arange(2, dtype=np.int32), size)), pa.array(np.concatenate(sides))],
-                    names=["cloud", "side", "name"],
-                )
-
-    named = cut_lineage(clouds.distinct().withColumn("cloud", F.monotonically_increasing_id()))
-    return cut_lineage(named.select("cloud", "f", "g").mapInArrow(run, "cloud long, side int, name long"))
-
-
-def _put_forward(members: DataFrame, rooted: DataFrame, close, top: int) -> DataFrame:
-    """a, b, apart, ra, rb: in each cloud, for each group (root), its `top` nearest texts of other groups within the wide limit."""
-
-    def pairs_of(side, name, root, n, wide):
-        two = side.any()
-        f, g = np.flatnonzero(side == 0), np.flatnonzero(side == 1) if two else np.arange(len(side))
-        kept = []
-        for ones, others in ((f, g), (g, f))[: 1 + two]:
-            for i in ones:
-                at = others[root[others] != root[i]]
-                apart = np.bitwise_count(wide[i] ^ wide[at]).sum(1, dtype=np.int64)
-                ok = np.flatnonzero(close(apart, np.minimum(n[i], n[at]), np.maximum(n[i], n[at])))
-                ok = ok[np.lexsort((name[at[ok]], apart[ok]))][:top]
-                kept.append(np.stack([np.full(len(ok), i), at[ok], apart[ok]], 1))
-        e = np.concatenate(kept) if kept else np.zeros((0, 3), np.int64)
-        e = np.unique(np.column_stack([e[:, :2].min(1), e[:, :2].max(1), e[:, 2]]), axis=0)
-        # of each group the nearest ones, whichever end is its own
-        ends, number = np.concatenate([root[e[:, 0]], root[e[:, 1]]]), np.tile(np.arange(len(e)), 2)
-        order = np.lexsort((number, e[number, 2], ends))
-        ends, number = ends[order], number[order]
-        first = np.searchsorted(ends, ends, "left")
-        e = e[np.unique(number[np.arange(len(ends)) - first < top])]
-        return name[e[:, 0]], name[e[:, 1]], e[:, 2], root[e[:, 0]], root[e[:, 1]]
-
-    def run(batches):
-        import pyarrow as pa
-
-        def answer(parts):
-            side, name, root, n, wide = (np.concatenate([p[i] for p in parts]) for i in range(5))
-            order = np.lexsort((name, side))
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pairs_of(side[order], name[order], root[order], n[order], wide[order])], names=["a", "b", "apart", "ra", "rb"])
-
-        held, now = [], None
-        for b in batches:
-            columns = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-            cloud, at = columns[0], 0
-            for end in np.append(np.flatnonzero(cloud[1:] != cloud[:-1]) + 1, len(cloud)) if len(cloud) else ():
-                if held and cloud[at] != now:
-                    yield answer(held)
-                    held = []
-                now = cloud[at]
-                wide = np.frombuffer(b"".join(b.column(5).slice(at, end - at).to_pylist()), "<u8").reshape(end - at, -1)
-                held.append([*[c[at:end] for c in columns[1:]], wide])
-                at = end
-        if held:
-            yield answer(held)
-
-    # the fingerprints join last: clouds of one group alone need none
-    each = cut_lineage(members.join(rooted.select("name", "root"), "name"))
-    mixed = each.groupBy("cloud").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("cloud")
-    told = each.join(mixed, "cloud").join(rooted.select("name", "n", "wide"), "name").select("cloud", "side", "name", "root", "n", "wide")
-    return told.repartition("cloud").sortWithinPartitions("cloud").mapInArrow(run, "a long, b long, apart long, ra long, rb long")
+    return met.where("key IS NULL").unionByName(pairs.mapInArrow(across, rows)).select("a", "b", "sure").where("a < b").distinct()
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -536,10 +466,9 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     pairs at the least similarity share a key: a segment's value, or a variant with one of its least certain bits changed.
     Pairs that meet are held against each other on the whole width, with ROOM; that only spares work: each link is verified on
     the two sets of shingle hashes, so no pair below `similarity` links.
-    Groups grow in rounds: each puts its nearest pairs with other groups forward, those are verified, and the groups they join
-    become one; four times as many in each round. So a group of n copies asks for a few times n verifications and not for its
-    pairs. From the third round on all pairs of small clouds are verified; of clouds of more than SMALL_RUN texts the rounds go
-    on until one of them links nothing.
+    Texts that meet are first put into families, then each family is compared on its shingle sets in full: in one task, or
+    block by block if it is large. So no pair that meets is lost, and rows grow with texts and not with pairs. A family in which
+    hardly any two are alike costs the square of its size in time, not in memory.
     fp names the set of shingles (64-bit hash); texts of one set count as one. Null, empty and blank texts share the name zero;
     null ids count last; repeated rows give repeated results; an empty table gives no rows.
     """
@@ -586,63 +515,121 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
             if b.num_rows:
                 x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), "<u8").reshape(b.num_rows, -1) for i in (2, 3))
                 n, m = (b.column(i).to_numpy(zero_copy_only=False) for i in (4, 5))
-                apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
-                ok = pa.array(close(apart, np.minimum(n, m), np.maximum(n, m)))
-                yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok), pa.array(apart).filter(ok)], names=["a", "b", "apart"])
+                ok = pa.array(close(np.bitwise_count(x ^ y).sum(1, dtype=np.int64), np.minimum(n, m), np.maximum(n, m)))
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
 
     marked = written(to_python(docs, "doc_id", "text").mapInArrow(prints, "doc_id long, fp long, n int, wide binary, least_sure binary"))
     nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min("wide").alias("wide"), F.min("least_sure").alias("least_sure")))
     indexed = nodes.select("fp", "wide", "least_sure").mapInArrow(index, "key long, name long, " + ", ".join(f"w{i} long" for i in range(NARROW_WORDS)))
     met = cut_lineage(_candidates(indexed))
-    pairs = met.where("a IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
     side = lambda i, w, n: nodes.select(F.col("fp").alias(i), F.col("wide").alias(w), F.col("n").alias(n))
-    told = pairs.join(side("a", "x", "n"), "a").join(side("b", "y", "m"), "b").select("a", "b", "x", "y", "n", "m")
-    pairs = cut_lineage(told.mapInArrow(near, "a long, b long, apart long"))
-    clouds = met.where("f IS NOT NULL").select("f", "g")
-    members = _members(clouds) if clouds.head(1) else None
-    return _named(marked.select("doc_id", "fp"), nodes.select("fp", "least"), _grown(pairs, members, nodes, docs, shingle, similarity, close))
-
-
-def _grown(pairs: DataFrame, members: DataFrame | None, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float, close) -> DataFrame:
-    """fp, root of the texts that have a verified link, from pairs(a, b, apart) and the clouds' members, round by round."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("name"))
-    if members is not None:
-        asked = asked.unionByName(members.select("name"))
-    asked = cut_lineage(asked.distinct().join(nodes.select(F.col("fp").alias("name"), "least", "n", "wide"), "name"))
-    held = _sets(docs, asked.select("name", "least"), shingle)
-    roots, tested = cut_lineage(asked.select("name", F.col("name").alias("root"))), None
-    for turn in itertools.count():
-        top, whole = NEAREST * 4**turn, turn >= 2
-        of = lambda name, root: roots.select(F.col("name").alias(name), F.col("root").alias(root))
-        open_ = pairs.join(of("a", "ra"), "a").join(of("b", "rb"), "b").where("ra <> rb").select("a", "b", "apart", "ra", "rb")
-        from_clouds = None
-        if members is not None:
-            given = roots.join(asked.select("name", "n", "wide"), "name")
-            from_clouds = _put_forward(members, given, close, top)
-            from_clouds = from_clouds.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "apart", F.when(F.col("a") < F.col("b"), F.col("ra")).otherwise(F.col("rb")).alias("ra"), F.when(F.col("a") < F.col("b"), F.col("rb")).otherwise(F.col("ra")).alias("rb")).distinct()
-        new = open_ if from_clouds is None or whole else open_.unionByName(from_clouds).distinct()
-        if whole:
-            ranked = None if from_clouds is None else from_clouds
-        else:
-            ranked, new = new, None
-        if tested is not None:
-            ranked, new = (None if x is None else x.join(tested, ["a", "b"], "left_anti") for x in (ranked, new))
-        if ranked is not None:
-            place = lambda root: F.row_number().over(Window.partitionBy(root).orderBy("apart", "a", "b"))
-            best = ranked.withColumn("pa", place("ra")).withColumn("pb", place("rb")).where((F.col("pa") <= top) | (F.col("pb") <= top)).select("a", "b")
-            new = best if new is None else best.unionByName(new.select("a", "b"))
-        new = cut_lineage(new.select("a", "b").distinct())
-        if not new.head(1):
-            break
-        linked = _verified(new, held, similarity)
-        if linked.head(1):
-            joined = linked.join(of("a", "ra"), "a").join(of("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-            merged = cut_lineage(components(joined).select(F.col("node").alias("root"), F.col("root").alias("now")))
-            roots = cut_lineage(roots.join(merged, "root", "left").select("name", F.coalesce("now", "root").alias("root")))
-        elif whole:
-            break
-        tested = new if tested is None else cut_lineage(tested.unionByName(new))
-    return roots.select(F.col("name").alias("fp"), "root")
+    told = met.where("NOT sure").join(side("a", "x", "n"), "a").join(side("b", "y", "m"), "b").select("a", "b", "x", "y", "n", "m")
+    together = told.mapInArrow(near, "a long, b long").unionByName(met.where("sure").select("a", "b"))
+    families = components(together).select(F.col("node").alias("name"), F.col("root").alias("family"))
+    families = cut_lineage(families.join(nodes.select(F.col("fp").alias("name"), "least", "n"), "name"))
+    held = _sets(docs, families.select("name", "least"), shingle)
+    return _named(marked.select("doc_id", "fp"), nodes.select("fp", "least"), _verified(families, held, similarity))
+
+
+def _alike(name: np.ndarray, side: np.ndarray, sets: list, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """name, root (least name) of the texts linked by a similarity of their sets; of two sides only pairs across them count.
+
+    Each text that is reached is held against all those of fitting size that are not, so a pair goes unseen only if both are
+    linked already.
+    """
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    order = np.argsort(size, kind="stable")
+    order = order[size[order] > 0]  # the empty set is like no other
+    name, side, size, sets = name[order], side[order], size[order], [sets[i] for i in order]
+    none = np.zeros(0, np.int64)
+    if len(name) < 2:
+        return none, none
+    values, grams = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(size)
+    starts, two, marked = ends - size, side.min() < side.max(), np.zeros(len(values), bool)
+    # the texts that were open when last looked through, by size
+    live, open_, at = np.ones(len(name), bool), np.arange(len(name)), 0
+    now, now_start, now_size, left = grams, np.append(starts, len(grams)), size, len(name)
+    names, roots = [], []
+    while at < len(name):
+        if not live[at]:
+            at += 1
+            continue
+        todo, group = [at], [at]
+        live[at], left = False, left - 1
+        while todo and left:
+            if 2 * left < len(open_):
+                keep = live[open_]
+                now, open_ = now[np.repeat(keep, now_size)], open_[keep]
+                now_size = size[open_]
+                now_start = np.concatenate([[0], np.cumsum(now_size)])
+            i = todo.pop()
+            lo = int(np.searchsorted(now_size, similarity * size[i] - 1e-6))
+            hi = int(np.searchsorted(now_size, size[i] / similarity + 1e-6, "right"))
+            if lo >= hi:
+                continue
+            own = grams[starts[i] : ends[i]]
+            marked[own] = True
+            both = np.add.reduceat(marked[now[now_start[lo] : now_start[hi]]], now_start[lo:hi] - now_start[lo], dtype=np.int64)
+            marked[own] = False
+            ok = live[open_[lo:hi]] & (both >= similarity * (size[i] + now_size[lo:hi] - both) - 1e-9)
+            if two:
+                ok &= side[open_[lo:hi]] != side[i]
+            hit = open_[lo:hi][ok].tolist()
+            live[hit], left = False, left - len(hit)
+            todo += hit
+            group += hit
+        if len(group) > 1:
+            names.append(name[group])
+            roots.append(np.full(len(group), name[group].min()))
+    return (np.concatenate(names), np.concatenate(roots)) if names else (none, none)
+
+
+def _verified(families: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """fp, root of the texts of families(name, family, n) that are linked by the similarity of their sets, held(name, grams).
+
+    A family of up to RUN texts and BLOCK_SHINGLES shingles is one group; a larger one is dealt into blocks, of which each one
+    and each two are a group, and what these link is joined after. A text goes to as many groups as its family has blocks.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        def answer(parts):
+            name, side = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+            found = _alike(name, side, [s for p in parts for s in p[2]], similarity)
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["fp", "root"])
+
+        held, now = [], None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            group = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(3)], 1)
+            name, side = (b.column(i).to_numpy(zero_copy_only=False) for i in (3, 4))
+            starts = np.concatenate([[0], np.flatnonzero((group[1:] != group[:-1]).any(1)) + 1])
+            for at, end in zip(starts, [*starts[1:], len(group)]):
+                if held and tuple(group[at]) != now:
+                    yield answer(held)
+                    held = []
+                now = tuple(group[at])
+                # copied: a group that goes on does not keep its batches
+                held.append((name[at:end].copy(), side[at:end].copy(), [np.frombuffer(x.as_buffer(), "<u8").copy() for x in b.column(5).slice(at, end - at)]))
+        if held:
+            yield answer(held)
+
+    size = families.groupBy("family").agg(F.count(F.lit(1)).alias("texts"), F.sum(F.col("n").cast("long")).alias("shingles"))
+    parts = F.greatest(F.ceil(F.col("texts") / RUN), F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    many = cut_lineage(size.select("family", parts.alias("parts")).where("parts > 1"))
+    placed = families.join(many, "family", "left").select("name", "family", F.coalesce("parts", F.lit(1)).alias("parts"))
+    block = F.pmod(F.xxhash64("name"), F.col("parts")).cast("int")
+    other = placed.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    sides = other.select("name", "family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+    told = sides.join(held, "name").select("family", "i", "j", "name", "side", "grams")
+    groups = ["family", "i", "j"]
+    found = cut_lineage(told.repartition(*groups).sortWithinPartitions(*groups).mapInArrow(run, "fp long, root long"))
+    if not many.head(1):
+        return found
+    return components(found.select(F.col("fp").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("fp"), "root")
 
 
 def _sets(docs: DataFrame, asked: DataFrame, shingle: int) -> DataFrame:
@@ -662,26 +649,6 @@ def _sets(docs: DataFrame, asked: DataFrame, shingle: int) -> DataFrame:
     return written(made.dropDuplicates(["name"]))
 
 
-def _verified(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
-    """Those of pairs(a, b) of set names whose sets of shingle hashes have this Jaccard similarity."""
-
-    def alike(batches):
-        import pyarrow as pa
-
-        for b in sliced(batches):
-            ok = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = (np.frombuffer(v.as_buffer(), "<u8") for v in (x, y))
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                ok.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            ok = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
-
-    side = lambda i, g: held.select(F.col("name").alias(i), F.col("grams").alias(g))
-    told = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
-    return cut_lineage(told.mapInArrow(alike, "a long, b long"))
-
-
 def hexadecimal(fp):
     """The column fp as 16 lower-case hexadecimal digits."""
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
