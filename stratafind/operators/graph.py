@@ -229,7 +229,11 @@ def _moved(w: DataFrame, state: DataFrame, double_m: float, turn: int) -> DataFr
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component (smallest node): each round takes the least label around, then jumps to that label's own."""
-    e = both_ways(edges.select(F.lit("").alias("edge_id"), F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("").alias("rel_type"), F.lit("").alias("valid_from"))).select("src", "dst")
+    # parallel edges count once, and the tables are read once and not in every round
+    pairs = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    loops = edges.where("a = b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+    once = cut_lineage(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(loops))
+    e = once.unionByName(once.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     label = cut_lineage(e.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("l")).withColumnRenamed("src", "node"))
     while True:
         around = e.join(label.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("l").alias("m"))

@@ -168,3 +168,17 @@ def test_tools_fail_alone(spark):
     rows, errors = R.run_tools(planned, {"early": early, "good": answer, "late": late, "unasked": answer})
     assert {tuple(r) for r in rows.collect()} == {(1, "good", 0, "q"), (2, "good", 0, "r")} and errors.keys() == {"early", "late"}
     assert R.run_tools(planned, {"early": early})[0].collect() == []
+
+
+def test_components_read_their_edges_once_for_all_rounds(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(row):
+        read.add(1)
+        return row
+
+    rows = [(f"n{i:02}", f"n{i + 1:02}") for i in range(40)] * 2 + [("x", "x"), ("z", "y")]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(seen), "a string, b string")
+    found = {x.node: x.component for x in G.components(df).collect()}
+    assert found == {f"n{i:02}": "n00" for i in range(41)} | {"x": "x", "y": "y", "z": "y"}
+    assert read.value <= 2 * len(rows)
