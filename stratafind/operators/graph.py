@@ -172,26 +172,37 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def louvain(edges: DataFrame, least_gain: float = 1e-3) -> DataFrame:
     """node, community (its smallest node) from edges(a, b), by Louvain's moves, at every size by grouped joins.
 
-    In a round half of the nodes (by a hash) join the neighbouring community with the largest gain, so that neighbours do not
+    Edges that lack an end are left out. In a round half of the nodes (by a hash) join the neighbouring community with the largest gain, so that neighbours do not
     swap for ever; no task holds more than partial sums. A level's rounds go on until two in a row, one for each half, no
     longer raise modularity by `least_gain`; the best state is kept, its communities become nodes, and levels go on until one gains
     nothing. What Spark has inferred of a round's rows is not handed on, as it would grow with every round: states are tables.
+    Inside, nodes are numbers in the order of their names. A level's weights are laid out by their far end once; a round shuffles
+    them once, and finds the modularity of the state it starts from along the way.
     """
     spark, kept = edges.sparkSession, []
-    both = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(edges.select(F.col("b").alias("x"), F.col("a").alias("y")))
-    w = stored(both.groupBy("x", "y").agg(F.count(F.lit(1)).cast("double").alias("w")), kept)
-    of = stored(w.select(F.col("x").alias("node")).distinct().withColumn("top", F.col("node")), kept)
+    pair = edges.where("a IS NOT NULL AND b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    once = stored(pair, kept)
+    numbers = numbered(once.select(F.col("a").alias("node")).unionByName(once.select(F.col("b").alias("node"))).distinct(), "node", name="top")
+    of = stored(numbers.select("node", F.col("top").cast("long").alias("top")), kept)
+    names = stored(of.select(F.col("top").alias("x"), F.col("node").alias("s")), kept)
+    ends = once.join(of.select(F.col("node").alias("a"), F.col("top").alias("x")), "a").join(of.select(F.col("node").alias("b"), F.col("top").alias("y")), "b").select("x", "y", "w")
+    # a loop counts from both of its ends
+    both = ends.unionByName(ends.where("x <> y").select(F.col("y").alias("x"), F.col("x").alias("y"), "w"))
+    w = stored(both.withColumn("w", F.when(F.col("x") == F.col("y"), 2 * F.col("w")).otherwise(F.col("w"))), kept)
     double_m, reached = w.agg(F.sum("w")).first()[0] or 1.0, None
     while True:
         state = stored(w.groupBy("x").agg(F.sum("w").alias("k")).withColumn("c", F.col("x")), kept)
-        best, score, idle, turn = state, modularity(w, state, double_m), 0, 0
+        loops = w.where("x = y").agg(F.sum("w")).first()[0] or 0.0
+        near = cut_lineage(w.where("x <> y").join(state.select("x", "k"), "x").select("x", "y", "w", "k").repartition("y").sortWithinPartitions("y"))
+        best, idle, turn = state, 0, 0
+        state, score = _moved(near, state, names, double_m, loops, turn, kept)
         reached = score if reached is None else reached
         while idle < 2:
-            state = stored(_moved(w, state, double_m, turn), kept)
-            now = modularity(w, state, double_m)
+            turn += 1
+            after, now = _moved(near, state, names, double_m, loops, turn, kept)
             idle = 0 if now > score + least_gain else idle + 1
             best, score = (state, now) if now > score else (best, score)
-            turn += 1
+            state = after
         if score <= reached + least_gain:
             break
         reached = score
@@ -213,18 +224,28 @@ def modularity(w: DataFrame, state: DataFrame, double_m: float) -> float:
     return inside / double_m - expected
 
 
-def _moved(w: DataFrame, state: DataFrame, double_m: float, turn: int) -> DataFrame:
-    """state(x, k, c) after the nodes whose turn it is have joined the neighbouring community with the largest gain."""
-    total = state.groupBy("c").agg(F.sum("k").alias("tot"))
-    near = w.where("x <> y").join(state.select(F.col("x").alias("y"), "c"), "y").groupBy("x", "c").agg(F.sum("w").alias("in"))
-    options = near.unionByName(state.select("x", "c", F.lit(0.0).alias("in"))).groupBy("x", "c").agg(F.sum("in").alias("in"))
-    own = state.select("x", "k", F.col("c").alias("own"))
-    rest = F.col("tot") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(F.lit(0.0))
-    gain = F.round(F.col("in") - F.col("k") * rest / double_m, 9)
-    best = options.join(own, "x").join(total, "c").groupBy("x", "k", "own").agg(F.max_by("c", F.struct(gain.alias("g"), (F.col("c") == F.col("own")).alias("stay"), F.col("c").alias("name"))).alias("to"))
+def _moved(near: DataFrame, state: DataFrame, names: DataFrame, double_m: float, loops: float, turn: int, kept: list[str]) -> tuple[DataFrame, float]:
+    """state(x, k, c) after the nodes whose turn it is have joined the neighbouring community with the largest gain, and the
+    modularity before. near(x, y, w, k): weights between nodes, with that of all of x's; loops: sum of the weights of loops.
+
+    A community's weight goes with each member, so that a node's options are summed and compared where the node lies.
+    """
+    held = state.select("x", "k", "c").join(state.groupBy("c").agg(F.sum("k").alias("tot")), "c")
     # each half in turn, dealt anew after both
-    may = F.pmod(F.xxhash64("x", F.lit(turn // 2)) + turn, F.lit(2)) == 0
-    return best.select("x", "k", F.when(may, F.col("to")).otherwise(F.col("own")).alias("c"))
+    may = F.pmod(F.xxhash64("s", F.lit(turn // 2)) + turn, F.lit(2)) == 0
+    own = held.join(names, "x").select("x", "k", "c", "tot", F.lit(0.0).alias("in"), F.when(may, 2).otherwise(1).alias("own"))
+    options = near.join(held.select(F.col("x").alias("y"), "c", "tot"), "y").select("x", "k", "c", "tot", F.col("w").alias("in"), F.lit(0).alias("own"))
+    options = options.unionByName(own).repartition("x").groupBy("x", "k", "c").agg(F.sum("in").alias("in"), F.max("tot").alias("tot"), F.max("own").alias("own"))
+    mine = F.col("own") > 0
+    rest = F.col("tot") - F.when(mine, F.col("k")).otherwise(F.lit(0.0))
+    gain = F.round(F.col("in") - F.col("k") * rest / double_m, 9)
+    best = options.groupBy("x", "k").agg(
+        F.max_by("c", F.struct(gain.alias("g"), mine.alias("stay"), F.col("c").alias("name"))).alias("to"),
+        F.max(F.when(mine, F.col("c"))).alias("before"), F.max("own").alias("own"), F.sum(F.when(mine, F.col("in"))).alias("inside"),
+    )
+    new = stored(best.select("x", "k", F.when(F.col("own") == 2, F.col("to")).otherwise(F.col("before")).alias("c"), "before", "inside"), kept)
+    sums = new.groupBy("before").agg(F.sum("k").alias("t"), F.sum("inside").alias("inside")).agg(F.sum("inside").alias("inside"), F.sum((F.col("t") / double_m) ** 2).alias("expected")).first()
+    return new, ((sums["inside"] or 0.0) + loops) / double_m - (sums["expected"] or 0.0)
 
 
 def components(edges: DataFrame) -> DataFrame:

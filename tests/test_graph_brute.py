@@ -182,3 +182,19 @@ def test_components_read_their_edges_once_for_all_rounds(spark):
     found = {x.node: x.component for x in G.components(df).collect()}
     assert found == {f"n{i:02}": "n00" for i in range(41)} | {"x": "x", "y": "y", "z": "y"}
     assert read.value <= 2 * len(rows)
+
+
+def test_a_louvain_round_shuffles_weights_once_and_finds_the_modularity_before(spark):
+    r = random.Random(7)
+    pairs = sorted({(min(p), max(p)) for p in ((r.randrange(30), r.randrange(30)) for _ in range(120))})
+    rows = [(a, b, float(1 + (a + b) % 3)) for a, b in pairs]
+    w = spark.createDataFrame([(a, b, 2 * k if a == b else k) for a, b, k in rows] + [(b, a, k) for a, b, k in rows if a != b], "x long, y long, w double")
+    double_m, loops = w.agg(F.sum("w")).first()[0], w.where("x = y").agg(F.sum("w")).first()[0]
+    state = w.groupBy("x").agg(F.sum("w").alias("k")).withColumn("c", F.col("x") % 5).checkpoint()
+    names = state.select("x", F.col("x").cast("string").alias("s"))
+    near = w.where("x <> y").join(state.select("x", "k"), "x").select("x", "y", "w", "k").repartition("y").sortWithinPartitions("y").checkpoint()
+    kept = []
+    after, before = G._moved(near, state, names, double_m, loops, 0, kept)
+    assert abs(before - G.modularity(w, state, double_m)) < 1e-9
+    assert {x.x for x in after.collect()} == {x.x for x in state.collect()} and G.modularity(w, after, double_m) > before
+    assert abs(G._moved(near, after, names, double_m, loops, 1, kept)[1] - G.modularity(w, after, double_m)) < 1e-9
