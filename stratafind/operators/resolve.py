@@ -19,8 +19,11 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..common import Rounds, cut_lineage
@@ -29,8 +32,8 @@ from .ivf import _distances, _unit, fitted
 
 GENERIC_LABELS = ("__Entity__", "__Node__")
 UNLABELED = "__UNLABELED__"
-#: Rows of a tile of vectors; two of them and their product are what a task holds.
-TILE = 2048
+#: Rows of a tile of vectors, and of a group of tiles, about; two groups and a product of two tiles are what a task holds.
+TILE, GROUP = 2048, 8192
 
 
 # ---- pairs by cosine
@@ -42,8 +45,6 @@ def tiles(vectors: DataFrame) -> DataFrame:
     kinds = dict(vectors.dtypes)
 
     def place(batches):
-        import pyarrow as pa
-
         for b in batches:
             rows = b.column("v").to_pylist()
             near = np.zeros(len(rows), np.int64)
@@ -58,8 +59,6 @@ def tiles(vectors: DataFrame) -> DataFrame:
     dealt = placed.join(chunks, same).select("block", "id", "v", "dim", "near", F.pmod(F.xxhash64("id"), F.col("chunks")).alias("chunk"))
 
     def pack(table):
-        import pyarrow as pa
-
         v = _unit(np.array(table.column("v").to_pylist(), float))
         centre = v.mean(0)
         radius = float(_distances(v, centre[None]).max())
@@ -70,34 +69,51 @@ def tiles(vectors: DataFrame) -> DataFrame:
 
 
 def alike_vectors(vectors: DataFrame, threshold: float) -> DataFrame:
-    """block, a, b (a < b) of vectors(block, id, v) in one block with a cosine of the threshold (over 0) or more."""
+    """block, a, b (a < b) of vectors(block, id, v) in one block with a cosine of the threshold (over 0) or more.
+
+    A block's tiles are dealt into groups of about GROUP rows, and each pair of groups meets in one place, which multiplies the
+    tiles that the bounds do not exclude. So a row is sent once for each group of its block, and not for each tile.
+    """
     if threshold <= 0:
         raise ValueError("a threshold over 0 is asked for")
     kinds = dict(vectors.dtypes)
     held = cut_lineage(tiles(vectors.where(F.exists("v", lambda x: x != 0))))
     apart = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
-    one, other = (held.select("block", "dim", *(F.col(c).alias(f"{c}{k}") for c in ("tile", "centre", "radius"))) for k in (1, 2))
-    far = F.sqrt(F.greatest(X.dot(F.col("centre1"), F.col("centre1")) + X.dot(F.col("centre2"), F.col("centre2")) - 2 * X.dot(F.col("centre1"), F.col("centre2")), F.lit(0.0)))
-    met = one.join(other.withColumnRenamed("block", "of").withColumnRenamed("dim", "dim2"), F.col("block").eqNullSafe(F.col("of")) & (F.col("dim") == F.col("dim2")) & (F.col("tile1") <= F.col("tile2")))
-    met = met.where(far - F.col("radius1") - F.col("radius2") <= apart).select("block", "dim", "tile1", "tile2")
-    for k in (1, 2):
-        side = held.select(F.col("block").alias("of"), F.col("dim").alias("dim2"), F.col("tile").alias("t"), F.col("ids").alias(f"ids{k}"), F.col("data").alias(f"data{k}"))
-        met = met.join(side, F.col("block").eqNullSafe(F.col("of")) & (F.col("dim") == F.col("dim2")) & (F.col(f"tile{k}") == F.col("t"))).drop("of", "dim2", "t")
-
-    def products(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for at in range(batch.num_rows):
-                r = batch.slice(at, 1).to_pylist()[0]
-                x, y = (np.frombuffer(r[f"data{k}"]).reshape(-1, r["dim"]) for k in (1, 2))
-                i, j = np.nonzero(x @ y.T >= threshold)
-                pairs = {(min(a, b), max(a, b)) for a, b in ((r["ids1"][m], r["ids2"][n]) for m, n in zip(i.tolist(), j.tolist())) if a != b}
-                ids = batch.schema.field("ids1").type.value_type
-                yield pa.RecordBatch.from_arrays([pa.array([r["block"]] * len(pairs), batch.schema.field("block").type), pa.array([a for a, _ in pairs], ids), pa.array([b for _, b in pairs], ids)], names=["block", "a", "b"])
-
-    dealt = met.repartition("block", "tile1", "tile2").select("block", "dim", "ids1", "data1", "ids2", "data2")
-    return dealt.mapInArrow(products, f"block {kinds['block']}, a {kinds['id']}, b {kinds['id']}")
+    sizes = held.groupBy(F.col("block").alias("of"), F.col("dim").alias("dim2")).agg(F.ceil(F.sum(F.size("ids")) / GROUP).cast("int").alias("groups"))
+    placed = held.join(sizes, F.col("block").eqNullSafe(F.col("of")) & (F.col("dim") == F.col("dim2"))).drop("of", "dim2").withColumn("mine", F.pmod(F.xxhash64("tile"), F.col("groups")).cast("int"))
+    sent = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).select("block", "dim", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "centre", "radius", "ids", "data")
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = pa.Table.from_batches(batches)
+        block, dim, lo, hi = (met.column(c)[0].as_py() for c in ("block", "dim", "lo", "hi"))
+        sides = []
+        for g in (lo, hi):
+            t = met.filter(pc.equal(met.column("mine"), g))
+            ids = t.column("ids").combine_chunks().flatten()
+            data = [np.frombuffer(d.as_buffer()).reshape(-1, dim) for d in t.column("data")]
+            sides.append((np.array(t.column("centre").to_pylist()), t.column("radius").to_numpy(), ids, data))
+        (c1, r1, ids1, x), (c2, r2, ids2, y) = sides
+        if not len(x) or not len(y):
+            return
+        near = _distances(c1, c2) - r1[:, None] - r2[None] <= apart
+        sizes, starts = np.array([len(d) for d in y]), np.cumsum([0, *(len(d) for d in x)])
+        places, y = np.arange(sizes.sum()), np.concatenate(y)
+        for k, rows in enumerate(x):
+            at = places[np.repeat(near[k], sizes)]
+            if lo == hi:  # one side with itself: each pair once
+                at = at[at > starts[k]]
+            for n in range(0, len(at), TILE):
+                some = at[n : n + TILE]
+                i, j = np.nonzero(rows @ y[some].T >= threshold)
+                i, j = i + starts[k], some[j]
+                if lo == hi:
+                    i, j = i[i < j], j[i < j]
+                if len(i):
+                    one, two = ids1.take(pa.array(i)), ids2.take(pa.array(j))
+                    turned = pc.greater(one, two)
+                    yield pa.RecordBatch.from_arrays([pa.array([block] * len(i), met.schema.field("block").type), pc.if_else(turned, two, one), pc.if_else(turned, one, two)], names=["block", "a", "b"])
+
+    return sent.groupBy("block", "dim", "lo", "hi").applyInArrow(products, f"block {kinds['block']}, a {kinds['id']}, b {kinds['id']}")
 
 
 # ---- pairs by name
@@ -148,8 +164,6 @@ def alike_names(names: DataFrame, threshold: float) -> DataFrame:
     def judge(batches):
         import difflib
 
-        import pyarrow as pa
-
         for batch in batches:
             matcher, kept = difflib.SequenceMatcher(None), []
             for x, y in zip(batch.column("name_a").to_pylist(), batch.column("name_b").to_pylist()):

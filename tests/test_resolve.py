@@ -98,6 +98,29 @@ def test_no_tile_pairs_that_are_far_apart(spark, monkeypatch):
     assert n >= 25 and got == {(a, b) for a in range(400) for b in range(a + 1, 400) if a % 20 == b % 20}
 
 
+def test_vectors_are_sent_once_for_each_group_and_not_for_each_tile(spark, monkeypatch):
+    monkeypatch.setattr(E, "TILE", 8)
+    r = np.random.default_rng(3)
+    v = r.normal(size=(400, 6))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(None if i % 2 else "b", i, x.tolist()) for i, x in enumerate(v)], "block string, id long, v array<double>")
+    want = {(i % 2, i, j) for i in range(400) for j in range(i + 2, 400, 2) if v[i] @ v[j] >= 0.7}
+    for group in (64, 8192):
+        monkeypatch.setattr(E, "GROUP", group)
+        before = written(spark)
+        got = [(int(x["block"] is None), x["a"], x["b"]) for x in E.alike_vectors(df, 0.7).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    # the last time there is one group for each block: rows pass with their tiles' tables and once more
+    assert written(spark) - before < 4 * 400 * 6 * 8 + 100_000
+
+
+def written(spark):
+    """Bytes shuffled so far."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
 def names(seed, n):
     r = random.Random(seed)
     base = ["".join(r.choice(string.ascii_lowercase + " ") for _ in range(r.randint(0, 14))) for _ in range(n // 6)]
