@@ -88,10 +88,16 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def simple(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """a, b, rel_type: one undirected edge between named nodes; the last edge's type is kept."""
-    ids = named(nodes).select("id")
-    inside = edges.where("src <> dst").join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    return inside.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.max_by("rel_type", "edge_id").alias("rel_type"))
+    """a, b, rel_type: one undirected edge between named nodes; the last edge's type is kept.
+
+    Edges are shuffled by their lesser end alone, which serves the join with its node and the grouping; what is left goes to the
+    greater end without the edges' ids. An inner join with distinct ids is not moved below the grouping, as a semi join is.
+    """
+    ids = named(nodes).select("id").distinct()
+    ends = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "rel_type", "edge_id").repartition("a")
+    held = ends.join(ids.withColumnRenamed("id", "a"), "a", "left_semi")
+    once = held.groupBy("a", "b").agg(F.max_by("rel_type", "edge_id").alias("rel_type"))
+    return once.join(ids.withColumnRenamed("id", "b"), "b").select("a", "b", "rel_type")
 
 
 def overlay(order: list, props) -> Column:

@@ -64,3 +64,18 @@ def test_edges_meet_the_frontier_before_a_shuffle(spark):
         assert sorted(map(str, G.expand(nodes, edges, seeds, 2, None).collect())) == sorted(map(str, found.collect()))
     finally:
         G.NEAR = near
+
+
+def test_simple_edges_are_shuffled_by_each_end_once(spark):
+    nodes = spark.createDataFrame([(x, x.upper(), [k]) for x, k in [("a", "N"), ("b", "N"), ("c", "N"), ("d", "N"), ("z", "Category"), ("a", "N")]], "id string, name string, labels array<string>")
+    rows = [("1", "b", "a", "R"), ("2", "a", "b", "S"), ("0", "a", "b", "T"), ("3", "c", "c", "R"), ("4", "z", "a", "R"), ("5", "x", "a", "R"), ("6", "d", "c", "U"), ("7", None, "c", "U"), ("8", "a", None, "U")]
+    edges = spark.createDataFrame(rows, "edge_id string, src string, dst string, rel_type string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = G.simple(nodes, edges)
+        # edges by either end, and the ids, which are told apart where they meet them
+        assert plan(df).count("Exchange hashpartitioning") <= 4
+        assert sorted(map(tuple, df.collect())) == [("a", "b", "S"), ("c", "d", "U")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
