@@ -52,9 +52,17 @@ def vector_search(index: DataFrame, queries: DataFrame, top: int = 5) -> DataFra
     return ranked(found, "query_id", F.col("score").desc(), "id", top=top)
 
 
-#: Rows of a block of vectors at most, and of a row block at least; SPREAD row blocks or more where the rows are enough. A task
+#: Rows and components of a block of vectors at most, rows of one at least; pairs of blocks where the rows are enough. A task
 #: holds two blocks, and products of TILE vectors of each.
-BLOCK, LEAST_BLOCK, SPREAD, TILE = 32768, 1024, 24, (1024, 4096)
+BLOCK, COMPONENTS, LEAST_BLOCK, PAIRS, TILE = 131072, 1 << 23, 1024, 48, (512, 2048)
+
+
+def _grid(n: int, m: int, dim: int) -> tuple[int, int]:
+    """Numbers of blocks for n rows and m queries of dim components. Up to the largest block they do not grow with the rows, so
+    that what is shuffled, each row once for each block of the other side, grows as the rows do."""
+    most, few = max(1, min(BLOCK, COMPONENTS // max(1, dim))), lambda x, at_least: max(1, min(x, -(-at_least // LEAST_BLOCK)))
+    asks = few(round((PAIRS * m / max(1, n)) ** 0.5), m)
+    return max(-(-n // most), few(-(-PAIRS // asks), n)), max(asks, -(-m // most))
 
 
 def _finite(i: str, v: str) -> Column:
@@ -64,35 +72,53 @@ def _finite(i: str, v: str) -> Column:
 
 
 def _best(q, r, qi, ri, top: int, itself: bool):
-    """Places in q and r, and scores, of the `top` best of r(ids ri, rising) for each of q: higher scores, then smaller ids."""
+    """Places in q and r, and scores, of the `top` best of r(ids ri, rising) for each of q: higher scores, then smaller ids.
+
+    q and r are of length 1 or 0. Single precision rules out what is below a query's own best by more than its error can be; what
+    is left is scored in double precision, and so is a tile of which much is left, as in a group of copies.
+    """
     import numpy as np
 
-    out = []
+    out, (q4, r4) = [], (x.astype("f4") for x in (q, r))
+    # twice the bound of a sum of dim products of rounded components
+    error = (q.shape[1] + 8) * 2.0**-23
     for a in range(0, len(q), TILE[0]):
-        part, n = q[a : a + TILE[0]], min(TILE[0], len(q) - a)
+        part, ids, n = q[a : a + TILE[0]], qi[a : a + TILE[0]], min(TILE[0], len(q) - a)
         row, at, score, floor = np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.full(n, -np.inf)
-        for b in range(0, len(r), TILE[1]):
-            s = part @ r[b : b + TILE[1]].T
-            if not itself:
-                ids = ri[b : b + TILE[1]]
-                lo, hi = np.searchsorted(ids, qi[a : a + n], "left"), np.searchsorted(ids, qi[a : a + n], "right")
-                for i in np.flatnonzero(hi > lo):
-                    s[i, lo[i] : hi[i]] = -np.inf
-            if s.shape[1] > top:  # what is below the tile's own best need not be looked at
-                least = np.partition(s, -top, axis=1)[:, -top] - 1e-9 if b == 0 else floor
+        b = 0
+        while b < len(r):
+            # the first tiles are small: they find the floors
+            end = min(len(r), b + min(TILE[1], 3 * b or 32 * top))
+            screened = False
+            if b:
+                least = np.nextafter((floor + 4e-10 - error).astype("f4"), np.float32(-np.inf))
+                hit = np.flatnonzero(q4[a : a + n] @ r4[b:end].T > least[:, None])
+                screened = len(hit) <= n * (end - b) // 16
+            if screened:
+                i, j = np.divmod(hit, end - b)
+                if not itself:
+                    other = ids[i] != ri[b + j]
+                    i, j = i[other], j[other]
+                x = np.einsum("ij,ij->i", part[i], r[b + j])
             else:
-                least = floor
-            # a later row has a larger id: an equal score does not replace, and the product is exact to far less than this
-            i, j = np.nonzero(s > np.maximum(least, floor + 4e-10)[:, None])
-            x = np.round(s[i, j], 9) + 0.0
-            row, at, score = np.concatenate([row, i]), np.concatenate([at, j + b]), np.concatenate([score, x])
-            order = np.lexsort((at, -score, row))
-            row, at, score = row[order], at[order], score[order]
-            place = np.arange(len(row)) - np.searchsorted(row, row, "left")
-            row, at, score = row[place < top], at[place < top], score[place < top]
-            last = np.searchsorted(row, np.arange(n), "right") - 1
-            full = np.bincount(row, minlength=n) >= top
-            floor[full] = score[last[full]]
+                s = part @ r[b:end].T
+                if not itself:
+                    s[ids[:, None] == ri[None, b:end]] = -np.inf
+                # what is below the first tile's own best need not be looked at
+                least = np.partition(s, -top, axis=1)[:, -top] - 1e-9 if b == 0 and s.shape[1] > top else floor
+                # a later row has a larger id: an equal score does not replace, and the product is exact to far less than this
+                i, j = np.nonzero(s > np.maximum(least, floor + 4e-10)[:, None])
+                x = s[i, j]
+            if len(i):
+                row, at, score = np.concatenate([row, i]), np.concatenate([at, j + b]), np.concatenate([score, np.round(x, 9) + 0.0])
+                order = np.lexsort((at, -score, row))
+                row, at, score = row[order], at[order], score[order]
+                place = np.arange(len(row)) - np.searchsorted(row, row, "left")
+                row, at, score = row[place < top], at[place < top], score[place < top]
+                last = np.searchsorted(row, np.arange(n), "right") - 1
+                full = np.bincount(row, minlength=n) >= top
+                floor[full] = score[last[full]]
+            b = end
         out.append((row + a, at, score))
     return tuple(np.concatenate(x) if x else np.zeros(0, int) for x in (zip(*out) if out else ((), (), ())))
 
@@ -101,13 +127,13 @@ def _of_blocks(vectors: DataFrame, queries: DataFrame, top: int, itself: bool) -
     """query_id, id, score: of the rows of vectors(id, embedding) in each block the `top` best for each of queries(query_id, q).
 
     Both are dealt into blocks; each pair of blocks is a group of its own, whose two sides meet by the pair's numbers. Blocks
-    are large, as each is sent to every block of the other side; components stay floats where they are. itself: whether a row
+    are few and large, as each is sent to every block of the other side; components stay floats where they are. itself: whether a row
     counts for a query of its id. Ids are whole numbers, vectors finite.
     """
     import numpy as np
 
-    n, m = vectors.count(), queries.count()
-    rows, asks = max(1, -(-n // BLOCK), min(SPREAD, -(-n // LEAST_BLOCK))), max(1, -(-m // BLOCK))
+    (n, dim), (m, _) = ((x["n"], x["dim"] or 0) for x in (df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(c)).alias("dim")).first() for df, c in ((vectors, "embedding"), (queries, "q"))))
+    rows, asks = _grid(n, m, dim)
     wide = lambda df, c: np.dtype("<f4") if dict(df.dtypes)[c] == "array<float>" else np.dtype("<f8")
     kinds = wide(queries, "q"), wide(vectors, "embedding")
 
@@ -147,6 +173,8 @@ def _of_blocks(vectors: DataFrame, queries: DataFrame, top: int, itself: bool) -
     left = blocks(queries, "query_id", "q", asks, kinds[0]).withColumnRenamed("block", "mine").withColumn("other", every(rows))
     right = blocks(vectors, "id", "embedding", rows, kinds[1]).withColumnRenamed("block", "other").withColumn("mine", every(asks))
     pair = ["mine", "other", "dim"]
+    # pairs cost much and weigh little: they are not to be put together by their bytes
+    left, right = (x.repartition(2 * rows * asks, *pair) for x in (left, right))
     return left.groupBy(*pair).cogroup(right.groupBy(*pair)).applyInArrow(best, "query_id long, id long, score double")
 
 

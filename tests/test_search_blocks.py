@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from stratafind.operators import graph as G, retrieval as R
@@ -79,3 +80,29 @@ def test_simple_edges_are_shuffled_by_each_end_once(spark):
         assert sorted(map(tuple, df.collect())) == [("a", "b", "S"), ("c", "d", "U")]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_rows_are_sent_as_often_in_large_tables_as_in_small_ones():
+    for share in (1, 100):
+        copies = set()
+        for n in (60_000, 600_000):
+            rows, asks = R._grid(n, n // share, 64)
+            assert rows * asks >= R.PAIRS - R.PAIRS // 8 and max(n / rows, n / share / asks) <= R.BLOCK
+            copies.add(asks + rows / share)
+        assert len(copies) == 1 and max(copies) <= 14
+    # long vectors have smaller blocks
+    assert 600_000 / R._grid(600_000, 600_000, 1024)[0] * 1024 <= R.COMPONENTS
+
+
+def test_scores_closer_than_single_precision_keep_their_order(monkeypatch):
+    monkeypatch.setattr(R, "TILE", (8, 32))
+    rnd = np.random.default_rng(4)
+    q = rnd.standard_normal((20, 8))
+    near = q[:1] + rnd.standard_normal((400, 8)) * 3e-5
+    r = np.concatenate([near, rnd.standard_normal((200, 8)), np.repeat(q[1:2], 300, 0), np.zeros((5, 8))])
+    q, r = (np.divide(x, np.sqrt((x * x).sum(1, keepdims=True)), out=np.zeros_like(x), where=x != 0) for x in (q, r))
+    i, j, score = R._best(q, r, np.arange(20) * 45, np.arange(len(r)), 3, False)
+    s = np.round(q @ r.T, 9) + 0.0
+    s[np.arange(20), np.arange(20) * 45] = -np.inf
+    want = [(a, b) for a in range(20) for b in np.lexsort((np.arange(len(r)), -s[a]))[:3]]
+    assert list(zip(i, j)) == want and np.array_equal(score, s[i, j])
