@@ -133,18 +133,50 @@ def merge_props(nodes: DataFrame, remap: DataFrame) -> DataFrame:
     return tagged.groupBy(key.alias("id")).agg(F.max(F.when(own, F.col("name"))).alias("name"), overlay([(~own).alias("later"), F.col("id").alias("from")], props).alias("props"))
 
 
+#: Words of 64 bits of a sieve at most: what is broadcast of ids, however many they are.
+SIEVE = 1 << 20
+
+
+def _sieve(ids: DataFrame):
+    """Splits frames by whether a column may hold one of ids(id): split(df, *columns) -> rows that may, rows that surely do not.
+
+    Each id sets three bits of one of SIEVE words; the words are broadcast and the rows are not shuffled. Ids that are not among
+    them may pass as such, so what may hold one is still to be joined; none that is among them is missed. Null is none.
+    """
+    bits = lambda c: reduce(Column.bitwiseOR, [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(F.xxhash64(c), k).bitwiseAND(63).cast("int")) for k in (32, 40, 48)])
+    place = lambda c: F.xxhash64(c).bitwiseAND(SIEVE - 1)
+    words = ids.select(place("id").alias("place"), bits("id").alias("bits")).groupBy("place").agg(F.bit_or("bits").alias("bits"))
+
+    def split(df, *columns):
+        may = F.lit(False)
+        for k, c in enumerate(columns):
+            # at most SIEVE rows
+            df = df.join(F.broadcast(words.select(F.col("place").alias(f"_p{k}"), F.col("bits").alias(f"_b{k}"))), place(c) == F.col(f"_p{k}"), "left")
+            may = may | F.coalesce(F.col(c).isNotNull() & (F.col(f"_b{k}").bitwiseAND(bits(c)) == bits(c)), F.lit(False))
+        own = [f"_{x}{k}" for k in range(len(columns)) for x in "pb"]
+        return df.where(may).drop(*own), df.where(~may).drop(*own)
+
+    return split
+
+
 def fold_properties(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """HAS_PROPERTY targets named "Key: Value" become props of their source; they and their edges go."""
+    """HAS_PROPERTY targets named "Key: Value" become props of their source; they and their edges go.
+
+    Nodes and edges that a sieve of the ids rules out are passed on as they are; the others alone are joined.
+    """
     held = edges.where("rel_type = 'HAS_PROPERTY'").select(F.col("src").alias("id"), F.col("dst").alias("p"))
     text = nodes.select(F.col("id").alias("p"), F.col("name").alias("text")).where("text LIKE '%:%'")
     key = F.regexp_replace(F.replace(F.lower(X.strip(F.get(F.split("text", ":", 2), 0))), F.lit(" "), F.lit("_")), "[^a-zA-Z0-9_]", "")
     pairs = held.join(text, "p").select("id", "p", key.alias("k"), X.strip(F.get(F.split("text", ":", 2), 1)).alias("v")).where("k NOT IN ('id', '')")
     new = pairs.groupBy("id", "k").agg(F.max_by("v", "p").alias("v")).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("new"))
     gone = held.select("p").distinct()
-    kept = nodes.join(gone.withColumnRenamed("p", "id"), "id", "left_anti").join(new, "id", "left")
+    mine, others = _sieve(held.select("id").unionByName(held.select(F.col("p").alias("id"))))(nodes, "id")
+    kept = mine.join(gone.withColumnRenamed("p", "id"), "id", "left_anti").join(new, "id", "left")
     props = F.when(F.col("new").isNull(), F.col("props")).otherwise(F.map_concat(F.map_filter("props", lambda k, _: ~F.array_contains(F.map_keys("new"), k)), F.col("new")))
-    left = edges.join(gone.withColumnRenamed("p", "src"), "src", "left_anti").join(gone.withColumnRenamed("p", "dst"), "dst", "left_anti")
-    return kept.withColumn("props", props).drop("new"), left
+    kept = kept.withColumn("props", props).select(nodes.columns)
+    mine, apart = _sieve(gone.withColumnRenamed("p", "id"))(edges, "src", "dst")
+    left = mine.join(gone.withColumnRenamed("p", "src"), "src", "left_anti").join(gone.withColumnRenamed("p", "dst"), "dst", "left_anti")
+    return kept.unionByName(others), left.select(edges.columns).unionByName(apart)
 
 
 def numbered(df: DataFrame, *order, name: str = "ord") -> DataFrame:

@@ -106,3 +106,27 @@ def test_scores_closer_than_single_precision_keep_their_order(monkeypatch):
     s[np.arange(20), np.arange(20) * 45] = -np.inf
     want = [(a, b) for a in range(20) for b in np.lexsort((np.arange(len(r)), -s[a]))[:3]]
     assert list(zip(i, j)) == want and np.array_equal(score, s[i, j])
+
+
+def test_folding_shuffles_only_what_may_touch_a_property(spark):
+    ids = [f"n{k}" for k in range(400)]
+    nodes = [(i, i.upper(), {"kind": "N"}) for i in ids] + [("x1", "Colour : red", {}), ("x2", "Size: 3:4", {}), ("x3", "no colon", {}), ("x4", "Id: 7", {}), (None, "nobody", {})]
+    edges = [(f"e{k}", ids[k], ids[(k * 7 + 1) % 400], "R") for k in range(400)] + [("l", "n5", None, "R"), ("m", None, "n6", "R"), ("b", "x1", "n7", "R"), ("c", "n8", "x2", "S")]
+    edges += [("h1", "n1", "x1", "HAS_PROPERTY"), ("h2", "n1", "x2", "HAS_PROPERTY"), ("h3", "n2", "x3", "HAS_PROPERTY"), ("h4", "n3", "x4", "HAS_PROPERTY"), ("h5", "n4", "x1", "HAS_PROPERTY")]
+    nodes = spark.createDataFrame(nodes, "id string, name string, props map<string,string>")
+    edges = spark.createDataFrame(edges, "edge_id string, src string, dst string, rel_type string")
+    folded, left = G.fold_properties(nodes, edges)
+    extra = {"n1": {"colour": "red", "size": "3:4"}, "n4": {"colour": "red"}}
+    want = {i: {"kind": "N"} | extra.get(i, {}) for i in ids} | {None: {}}
+    for words in (G.SIEVE, 1):
+        held = G.SIEVE
+        G.SIEVE = words
+        try:
+            folded, left = G.fold_properties(nodes, edges)
+            assert {r.id: r.props for r in folded.collect()} == want and folded.count() == len(want)
+            assert sorted(r.edge_id for r in left.collect()) == sorted([f"e{k}" for k in range(400)] + ["l", "m"])
+        finally:
+            G.SIEVE = held
+    mine, others = G._sieve(spark.createDataFrame([("x1",), ("x2",)], "id string"))(edges, "src", "dst")
+    assert mine.count() < 20 and mine.count() + others.count() == edges.count()
+    assert "Exchange hashpartitioning(src" not in plan(others) and "Exchange hashpartitioning(dst" not in plan(others)
