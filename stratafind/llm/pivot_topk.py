@@ -2,12 +2,14 @@
 
 Components become floor(64 * x). A further component, sqrt(M - |x|^2) for candidates (M: the largest squared norm) and 0
 for queries, makes the largest inner product the smallest distance: d^2 = |q|^2 + M - 2 q.x. Distances of all candidates to
-a number of pivots are computed once; by the triangle inequality |d(q,p) - d(x,p)| bounds d(q,x) from below for each pivot
-p, so the largest of these bounds q.x from above. Candidates are evaluated in the order of that bound, in growing steps,
-until the next bound is below the k-th best score: then nothing left can enter, and the result is exact.
+a number of pivots are computed once. Candidates lie in tiles by their nearest pivot and the distance to it, and the table
+holds each tile's least and largest distance to every pivot: by the triangle inequality a query outside of that range is at
+least as far from all of the tile, which bounds q.x from above. A query takes tiles in the order of that bound, in growing
+steps, until the next bound is below the k-th best score: then nothing left can enter, and the result is exact.
 
 Candidates are dealt into groups of bounded size, queries into blocks; each group holds its pivot table and meets every
-block, and the k best of the groups are merged by a ranking window with a limit per group. Nothing is collected.
+block, and the k best of the groups are merged by a ranking window with a limit per group. Nothing is collected. The queries
+of a block that take a tile are multiplied with it at once, in single precision where that holds every sum exactly.
 
 Scores are whole numbers and exact at any size: vectors with components so large that a double no longer holds their products
 are evaluated in Python's integers, whatever their bounds. A score beyond a long is reported as the nearest long, but ranked
@@ -33,9 +35,9 @@ SCALE = 64
 PIVOTS = 24
 #: Candidates of a group, and queries compared with it at once: bound a task's memory.
 GROUP_ROWS = 32_768
-BLOCK_QUERIES = 64
-#: Candidates evaluated in the first step; each further step doubles.
-FIRST_STEP = 256
+BLOCK_QUERIES = 1024
+#: Candidates of a tile. A query takes one tile first; each further step doubles.
+TILE = 256
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -71,17 +73,24 @@ class PivotTable:
         self.ids, v = ids[~huge], vectors[~huge].astype(np.float64)
         norms = np.einsum("ij,ij->i", v, v)
         self.most = float(norms.max(initial=0.0))
-        self.v = np.column_stack([v, np.sqrt(np.maximum(self.most - norms, 0.0))])
-        self.pivots, near = [], None
-        at = 0
+        wide = np.column_stack([v, np.sqrt(np.maximum(self.most - norms, 0.0))])
+        held, table, near, at = [], [], None, 0
         for _ in range(min(pivots, len(v))):
-            self.pivots.append(self.v[at])
-            d = self._distances(self.v, self.v[at])
-            near = d if near is None else np.minimum(near, d)
+            held.append(wide[at])
+            table.append(self._distances(wide, wide[at]))
+            near = table[-1] if near is None else np.minimum(near, table[-1])
             at = int(np.argmax(near))
-        self.pivots = np.array(self.pivots).reshape(-1, self.v.shape[1])
-        self.table = np.stack([self._distances(self.v, p) for p in self.pivots]) if len(self.pivots) else np.zeros((0, len(v)))
-        self.flat = v
+        self.pivots, table = np.array(held).reshape(-1, wide.shape[1]), np.array(table).reshape(len(table), len(v))
+        if len(v):
+            order = np.lexsort((near, table.argmin(0)))
+            self.ids, v, table = self.ids[order], v[order], table[:, order]
+        starts = np.arange(0, len(v), TILE)
+        self.tiles = [slice(i, i + TILE) for i in starts.tolist()]
+        # by pivot and tile
+        self.least = np.minimum.reduceat(table, starts, 1) if len(v) else table
+        self.largest = np.maximum.reduceat(table, starts, 1) if len(v) else table
+        self.flat, self.high = v, float(np.abs(v).max(initial=0.0))
+        self.single = v.astype(np.float32) if self.high < 2.0**24 else v
         self.evaluated = 0
 
     def _huge(self, vectors: np.ndarray) -> np.ndarray:
@@ -93,48 +102,80 @@ class PivotTable:
         return np.sqrt(np.einsum("ij,ij->i", d, d))
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
-        """Upper bounds of the inner products, by query and candidate; slack covers rounding."""
-        q = np.column_stack([queries.astype(np.float64), np.zeros(len(queries))])
+        """Upper bounds of the inner products, by query and tile; slack covers rounding."""
+        q = np.column_stack([queries, np.zeros(len(queries))])
         norms = np.einsum("ij,ij->i", q, q)
-        to_pivot = np.stack([self._distances(q, p) for p in self.pivots], 1) if len(self.pivots) else np.zeros((len(q), 0))
-        low = np.zeros((len(q), len(self.ids)))
-        gap = np.empty_like(low)
-        for k in range(len(self.pivots)):
-            np.subtract(to_pivot[:, k, None], self.table[k], out=gap)
-            np.abs(gap, out=gap)
-            np.maximum(low, gap, out=low)
+        low = np.zeros((len(q), len(self.tiles)))
+        for pivot, least, largest in zip(self.pivots, self.least, self.largest):
+            d = self._distances(q, pivot)[:, None]
+            np.maximum(low, np.maximum(least - d, d - largest), out=low)
         scale = norms[:, None] + self.most
         return (scale - low * low) / 2 + 1e-9 * scale + 0.5
 
-    def _scores(self, query, at):
-        self.evaluated += len(at)
-        return self.flat[at] @ query
-
     def search(self, query_ids: np.ndarray, queries: np.ndarray, top: int = TOP):
         """query id, candidate id, score of the `top` best for each query."""
-        out, huge = [], self._huge(queries)
-        held = np.where(huge[:, None], 0, queries).astype(np.float64)
-        for qid, q, exact, large, bound in zip(query_ids.tolist(), held, queries, huge.tolist(), self.bounds(held)):
+        return [(int(query_ids[n]), i, s) for n, i, s in zip(*(c if isinstance(c, list) else c.tolist() for c in self.best(query_ids, queries, top)))]
+
+    def best(self, query_ids: np.ndarray, queries: np.ndarray, top: int = TOP):
+        """Place of the query, candidate id, score of the `top` best for each query; scores are whole numbers, in Python's where a long may not hold them."""
+        large = self._huge(queries)
+        places, ids, scores = self._nearest(query_ids, np.where(large[:, None], 0, queries).astype(np.float64), ~large, top)
+        if not self.huge and not large.any():
+            return places, ids, scores.astype(np.int64)
+        ends, out = np.searchsorted(places, np.arange(len(queries) + 1)), []
+        for n, (qid, exact) in enumerate(zip(query_ids.tolist(), queries)):
             exactly = lambda v: sum(a * int(b) for a, b in zip(v, exact))
-            best = [(-exactly(v), i) for i, v in self.huge if i != qid]
-            if large:  # bounds in doubles say nothing here
-                best += [(-exactly([int(x) for x in v]), i) for i, v in zip(self.ids.tolist(), self.flat.tolist()) if i != qid]
+            found = [(-exactly(v), i) for i, v in self.huge if i != qid]
+            if large[n]:  # bounds in doubles say nothing here
+                found += [(-exactly([int(x) for x in v]), i) for i, v in zip(self.ids.tolist(), self.flat.tolist()) if i != qid]
             else:
-                best += [(-int(s), i) for i, s in zip(*self._nearest(qid, q, bound, top))]
-            out += [(qid, i, -s) for s, i in sorted(best)[:top]]
-        return out
-
-    def _nearest(self, qid, q, bound, top):
-        order = np.argsort(-bound, kind="stable")
-        ids, scores, done, step = np.zeros(0, np.int64), np.zeros(0), 0, FIRST_STEP
-        while done < len(order) and (len(scores) < top or bound[order[done]] >= scores[-1]):
-            at = order[done : done + step]
+                found += [(-int(s), i) for i, s in zip(ids[ends[n] : ends[n + 1]].tolist(), scores[ends[n] : ends[n + 1]].tolist())]
+            out += [(n, i, -s) for s, i in sorted(found)[:top]]
+        return [list(c) for c in zip(*out)] or [[], [], []]
+
+    @staticmethod
+    def _first(places, ids, scores, top):
+        """The `top` best rows of each place, by place."""
+        order = np.lexsort((ids, -scores, places))
+        places, ids, scores = places[order], ids[order], scores[order]
+        keep = np.arange(len(places)) - np.searchsorted(places, places) < top
+        return places[keep], ids[keep], scores[keep]
+
+    def _nearest(self, query_ids, queries, asked, top):
+        """Place, id, score of the `top` best for the queries that are asked, which a double holds exactly."""
+        found = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        bound = self.bounds(queries)
+        order = np.argsort(-bound, 1, kind="stable")
+        # sums below this are exact in single precision
+        small = self.high * float(np.abs(queries).max(initial=0.0)) * max(1, queries.shape[1]) < 2.0**24
+        q, x = (queries.astype(np.float32), self.single) if small else (queries, self.flat)
+        kth, going, done, step = np.full(len(queries), -np.inf), np.flatnonzero(asked), 0, 1
+        while done < len(self.tiles) and len(going):
+            chosen = order[going, done : done + step]
+            may = np.take_along_axis(bound[going], chosen, 1) >= kth[going, None]
+            takes, tiles = np.repeat(going, chosen.shape[1])[may.ravel()], chosen[may]
+            by = np.argsort(tiles, kind="stable")
+            takes, tiles = takes[by], tiles[by]
+            parts = [found]
+            for n, tile in zip(np.split(takes, np.flatnonzero(np.diff(tiles)) + 1), np.unique(tiles).tolist()):
+                rows = self.tiles[tile]
+                ids, scores = self.ids[rows], q[n] @ x[rows].T
+                self.evaluated += scores.size
+                own, least = ids == query_ids[n, None], kth[n]
+                if scores.shape[1] > top and np.isinf(least).any():  # no k-th best yet: that of the tile
+                    scores[own] = -np.inf
+                    least = np.maximum(least, np.partition(scores, -top, 1)[:, -top])
+                at, to = np.nonzero((scores >= least.astype(scores.dtype)[:, None]) & ~own)
+                part = n[at], ids[to], scores[at, to].astype(np.float64)
+                parts.append(self._first(*part, top) if len(at) > 4 * top * len(n) else part)
+            found = self._first(*map(np.concatenate, zip(*parts)), top)
+            ends = np.searchsorted(found[0], np.arange(len(queries) + 1))
+            full = ends[1:] - ends[:-1] >= top
+            kth[full] = found[2][ends[1:][full] - 1]
             done, step = done + step, 2 * step
-            at = at[self.ids[at] != qid]
-            ids, scores = np.concatenate([ids, self.ids[at]]), np.concatenate([scores, self._scores(q, at)])
-            best = np.lexsort((ids, -scores))[:top]
-            ids, scores = ids[best], scores[best]
-        return ids.tolist(), scores.tolist()
+            if done < len(self.tiles):
+                going = going[bound[going, order[going, done]] >= kth[going]]
+        return found
 
 
 def top_k(vectors: DataFrame, top: int = TOP, query_step: int = QUERY_STEP, scale: int = SCALE, pivots: int = PIVOTS) -> DataFrame:
@@ -153,16 +194,19 @@ def top_k(vectors: DataFrame, top: int = TOP, query_step: int = QUERY_STEP, scal
         import pyarrow as pa
 
         def answer(table, waiting):
-            rows = []
+            cols = [[]] * 6
             if table is not None:
                 numbers = whole_numbers(np.array([x for _, x, _ in waiting]).reshape(len(waiting), -1), scale)
                 # by place, so that different vectors under one id are answered each
-                for (vec, x, times), one in zip(waiting, numbers):
-                    of = int(np.frombuffer(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "<i8")[0])
-                    for _, i, s in table.search(np.array([vec]), one[None], top):
-                        near = max(-(2**63), min(2**63 - 1, s))
-                        rows.append((vec, of, times, i, near, ordered_bytes(s) if near != s or s == -(2**63) else None))
-            cols = list(zip(*rows)) or [[]] * 6
+                asks = np.array([vec for vec, _, _ in waiting], np.int64)
+                of = np.array([int(np.frombuffer(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "<i8")[0]) for _, x, _ in waiting], np.int64)
+                places, ids, scores = table.best(asks, numbers, top)
+                near, exact = scores, [None] * len(scores)
+                if isinstance(scores, list):
+                    near = [max(-(2**63), min(2**63 - 1, s)) for s in scores]
+                    exact = [ordered_bytes(s) if n != s or s == -(2**63) else None for n, s in zip(near, scores)]
+                at = np.asarray(places, np.int64)
+                cols = [asks[at], of[at], np.array([times for _, _, times in waiting], np.int64)[at], ids, near, exact]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 5 else pa.binary()) for k, c in enumerate(cols)], names=["query_id", "of", "times", "vec_id", "score", "exact"])
 
         now, ids, rows, table, waiting = None, [], [], None, []

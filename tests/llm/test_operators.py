@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -628,6 +629,22 @@ def test_pivots_stop_early():
     assert [(i, s) for _, i, s in got] == [(i, -s) for s, i in want] and table.evaluated < len(v) / 4
 
 
+def test_a_block_of_queries_meets_a_group_in_products():
+    """2,000 queries and a whole group of vectors that hardly cluster: one by one that takes most of a minute."""
+    r = np.random.default_rng(2)
+    v = np.floor(64 * r.normal(0, 0.125, (pivot_topk.GROUP_ROWS, 64)))
+    v[100:400] = v[7]  # more ties than a tile has rows
+    ids = r.permutation(len(v)) * 3
+    table = pivot_topk.PivotTable(ids, v)
+    began = time.process_time()
+    got = table.search(ids[:2000], v[:2000])
+    assert time.process_time() - began < 15 and len(got) == 40_000
+    for n in (0, 7, 8, 150, 1999):
+        scores = v @ v[n]
+        order = [i for i in np.lexsort((ids, -scores)) if i != n][:20]
+        assert [(i, s) for q, i, s in got if q == ids[n]] == [(ids[i], scores[i]) for i in order]
+
+
 # ---- 10
 
 
