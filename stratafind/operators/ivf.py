@@ -38,16 +38,33 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0))
 
 
+def _sample(held: DataFrame, n: int) -> DataFrame:
+    """v of the SAMPLE rows of n whose hash is smallest.
+
+    An ordered limit would send that many rows of each partition to the driver, so that most of a table passed through it. Rows
+    over a bound of the hash, which leaves a little more than SAMPLE, are out beforehand, and one task picks among the others.
+    """
+    rows, share = held.select("vec_id", F.xxhash64("vec_id").alias("h"), F.col("embedding").cast("array<double>").alias("v")), 1.1 * SAMPLE
+    near = rows
+    while share < n:
+        near = rows.where(F.col("h") < F.lit(int(2**64 * (share / n)) - 2**63))
+        if near.count() >= SAMPLE:
+            break
+        near, share = rows, 2 * share
+    return near.repartition(1).sortWithinPartitions("h", "vec_id").limit(SAMPLE).select("v")
+
+
 def fitted(vectors: DataFrame, lists: int | None = None) -> np.ndarray:
     """Centroids by Lloyd's rounds on the SAMPLE rows whose hash is smallest; the square root of the rows, LISTS at most."""
     held = vectors.where("vec_id IS NOT NULL AND embedding IS NOT NULL AND size(embedding) > 0")
-    rows = held.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
+    n = held.count()
+    rows = _sample(held, n).collect()
     if not rows:
         return np.zeros((0, 0))
     dim = max({len(r["v"]) for r in rows}, key=lambda d: (sum(len(r["v"]) == d for r in rows), d))
     v = _unit(np.array([r["v"] for r in rows if len(r["v"]) == dim], float))
     v = v[np.linalg.norm(v, axis=1) > 0]
-    k = min(len(v), lists or min(LISTS, max(1, math.isqrt(held.count()))))
+    k = min(len(v), lists or min(LISTS, max(1, math.isqrt(n))))
     c = v[np.linspace(0, len(v) - 1, k).astype(int)] if k else np.zeros((0, dim))
     for _ in range(LLOYD if k else 0):
         at = (v @ c.T).argmax(1)

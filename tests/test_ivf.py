@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from stratafind.operators import ivf
 from stratafind.operators.ivf import InvertedFile
 
 VECTORS, QUERIES = "vec_id long, embedding array<double>", "query_id long, q array<double>"
@@ -71,3 +72,26 @@ def test_an_append_rewrites_no_list(spark, tmp_path):
     index.append(spark.createDataFrame([(10_000, [1.0] * 16)], VECTORS))
     after = files()
     assert all(after[f] == t for f, t in before.items()) and len(after) > len(before)
+
+
+def test_the_fit_sends_its_sample_alone_to_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(ivf, "SAMPLE", 64)
+    df = spark.createDataFrame([(i, v) for i, v in clustered(4000, 5, 64)], VECTORS).repartition(40).checkpoint()
+    status, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+
+    def sent():
+        stages = status.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {stages.apply(i).stageId(): stages.apply(i).resultSize() for i in range(stages.size())}
+
+    before, centroids, after = sent(), ivf.fitted(df, 5), sent()
+    rows = sorted(df.select(F.xxhash64("vec_id").alias("h"), "vec_id", "embedding").collect())[:64]
+    few = ivf.fitted(spark.createDataFrame([(r.vec_id, r.embedding) for r in rows], VECTORS), 5)
+    assert centroids.shape[0] == 5 and np.array_equal(centroids, few)
+    one = 8 * len(rows[0].embedding)
+    assert max(n for s, n in after.items() if s not in before) < 40 * 64 * one / 3
+
+
+def test_a_sample_of_one_repeated_id_is_still_full(spark, monkeypatch):
+    monkeypatch.setattr(ivf, "SAMPLE", 64)
+    df = spark.createDataFrame([(7, [float(i), 1.0]) for i in range(500)], VECTORS)
+    assert ivf._sample(df, 500).count() == 64
