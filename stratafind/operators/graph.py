@@ -287,21 +287,57 @@ def _moved(near: DataFrame, state: DataFrame, names: DataFrame, double_m: float,
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (smallest node): each round takes the least label around, then jumps to that label's own."""
+    """node, component (smallest node) from edges(a, b).
+
+    Each round hooks every node to the one around it, itself included, with most edges (ties to the greater name), contracts the
+    trees that this makes and goes on with the edges between them. A node that stays a root has no neighbour with more edges, so
+    each of its edges takes up at most one part in the degree of a neighbour that is hooked: roots are half of the nodes at most,
+    and rounds at most the logarithm of their number. Tables of a round are removed with the next; only the maps from nodes to
+    roots, at most half as long each time, stay until they are put together.
+    """
+    spark, maps = edges.sparkSession, []
     # parallel edges count once, and the tables are read once and not in every round
-    pairs = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    loops = edges.where("a = b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
-    once = cut_lineage(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(loops))
-    e = once.unionByName(once.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    label = cut_lineage(e.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("l")).withColumnRenamed("src", "node"))
-    while True:
-        around = e.join(label.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("l").alias("m"))
-        lower = label.join(around, "node").select("node", F.least("l", "m").alias("l"), F.col("l").alias("before"))
-        jump = lower.select(F.col("node").alias("l"), F.col("l").alias("further"))
-        new = cut_lineage(lower.join(jump, "l", "left").select("node", F.coalesce("further", "l").alias("l"), "before"))
-        label = new.select("node", "l")
-        if new.where("l <> before").limit(1).count() == 0:
-            return label.withColumnRenamed("l", "component")
+    first: list[str] = []
+    held = stored(edges.where("a IS NOT NULL AND b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), first)
+    left, kept = held.where("a <> b"), first
+    loops: list[str] = []
+    alone = stored(held.where("a = b").select(F.col("a").alias("node")), loops)
+    while not left.isEmpty():
+        now: list[str] = []
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        counted = both.repartition("a").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("a")))
+        # seen from b: its neighbour with most edges, and its own number, which is that of the rows
+        around = counted.groupBy(F.col("b").alias("node")).agg(F.max(F.struct("n", F.col("a").alias("to"))).alias("best"), F.count(F.lit(1)).alias("n"))
+        own = F.struct("n", F.col("node").alias("to"))
+        up = stored(around.select("node", F.greatest("best", own)["to"].alias("to")), now)
+        while True:  # paths to the roots are halved
+            on = up.select(F.col("node").alias("to"), F.col("to").alias("further"))
+            step: list[str] = []
+            new = stored(up.join(on, "to").select("node", F.col("further").alias("to"), (F.col("further") != F.col("to")).alias("went")), step)
+            done = new.where("went").isEmpty()
+            for path in now:
+                delete(spark, path)
+            up, now = new.select("node", "to"), step
+            if done:
+                break
+        ends = left.join(up.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").join(up.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
+        edges_left: list[str] = []
+        left = stored(ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), edges_left)
+        for path in kept:
+            delete(spark, path)
+        maps, kept = [*maps, (up, now)], edges_left
+    of = None
+    for up, _ in reversed(maps):
+        of = up if of is None else up.join(of.select(F.col("node").alias("to"), F.col("to").alias("root")), "to", "left").select("node", F.coalesce("root", "to").alias("to"))
+    if of is None:
+        found = cut_lineage(alone.select("node", F.col("node").alias("component")))
+    else:
+        of = of.unionByName(alone.join(of.select("node"), "node", "left_anti").select("node", F.col("node").alias("to")))
+        of = stored(of, loops)
+        found = cut_lineage(of.join(of.groupBy("to").agg(F.min("node").alias("component")), "to").select("node", "component"))
+    for path in [*kept, *loops, *(path for _, paths in maps for path in paths)]:
+        delete(spark, path)
+    return found
 
 
 def canonical(clusters: DataFrame, scores: DataFrame) -> DataFrame:

@@ -198,3 +198,31 @@ def test_a_louvain_round_shuffles_weights_once_and_finds_the_modularity_before(s
     assert abs(before - G.modularity(w, state, double_m)) < 1e-9
     assert {x.x for x in after.collect()} == {x.x for x in state.collect()} and G.modularity(w, after, double_m) > before
     assert abs(G._moved(near, after, names, double_m, loops, 1, kept)[1] - G.modularity(w, after, double_m)) < 1e-9
+
+
+def test_components_leave_nothing_of_their_rounds_on_disk(spark):
+    import os
+
+    from stratafind.common import shared_folder
+
+    shared_folder(spark)
+    at = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    r, before = random.Random(9), set(os.listdir(at))
+    edges = [(f"a{r.randrange(400)}", f"a{r.randrange(400)}") for _ in range(260)] + [(f"h{i % 3}", f"b{i}") for i in range(90)] + [("z", "z"), ("b1", "b1"), (None, "a1"), ("q", None)]
+    root = {n: n for e in edges if None not in e for n in e}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in edges:
+        if a and b:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    found = G.components(spark.createDataFrame(edges, "a string, b string"))
+    assert len(set(os.listdir(at)) - before) == 1
+    assert sorted(map(tuple, found.collect())) == sorted((n, find(n)) for n in root)
+    loops = G.components(spark.createDataFrame([("x", "x"), ("y", "y")], "a string, b string"))
+    assert sorted(map(tuple, loops.collect())) == [("x", "x"), ("y", "y")]
+    assert G.components(spark.createDataFrame([], "a string, b string")).collect() == []
